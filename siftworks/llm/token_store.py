@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import WordEncoder
 from .common import bucket_count, pieces, shared_folder, stored
 
-SCALE, BLOCK, LANES, EVERY, END = 20, 1 << 17, 1024, 64, 1
+SCALE, BLOCK, LANES, EVERY, END = 20, 1 << 19, 4096, 64, 1
 LOW = 1 << 31
 RAW = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
 FILE = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary, states binary, places array<long>, crc long"
