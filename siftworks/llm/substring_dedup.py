@@ -3,9 +3,10 @@
 A window is `window` consecutive words; a word goes if a window over it recurs anywhere in the corpus.
 
 1. Fingerprints: in each window the least of its GRAM-word hashes is selected (winnowing). Equal windows
-   select equal grams, so only windows whose selected gram recurs can recur.
-2. Confirmation: the 128-bit hashes of those windows are counted over the corpus; recurring passages are
-   the windows with two or more starts.
+   select equal grams, so only windows whose selected gram recurs can recur. Neighbouring windows that
+   select the gram at one place make a run, named by the hash of all its words.
+2. Confirmation: where a whole run recurs, so do all its windows. Where runs of one gram differ, as at the
+   ends of passages, the 128-bit hashes of the windows of each different run are counted once a run.
 3. Automata: documents are dealt to buckets. Each bucket compiles one Aho-Corasick automaton over the
    passages that recur in it (runs of recurring windows are tiled, so overlapping ones share patterns),
    and all its documents stream through it to locate every occurrence.
@@ -26,8 +27,9 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,6 +42,12 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(29))
+
+
 def _sums(h: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hash modulo 2**64 of every run of `width` values, by doubling; mixed at the end."""
     with np.errstate(over="ignore"):
@@ -56,18 +64,18 @@ def _sums(h: np.ndarray, width: int, base: int) -> np.ndarray:
                 break
             power = power[:-size] * np.uint64(step) + power[size:]
             step, size = step * step & 0xFFFFFFFFFFFFFFFF, size * 2
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x94D049BB133111EB)
-        return out ^ (out >> np.uint64(29))
+        return _mixed(out)
 
 
-def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (np.minimum or np.maximum) over every run of `width` values, by doubling."""
-    size = 1
-    while size * 2 <= width:
-        x = pick(x[:-size], x[size:])
-        size *= 2
-    return pick(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least value in every run of `width` values, by doubling."""
+    at, size = np.arange(len(x)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = at[:-step], at[step:]
+        at = np.where(x[b] < x[a], b, a)
+        size += step
+    return at
 
 
 class Batch:
@@ -86,10 +94,21 @@ class Batch:
         own = np.repeat(np.arange(len(texts)), self.sizes)
         self.starts = np.zeros(n, bool) if not n else own[:n] == own[window - 1 :]
 
-    def selected(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Gram hashes, and for each window start the least of its grams."""
+    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(fp, run, first start, number of windows) of the runs of windows that select one gram."""
+        none = np.zeros(0, np.int64)
+        if not self.starts.any():
+            return none.view(np.uint64), none.view(np.uint64), none, none
         grams = _sums(self.hashes, GRAM, BASES[2])
-        return grams, _slide(grams, window - GRAM + 1, np.minimum) if len(self.starts) else grams[:0]
+        least = _least(grams, window - GRAM + 1)
+        new = self.starts & np.append(True, (least[1:] != least[:-1]) | ~self.starts[:-1])
+        begin = np.flatnonzero(new)
+        n = np.diff(np.append(np.cumsum(self.starts)[begin] - 1, np.count_nonzero(self.starts)))
+        power, back = (np.full(len(self.hashes), x, np.uint64) for x in (BASES[0], pow(BASES[0], -1, 1 << 64)))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * np.cumprod(power))])
+            run = (sums[begin + n - 1 + window] - sums[begin]) * np.cumprod(back)[begin] + n.astype(np.uint64)
+        return grams[least[begin]], _mixed(run), begin, n
 
 
 def _counted(columns: list[np.ndarray], names: list[str], bucket: np.ndarray) -> pa.RecordBatch:
@@ -100,44 +119,82 @@ def _counted(columns: list[np.ndarray], names: list[str], bucket: np.ndarray) ->
 
 
 def fingerprints(dealt: DataFrame, window: int) -> DataFrame:
-    """(fp, bucket, n) of the selected grams of every document, combined within batches."""
+    """(fp, run, bucket, n) of the runs of every document, combined within batches."""
 
     def make(batches):
         for b in (part for batch in batches for part in pieces(batch)):
-            texts, buckets = b.column("text").to_pylist(), b.column("bucket").to_numpy()
-            x = Batch(texts, window)
-            grams, least = x.selected(window)
-            if not len(least):
-                continue
-            least = np.where(x.starts, least, np.uint64(0))
-            pad = np.zeros(window - GRAM, np.uint64)
-            top = _slide(np.concatenate([pad, least, pad]), window - GRAM + 1, np.maximum)
-            at = np.flatnonzero((top == grams) & (top > 0))
-            own = np.searchsorted(x.begins, at, "right") - 1
-            yield _counted([grams[at]], ["fp"], buckets[own])
+            buckets = b.column("bucket").to_numpy()
+            x = Batch(b.column("text").to_pylist(), window)
+            fp, run, begin, _ = x.runs(window)
+            if len(fp):
+                yield _counted([fp, run], ["fp", "run"], buckets[np.searchsorted(x.begins, begin, "right") - 1])
+
+    return dealt.select("text", "bucket").mapInArrow(make, "fp long, run long, bucket long, n long")
+
+
+def recurring_runs(counted: DataFrame) -> DataFrame:
+    """(fp, run, bucket, whole, weight) of the runs whose gram occurs twice or more, for each bucket that has them.
+
+    whole: the run recurs. weight: 0, or what each of its windows counts for (one bucket speaks for a run).
+    """
+    per = counted.groupBy("fp", "run", "bucket").agg(F.sum("n").alias("n"))
+    of_fp, of_run = Window.partitionBy("fp"), Window.partitionBy("fp", "run")
+    per = per.withColumns({"n_fp": F.sum("n").over(of_fp), "one": F.min("run").over(of_fp), "two": F.max("run").over(of_fp)}).filter("n_fp > 1")
+    per = per.withColumns({"n_run": F.sum("n").over(of_run), "speaker": F.min("bucket").over(of_run)})
+    weight = F.when((F.col("one") != F.col("two")) & (F.col("bucket") == F.col("speaker")), F.least("n_run", F.lit(2))).otherwise(0)
+    return per.select("fp", "run", "bucket", (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
 
-    return dealt.select("text", "bucket").mapInArrow(make, "fp long, bucket long, n long")
 
+def recurring_windows(found: DataFrame) -> DataFrame:
+    """(h1, h2, bucket) of windows that start twice or more, for the buckets that ask."""
+    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
+    return found.withColumn("total", total).filter("total > 1 AND asks").select("h1", "h2", "bucket").distinct()
 
-def recurring(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bucket) of what starts twice or more in the corpus, for each bucket that has it."""
-    per = counted.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-    total = per.groupBy(*keys).agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
-    return per.drop("n").join(total, keys)
+
+def _key(fp: np.ndarray, run: np.ndarray) -> np.ndarray:
+    return _mixed(fp ^ _mixed(run))
+
+
+class Known:
+    """The recurring runs of a bucket, found by key."""
+
+    def __init__(self, t: pa.Table):
+        key = _key(*(t.column(c).to_numpy().view(np.uint64) for c in ("fp", "run")))
+        order = np.argsort(key)
+        self.key, self.whole, self.weight = key[order], t.column("whole").to_numpy()[order], t.column("weight").to_numpy()[order]
+
+    def find(self, fp: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs are known, and their rows."""
+        key = _key(fp, run)
+        if not len(self.key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = np.flatnonzero(self.key[at] == key)
+        return hit, at[hit]
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All starts of runs."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _candidates(window: int):
-    def make(docs: pa.Table, known: pa.Table) -> pa.Table:
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64())])
-        if not known.num_rows or not docs.num_rows:
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("asks", pa.bool_())])
+
+    def make(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        if not runs.num_rows or not docs.num_rows:
             return schema.empty_table()
-        fps = np.sort(known.column("fp").to_numpy().view(np.uint64))
+        known = Known(runs)
         x = Batch(docs.column("text").to_pylist(), window)
-        _, least = x.selected(window)
-        at = np.flatnonzero(x.starts & _within(least, fps))
-        one, two = _sums(x.hashes, window, BASES[0])[at], _sums(x.hashes, window, BASES[1])[at]
+        fp, run, begin, n = x.runs(window)
+        hit, row = known.find(fp, run)
+        row, first = np.unique(row, return_index=True)
+        hit = hit[first][known.weight[row] > 0]
+        row = row[known.weight[row] > 0]
+        at = _spread(begin[hit], n[hit])
+        one, two = (_sums(x.hashes, window, b)[at].view(np.int64) for b in BASES[:2])
         bucket = np.full(len(at), docs.column("bucket")[0].as_py(), np.int64)
-        return pa.Table.from_batches([_counted([one, two], ["h1", "h2"], bucket)]).cast(schema)
+        return pa.table([pa.array(c) for c in (one, two, bucket, np.repeat(known.weight[row], n[hit]), np.repeat(~known.whole[row], n[hit]))], schema=schema)
 
     return make
 
@@ -161,19 +218,26 @@ def _locate(window: int, out: pa.Schema):
         machine.make_automaton()
         return machine
 
-    def make(docs: pa.Table, known: pa.Table) -> pa.Table:
+    def make(docs: pa.Table, passages: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out.empty_table()
         texts = docs.column("text").to_pylist()
         x = Batch(texts, window)
         covers = [np.zeros(n, bool) for n in x.sizes]
-        if known.num_rows:
-            pairs = np.unique(np.rec.fromarrays([known.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")], names="a,b"))
-            first, second = _sums(x.hashes, window, BASES[0]), _sums(x.hashes, window, BASES[1])
-            at = np.flatnonzero(x.starts)
-            at = at[_within(first[at], pairs.a)]
-            both = np.rec.fromarrays([first[at], second[at]], names="a,b")
-            at = at[np.isin(both, pairs)] if len(at) else at
+        if passages.num_rows:
+            runs = passages.filter(pc.is_valid(passages.column("fp")))
+            alone = passages.filter(pc.is_valid(passages.column("h1")))
+            known = Known(runs)
+            fp, run, begin, n = x.runs(window)
+            hit, row = known.find(fp, run)
+            whole = known.whole[row]
+            at = _spread(begin[hit[whole]], n[hit[whole]])
+            some = _spread(begin[hit[~whole]], n[hit[~whole]])
+            if len(some) and alone.num_rows:
+                pairs = _key(*(alone.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
+                mine = _key(*(_sums(x.hashes, window, b)[some] for b in BASES[:2]))
+                at = np.concatenate([at, some[_within(mine, np.sort(pairs))]])
+            at = np.sort(at)
             machine = automaton(x, at)
             for d in np.flatnonzero(x.sizes >= window) if len(machine) else ():
                 for end, _ in machine.iter(tuple(x.codes[x.begins[d] : x.begins[d + 1]].tolist())):
@@ -211,10 +275,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     n = bucket_count(docs)
     names = [c for c in docs.columns if with_text or c in ("doc_id", "text")]
     dealt = docs.select(*names).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    known = stored(recurring(fingerprints(dealt, window), ["fp"]), "grams")
-    text_only = dealt.select("text", "bucket")
-    found = text_only.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, bucket long, n long")
-    passages = stored(recurring(found, ["h1", "h2"]), "passages")
+    runs = stored(recurring_runs(fingerprints(dealt, window)), "runs")
+    found = dealt.select("text", "bucket").groupBy("bucket").cogroup(runs.filter("weight > 0").groupBy("bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, bucket long, n long, asks boolean")
+    windows = stored(recurring_windows(found), "windows")
+    passages = runs.unionByName(windows, allowMissingColumns=True)
     kept = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "bucket") or (with_text and f.name == "text")])
     kept = kept.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
