@@ -7,11 +7,12 @@ the k coordinates makes the signature, and two signatures agree in a coordinate
 to the weighted Jaccard similarity. Signatures meet in BANDS bands of ROWS coordinates.
 
 1. Copies of one text collapse to one node, named by the text's 128-bit digest.
-2. Each node is compared with the least node of its buckets, exactly, on the shingles themselves.
+2. The centre of a bucket is its member that meets most others over all buckets. Each node is compared with
+   the best of its centres, then with all whose class isn't its own, exactly, on the shingles themselves.
 3. Links of at least `threshold` are merged to classes by alternating large and small stars.
-4. Buckets that still hold several classes are walked: every member meets those 1, 2, 3 ... places after
-   it that are of another class and whose sketches agree enough, until one class is left or every pair
-   has met. So no bucket is capped, none emits all its pairs at once, and only open buckets go on.
+4. In buckets that still hold several classes every pair of different classes is judged, by sketches of
+   WIDE coordinates, in blocks of BLOCK members; pairs within reach of the threshold are compared exactly.
+   So no bucket is capped, none is one group above BLOCK members, and only promising pairs are emitted.
 
 With weights "set" every distinct shingle weighs 1 and the similarity is Jaccard's; "count" weighs it by
 its occurrences. Words are split at ASCII white space. A text of 1 to 4 words is one shingle. Null texts
@@ -26,16 +27,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, pieces, stored
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
-#: Share of equal sketch bytes below the threshold at which a pair is no longer read: 4.5 standard deviations.
-MARGIN = 0.16
-#: Places ahead that one walk round covers.
-STRIDE = 8
+#: Coordinates of the sketches of open buckets, and the share below the threshold at which a pair is out of
+#: reach: four standard deviations.
+WIDE, MARGIN, BLOCK = 1024, 0.05, 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def dart_signatures(elements: np.ndarray, own: np.ndarray, weights: np.ndarray,
 
 
 def signatures(docs: DataFrame, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, bands, sketch) of each document with words; node: the text's digest."""
+    """(doc_id, node, bands) of each document with words; node: the text's digest."""
     k = bands * rows
 
     def make(batches):
@@ -139,12 +139,11 @@ def signatures(docs: DataFrame, weights: str = "set", bands: int = BANDS, rows:
                         b.column("doc_id").take(pa.array([x[0] for x in at])),
                         pa.array([nodes[x[0]] for x in at], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1, dtype=np.int32) * bands), pa.array(keys[j].reshape(-1).view(np.int64))),
-                        pa.array([s.tobytes() for s in sig[j].astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "node", "bands", "sketch"],
+                    names=["doc_id", "node", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, node binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, node binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
@@ -202,34 +201,32 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     n_links: verified links between different texts at this row's text.
     """
     sigs = stored(signatures(docs, weights), "signatures")
-    nodes = sigs.groupBy("node").agg(F.min(F.struct("bands", "sketch")).alias("s")).select("node", "s.bands", "s.sketch")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    rows = stored(rows, "bands")
-    least = rows.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    buckets = stored(rows.join(least, ["band", "key"]).select("band", "key", "node", "lead"), "buckets")
-    member = buckets.select("node").distinct()
+    nodes = sigs.groupBy("node").agg(F.min("bands").alias("bands"))
+    rows = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = stored(rows.join(sizes, ["band", "key"]), "shared-bands")
+    member = stored(rows.groupBy("node").agg(F.sum("n").alias("meets")), "members")
     texts = docs.select("text").filter("text IS NOT NULL").mapInArrow(_named, "node binary, text string")
-    texts = stored(texts.join(member, "node").dropDuplicates(["node"]), "texts")
-    first = buckets.filter("lead < node").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b")
-    links = kept(verified(first, texts, weights, threshold))
-    tried = kept(first)
+    texts = stored(texts.join(member.select("node"), "node").dropDuplicates(["node"]), "texts")
+    rows = rows.join(member, "node")
+    centres = rows.groupBy("band", "key").agg(F.max(F.struct("meets", "node")).alias("centre"))
+    buckets = stored(rows.join(centres, ["band", "key"]).select("band", "key", "n", "node", "centre"), "buckets")
+    outer = buckets.filter("centre.node <> node")
+    best = outer.groupBy("node").agg(F.max("centre").alias("c")).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+    links = kept(verified(best, texts, weights, threshold))
     roots = components(links)
-    ahead = 1
-    by = Window.partitionBy("band", "key").orderBy("node")
-    while True:
-        open_ = buckets.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = open_.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n"))
-        several = several.filter(f"r1 <> r2 AND n > {ahead}").select("band", "key")
-        open_ = stored(open_.join(several, ["band", "key"]), "open")
-        if open_.isEmpty():
-            break
-        near = [F.lead(F.struct("node", "root"), t).over(by) for t in range(ahead, ahead + STRIDE)]
-        pairs = open_.withColumn("near", F.array(*near)).select("node", "root", F.explode("near").alias("other")).filter("other.root <> root")
-        pairs = pairs.select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = kept(_alike(pairs, nodes.join(member, "node", "left_semi"), threshold))
-        links = kept(links.unionByName(verified(pairs, texts, weights, threshold)))
-        tried = kept(tried.unionByName(pairs))
-        roots, ahead = components(links), ahead + STRIDE
+    other = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    more = outer.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    more = more.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").join(other, "b", "left")
+    more = more.filter(F.coalesce("root", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = kept(links.unionByName(verified(more, texts, weights, threshold)))
+    roots = components(links)
+    near = stored(reachable(buckets, roots, texts, weights, threshold), "near")
+    rest = near.join(best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    found = kept(verified(rest, texts, weights, threshold))
+    if not found.isEmpty():
+        links = kept(links.unionByName(found))
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = sigs.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -244,16 +241,41 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), b.column("text")], names=["node", "text"])
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sketches agree in at least threshold - MARGIN of the bytes."""
-    a, b = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+def reachable(buckets: DataFrame, roots: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket but different classes whose wide sketches come within MARGIN of the threshold."""
+    open_ = buckets.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = open_.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band", "key")
+    open_ = stored(open_.join(several, ["band", "key"]), "open")
 
-    def make(batches):
-        for x in batches:
-            one, two = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-            yield x.select(["a", "b"]).filter(pa.array((one == two).mean(1) >= threshold - MARGIN))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(make, "a binary, b binary")
+    def sketches(batches):
+        for b in (part for batch in batches for part in pieces(batch)):
+            g, own, count = shingles(b.column("text").to_pylist())
+            sig = dart_signatures(g, own, count if weights == "count" else np.ones(len(g)), b.num_rows, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary())], names=["node", "sketch"])
+
+    wide = texts.join(open_.select("node").distinct(), "node").mapInArrow(sketches, "node binary, sketch binary")
+    # Each pair of blocks of a bucket is one group; a bucket of up to BLOCK members is one block.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_.join(wide, "node").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
+
+    def judge(t: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        names, root = t.column("node").to_pylist(), t.column("root").dictionary_encode().combine_chunks().indices.to_numpy()
+        mine, cross = t.column("mine").to_numpy(), t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        one, two = [], []
+        for x in range(t.num_rows):
+            at = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
+            if cross:
+                at = at[mine[at] != mine[x]]
+            at = at[(sketch[at] == sketch[x]).mean(1) >= threshold - MARGIN] if len(at) else at
+            one += [max(names[x], names[y]) for y in at]
+            two += [min(names[x], names[y]) for y in at]
+        return pa.table([pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["a", "b"])
+
+    need = dealt.select("band", "key", "i", "j", "mine", "node", "root", "sketch")
+    return need.groupBy("band", "key", "i", "j").applyInArrow(judge, "a binary, b binary").distinct()
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
