@@ -276,9 +276,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     names = [c for c in docs.columns if with_text or c in ("doc_id", "text")]
     dealt = docs.select(*names).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     runs = stored(recurring_runs(fingerprints(dealt, window)), "runs")
-    found = dealt.select("text", "bucket").groupBy("bucket").cogroup(runs.filter("weight > 0").groupBy("bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, bucket long, n long, asks boolean")
-    windows = stored(recurring_windows(found), "windows")
-    passages = runs.unionByName(windows, allowMissingColumns=True)
+    # Both passes read the same columns, so that the documents are dealt out once.
+    found = dealt.groupBy("bucket").cogroup(runs.filter("weight > 0").groupBy("bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, bucket long, n long, asks boolean")
+    passages = runs.unionByName(recurring_windows(found), allowMissingColumns=True)
     kept = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "bucket") or (with_text and f.name == "text")])
     kept = kept.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
