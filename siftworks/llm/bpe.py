@@ -23,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -288,11 +288,13 @@ def encode_documents(docs: DataFrame, path: str, results: tuple[str, ...] = ("id
     n = bucket_count(docs)
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     per = chunk_counts(dealt).groupBy("digest", "bucket").agg(F.sum("n").alias("n"))
-    total = per.groupBy("digest").agg(F.sum("n").alias("total"), F.min("bucket").alias("owner")).filter("total > 1")
-    needed = stored(per.join(total, "digest").select("digest", "bucket", "owner"), "chunks")
+    of = Window.partitionBy("digest")  # as many rows as buckets at most
+    per = per.withColumns({"total": F.sum("n").over(of), "owner": F.min("bucket").over(of)}).filter("total > 1")
+    needed = stored(per.select("digest", "bucket", "owner"), "chunks")
     owned = needed.filter("bucket = owner").select("digest", "bucket")
-    once = dealt.select("text", "bucket").groupBy("bucket").cogroup(owned.groupBy("bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
-    shared = stored(needed.select("digest", "bucket").join(once, "digest"), "chunk-ids")
+    # Both passes read the same columns, so that the documents are dealt out once.
+    once = dealt.groupBy("bucket").cogroup(owned.groupBy("bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
+    shared = needed.select("digest", "bucket").join(once, "digest")
     schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "bucket")])
     for name in results:
         schema = schema.add(name, RESULTS[name])
