@@ -71,8 +71,22 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return g[first], own[first], np.diff(np.append(first, len(g)))
 
 
+#: Darts in memory at once.
+DARTS = 1_500_000
+
+
 def dart_signatures(elements: np.ndarray, own: np.ndarray, weights: np.ndarray, sets: int, k: int) -> np.ndarray:
-    """k signature values (32 bits) of each of `sets` weighted sets; sets without elements get zeros.
+    """k signature values (32 bits) of each of `sets` weighted sets, whose elements stand in order; some sets at a time."""
+    size = max(1, int(DARTS / (k * math.log(k) + 2 * k)))
+    out = [np.zeros((0, k), np.uint32)]
+    for a in range(0, sets, size):
+        i, j = np.searchsorted(own, [a, a + size])
+        out.append(_throw(elements[i:j], own[i:j] - a, weights[i:j], min(size, sets - a), k))
+    return np.concatenate(out)
+
+
+def _throw(elements: np.ndarray, own: np.ndarray, weights: np.ndarray, sets: int, k: int) -> np.ndarray:
+    """Signatures of sets; those without elements get zeros.
 
     The weight axis is cut at 0, 1, 2, 4, 8 ...: each piece below an element's weight is a region with
     darts of its own, whose ranks are sums of exponential gaps. Darts above the weight don't count. Sets
