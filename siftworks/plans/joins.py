@@ -1 +1,243 @@
-"""Queries."""
+"""Queries of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..operators import history as hi
+from ..operators import joins as jo
+from ..operators import scan
+from .history import EXPORTS, NAMES
+from .registry import query
+from .scans import W, q, scan_sql
+
+_CATEGORY = "CASE " + " ".join(f"WHEN buzzword IN ({', '.join(map(q, ws))}) THEN '{c}'" for c, ws in jo.CLAIM_WORDS.items()) + " END"
+CLAIMS = rf"""claims AS (SELECT *, {_CATEGORY} AS category FROM (SELECT repo, path, line_no, regexp_matches(line, {q(jo.CLAIMS)}) AND NOT regexp_matches(line, {q(jo.NOT_CLAIMS)}) AS positive,
+  lower(unnest(regexp_extract_all(line, {q(jo.claim_pattern())}, 1))) AS buzzword FROM code_lines))"""
+
+
+@query("j7_extract_claims", W + T.LINES + ", " + CLAIMS + " SELECT * FROM claims")
+def j7(spark, d):
+    return jo.extract_claims(T.code_lines(spark, d))
+
+
+_EV = " UNION ALL ".join(f"SELECT repo, path, '{c}' AS category, '{k}' AS kind FROM code_files WHERE regexp_matches({col}, {q(rx)})" for (c, k), (col, rx) in jo.EVIDENCE.items())
+
+
+@query("c1_claims_without_evidence", W + T.LINES + ", " + CLAIMS + f""", ev AS (SELECT repo, category, count(DISTINCT kind || '|' || path) AS hits FROM ({_EV}) GROUP BY ALL)
+ SELECT repo, category, path, line_no, positive, buzzword, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) = 0 THEN 'high' ELSE 'medium' END AS severity FROM claims LEFT JOIN ev USING (repo, category) WHERE positive AND coalesce(hits, 0) < 40""")
+def c1(spark, d):
+    """A repository of the fixture holds many files, so the bound is 40 pieces of evidence."""
+    return jo.claims_without_evidence(jo.extract_claims(T.code_lines(spark, d)), T.code_files(spark, d), 40)
+
+
+def _setup_sql() -> str:
+    out = []
+    for lang, rxs in jo.SETUPS.items():
+        for rx in rxs:
+            langs = "('javascript', 'typescript')" if lang == "javascript" else f"('{lang}')"
+            out.append(f"SELECT repo, path, line_no, line, regexp_extract(line, {q(rx)}, 1) AS name, regexp_extract(line, {q(rx)}, 2) AS kind FROM code_lines WHERE lang IN {langs} AND regexp_matches(line, {q(rx)})")
+    return f"setups AS (SELECT * FROM ({' UNION ALL '.join(out)}) WHERE NOT regexp_matches(name, '^[ijkxy]$'))"
+
+
+@query("j8_extract_setups", W + T.LINES + ", " + _setup_sql() + " SELECT repo, path, line_no, name, kind FROM setups")
+def j8(spark, d):
+    return jo.extract_setups(T.code_lines(spark, d)).drop("line")
+
+
+@query("c2_setup_without_usage", W + T.LINES + ", " + _setup_sql() + r""", ids AS (SELECT repo, path, line_no, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_]\w*'))) AS name FROM code_lines),
+ uses AS (SELECT path AS _p, repo, name, count(*) AS n FROM ids GROUP BY ALL) SELECT repo, name, path, line_no, kind FROM setups ANTI JOIN (SELECT _p AS path, name FROM uses WHERE n > 1) USING (path, name) WHERE NOT regexp_matches(line, '^\s*(export|pub|public)\b')""")
+def c2(spark, d):
+    """Each file of the fixture is a repository of its own here: names repeat between files."""
+    lines = T.code_lines(spark, d).withColumn("whole", F.col("repo")).withColumn("repo", F.col("path"))
+    out = jo.setup_without_usage(jo.extract_setups(lines), lines)
+    return out.drop("repo").join(T.code_files(spark, d).select("repo", "path"), "path").select("repo", "name", "path", "line_no", "kind")
+
+
+_LINKS = r"links AS (SELECT repo, path, doc_id, unnest(list_distinct(regexp_extract_all(content, '\[[^\]]*\]\(([^)\s]+)\)', 1))) AS target FROM md)"
+
+
+@query("c3_broken_links", W + T.PAGES + ", " + _LINKS + " SELECT repo, target, path, doc_id FROM links WHERE NOT regexp_matches(target, '^(https?:|mailto:|#)') AND NOT EXISTS (SELECT 1 FROM code_files f WHERE f.repo = links.repo AND f.path = target)")
+def c3(spark, d):
+    return jo.broken_links(T.doc_pages(spark, d), T.code_files(spark, d))
+
+
+_SLUG = r"regexp_replace(regexp_replace(lower(trim(h)), '[^\w\s-]', '', 'g'), '\s+', '-', 'g')"
+
+
+@query("c4_broken_anchors", W + T.PAGES + ", " + _LINKS + rf""", heads AS (SELECT doc_id, {_SLUG} AS slug FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?m)^#{{1,6}}\s+(.+)$', 1)) AS h FROM md))
+ SELECT doc_id, substr(target, 2) AS slug FROM links WHERE target LIKE '#%' AND NOT EXISTS (SELECT 1 FROM heads WHERE heads.doc_id = links.doc_id AND heads.slug = substr(target, 2))""")
+def c4(spark, d):
+    return jo.broken_anchors(T.doc_pages(spark, d))
+
+
+@query("c5_broken_file_refs", W + T.PAGES + r""", refs AS (SELECT repo, doc_id, regexp_replace(p, '^\./', '') AS path FROM (SELECT repo, doc_id, unnest(list_distinct(regexp_extract_all(content, '([\w./${}*-]+/[\w${}*-]+\.\w{1,5})', 1))) AS p FROM md) WHERE NOT regexp_matches(p, '[*$]'))
+ SELECT repo, path, doc_id FROM refs ANTI JOIN (SELECT DISTINCT repo, path FROM code_files) USING (repo, path)""")
+def c5(spark, d):
+    return jo.broken_file_refs(T.doc_pages(spark, d), T.code_files(spark, d))
+
+
+@query("c6_broken_command_refs", W + T.PAGES + f""", names AS (SELECT repo, doc_id, unnest(list_distinct(regexp_extract_all(content, 'npm (?:run )?([\\w:-]+)', 1))) AS name FROM md)
+ SELECT repo, name, doc_id FROM names WHERE name NOT IN ({', '.join(map(q, jo.BUILTINS))}) AND NOT (name = 'build' AND repo IN (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0))""")
+def c6(spark, d):
+    scripts = T.read(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.lit("build").alias("name")).distinct()
+    return jo.broken_command_refs(T.doc_pages(spark, d), scripts)
+
+
+_SENT = lambda t, i: f"(SELECT {i} AS id, unnest(regexp_split_to_array(text, '[.!?]+')) AS s, unnest(generate_series(0, len(regexp_split_to_array(text, '[.!?]+')) - 1)) AS sentence FROM {t})"
+_SWORDS = "list_distinct(list_filter(regexp_split_to_array(lower(s), '\\s+'), lambda x: x <> ''))"
+
+
+@query("c7_text_overlap", W + f"""sa AS (SELECT id, sentence, {_SWORDS} AS w FROM {_SENT('benchmark', 'item_id')} WHERE length(trim(s, ' ')) > 20), sb AS (SELECT id AS b, sentence AS bs, {_SWORDS} AS w FROM {_SENT('documents', 'doc_id')} WHERE length(trim(s, ' ')) > 20),
+ wa AS (SELECT id, sentence, len(w) AS n, unnest(w) AS word FROM sa), wb AS (SELECT b, bs, unnest(w) AS word FROM sb), hit AS (SELECT DISTINCT id, sentence FROM (SELECT id, sentence, b, bs, n, count(*) AS k FROM wa JOIN wb USING (word) GROUP BY ALL) WHERE k > n * CAST(0.8 AS DOUBLE))
+ SELECT id, count(*) AS sentences, count(hit.id) AS covered, count(hit.id) / count(*) > 0.4 AS flagged FROM sa LEFT JOIN hit USING (id, sentence) GROUP BY id""")
+def c7(spark, d):
+    a = T.read(spark, d, "benchmark").withColumnRenamed("item_id", "a_id")
+    return jo.text_overlap(a, T.read(spark, d, "documents").withColumnRenamed("doc_id", "b_id"))
+
+
+_FEATURES = r"""df AS (SELECT DISTINCT regexp_extract(line, '^[-*]\s+(.{6,79})$', 1) AS feature FROM md_lines WHERE regexp_matches(line, '^[-*]\s+.{6,79}$') UNION SELECT DISTINCT p_brand || ' loader' FROM part),
+ cf AS (SELECT DISTINCT name AS feature FROM symbols UNION SELECT DISTINCT lower(replace(p_brand, '#', '')) FROM part),
+ na AS (SELECT feature AS doc_feature, regexp_replace(lower(feature), '[^a-z0-9]', '', 'g') AS x FROM df), nb AS (SELECT feature AS code_feature, regexp_replace(lower(feature), '[^a-z0-9]', '', 'g') AS y FROM cf),
+ pairs AS (SELECT doc_feature, code_feature FROM na, nb WHERE length(x) > 2 AND length(y) > 2 AND (contains(x, y) OR contains(y, x) OR levenshtein(x, y) < 3))"""
+
+
+def features(spark, d):
+    from ..operators import documents as do
+
+    brands = T.read(spark, d, "part").select("p_brand").distinct()
+    docs = do.bullet_features(T.to_lines(T.doc_pages(spark, d))).select("feature").union(brands.select(F.concat("p_brand", F.lit(" loader")))).distinct()
+    code = hi.extract_symbols(T.code_lines(spark, d)).select(F.col("name").alias("feature")).union(brands.select(F.lower(F.regexp_replace("p_brand", "#", "")))).distinct()
+    return docs, code
+
+
+@query("c8_feature_match", W + T.PAGES + ", " + NAMES + ", " + _FEATURES + " SELECT * FROM pairs")
+def c8(spark, d):
+    return jo.feature_match(*features(spark, d))
+
+
+@query("c9_alignment_status", W + T.PAGES + ", " + NAMES + ", " + _FEATURES + """ SELECT doc_feature, code_feature, 'aligned' AS status FROM pairs UNION ALL SELECT feature, NULL, 'documented_only' FROM df WHERE feature NOT IN (SELECT doc_feature FROM pairs)
+ UNION ALL SELECT NULL, feature, 'implemented_only' FROM cf WHERE feature NOT IN (SELECT code_feature FROM pairs)""")
+def c9(spark, d):
+    return jo.alignment_status(*features(spark, d))
+
+
+_CHANGED = "changed AS (SELECT DISTINCT repo, path FROM code_files WHERE doc_id % 2 = 0)"
+
+
+def changed(spark, d):
+    return T.code_files(spark, d).filter("doc_id % 2 = 0").select("repo", "path").distinct()
+
+
+def every_repo(spark, d):
+    """The fixture's pages and changed files in one repository, so that mentions are found."""
+    return changed(spark, d).withColumn("repo", F.lit("r")).distinct(), T.doc_pages(spark, d).withColumn("repo", F.lit("r"))
+
+
+_NAME = r"regexp_replace(regexp_extract({}, '([^/]+)$', 1), '\.\w+$', '')"
+
+
+@query("c10_docs_mentioning", W + T.PAGES + ", " + _CHANGED + rf""", tok AS (SELECT doc_id, t, {_NAME.format('t')} AS name FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(content, '[\w./-]*\w'))) AS t FROM md)),
+ side AS (SELECT DISTINCT path, {_NAME.format('path')} AS name FROM changed) SELECT 'r' AS repo, doc_id, path, list_sort(list(DISTINCT CASE WHEN t = path THEN 'full-path' WHEN starts_with(t, './') THEN 'import' ELSE 'filename' END)) AS kinds FROM tok JOIN side USING (name) WHERE name <> '' GROUP BY doc_id, path""")
+def c10(spark, d):
+    return jo.docs_mentioning(*every_repo(spark, d))
+
+
+@query("c20_doc_examples_of_changed", W + T.PAGES + ", " + _CHANGED + r""", im AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(code, 'from\s+''\./([^'']+)''', 1)) AS stem FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?s)```\w*\n(.*?)```', 1)) AS code FROM md))
+ SELECT 'r' AS repo, doc_id, path FROM im JOIN (SELECT DISTINCT path, regexp_extract(path, '([^/]+)\.\w+$', 1) AS stem FROM changed) USING (stem)""")
+def c20(spark, d):
+    ch, docs = every_repo(spark, d)
+    return jo.doc_examples_of_changed(docs, ch)
+
+
+@query("c11_removed_exports_in_docs", W + T.PAGES + ", " + NAMES + ", " + EXPORTS + r""", gone AS (SELECT DISTINCT repo, name FROM exports JOIN code_files USING (repo, path) WHERE doc_id % 10 <> 0 EXCEPT SELECT repo, name FROM exports WHERE name <> 'loadUser'),
+ w AS (SELECT repo, doc_id, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z_]\w*'))) AS name FROM md) SELECT repo, name, doc_id FROM w JOIN gone USING (repo, name)""")
+def c11(spark, d):
+    exports = hi.exports(T.code_lines(spark, d)).join(T.code_files(spark, d).select("repo", "path", "doc_id"), ["repo", "path"])
+    return jo.removed_exports_in_docs(exports.filter("doc_id % 10 <> 0"), exports.filter("name <> 'loadUser'"), T.doc_pages(spark, d)).select("repo", "name", "doc_id")
+
+
+@query("c12_undocumented_commits", W + T.COMMITS + r", worth AS (SELECT *, regexp_extract(message, '^\w+!?:\s*(.*)$', 1) AS text FROM commits WHERE regexp_matches(message, '^(feat|fix)|^\w+!:|BREAKING')) SELECT hash, message FROM worth WHERE hash % 3 <> 0 AND hash % 7 <> 0")
+def c12(spark, d):
+    commits = T.commits(spark, d)
+    text = F.regexp_extract("message", r"^\w+!?:\s*(.*)$", 1)
+    entries = commits.filter("hash % 3 = 0").select(text.alias("entry")).union(commits.filter("hash % 7 = 0").select(F.concat(F.lit("see #"), F.col("hash").cast("string"))))
+    return jo.undocumented_commits(commits, entries)
+
+
+def _map_sql() -> str:
+    stem, ext, folder = r"regexp_extract(path, '([^/]+)\.\w+$', 1)", r"regexp_extract(path, '(\.\w+)$', 1)", r"regexp_extract(path, '^(.*/)?[^/]+$', 1)"
+    names = [f"{a} || {stem} || '{b}' || {ext}" for a in ("'tests/'", folder, "'__tests__/'", "'test/'") for b in (".test", ".spec")] + [f"'tests/test_' || {stem} || {ext}", f"{folder} || {stem} || '_test' || {ext}"]
+    return rf"""src AS (SELECT repo, path FROM code_files WHERE NOT regexp_matches(path, '(^|/)tests/') AND regexp_matches(path, '\.(js|ts|py|go|rs|java)$')),
+ cand AS (SELECT repo, path, unnest([{', '.join(names)}]) AS test, unnest(generate_series(1, {len(names)})) AS pos FROM src),
+ met AS (SELECT repo, path, arg_min(test, pos) AS test FROM cand SEMI JOIN (SELECT repo, path AS test FROM code_files) USING (repo, test) GROUP BY ALL), mapped AS (SELECT repo, path, test FROM src LEFT JOIN met USING (repo, path))"""
+
+
+def one_repo(spark, d):
+    """The fixture's files in one repository: a test stands in another source than its subject."""
+    return T.code_files(spark, d).withColumn("repo", F.lit("r"))
+
+
+MAPPED = T.FILES.replace("SELECT repo, (CASE", "SELECT 'r' AS repo, (CASE") + ", " + _map_sql()
+
+
+@query("c13_source_test_map", W + MAPPED + " SELECT * FROM mapped")
+def c13(spark, d):
+    return jo.source_test_map(one_repo(spark, d))
+
+
+@query("d23_coverage_summary", W + MAPPED + " SELECT repo, count(test) AS with_tests, count(*) - count(test) AS without, round(100 * count(test) / count(*), 2) AS percent FROM mapped GROUP BY repo")
+def d23(spark, d):
+    return jo.coverage_summary(jo.source_test_map(one_repo(spark, d)))
+
+
+@query("d27_test_quality", W + MAPPED + r""", p AS (SELECT m.repo, m.path, content AS c, regexp_extract(m.path, '([^/]+)\.\w+$', 1) AS stem FROM mapped m JOIN code_files f ON f.repo = m.repo AND f.path = m.test),
+ g AS (SELECT repo, path, regexp_matches(c, 'toBe\(true\)|assert True|expect\(true\)') AS trivial, NOT regexp_matches(c, '\b(describe|it|test|def test_)\b') AS no_cases, NOT regexp_matches(c, '(?i)null|undefined|empty|error|None') AS no_edges, NOT contains(c, stem) AS no_import FROM p)
+ SELECT *, CASE WHEN trivial::INT + no_cases::INT + no_edges::INT + no_import::INT >= 3 THEN 'poor' WHEN trivial OR no_cases OR no_edges OR no_import THEN 'needs-improvement' ELSE 'good' END AS grade FROM g""")
+def d27(spark, d):
+    return jo.test_quality(jo.source_test_map(one_repo(spark, d)), one_repo(spark, d))
+
+
+_ONE_LINES = MAPPED + ", code_lines AS (SELECT repo, path, doc_id, lang, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no FROM code_files)"
+
+
+@query("c14_untested_exports", W + _ONE_LINES + ", " + NAMES + ", " + EXPORTS + r""", tok AS (SELECT repo, path AS test, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z_]\w*'))) AS name FROM code_files)
+ SELECT repo, path, name FROM exports JOIN (SELECT * FROM mapped WHERE test IS NOT NULL) USING (repo, path) ANTI JOIN tok USING (repo, test, name)""")
+def c14(spark, d):
+    files = one_repo(spark, d)
+    return jo.untested_exports(hi.exports(T.to_lines(files)), jo.source_test_map(files), files)
+
+
+@query("c15_exclude_claimed", W + T.ISSUES + " SELECT number, title FROM issues WHERE number NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def c15(spark, d):
+    claimed = T.read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("number"))
+    return jo.exclude_claimed(T.issues(spark, d).select("number", "title"), claimed)
+
+
+@query("c16_task_already_done", W + T.FILES + ", " + T.ISSUES + r""", k AS (SELECT number, unnest(list_filter(list_distinct(regexp_split_to_array(lower(title), '\W+')), lambda x: length(x) > 3)[1:5]) AS word FROM issues),
+ t AS (SELECT word, bool_or(is_test) AS is_test FROM (SELECT regexp_matches(path, '(^|/)tests/') AS is_test, unnest(list_distinct(regexp_split_to_array(lower(content), '\W+'))) AS word FROM code_files) GROUP BY word),
+ h AS (SELECT number, bool_or(is_test) AS tested FROM k JOIN t USING (word) GROUP BY number) SELECT number, CASE WHEN tested IS NULL THEN 'pending' WHEN tested THEN 'partially-done' ELSE 'appears-done' END AS status FROM issues LEFT JOIN h USING (number)""")
+def c16(spark, d):
+    return jo.task_already_done(T.issues(spark, d), T.code_files(spark, d))
+
+
+@query("c17_old_markers", W + T.LINES + f""", m AS ({scan_sql([r for r in scan.RULES if r.name == 'old_todos'])}) SELECT repo, path, line_no, CAST(31 + (doc_id * 3 + line_no) % 400 AS BIGINT) AS age FROM m JOIN (SELECT repo, path, doc_id FROM code_files) USING (repo, path) WHERE 31 + (doc_id * 3 + line_no) % 400 > 90""")
+def c17(spark, d):
+    lines = T.code_lines(spark, d)
+    ages = lines.select("repo", "path", "line_no", F.date_sub(F.lit("2024-01-01").cast("date"), ((F.col("doc_id") * 3 + F.col("line_no")) % 400).cast("int")).alias("committed"))
+    found = scan.rule_scan(lines, [r for r in scan.RULES if r.name == "old_todos"])
+    return jo.old_markers(found, ages, "2024-02-01").withColumn("age", F.col("age").cast("bigint"))
+
+
+@query("c18_mark_exported", W + T.LINES + ", " + NAMES + ", " + EXPORTS + """ SELECT repo, path, name, kind, exports.name IS NOT NULL AS exported FROM symbols LEFT JOIN (SELECT DISTINCT repo, path, name FROM exports) exports USING (repo, path, name)
+ UNION ALL SELECT repo, path, name, 'export', true FROM (SELECT DISTINCT repo, path, name FROM exports) ANTI JOIN symbols USING (repo, path, name)""")
+def c18(spark, d):
+    lines = T.code_lines(spark, d)
+    return jo.mark_exported(hi.extract_symbols(lines), hi.exports(lines))
+
+
+@query("c21_version_mismatch", W + T.PAGES + r", m AS (SELECT DISTINCT source AS repo, CASE WHEN length(source) % 2 = 0 THEN '1.2.3' ELSE '2.0.0' END AS version FROM documents), s AS (SELECT repo, doc_id, regexp_extract(content, '(?i)version is (\d+\.\d+\.\d+)', 1) AS said FROM md) SELECT repo, doc_id, said, version FROM s JOIN m USING (repo) WHERE said <> '' AND said <> version")
+def c21(spark, d):
+    manifests = T.read(spark, d, "documents").select(F.col("source").alias("repo"), F.when(F.length("source") % 2 == 0, "1.2.3").otherwise("2.0.0").alias("version")).distinct()
+    return jo.version_mismatch(T.doc_pages(spark, d), manifests)

@@ -56,7 +56,7 @@ _TS = [
 ]
 _MD = [
     "# Overview\n\nIt is a secure and scalable tool in order to load users.\n\n### Install\n\n```bash\nnpm run build\nnpm run launch\n```\n\n- [x] write the loader\n- [ ] write the tests for loader",
-    "## Usage\n\nThis project is fully production-ready. CRITICAL: you MUST read it!!\n\n```js\nimport { helper } from './f7';\n```\n\n- supports fast lookup of users\n- keeps the order of items stable\n- [ ] add more examples",
+    "## Usage\n\nThis project is fully production-ready. CRITICAL: you MUST read it!!\n\n```js\nimport { helper } from './f8';\n```\n\n- supports fast lookup of users\n- keeps the order of items stable\n- [ ] add more examples",
     "## API\n\nAt this point in time the API is comprehensive. See [setup](#install) and [gone](#no-such-part).\n\n- TODO: plan the second release\n- short",
     "## Roadmap\n\nHowever, we will be battle-tested.\nTherefore the plan grows.\nMoreover it is due to the fact that users ask.\nFurthermore the list is long.\n\n### Tests\n\n- [ ] prove the store is safe\n- exports loadUser and add from src/m1/f1.js",
     "## Tests\n\nThose parts make use of a large number of fixtures. IMPORTANT: keep them small.\nIMPORTANT: never skip them.\nNEVER edit by hand. ALWAYS run them.\n\n#### Deep\n\nThe version is 1.2.3 here.",
@@ -105,7 +105,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), lang.alias("lang"), F.split("text", "\n").getItem(0).alias("said"))
     ext = _per_language(F.col("lang"), lambda n: F.lit(EXTENSIONS[n]))
     test = F.col("doc_id") % 11 == 0
-    name = F.concat(F.lit("f"), (F.col("doc_id") + F.when(test, 1).otherwise(0)).cast("string"))
+    name = F.concat(F.lit("f"), (F.col("doc_id") + F.when(test, 7).otherwise(0)).cast("string"))
     folder = F.concat(F.when(F.col("doc_id") % 13 == 0, "node_modules/").otherwise(""), F.when(test, "tests/").otherwise(F.concat(F.lit("src/m"), (F.col("doc_id") % 5).cast("string"), F.lit("/"))))
     path = F.concat(folder, name, F.when(test, ".test").otherwise(""), ext)
     k = ((3 * F.col("doc_id") + 1) % 1000).cast("string")
@@ -129,7 +129,7 @@ def _files_sql() -> str:
     ext = _case(lambda n: quoted(EXTENSIONS[n]))
     return f"""code_docs AS (SELECT doc_id, source AS repo, string_split(text, chr(10))[1] AS said, {LANGUAGES}[doc_id % 7 + 1] AS lang FROM documents),
 code_files AS (SELECT repo, (CASE WHEN doc_id % 13 = 0 THEN 'node_modules/' ELSE '' END) || (CASE WHEN doc_id % 11 = 0 THEN 'tests/' ELSE 'src/m' || (doc_id % 5) || '/' END)
-  || 'f' || (doc_id + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END) || (CASE WHEN doc_id % 11 = 0 THEN '.test' ELSE '' END) || {ext} AS path,
+  || 'f' || (doc_id + CASE WHEN doc_id % 11 = 0 THEN 7 ELSE 0 END) || (CASE WHEN doc_id % 11 = 0 THEN '.test' ELSE '' END) || {ext} AS path,
   doc_id, lang, concat_ws(chr(10), {head}, {', '.join(parts)}, {said}) AS content FROM code_docs)"""
 
 
