@@ -1 +1,24 @@
-"""Queries."""
+"""Queries that run streams over the tables to their end."""
+
+from __future__ import annotations
+
+from ..streaming import stream as st
+from .registry import query
+from .scans import _TEXT, R, W, scan_sql
+
+
+@query("k1_stream_rule_scan", W + _TEXT + " " + scan_sql(R.RULES, "text_lines"))
+def k1(spark, d):
+    return st.run_to_table(st.scan_documents(st.source(spark, f"{d}/documents.parquet")), "stream-scan")
+
+
+@query("k2_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def k2(spark, d):
+    """A bound that covers the whole table, so that the result is known: each key once."""
+    events = st.source(spark, f"{d}/events.parquet").select("ts", "user_id", "event_type")
+    return st.run_to_table(st.dedupe(events, ["user_id", "event_type"], "36500 days"), "stream-dedupe").select("user_id", "event_type")
+
+
+@query("k3_stream_counts", "SELECT hour, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS hour, event_type FROM events) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY hour, event_type")
+def k3(spark, d):
+    return st.run_to_table(st.counts_by_hour(st.source(spark, f"{d}/events.parquet"), "event_type"), "stream-counts")
