@@ -61,7 +61,7 @@ RULES = [
     Rule("placeholder_unsupported_java", r"throw\s+new\s+UnsupportedOperationException\s*\(", "high", language="java", exclude=("*Test.java", "**/test/**")),
     Rule("empty_catch_js", r"catch\s*\([^)]*\)\s*\{\s*\}", "high", "add_logging", "javascript"),
     Rule("empty_except_py", r"except\s*[^:]*:\s*pass\s*$", "high", "add_logging", "python"),
-    Rule("magic_numbers", r"[2-9][0-9]{1,2}", part=r"[#$\w]+", reject=r"^(?:[^2-9].*|.|[2-9][0-9]{1,2}[a-zA-Z_0-9].*|[2-9][a-zA-Z_#$].*|(?:200|201|204|400|401|403|404|500|502|503)(?:[#$].*)?)$", exclude=(*TEST_JS, "*.config.*")),
+    Rule("magic_numbers", r"[2-9][0-9]{1,2}", part=r"[#$\w]+", reject=r"^(?:[^2-9].*|.|[2-9][0-9]{3,}.*|[2-9][0-9]{1,2}[a-zA-Z_].*|[2-9][a-zA-Z_#$].*|(?:200|201|204|400|401|403|404|500|502|503)(?:[#$].*)?)$", exclude=(*TEST_JS, "*.config.*")),
     Rule("disabled_linter", r"(eslint-disable|pylint: disable|#\s*noqa|@SuppressWarnings|#\[allow\()", exclude=(*TEST_JS, "**/tests/**", "**/test/**")),
     Rule("unused_imports_hint", r"^import .* from .* // unused$", fix="remove"),
     Rule("mixed_indentation", r"^\t+ +|^ +\t+", fix="replace", exclude=("Makefile", "*.mk")),
