@@ -31,12 +31,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import bucket_count, pieces, stored
 
 #: A chunk has 2**CHUNK_BITS characters on average; the rolling hash sees ROLL of them.
-CHUNK_BITS, ROLL = 10, 16
+CHUNK_BITS, ROLL = 11, 16
 WHITE = " \t\n\r\x0b\x0c"
 #: Distinct words that a Python worker remembers.
-CACHE_WORDS = 1_500_000
-PLAIN = re.compile(r"[^\W\d_]+")
-TAIL = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+CACHE_WORDS = 500_000
+TAIL = ".,;:!?"
 MARKS = re.compile("[̀-\U0010ffff]|<\\|")
 
 
@@ -77,16 +76,20 @@ class WordEncoder:
             return
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {w: self.known[w] for w in words - new}
-        letters, tails, others = set(), [], []
+        need, tails, others = set(), [], []
         for w in new:
+            if w.isalpha():
+                need.add(w.decode())
+                continue
             t = w.decode("utf-8", "surrogatepass")
-            if PLAIN.fullmatch(t):
-                letters.add(t)
-            elif m := TAIL.fullmatch(t):
-                tails.append((w, m[1], m[2]))
-            else:
+            stem = t.rstrip(TAIL)
+            if not stem.isalpha():
                 others.append(t)
-        need = {x for _, a, b in tails for x in (a, b)} | letters
+            elif stem == t:
+                need.add(t)
+            else:
+                tails.append((w, stem, t[len(stem) :]))
+                need |= {stem, t[len(stem) :]}
         self._letters([t for t in need if t.encode("utf-8", "surrogatepass") not in self.known])
         for w, a, b in tails:
             self.known[w] = self.known[a.encode("utf-8", "surrogatepass")] + self.known[b.encode("utf-8", "surrogatepass")]
