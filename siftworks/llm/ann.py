@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, stored
 
-TABLES, HASHES, PROBES, SALTS, SEED = 14, 1, 6, 2, 20240229
+TABLES, HASHES, PROBES, SALTS, SEED = 16, 1, 8, 2, 20240229
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     v, q = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     home = hashed(v, 1).withColumn("salt", salt)
-    probe = hashed(q, PROBES).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    probe = hashed(q, PROBES).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     key = ["table", "bucket", "salt"]
     pairs = probe.groupBy(*key).cogroup(home.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
     met = stored(pairs.distinct(), "candidates")
