@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import kept, pieces, stored
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
+#: At a similarity of 0.8 a pair shares no band in 3 of a million cases.
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 #: Coordinates of the sketches of open buckets, and the share below the threshold at which a pair is out of
 #: reach: four standard deviations.
-WIDE, MARGIN, BLOCK = 1024, 0.05, 2048
+WIDE, MARGIN, BLOCK = 512, 0.07, 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -235,7 +236,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     more = more.filter(F.coalesce("root", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = kept(links.unionByName(verified(more, texts, weights, threshold)))
     roots = components(links)
-    near = stored(reachable(buckets, roots, texts, weights, threshold), "near")
+    near = stored(reachable(buckets, roots, nodes, texts, weights, threshold), "near")
     rest = near.join(best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     found = kept(verified(rest, texts, weights, threshold))
     if not found.isEmpty():
@@ -255,8 +256,11 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), b.column("text")], names=["node", "text"])
 
 
-def reachable(buckets: DataFrame, roots: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes whose wide sketches come within MARGIN of the threshold."""
+def reachable(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket but different classes whose wide sketches come within MARGIN of the threshold.
+
+    A pair that shares several buckets comes out of the first of them only.
+    """
     open_ = buckets.select("band", "key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = open_.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("band", "key")
     open_ = stored(open_.join(several, ["band", "key"]), "open")
@@ -265,9 +269,11 @@ def reachable(buckets: DataFrame, roots: DataFrame, texts: DataFrame, weights: s
         for b in (part for batch in batches for part in pieces(batch)):
             g, own, count = shingles(b.column("text").to_pylist())
             sig = dart_signatures(g, own, count if weights == "count" else np.ones(len(g)), b.num_rows, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary())], names=["node", "sketch"])
+            keys = b.column("bands").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.uint32)
+            rows = np.concatenate([sig.astype(np.uint8), keys.view(np.uint8)], 1)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in rows], pa.binary())], names=["node", "sketch"])
 
-    wide = texts.join(open_.select("node").distinct(), "node").mapInArrow(sketches, "node binary, sketch binary")
+    wide = texts.join(open_.select("node").distinct(), "node").join(nodes, "node").mapInArrow(sketches, "node binary, sketch binary")
     # Each pair of blocks of a bucket is one group; a bucket of up to BLOCK members is one block.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = open_.join(wide, "node").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -275,7 +281,8 @@ def reachable(buckets: DataFrame, roots: DataFrame, texts: DataFrame, weights: s
     dealt = dealt.withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with")})
 
     def judge(t: pa.Table) -> pa.Table:
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        row = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        sketch, keys, band = row[:, :WIDE], row[:, WIDE:].copy().view(np.uint32), t.column("band")[0].as_py()
         names, root = t.column("node").to_pylist(), t.column("root").dictionary_encode().combine_chunks().indices.to_numpy()
         mine, cross = t.column("mine").to_numpy(), t.column("i")[0].as_py() != t.column("j")[0].as_py()
         one, two = [], []
@@ -283,6 +290,7 @@ def reachable(buckets: DataFrame, roots: DataFrame, texts: DataFrame, weights: s
             at = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
             if cross:
                 at = at[mine[at] != mine[x]]
+            at = at[(keys[at] == keys[x]).argmax(1) == band] if len(at) else at
             at = at[(sketch[at] == sketch[x]).mean(1) >= threshold - MARGIN] if len(at) else at
             one += [max(names[x], names[y]) for y in at]
             two += [min(names[x], names[y]) for y in at]
