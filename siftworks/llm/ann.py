@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         blocks = few.count() // 1000 + 1
         for b in range(blocks):
             some = few.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-            spread = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+            spread = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
             met = met.unionByName(spread.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(_best(k), "query_id long, vec_id long, score double"))
         met = met.distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

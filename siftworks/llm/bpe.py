@@ -211,17 +211,17 @@ def chunk_counts(dealt: DataFrame) -> DataFrame:
     def make(batches):
         for b in (part for batch in batches for part in pieces(batch)):
             counts: dict[tuple[bytes, int], int] = {}
-            for t, k in zip(b.column("text").to_pylist(), b.column("bucket").to_pylist(), strict=True):
+            for t, k in zip(b.column("text").to_pylist(), b.column("_bucket").to_pylist(), strict=True):
                 for c in chunks(t):
                     key = (digest(c), k)
                     counts[key] = counts.get(key, 0) + 1
             if counts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in counts], pa.binary()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                    names=["digest", "bucket", "n"],
+                    names=["digest", "_bucket", "n"],
                 )
 
-    return dealt.select("text", "bucket").mapInArrow(make, "digest binary, bucket long, n long")
+    return dealt.select("text", "_bucket").mapInArrow(make, "digest binary, _bucket long, n long")
 
 
 def _encode_owned(path: str):
@@ -289,16 +289,16 @@ def encode_documents(docs: DataFrame, path: str, results: tuple[str, ...] = ("id
     """
     docs = docs.drop(*RESULTS)
     n = bucket_count(docs)
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    per = chunk_counts(dealt).groupBy("digest", "bucket").agg(F.sum("n").alias("n"))
+    dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    per = chunk_counts(dealt).groupBy("digest", "_bucket").agg(F.sum("n").alias("n"))
     of = Window.partitionBy("digest")  # as many rows as buckets at most
-    per = per.withColumns({"total": F.sum("n").over(of), "owner": F.min("bucket").over(of)}).filter("total > 1")
-    needed = stored(per.select("digest", "bucket", "owner"), "chunks")
-    owned = needed.filter("bucket = owner").select("digest", "bucket")
+    per = per.withColumns({"total": F.sum("n").over(of), "owner": F.min("_bucket").over(of)}).filter("total > 1")
+    needed = stored(per.select("digest", "_bucket", "owner"), "chunks")
+    owned = needed.filter("_bucket = owner").select("digest", "_bucket")
     # Both passes read the same columns, so that the documents are dealt out once.
-    once = dealt.groupBy("bucket").cogroup(owned.groupBy("bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
-    shared = needed.select("digest", "bucket").join(once, "digest")
-    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "bucket")])
+    once = dealt.groupBy("_bucket").cogroup(owned.groupBy("_bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
+    shared = needed.select("digest", "_bucket").join(once, "digest")
+    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "_bucket")])
     for name in results:
         schema = schema.add(name, RESULTS[name])
-    return dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_assemble(path, to_arrow_schema(schema)), schema)
+    return dealt.groupBy("_bucket").cogroup(shared.groupBy("_bucket")).applyInArrow(_assemble(path, to_arrow_schema(schema)), schema)

@@ -51,6 +51,8 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     if full.any():
         for c in range(len(CLASSES)):
             share[full, c] = np.add.reduceat(TABLE[c][raw], begin[full]) / size[full]
+    if not lines:
+        return np.zeros((0, 3 * (len(CLASSES) + 7) + 2)), size.astype(np.float64), np.zeros(0, np.int64)
     w = np.array(words, np.float64).reshape(len(lines), 4)
     n = np.maximum(w[:, 0], 1)
     own_ = np.column_stack([share, np.log1p(size), w[:, 1] / n, w[:, 2] / n, w[:, 3], size / n / 10, w[:, 0] == 0, w[:, 1] / np.maximum(w[:, 0], 1) < 0.5])

@@ -113,8 +113,8 @@ class Batch:
 
 def _counted(columns: list[np.ndarray], names: list[str], bucket: np.ndarray) -> pa.RecordBatch:
     """Rows (columns, bucket, n) of distinct values."""
-    keys = pa.table([pa.array(c.view(np.int64)) for c in columns] + [pa.array(bucket)], names=[*names, "bucket"])
-    out = keys.group_by([*names, "bucket"]).aggregate([([], "count_all")]).rename_columns([*names, "bucket", "n"])
+    keys = pa.table([pa.array(c.view(np.int64)) for c in columns] + [pa.array(bucket)], names=[*names, "_bucket"])
+    out = keys.group_by([*names, "_bucket"]).aggregate([([], "count_all")]).rename_columns([*names, "_bucket", "n"])
     return out.combine_chunks().to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], out.schema)
 
 
@@ -123,13 +123,13 @@ def fingerprints(dealt: DataFrame, window: int) -> DataFrame:
 
     def make(batches):
         for b in (part for batch in batches for part in pieces(batch)):
-            buckets = b.column("bucket").to_numpy()
+            buckets = b.column("_bucket").to_numpy()
             x = Batch(b.column("text").to_pylist(), window)
             fp, run, begin, _ = x.runs(window)
             if len(fp):
                 yield _counted([fp, run], ["fp", "run"], buckets[np.searchsorted(x.begins, begin, "right") - 1])
 
-    return dealt.select("text", "bucket").mapInArrow(make, "fp long, run long, bucket long, n long")
+    return dealt.select("text", "_bucket").mapInArrow(make, "fp long, run long, _bucket long, n long")
 
 
 def recurring_runs(counted: DataFrame) -> DataFrame:
@@ -137,18 +137,18 @@ def recurring_runs(counted: DataFrame) -> DataFrame:
 
     whole: the run recurs. weight: 0, or what each of its windows counts for (one bucket speaks for a run).
     """
-    per = counted.groupBy("fp", "run", "bucket").agg(F.sum("n").alias("n"))
+    per = counted.groupBy("fp", "run", "_bucket").agg(F.sum("n").alias("n"))
     of_fp, of_run = Window.partitionBy("fp"), Window.partitionBy("fp", "run")
     per = per.withColumns({"n_fp": F.sum("n").over(of_fp), "one": F.min("run").over(of_fp), "two": F.max("run").over(of_fp)}).filter("n_fp > 1")
-    per = per.withColumns({"n_run": F.sum("n").over(of_run), "speaker": F.min("bucket").over(of_run)})
-    weight = F.when((F.col("one") != F.col("two")) & (F.col("bucket") == F.col("speaker")), F.least("n_run", F.lit(2))).otherwise(0)
-    return per.select("fp", "run", "bucket", (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
+    per = per.withColumns({"n_run": F.sum("n").over(of_run), "speaker": F.min("_bucket").over(of_run)})
+    weight = F.when((F.col("one") != F.col("two")) & (F.col("_bucket") == F.col("speaker")), F.least("n_run", F.lit(2))).otherwise(0)
+    return per.select("fp", "run", "_bucket", (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
 
 
 def recurring_windows(found: DataFrame) -> DataFrame:
     """(h1, h2, bucket) of windows that start twice or more, for the buckets that ask."""
     total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    return found.withColumn("total", total).filter("total > 1 AND asks").select("h1", "h2", "bucket").distinct()
+    return found.withColumn("total", total).filter("total > 1 AND asks").select("h1", "h2", "_bucket").distinct()
 
 
 def _key(fp: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _candidates(window: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("asks", pa.bool_())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("_bucket", pa.int64()), ("n", pa.int64()), ("asks", pa.bool_())])
 
     def make(docs: pa.Table, runs: pa.Table) -> pa.Table:
         if not runs.num_rows or not docs.num_rows:
@@ -193,7 +193,7 @@ def _candidates(window: int):
         row = row[known.weight[row] > 0]
         at = _spread(begin[hit], n[hit])
         one, two = (_sums(x.hashes, window, b)[at].view(np.int64) for b in BASES[:2])
-        bucket = np.full(len(at), docs.column("bucket")[0].as_py(), np.int64)
+        bucket = np.full(len(at), docs.column("_bucket")[0].as_py(), np.int64)
         return pa.table([pa.array(c) for c in (one, two, bucket, np.repeat(known.weight[row], n[hit]), np.repeat(~known.whole[row], n[hit]))], schema=schema)
 
     return make
@@ -274,13 +274,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
     n = bucket_count(docs)
     names = [c for c in docs.columns if with_text or c in ("doc_id", "text")]
-    dealt = docs.select(*names).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    dealt = docs.select(*names).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     runs = stored(recurring_runs(fingerprints(dealt, window)), "runs")
     # Both passes read the same columns, so that the documents are dealt out once.
-    found = dealt.groupBy("bucket").cogroup(runs.filter("weight > 0").groupBy("bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, bucket long, n long, asks boolean")
+    found = dealt.groupBy("_bucket").cogroup(runs.filter("weight > 0").groupBy("_bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, _bucket long, n long, asks boolean")
     passages = runs.unionByName(recurring_windows(found), allowMissingColumns=True)
-    kept = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "bucket") or (with_text and f.name == "text")])
+    kept = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "_bucket") or (with_text and f.name == "text")])
     kept = kept.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         kept = kept.add("kept_text", "string")
-    return dealt.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(_locate(window, to_arrow_schema(kept)), kept)
+    return dealt.groupBy("_bucket").cogroup(passages.groupBy("_bucket")).applyInArrow(_locate(window, to_arrow_schema(kept)), kept)
