@@ -71,7 +71,7 @@ def compact_summary(items: DataFrame, key: str, order: list[str], most: int) ->
     """
     shown = items.orderBy(*order).limit(most).groupBy(key).agg(F.count("*").alias("n"))
     total = items.agg(F.count("*").alias("total"))
-    return shown.crossJoin(F.broadcast(total)).withColumns({"showing": F.least("total", F.lit(most).cast("bigint")), "truncated": F.col("total") > most})
+    return shown.withColumn("total", total.scalar()).withColumns({"showing": F.least("total", F.lit(most).cast("bigint")), "truncated": F.col("total") > most})
 
 
 def fp_rate(findings: DataFrame, labels: DataFrame) -> DataFrame:

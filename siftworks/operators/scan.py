@@ -47,7 +47,7 @@ def ignore_regex(glob: Column) -> Column:
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drops ignored paths. rules: (repo, seq, glob) in order; the last one that matches wins, `!` takes back."""
-    globs = F.broadcast(rules.select("repo", "seq", F.col("glob").startswith("!").alias("back"), ignore_regex(F.col("glob")).alias("rx")))
+    globs = rules.select("repo", "seq", F.col("glob").startswith("!").alias("back"), ignore_regex(F.col("glob")).alias("rx"))
     hit = files.select("repo", "path").distinct().join(globs, "repo").filter(F.expr("path rlike rx"))
     ignored = hit.groupBy("repo", "path").agg(F.max_by(~F.col("back"), "seq").alias("ignored")).filter("ignored")
     return files.join(ignored.select("repo", "path"), ["repo", "path"], "left_anti")

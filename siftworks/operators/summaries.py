@@ -135,7 +135,7 @@ def repo_health(files: DataFrame) -> DataFrame:
 def stack_tags(manifests: DataFrame, tags: DataFrame) -> DataFrame:
     """Frameworks and test framework of repos. manifests: (repo, json) with a dependency map; tags: (dep, tag, seq)."""
     deps = manifests.select("repo", F.explode(F.map_keys(F.from_json("json", "map<string,string>"))).alias("dep"))
-    return deps.join(F.broadcast(tags), "dep").groupBy("repo").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.min_by("tag", "seq").alias("primary"))
+    return deps.join(tags, "dep").groupBy("repo").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.min_by("tag", "seq").alias("primary"))
 
 
 def implemented_features(files: DataFrame) -> DataFrame:

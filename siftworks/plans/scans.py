@@ -65,8 +65,8 @@ _IGNORED = ", ".join(f"CASE WHEN regexp_matches(path, {q(rx)}) THEN {i * 2 + (no
 @query("a5_apply_ignore_rules", W + T.FILES + f" SELECT doc_id, path FROM code_files WHERE greatest({_IGNORED}) % 2 = 0")
 def a5(spark, d):
     files = T.code_files(spark, d)
-    globs = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(IGNORES)], "seq int, glob string")
-    rules = files.select("repo").distinct().join(F.broadcast(globs))
+    globs = F.posexplode(F.array(*[F.lit(g) for g, _ in IGNORES]))
+    rules = files.select("repo").distinct().select("repo", globs.alias("seq", "glob"))
     return scan.apply_ignore_rules(files, rules).select("doc_id", "path")
 
 
