@@ -33,7 +33,7 @@ def scan_sql(rules: list[R.Rule], source: str = "code_lines", lines: str = "") -
 FINDINGS = f"findings AS ({scan_sql(R.RULES)})"
 
 
-@query("a1_scan_files")
+@query("a1_scan_files", W + T.FILES + r" SELECT repo || '/' || path AS path, regexp_extract(path, '\.([^./]*)$', 1) AS language, length(content) AS size, len(string_split(content, chr(10))) AS n_lines FROM code_files WHERE lang <> 'markdown'")
 def a1(spark, d):
     """Sources written as files and read whole, with their language."""
     folder = io.write_files(T.code_files(spark, d).filter("lang <> 'markdown'"))

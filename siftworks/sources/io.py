@@ -21,21 +21,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+#: Ends each file in a text part.
+FILE_END = "\n--END-OF-FILE--\n"
+
+
 def write_files(files: DataFrame) -> str:
-    """Sources as text parts: a header line `FILE:<repo>/<path>` and then the lines."""
+    """Sources as text parts: `<repo>/<path>`, the lines, and FILE_END."""
     folder = new_folder(files.sparkSession, "files")
-    text = F.concat(F.lit("FILE:"), "repo", F.lit("/"), "path", F.lit("\n"), "content")
-    files.select(text.alias("value")).write.text(folder)
+    files.select(F.concat("repo", F.lit("/"), "path", F.lit("\n"), "content").alias("value")).write.option("lineSep", FILE_END).text(folder)
     return folder
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, language, size, n_lines) of source files in a folder of text parts, by any depth."""
-    parts = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\nFILE:").text(folder)
-    value = F.regexp_replace("value", "^FILE:", "")
-    path = F.regexp_extract(value, r"^([^\n]*)", 1)
-    content = F.regexp_replace(value, r"^[^\n]*\n?", "")
-    return parts.select(path.alias("path"), F.regexp_extract(path, r"\.([^./]*)$", 1).alias("language"), F.length(content).cast("bigint").alias("size"), F.size(F.split(content, "\n")).alias("n_lines"))
+    """(path, language, size, n_lines) of the source files in a folder of text parts, at any depth."""
+    parts = spark.read.option("recursiveFileLookup", "true").option("lineSep", FILE_END).text(folder)
+    at = F.instr("value", "\n")
+    path, content = F.substring("value", F.lit(1), at - 1), F.substring("value", at + 1, F.length("value"))
+    return parts.select(path.alias("path"), F.regexp_extract(path, r"\.([^./]*)$", 1).alias("language"), F.length(content).cast("bigint").alias("size"), F.size(F.split(content, "\n")).cast("bigint").alias("n_lines"))
 
 
 def write_commit_log(commit_files: DataFrame) -> str:
