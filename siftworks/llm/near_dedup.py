@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, pieces, stored
+from .common import discard, kept, pieces, stored
 
 #: At a similarity of 0.8 a pair shares no band in 3 of a million cases.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -207,7 +207,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = kept(small.filter("a <> b").distinct())
+        now, old = kept(small.filter("a <> b").distinct()), now
+        discard(old)
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
@@ -217,15 +218,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     """
     sigs = stored(signatures(docs, weights), "signatures")
     nodes = sigs.groupBy("node").agg(F.min("bands").alias("bands"))
-    rows = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = stored(rows.join(sizes, ["band", "key"]), "shared-bands")
+    every = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
+    sizes = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(every.join(sizes, ["band", "key"]), "shared-bands")
+    discard(every)
+    rows = shared
     member = stored(rows.groupBy("node").agg(F.sum("n").alias("meets")), "members")
     texts = docs.select("text").filter("text IS NOT NULL").mapInArrow(_named, "node binary, text string")
     texts = stored(texts.join(member.select("node"), "node").dropDuplicates(["node"]), "texts")
     rows = rows.join(member, "node")
     centres = rows.groupBy("band", "key").agg(F.max(F.struct("meets", "node")).alias("centre"))
     buckets = stored(rows.join(centres, ["band", "key"]).select("band", "key", "n", "node", "centre"), "buckets")
+    discard(shared, member)
     outer = buckets.filter("centre.node <> node")
     best = outer.groupBy("node").agg(F.max("centre").alias("c")).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
     links = kept(verified(best, texts, weights, threshold))
@@ -242,6 +246,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     if not found.isEmpty():
         links = kept(links.unionByName(found))
         roots = components(links)
+    discard(texts, buckets, near)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = sigs.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
