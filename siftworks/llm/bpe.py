@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,16 @@ WHITE = " \t\n\r\x0b\x0c"
 #: Distinct words that a Python worker remembers.
 CACHE_WORDS = 500_000
 TAIL = ".,;:!?"
-MARKS = re.compile("[̀-\U0010ffff]|<\\|")
+MARKS = re.compile("[\u0300-\U0010ffff]")
+
+
+def _composed(text: str) -> bool:
+    """No character of the text can combine with a letter before it."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return MARKS.search(text) is None
+    return True
 
 
 class WordEncoder:
@@ -44,9 +54,11 @@ class WordEncoder:
 
     _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -55,68 +67,71 @@ class WordEncoder:
             raise ValueError("ids of more than 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The one of this worker."""
+    def of(cls, path: str, most: int = CACHE_WORDS) -> WordEncoder:
+        """The one of this worker, which remembers `most` words."""
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            cls._made[path] = cls(path, most)
         return cls._made[path]
 
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        """A-Z is lowered first where that can't matter to composition or to added tokens."""
-        raw = text.encode("utf-8", "surrogatepass")
-        return (raw if MARKS.search(text) else raw.lower()).split()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = words - self.known.keys()
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that aren't known; if there are too many then, only `words` stay."""
+        known = self.known
+        new = [w for w in words if w not in known]
         if not new:
             return
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words - new}
+        if len(known) + len(new) > self.most:
+            self.known = known = {w: known[w] for w in ["", *words] if w in known}
         need, tails, others = set(), [], []
         for w in new:
-            if w.isalpha():
-                need.add(w.decode())
-                continue
-            t = w.decode("utf-8", "surrogatepass")
-            stem = t.rstrip(TAIL)
+            stem = w.rstrip(TAIL)
             if not stem.isalpha():
-                others.append(t)
-            elif stem == t:
-                need.add(t)
+                others.append(w)
+            elif len(stem) == len(w):
+                need.add(w)
             else:
-                tails.append((w, stem, t[len(stem) :]))
-                need |= {stem, t[len(stem) :]}
-        self._letters([t for t in need if t.encode("utf-8", "surrogatepass") not in self.known])
+                tails.append((w, stem, w[len(stem) :]))
+                need |= {stem, w[len(stem) :]}
+        self._letters([w for w in need if w not in known])
         for w, a, b in tails:
-            self.known[w] = self.known[a.encode("utf-8", "surrogatepass")] + self.known[b.encode("utf-8", "surrogatepass")]
-        for t, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[t.encode("utf-8", "surrogatepass")] = np.array(e.ids, "<u2").tobytes()
+            known[w] = known[a] + known[b]
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u2").tobytes()
 
-    def _letters(self, texts: list[str]) -> None:
+    def _letters(self, words: list[str]) -> None:
         """Words of letters, or of marks, only: one pre-token each, so its end shows in the ids."""
-        for i in range(0, len(texts), 2000):
-            part = texts[i : i + 2000]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, last = ids.tobytes(), 0
-                for t, c in zip(part, cuts.tolist(), strict=True):
-                    self.known[t.encode("utf-8", "surrogatepass")] = raw[2 * last : 2 * c]
-                    last = c
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(2 * ends).tolist()]
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
             else:
-                for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[t.encode("utf-8", "surrogatepass")] = np.array(e.ids, "<u2").tobytes()
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.known[w] = np.array(e.ids, "<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text."""
-        split = [self.words(t or "") for t in texts]
-        self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        """Ids of each text. A-Z is lowered first where that can't matter to composition or to added tokens."""
+        texts = ["" if t is None else t for t in texts]
+        if not texts:
+            return []
+        column = pa.array(texts, pa.string())
+        lower = pa.array(["<|" not in t and _composed(t) for t in texts])
+        split = pc.ascii_split_whitespace(pc.if_else(lower, pc.ascii_lower(column), column))
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        self.learn(words)
+        found = list(map(self.known.__getitem__, words))
+        pool, size = np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
+        n = size[codes]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        begin = (np.cumsum(size) - size)[codes] - ends[:-1]
+        ids = pool[np.repeat(begin, n) + np.arange(int(ends[-1]))].tobytes() if len(codes) else b""
+        at = (2 * ends[split.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def cuts(text: str) -> list[int]:

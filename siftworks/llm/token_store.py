@@ -29,6 +29,8 @@ from .common import bucket_count, pieces, shared_folder, stored
 
 SCALE, BLOCK, LANES, EVERY, END = 20, 1 << 19, 4096, 64, 1
 LOW = 1 << 31
+#: Distinct words that a Python worker remembers here; a task holds little else.
+CACHE_WORDS = 1_500_000
 RAW = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
 FILE = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary, states binary, places array<long>, crc long"
 
@@ -102,7 +104,7 @@ def raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def make(batches):
-        encoder, part, block, start = WordEncoder.of(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, block, start = WordEncoder.of(path, CACHE_WORDS), TaskContext.get().partitionId(), 0, 0
         end = np.array([END], "<u2").tobytes()
         names, sizes, held, n = [], [], [], 0
 
