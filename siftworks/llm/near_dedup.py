@@ -72,6 +72,8 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return g[first], own[first], np.diff(np.append(first, len(g)))
 
 
+#: Digests (16 bytes each) of texts that share a bucket are broadcast up to so many, else the texts are shuffled.
+MAX_BROADCAST_ROWS = 500_000
 #: Darts in memory at once.
 DARTS = 1_500_000
 
@@ -225,7 +227,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
     rows = shared
     member = stored(rows.groupBy("node").agg(F.sum("n").alias("meets")), "members")
     texts = docs.select("text").filter("text IS NOT NULL").mapInArrow(_named, "node binary, text string")
-    texts = stored(texts.join(member.select("node"), "node").dropDuplicates(["node"]), "texts")
+    names = member.select("node")
+    texts = texts.join(F.broadcast(names) if names.count() <= MAX_BROADCAST_ROWS else names, "node")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
     rows = rows.join(member, "node")
     centres = rows.groupBy("band", "key").agg(F.max(F.struct("meets", "node")).alias("centre"))
     buckets = stored(rows.join(centres, ["band", "key"]).select("band", "key", "n", "node", "centre"), "buckets")
