@@ -3,10 +3,14 @@
 A rule fires on a line that its pattern matches. Where the meaning needs a condition on what was matched,
 `part` takes the pieces (group `group` of that pattern) and at least one must not match `reject`; so no
 pattern needs look-around and both engines agree.
+
+Java's engine backtracks: where a pattern would take quadratic time on a long line, LINEAR holds a form of it
+that hits the same lines in linear time, so that lines of any length are judged. SQL has the pattern itself.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -29,7 +33,7 @@ class Rule:
     reject: str | None = None
 
     def fires(self, line: Column) -> Column:
-        hit = line.rlike(self.pattern)
+        hit = line.rlike(LINEAR.get(self.pattern, self.pattern))
         if self.part:
             hit = hit & F.exists(F.regexp_extract_all(line, F.lit(self.part), F.lit(self.group)), lambda x: ~x.rlike(self.reject))
         return hit
@@ -102,6 +106,45 @@ SECURITY = [
     Rule("inline_secret", _SECRET, "high", part=_SECRET, group=3, reject=r"^(?:\$\{|\{\{|<[A-Z_]|[x*#]{8}|[X*#]{8}|(?i:test|mock|dummy))"),
     Rule("dynamic_eval", r"\beval\s*\(|new\s+Function\s*\(", "high"),
 ]
+
+
+def _then(head: str, tail: str) -> str:
+    r"""`head.*tail`, tried from the first head after each line terminator only; heads that span a \r are tried by themselves."""
+    parts = re.split(r"(\\s[*+])", head)
+    over = [rf"{''.join([*parts[:i], r'[^\S\r]*+\r\s*+', *parts[i + 1 :]])}.*{tail}" for i in range(1, len(parts), 2)]
+    return "|".join([rf"(?m:^)(?>.*?{head}).*{tail}", *over])
+
+
+def _within(stop: str, head: str, tail: str) -> str:
+    """`head` and then `tail`, tried from the first head of each stretch without the character `stop` only; heads hold no `stop`."""
+    return rf"(?<![^{stop}])(?>[^{stop}]*?{head}){tail}"
+
+
+_BOOL = "(?:true|false)"
+_BOOLS = rf"{_BOOL}\s*,\s*{_BOOL}\s*,\s*{_BOOL}"
+#: Equal forms without backtracking, by rule.
+_LINEAR = {
+    "placeholder_text": "(?i)" + _then("(?://|/\\*|#|[\"'`])", r"\b(?:lorem ipsum|test test test|asdf asdf|foo bar baz|replace (?:this|me)|todo:?\s+implement|this is a placeholder)"),
+    "placeholder_not_implemented_js": "(?i)" + _then(r"throw\s+new\s+Error\s*\(\s*['\"`]", r"(?:TODO|implement|not\s+impl)"),
+    "placeholder_empty_function_js": _within(")", r"function\s+\w+\s*\(", r"[^)]*+\)\s*\{\s*\}") + r"|=>\s*\{\s*\}",
+    "placeholder_panic_todo_rust": "(?i)" + _then(r"\bpanic!\s*\(\s*[\"']", "(?:TODO|implement)"),
+    "placeholder_pass_only_py": _within(")", r"def\s+\w+\s*\(", r"[^)]*+\)\s*:\s*pass\s*$"),
+    "placeholder_ellipsis_py": _within(")", r"def\s+\w+\s*\(", r"[^)]*+\)\s*:\s*\.\.\.\s*$"),
+    "placeholder_panic_go": "(?i)" + _then(r"panic\s*\(\s*[\"']", r"(?:TODO|implement|not\s+impl)"),
+    "empty_catch_js": _within(")", r"catch\s*\(", r"[^)]*+\)\s*\{\s*\}"),
+    "empty_except_py": _within(":", "except", r"[^:]*+:\s*pass\s*$"),
+    "unused_imports_hint": r"^import (?>.*? from ).* // unused$",
+    "trailing_whitespace": r"\s$",
+    "jwt_tokens": r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10}",
+    "issue_pr_references": "(?i)" + _then("//", r"(?:#\d+|issue\s+#?\d+|PR\s+#?\d+|pull\s+request\s+#?\d+|fixed\s+in\s+#?\d+|closes?\s+#?\d+|resolves?\s+#?\d+|iteration\s+\d+)"),
+    "file_path_references": "(?i)" + _then("//", r"(?:see|refer\s+to|in|per|documented\s+in)\s+[a-zA-Z0-9_\-./]+\.(?:md|js|ts|json|yaml|yml|toml|txt)"),
+    "verbosity_hedging": "(?i)" + _then("//", r"\b(?:it'?s?\s+worth\s+noting|generally\s+speaking|more\s+or\s+less|arguably|perhaps|possibly|might\s+be|should\s+work|i\s+think|i\s+believe|probably|maybe)\b"),
+    "boolean_blindness": "(?i)" + _within(")", r"\w\s*\(", rf"(?>[^)]*?{_BOOLS})[^)]*+\)"),
+    "unused_params": _within(")", r"function\s+\w+\s*\(", r"(?>[^)]*?_\w)[^)]*+\)"),
+    "empty_interface": r"interface\s+\w+\s*\{\s*\}|" + _within(">", r"interface\s+\w+\s*<", r"[^>]*+>\s*\{\s*\}"),
+    "command_injection": "(?i)" + _within(")", r"(?:exec|system|spawn)\s*\(", r"[^)]*?(?:\$\{|\+|%s|f[\"'])") + "|" + _within(")", r"\$\(", r"[^)]*?\$ARGUMENTS"),
+}
+LINEAR = {r.pattern: _LINEAR[r.name] for r in [*RULES, *SECURITY] if r.name in _LINEAR}
 SEVERITIES, CERTAINTIES = ["critical", "high", "medium", "low"], ["HIGH", "MEDIUM", "LOW"]
 FIXES = ["remove", "replace", "add_logging", "flag", "none"]
 MAX_WILDCARDS = 10

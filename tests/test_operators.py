@@ -193,3 +193,32 @@ def test_broken_anchors_and_links(spark):
     files = spark.createDataFrame([("r", "src/a.js")], "repo string, path string")
     assert [r.slug for r in joins.broken_anchors(docs).collect()] == ["gone"]
     assert [r.target for r in joins.broken_links(docs, files).collect()] == ["src/b.js"]
+
+
+def test_long_lines_are_judged(spark):
+    secret = "x" * 50_000 + " ghp_" + "a" * 36 + " TODO: later " + "y" * 50_000
+    heads = ["'", "//", "throw new Error('", "function f(", "=>" + " " * 999, "panic!('", "def f(", "catch (", "except", "eyJ", "f(true,true,true", "interface A<", "exec(", "$(", "w", " ", "\r"]
+    files = {"long.txt": ("text", secret)}
+    for i, head in enumerate(heads):
+        for lang, ext in [("javascript", "js"), ("python", "py"), ("rust", "rs"), ("go", "go")]:
+            files[f"f{i}.{ext}"] = (lang, "import a from " + head * (300_000 // len(head)) + "end")
+    lines = lines_of(spark, files)
+    got = {(r.path, r.rule) for r in scan.rule_scan(lines).collect()}
+    assert {("long.txt", "github_tokens"), ("long.txt", "old_todos")} <= got
+    scan.security_scan(lines).collect()
+
+
+def test_linear_forms_equal_their_patterns(spark):
+    import random
+
+    rng = random.Random(5)
+    words = " |  |\r|\r |\t|)|(|{|}|{}|:|;|<|>|,|.|...|'|\"|`|//|/*|#|#12|x|_a|f|throw|new|Error|function|=>|panic!|panic|def|pass|catch|except|import | from | // unused|eyJ|eyJabcdefghij|abcdefghijk.|issue |PR |closes|see |in |a/b.md|true|false|interface|exec|system|$(|$ARGUMENTS|${|+|%s|TODO|todo:|implement|not impl|replace me|maybe|i think".split("|")
+    parts = [r"throw| new| |Error|(|'|\r|TODO| x", r"function f|()|(|)|{|}| |\r|_a|=>|<|>|interface A|x", r"panic!|panic|(|'|TODO| |\r|implement", r"def f|(|)|:|pass|...| |except|catch", r"f(|true|,| |)|false|\r", r"eyJ|abcdefghij|.|-| ", r"exec|(|)|+|$(|$ARGUMENTS|%s|f'| ", r"//|see|in| |a.md|#1|maybe|\r|'|todo: implement| issue 4", r"import a| from b|import | from | // unused|\r| ", r"interface A| |{|}|<|>", r"def f|(|)|:|pass", r"def f|(|)|:|...", r"eyJabcdefghij|.eyJ|.", r"except|:|pass", r"catch|(|)|{|}", r"f(|true|,|)", r"import a| from b| from c| // unused", r"panic!|(|'|TODO", r"throw new Error('|throw|\r|new\rError(| new Error|('|(\r'|TODO|x", r"function f|(|_a|)|{|}"]
+    pools = [words, *[p.replace("\\r", "\r").split("|") for p in parts]]
+    rows = [("".join(rng.choice(pool) for _ in range(rng.randint(1, 16))),) for pool in pools for _ in range(3000)]
+    df = spark.createDataFrame(rows, "line string")
+    differ = [F.sum((F.col("line").rlike(p) != F.col("line").rlike(x)).cast("int")).alias(f"d{i}") for i, (p, x) in enumerate(R.LINEAR.items())]
+    hits = [F.sum(F.col("line").rlike(p).cast("int")).alias(f"n{i}") for i, p in enumerate(R.LINEAR)]
+    got = df.agg(*differ, *hits).first().asDict()
+    assert {k: v for k, v in got.items() if k[0] == "d" and v != 0} == {}
+    assert [k for k, v in got.items() if k[0] == "n" and v == 0] == []
