@@ -6,9 +6,11 @@ Queries probe the home bucket and those next to it (the runner-up axes, by the s
 them). Candidates are joined by (table, bucket) and ranked again by the exact inner product of the original vectors in double
 precision. Where a query has found fewer than `k` candidates, it is compared with every vector, in blocks.
 
-HASHES is 1 for the sizes tested here (two buckets an axis); each further hash squares the number of buckets
-and suits a larger table. Vectors are shuffled once a table; a bucket's rows are spread over SALTS salts and the probes copied to
-each, so a bucket of many equal vectors isn't one task. Each task keeps the best `k` of a query before
+HASHES is 1 (two buckets an axis), the setting that moves the fewest probes; README has the recall and the share of
+vectors that a query meets. Vectors are shuffled once a table. Of equal vectors only the k + 1 least ids take part: no
+answer holds more of them. The rows of each bucket are counted, and a bucket with more than a block (BLOCK_VALUES
+components) is dealt by row hash over ceil(count / block) salts, its queries likewise; each block of vectors meets each
+block of queries, so no task holds more than about two blocks, whatever a bucket holds. Each task keeps the best `k` of a query before
 they meet. Vectors that are null, zero or hold null or non-finite components take no part. Repeated ids
 are vectors of their own; a query never meets rows of its own id. Extra columns are left out.
 """
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, stored
 
-TABLES, HASHES, PROBES, SALTS, SEED = 16, 1, 8, 2, 20240229
+TABLES, HASHES, PROBES, SEED = 16, 1, 8, 20240229
+#: Vector components that one block holds, and scores that are computed at a time.
+BLOCK_VALUES, BLOCK_SCORES = 4_000_000, 8_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,27 +84,50 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.filter(F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
 
 
+def least_of_equal(v: DataFrame, count: int) -> DataFrame:
+    """Distinct (id, vec), of each vector the `count` least ids; first within eight shares of the ids, so that no class meets in one task."""
+    shares = v.distinct().withColumn("share", F.pmod(F.xxhash64("id"), F.lit(8)))
+    for keys in (["vec", "share"], ["vec"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        shares = shares.withColumn("place", place).filter(F.col("place") <= count).drop("place")
+    return shares.select("id", "vec")
+
+
 def hashed(v: DataFrame, probes: int) -> DataFrame:
-    """(id, vec, table, bucket): one row a table and probe."""
+    """(id, vec, keys): the bucket of each table and probe, as one number."""
 
     def make(batches):
         for b in batches:
             x = _matrix(b.column("vec"))
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for t in range(TABLES):
-                keys = buckets(x, t, probes)
-                at = np.repeat(np.arange(len(x)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(at)), b.column("vec").take(pa.array(at)), pa.array(np.full(len(at), t)), pa.array(keys.reshape(-1))],
-                    names=["id", "vec", "table", "bucket"],
-                )
+            keys = np.concatenate([buckets(x, t, probes) * TABLES + t for t in range(TABLES)], 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), lists], names=["id", "vec", "keys"])
+
+    return v.mapInArrow(make, f"id long, vec {dict(v.dtypes)['vec']}, keys array<long>")
+
+
+def blocks_of(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """(key, name): the buckets with more rows than a block, and into how many blocks they are dealt."""
+    sizes = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / block).alias(name))
+    return F.broadcast(kept(sizes.filter(F.col(name) > 1)))
+
+
+def dealt(home: DataFrame, probe: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries as rows of (id, vec, key, salt, part): each block of a bucket's vectors meets each block of its queries once."""
+    salts, parts = blocks_of(home, block, "salts"), blocks_of(probe, block, "parts")
+
+    def rows(df: DataFrame, own: str, of: str, other: str, to: str) -> DataFrame:
+        each = df.select("id", "vec", F.xxhash64("id", "vec").alias("h"), F.explode("keys").alias("key")).join(salts, "key", "left").join(parts, "key", "left")
+        mine = F.pmod("h", F.coalesce(F.col(of), F.lit(1)))
+        return each.select("id", "vec", "key", mine.alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(to), F.lit(1)) - 1)).alias(other))
 
-    return v.mapInArrow(make, f"id long, vec {dict(v.dtypes)['vec']}, table long, bucket long")
+    return rows(home, "salt", "salts", "part", "parts"), rows(probe, "part", "parts", "salt", "salts").select("id", "vec", "key", "salt", "part")
 
 
 def _best(k: int):
-    """Of one (table, bucket, salt): the best k rows of each query, by blocks of queries."""
+    """Of one block of vectors and one of queries: the best k rows of each query, by blocks of queries."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def make(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -108,10 +135,10 @@ def _best(k: int):
             return schema.empty_table()
         q, x = _matrix(queries.column("vec")), _matrix(rows.column("vec"))
         qid, xid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-        out = []
-        for a in range(0, len(q), 256):
-            score = np.einsum("id,jd->ij", q[a : a + 256], x)
-            score[qid[a : a + 256, None] == xid[None, :]] = -np.inf
+        out, step = [], max(1, min(256, BLOCK_SCORES // len(x)))
+        for a in range(0, len(q), step):
+            score = np.einsum("id,jd->ij", q[a : a + step], x)
+            score[qid[a : a + step, None] == xid[None, :]] = -np.inf
             for i, s in enumerate(score):
                 at = np.lexsort((xid, -s))[:k] if len(s) <= 4 * k else _top(s, xid, k)
                 at = at[s[at] > -np.inf]
@@ -129,21 +156,23 @@ def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each query by inner product; ties to the smaller id."""
-    v, q = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    home = hashed(v, 1).withColumn("salt", salt)
-    probe = hashed(q, PROBES).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    key = ["table", "bucket", "salt"]
-    pairs = probe.groupBy(*key).cogroup(home.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+    v, q = least_of_equal(usable(vectors, id_col, vec_col), k + 1), usable(queries, id_col, vec_col).distinct()
+    home, probe = stored(hashed(v, 1), "vectors"), stored(hashed(q, PROBES), "probes")
+    v, q = home.select("id", "vec"), probe.select("id", "vec")
+    count, size = home.agg(F.count("*"), F.max(F.size("vec"))).first()
+    block = max(1, BLOCK_VALUES // (size or 1))
+    mine, theirs = dealt(home, probe, block)
+    key = ["key", "salt", "part"]
+    pairs = theirs.groupBy(*key).cogroup(mine.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
     met = stored(pairs.distinct(), "candidates")
     few = q.join(met.groupBy(F.col("query_id").alias("id")).agg(F.countDistinct("vec_id").alias("n")), "id", "left").filter(f"coalesce(n, 0) < {k}").select("id", "vec")
     few = kept(few)
     if not few.isEmpty():
-        n = 4 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        every = v.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)))
+        n = max(4 * int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // block))
+        every = v.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(n)))
         blocks = few.count() // 1000 + 1
         for b in range(blocks):
-            some = few.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+            some = few.filter(F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)) == b)
             spread = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
             met = met.unionByName(spread.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(_best(k), "query_id long, vec_id long, score double"))
         met = met.distinct()

@@ -308,6 +308,27 @@ def test_nearest_recall_and_order(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_nearest_groups_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[::3] = x[0]
+    x[1:450:3] = x[1] * (1 + 1e-3 * rng.normal(size=(150, 16)))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 16 * 40)
+    home = ann.hashed(ann.least_of_equal(ann.usable(df, "vec_id", "embedding"), 6), 1)
+    assert home.count() == 600 + 6
+    mine, theirs = ann.dealt(home, ann.hashed(ann.usable(df, "vec_id", "embedding"), ann.PROBES), 40)
+    for rows in (mine, theirs):
+        assert rows.groupBy("key", "salt", "part").count().agg(F.max("count")).first()[0] <= 80
+    assert mine.select("id", "key", "salt").distinct().count() == 16 * 606 and mine.filter("salt > 0").count() > 0
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 30 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i in range(0, 900, 30):
+        score = x.astype(np.float64) @ x[i].astype(np.float64)
+        assert got[i] == sorted((j for j in range(900) if j != i), key=lambda j: (-score[j], j))[:5]
+
+
 def test_few_vectors_find_all(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id = 20"), 20).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
