@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import new_folder
 from .blocks import significant
 from .scan import TEST_PATH
 
@@ -105,6 +106,51 @@ def import_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     return found
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written and read back, which cuts its lineage."""
+    folder = new_folder(df.sparkSession, "edges")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def import_components(edges: DataFrame) -> DataFrame:
+    """(file, component): every file on a circular import of any length, by the least file of its strongly connected component.
+
+    A round gives each file the least file that reaches it, and within files of one such label the least that it
+    reaches. Where both are the same file, that is its component; edges between open files of the same two labels go
+    into the next round, until none is left.
+    """
+    e = written(edges.filter("src <> dst").select("src", "dst").distinct())
+    found = edges.select(F.col("src").alias("file"), F.col("src").alias("component")).limit(0)
+    while not e.isEmpty():
+        ahead = _ends(e, _least_label(e, "src", "dst"), "f").filter("src_f = dst_f")
+        ahead = written(ahead.select("src", "dst", F.col("src_f").alias("f")))
+        least = _least_label(ahead, "dst", "src")
+        of = ahead.select(F.explode(F.array("src", "dst")).alias("node"), "f").distinct()
+        found = found.unionByName(written(of.join(least, "node").filter("label = f").select(F.col("node").alias("file"), F.col("f").alias("component"))))
+        e = written(_ends(ahead, least, "b").filter("src_b = dst_b and src_b <> f").select("src", "dst"))
+    many = found.groupBy("component").count().filter("count > 1").select("component")
+    return found.join(many, "component").select("file", "component")
+
+
+def _ends(e: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Edges with the labels of both ends, `src_name` and `dst_name`."""
+    for end in ("src", "dst"):
+        e = e.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_{name}")), end)
+    return e
+
+
+def _least_label(e: DataFrame, start: str, end: str) -> DataFrame:
+    """(node, label): the least node from which each node is reached along start -> end, by joins until nothing changes."""
+    labels = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(True).alias("new"))
+    step = e.select(F.col(start).alias("node"), F.col(end).alias("to"))
+    while not labels.filter("new").isEmpty():
+        sent = labels.filter("new").join(step, "node").select(F.col("to").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        met = labels.select("node", "label", F.col("label").alias("old")).unionByName(sent).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        labels = written(met.select("node", "label", (F.col("label") < F.col("old")).alias("new")))
+    return labels.select("node", "label")
+
+
 def duplicate_blocks(lines: DataFrame, size: int = 5) -> DataFrame:
     """Copied blocks of at least `size` significant lines: (path_a, from_a, path_b, from_b, n).
 

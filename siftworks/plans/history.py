@@ -58,10 +58,20 @@ _EDGES = "nodes AS (SELECT count(*) AS n FROM part), edges AS (SELECT p_partkey
    WHERE NOT done AND (e.dst = nodes[1] OR (e.dst > nodes[1] AND NOT list_contains(nodes, e.dst) AND len(nodes) < 6)))
  SELECT nodes AS cycle FROM p WHERE done""")
 def h6(spark, d):
+    return hi.import_cycles(import_edges(spark, d))
+
+
+def import_edges(spark, d):
     part = T.read(spark, d, "part").select("p_partkey")
     n = part.count()
-    edges = part.select(F.col("p_partkey").alias("src"), F.explode(F.array((3 * F.col("p_partkey") + 1) % n, (7 * F.col("p_partkey") + 2) % n)).alias("dst"))
-    return hi.import_cycles(edges)
+    return part.select(F.col("p_partkey").alias("src"), F.explode(F.array((3 * F.col("p_partkey") + 1) % n, (7 * F.col("p_partkey") + 2) % n)).alias("dst"))
+
+
+@query("h6_import_components", W.replace("WITH", "WITH RECURSIVE") + _EDGES + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+ r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+ SELECT a.src AS file, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+def h6_components(spark, d):
+    return hi.import_components(import_edges(spark, d))
 
 
 _SIG = r"trim(line, ' ') <> '' AND NOT regexp_matches(line, '^\s*(//|\*|/\*)') AND NOT (regexp_matches(line, '^\s*#') AND NOT regexp_matches(line, '^\s*#\['))"

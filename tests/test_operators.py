@@ -107,6 +107,24 @@ def test_import_cycles_equal_a_search(spark):
     assert got == {(1, 2), (1, 2, 3), (3, 4, 5)}
 
 
+def test_import_components_have_no_longest(spark):
+    import random
+
+    ring = [(i, (i + 1) % 9) for i in range(9)]
+    chain = [(4, 20), (20, 21), (21, 22), (22, 21), (30, 4), (40, 40), (50, 51), (None, 1)]
+    df = spark.createDataFrame(ring + chain, "src long, dst long")
+    assert {(r.file, r.component) for r in history.import_components(df).collect()} == {(i, 0) for i in range(9)} | {(21, 21), (22, 21)}
+    assert not [r for r in history.import_cycles(df).collect() if len(r.cycle) > 6]
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    reach = {i: {i} for i in range(60)}
+    for _ in range(60):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    expected = {(i, min(same)) for i in range(60) if len(same := [j for j in reach[i] if i in reach[j]]) > 1}
+    assert {(r.file, r.component) for r in history.import_components(spark.createDataFrame(edges, "src long, dst long")).collect()} == expected and expected
+
+
 def test_co_change_counts(spark):
     rows = [(c, f"{f}.js", "M") for c in range(3) for f in "ab"] + [(9, "a.js", "M"), (9, "tests/a.js", "M"), (8, "a.js", "M"), (8, "c.js", "M")]
     got = history.co_change_pairs(spark.createDataFrame(rows, "hash long, path string, status string")).collect()
