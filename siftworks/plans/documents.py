@@ -153,6 +153,12 @@ def l1(spark, d):
     return do.doc_rule_scan(T.doc_pages(spark, d).select("doc_id", F.col("content").alias("text")), "doc_id", True, rules)
 
 
+@query("l1_doc_rule_scan_documents", W + "texts AS (SELECT doc_id, text FROM documents) " + _doc_rules_sql("texts", "doc_id", True).replace("len(regexp_extract_all(text, '(?s).{10000}'))", "length(text) // 10000"))
+def l1_documents(spark, d):
+    """On the whole text of every document."""
+    return do.doc_rule_scan(T.read(spark, d, "documents").select("doc_id", "text"), "doc_id", True)
+
+
 @query("l1_prompt_rule_scan", W + "texts AS (SELECT conv_id * 100000 + turn AS turn_id, text FROM conversations) " + _doc_rules_sql("texts", "turn_id", False))
 def l1b(spark, d):
     c = T.read(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("turn_id"), "text")

@@ -155,6 +155,12 @@ def b4(spark, d):
     return scan.secret_scan(T.code_lines(spark, d))
 
 
+@query("b4_secret_scan_documents", W + _TEXT + " " + scan_sql([r for r in R.RULES if r.name in R.SECRETS], "text_lines"))
+def b4_docs(spark, d):
+    """Secrets in every line of the documents."""
+    return scan.secret_scan(text_lines(spark, d))
+
+
 @query(
     "b5_entropy_filter",
     """WITH c AS (SELECT doc_id AS id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0),

@@ -240,3 +240,13 @@ def test_linear_forms_equal_their_patterns(spark):
     got = df.agg(*differ, *hits).first().asDict()
     assert {k: v for k, v in got.items() if k[0] == "d" and v != 0} == {}
     assert [k for k, v in got.items() if k[0] == "n" and v == 0] == []
+
+
+def test_document_scans_read_every_line(spark, tmp_path):
+    from siftworks.plans import registry
+
+    text = "first line\n" + "word " * 30_000 + "\ntoken ghp_" + "a" * 36 + "\n" + "maybe sometimes usually\n"
+    spark.createDataFrame([(1, text, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = registry.queries()
+    assert [(r.line_no, r.rule) for r in queries["b4_secret_scan_documents"](spark, str(tmp_path)).collect()] == [(3, "github_tokens")]
+    assert {"vague_instructions", "prompt_bloat"} <= {r.rule for r in queries["l1_doc_rule_scan_documents"](spark, str(tmp_path)).collect()}
