@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most, of each label; the rows of the least hashes are taken.
-SAMPLE_PER_LABEL = 2500
+from .common import pieces
+
+#: Labelled rows that a model is fitted on at most, of each label, and the bytes of text that such a row may have; the rows of the least hashes are taken.
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 2500, 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -16,20 +21,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `per_label` rows of either label, none held out; bounded whatever the corpus."""
+    """Texts and labels of at most `per_label` rows of either label, none held out; bounded in rows and bytes whatever the corpus."""
     marked = labels.filter(f"doc_id IS NOT NULL AND {label} IN (0, 1)").filter(~held_out(F.col("doc_id")))
     picked = None
     for value in (0, 1):
         ids = marked.filter(F.col(label) == value).select("doc_id", F.col(label).alias("label")).distinct()
         ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = ids if picked is None else picked.unionByName(ids)
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id")
     rows = rows.select("doc_id", "text", "label").limit(8 * per_label).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     texts, marks = rows.column("text").to_pylist(), rows.column("label").to_numpy()
     return [texts[i] for i in order], marks[order].astype(np.float64)
 
 
+def scores(model, lines: int | None = None):
+    """An Arrow function from texts to a model's scores, in slices of bounded bytes, and lines if asked for."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            made = [model(b.column("text").to_pylist()) for b in pieces(batch, lines=lines)]
+            yield pa.array(np.concatenate([np.zeros(0), *made]), pa.float64())
+
+    return score
+
+
 class Logistic:
     """Logistic regression on standardised features by Newton steps with a ridge."""
 

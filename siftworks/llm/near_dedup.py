@@ -6,7 +6,7 @@ what they share. About k ln k + 2k darts land per document, whatever its size; t
 the k coordinates makes the signature, and two signatures agree in a coordinate with a probability equal
 to the weighted Jaccard similarity. Signatures meet in BANDS bands of ROWS coordinates.
 
-1. Copies of one text collapse to one node, named by the text's 128-bit digest.
+1. Copies of one text collapse to one node, named by the text's 128-bit digest; one text a node is kept.
 2. The centre of a bucket is its member that meets most others over all buckets. Each node is compared with
    the best of its centres, then with all whose class isn't its own, exactly, on the shingles themselves.
 3. Links of at least `threshold` are merged to classes by alternating large and small stars.
@@ -27,10 +27,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, kept, pieces, stored
+from .common import discard, free_name, kept, pieces, stored
 
 #: At a similarity of 0.8 a pair shares no band in 3 of a million cases.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -72,8 +72,6 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return g[first], own[first], np.diff(np.append(first, len(g)))
 
 
-#: Digests (16 bytes each) of texts that share a bucket are broadcast up to so many, else the texts are shuffled.
-MAX_BROADCAST_ROWS = 500_000
 #: Darts in memory at once.
 DARTS = 1_500_000
 
@@ -132,35 +130,34 @@ def _throw(elements: np.ndarray, own: np.ndarray, weights: np.ndarray, sets: int
     return out
 
 
+def text_node(text: Column) -> Column:
+    """The node of a text: its 16-byte digest; null for a null text."""
+    return F.unhex(F.md5(text))
+
+
 def signatures(docs: DataFrame, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, bands) of each document with words; node: the text's digest."""
+    """(doc_id, node, bands) of each document with words."""
     k = bands * rows
+    types = f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, bands array<long>"
 
     def make(batches):
         for b in (part for batch in batches for part in pieces(batch)):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            nodes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            first = {n: i for i, n in reversed(list(enumerate(nodes)))}
-            place = {n: j for j, n in enumerate(first)}
-            g, own, count = shingles([texts[i] for i in first.values()])
+            coded = b.column("node").dictionary_encode()
+            place = coded.indices.to_numpy(zero_copy_only=False)
+            _, first = np.unique(place, return_index=True)
+            g, own, count = shingles(b.column("text").take(pa.array(first)).to_pylist())
             sig = dart_signatures(g, own, count if weights == "count" else np.ones(len(g)), len(first), k)
             has = np.bincount(own, minlength=len(first)) > 0
             keys = np.full((len(first), bands), 0x2545F4914F6CDD1D, np.uint64)
             for r in range(rows):
                 keys = mix(keys + sig[:, r::rows].astype(np.uint64))
-            at = [(i, place[n]) for i, n in enumerate(nodes) if has[place[n]]]
-            if at:
-                j = np.array([x[1] for x in at])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(pa.array([x[0] for x in at])),
-                        pa.array([nodes[x[0]] for x in at], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1, dtype=np.int32) * bands), pa.array(keys[j].reshape(-1).view(np.int64))),
-                    ],
-                    names=["doc_id", "node", "bands"],
-                )
+            at = np.flatnonzero(has[place])
+            if len(at):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(keys[place[at]].reshape(-1).view(np.int64)))
+                rows_ = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows_), b.column("node").take(rows_), lists], names=["doc_id", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, node binary, bands array<long>")
+    return docs.filter("text IS NOT NULL").select("doc_id", "text", text_node(F.col("text")).alias("node")).mapInArrow(make, types)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
@@ -213,24 +210,18 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
-    """(doc_id, node, class_id, class_size, n_links) of every row: class_id is the least doc_id of its class.
-
-    n_links: verified links between different texts at this row's text.
-    """
-    sigs = stored(signatures(docs, weights), "signatures")
+def near_nodes(docs: DataFrame, sigs: DataFrame, threshold: float, weights: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the nodes with links, and their links (a, b). sigs: the written signatures of `docs`."""
     nodes = sigs.groupBy("node").agg(F.min("bands").alias("bands"))
     every = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "bands")
     sizes = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(every.join(sizes, ["band", "key"]), "shared-bands")
     discard(every)
-    rows = shared
-    member = stored(rows.groupBy("node").agg(F.sum("n").alias("meets")), "members")
-    texts = docs.select("text").filter("text IS NOT NULL").mapInArrow(_named, "node binary, text string")
-    names = member.select("node")
-    texts = texts.join(F.broadcast(names) if names.count() <= MAX_BROADCAST_ROWS else names, "node")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
-    rows = rows.join(member, "node")
+    member = stored(shared.groupBy("node").agg(F.sum("n").alias("meets")), "members")
+    # One text a node, combined within tasks before the shuffle; then those of nodes that share a bucket. The same plan at every size.
+    texts = docs.filter("text IS NOT NULL").groupBy(text_node(F.col("text")).alias("node")).agg(F.first("text").alias("text"))
+    texts = stored(texts.join(member.select("node").hint("merge"), "node", "left_semi"), "texts")
+    rows = shared.join(member, "node")
     centres = rows.groupBy("band", "key").agg(F.max(F.struct("meets", "node")).alias("centre"))
     buckets = stored(rows.join(centres, ["band", "key"]).select("band", "key", "n", "node", "centre"), "buckets")
     discard(shared, member)
@@ -251,20 +242,30 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "
         links = kept(links.unionByName(found))
         roots = components(links)
     discard(texts, buckets, near)
+    return roots, links
+
+
+def placed(docs: DataFrame, threshold: float, weights: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, root) of each document with words, and the links of the nodes."""
+    sigs = stored(signatures(docs, weights), "signatures")
+    roots, links = near_nodes(docs, sigs, threshold, weights)
+    return sigs.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
+    """(doc_id, node, class_id, class_size, n_links) of every row: class_id is the least doc_id of its class.
+
+    n_links: verified links between different texts at this row's text. The links join every class, but pairs whose
+    class is already known aren't compared, so n_links isn't the number of all near texts.
+    """
+    rows, links = placed(docs, threshold, weights)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = sigs.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classed = placed.join(sizes, "root").join(degree, "node", "left").select("doc_id", "node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    classed = rows.join(sizes, "root").join(degree, "node", "left").select("doc_id", "node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     wordless = docs.filter("NOT coalesce(text, '') RLIKE '[^ \\t-\\r]'").select("doc_id", F.lit(None).cast("binary").alias("node"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return classed.unionByName(wordless)
 
 
-def _named(batches):
-    for b in batches:
-        nodes = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), b.column("text")], names=["node", "text"])
-
-
 def reachable(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: str, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket but different classes whose wide sketches come within MARGIN of the threshold.
 
@@ -278,7 +279,7 @@ def reachable(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
         for b in (part for batch in batches for part in pieces(batch)):
             g, own, count = shingles(b.column("text").to_pylist())
             sig = dart_signatures(g, own, count if weights == "count" else np.ones(len(g)), b.num_rows, WIDE)
-            keys = b.column("bands").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.uint32)
+            keys = b.column("bands").flatten().to_numpy().reshape(b.num_rows, -1)
             rows = np.concatenate([sig.astype(np.uint8), keys.view(np.uint8)], 1)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in rows], pa.binary())], names=["node", "sketch"])
 
@@ -291,7 +292,7 @@ def reachable(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
 
     def judge(t: pa.Table) -> pa.Table:
         row = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        sketch, keys, band = row[:, :WIDE], row[:, WIDE:].copy().view(np.uint32), t.column("band")[0].as_py()
+        sketch, keys, band = row[:, :WIDE], row[:, WIDE:].copy().view(np.int64), t.column("band")[0].as_py()
         names, root = t.column("node").to_pylist(), t.column("root").dictionary_encode().combine_chunks().indices.to_numpy()
         mine, cross = t.column("mine").to_numpy(), t.column("i")[0].as_py() != t.column("j")[0].as_py()
         one, two = [], []
@@ -310,13 +311,15 @@ def reachable(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set") -> DataFrame:
-    """`docs` with one document of each class, the one of the least doc_id, all its columns as they were."""
-    classes = near_classes(docs, threshold, weights)
-    gone = kept(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    return left.dropDuplicates() if _repeats(docs) else left
+    """`docs` with one row of each class, all its columns as they were.
 
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some doc_id stands twice."""
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    Rows are told apart by id and text, so another text under the id of a copy stays. Of a class the row of the least
+    doc_id stays (a null id is the least), of that id the one of the least digest. Of rows that repeat id and text one stays.
+    """
+    rows, _ = placed(docs, threshold, weights)
+    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stays"))
+    gone = rows.join(best, "root").filter("NOT (doc_id <=> stays.doc_id AND node = stays.node)").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"))
+    gone, node = kept(gone.distinct()), free_name(docs, "_node")
+    left = docs.withColumn(node, text_node(F.col("text"))).dropDuplicates(["doc_id", node]).alias("d")
+    on = F.col(f"d.{node}").eqNullSafe(F.col("g.gone_node")) & F.col("d.doc_id").eqNullSafe(F.col("g.gone_id"))
+    return left.join(gone.alias("g"), on, "left_anti").drop(node)

@@ -7,20 +7,22 @@ document's quality is the mean of its lines' forward-backward marginals, weighte
 a probability of label 1 by a logistic curve.
 
 The sample is bounded (`labelled.SAMPLE_PER_LABEL` rows of either label); every line of every text is
-read in scoring. Null and empty texts are one empty line. Only the text is an input of a score.
+read in scoring, LINES at a time, so neither a long text nor many short lines fill a task's memory. Null and
+empty texts are one empty line. Only the text is an input of a score. An empty sample, or one of a single label,
+gives every text the share of label 1 (1 if empty).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
-from .labelled import Logistic, held_out, sample
+from .labelled import Logistic, held_out, sample, scores
 
 ROUNDS, STEPS, RATE = 2, 120, 0.08
+#: Lines whose features are in memory at a time.
+LINES = 20_000
 #: Byte classes whose shares of a line are features.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"%$#&*@^~=<>{}[]\\+_/", b"|", b"!?", b".,;:", b" \t"]
 TABLE = np.zeros((len(CLASSES), 256), np.float32)
@@ -28,47 +30,59 @@ for _i, _c in enumerate(CLASSES):
     TABLE[_i, list(_c)] = 1
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, length, document number) of every line."""
-    lines, own, words = [], [], []
-    for d, t in enumerate(texts):
-        mine = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-        seen: dict[bytes, int] = {}
-        for x in mine:
-            w = x.split()
-            again = seen.get(x, 0)
-            seen[x] = again + 1
-            n = len(w)
-            pairs = sum(map(bytes.__eq__, w, w[1:])) if n > 1 else 0
-            words.append((n, len(set(w)), pairs, again > 0 and n > 0))
-        lines += mine
-        own += [d] * len(mine)
+WIDTH = len(CLASSES) + 7
+
+
+def _own(lines: list[bytes], again: list[bool]) -> np.ndarray:
+    """Features of lines by themselves; again: whether a line stood before in its text."""
     size = np.array([len(x) for x in lines], np.int64)
     raw = np.frombuffer(b"".join(lines), np.uint8)
-    begin = np.cumsum(size) - size
+    begin, full = np.cumsum(size) - size, size > 0
     share = np.zeros((len(lines), len(CLASSES)))
-    full = size > 0
     if full.any():
         for c in range(len(CLASSES)):
             share[full, c] = np.add.reduceat(TABLE[c][raw], begin[full]) / size[full]
-    if not lines:
-        return np.zeros((0, 3 * (len(CLASSES) + 7) + 2)), size.astype(np.float64), np.zeros(0, np.int64)
-    w = np.array(words, np.float64).reshape(len(lines), 4)
+    counts = []
+    for x in lines:
+        w = x.split()
+        counts.append((len(w), len(set(w)), sum(map(bytes.__eq__, w, w[1:])) if len(w) > 1 else 0))
+    w = np.array(counts, np.float64).reshape(len(lines), 3)
     n = np.maximum(w[:, 0], 1)
-    own_ = np.column_stack([share, np.log1p(size), w[:, 1] / n, w[:, 2] / n, w[:, 3], size / n / 10, w[:, 0] == 0, w[:, 1] / np.maximum(w[:, 0], 1) < 0.5])
-    own = np.array(own, np.int64)
-    same = np.append(False, own[1:] == own[:-1])
-    before = np.zeros_like(own_)
-    before[1:] = own_[:-1]
-    before[~same] = 0
-    after = np.zeros_like(own_)
-    after[:-1] = own_[1:]
-    after[:-1][~same[1:]] = 0
-    return np.column_stack([own_, before, after, ~same, np.append(~same[1:], True)]), size.astype(np.float64), own
+    return np.column_stack([share, np.log1p(size), w[:, 1] / n, w[:, 2] / n, again, size / n / 10, w[:, 0] == 0, w[:, 1] / n < 0.5])
 
 
-def forward_backward(score: np.ndarray, step: np.ndarray, own: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1 of each line, and expected counts of label pairs at each line but the first.
+def own_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, length, document number) of every line, without its neighbours."""
+    made, sizes, own, lines, again = [np.zeros((0, WIDTH), np.float32)], [], [], [], []
+    for d, t in enumerate(texts):
+        mine = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
+        seen: set[bytes] = set()
+        for a in range(0, len(mine), LINES):
+            for x in mine[a : a + LINES]:
+                again.append(x in seen and not x.isspace() and x != b"")
+                seen.add(x)
+            lines += mine[a : a + LINES]
+            if len(lines) >= LINES:
+                made.append(_own(lines, again).astype(np.float32))
+                lines, again = [], []
+        sizes.append(np.fromiter(map(len, mine), np.float64, len(mine)))
+        own.append(np.full(len(mine), d, np.int64))
+    if lines:
+        made.append(_own(lines, again).astype(np.float32))
+    return np.concatenate(made), np.concatenate([np.zeros(0), *sizes]), np.concatenate([np.zeros(0, np.int64), *own])
+
+
+def with_neighbours(own: np.ndarray, doc: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Features of the lines a to b: their own, those of the lines before and after in the text, and whether there are none."""
+    n = len(own)
+    before, after = np.maximum(np.arange(a, b) - 1, 0), np.minimum(np.arange(a, b) + 1, n - 1)
+    here = np.arange(a, b)
+    first, last = (doc[before] != doc[a:b]) | (before == here), (doc[after] != doc[a:b]) | (after == here)
+    return np.column_stack([own[a:b], np.where(first[:, None], 0, own[before]), np.where(last[:, None], 0, own[after]), first, last]).astype(np.float64)
+
+
+def forward_backward(score: np.ndarray, step: np.ndarray, own: np.ndarray, count: int, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of label 1 of each line, and expected counts of label pairs at each line but the first, if asked for.
 
     score: log odds of label 1 of the lines, ordered by document; step: 2 x 2 log potentials. Documents go
     side by side, longest first, line by line.
@@ -93,6 +107,8 @@ def forward_backward(score: np.ndarray, step: np.ndarray, own: np.ndarray, count
         back[at] = b / b.sum(1, keepdims=True)
     both = ahead * back
     marginal = both[:, 1] / both.sum(1)
+    if not pairs:
+        return marginal, None
     inner = np.flatnonzero(np.append(False, own[1:] == own[:-1]))
     pair = ahead[inner - 1][:, :, None] * move[None] * (node[inner] * back[inner])[:, None, :]
     pair /= pair.sum((1, 2), keepdims=True)
@@ -101,7 +117,11 @@ def forward_backward(score: np.ndarray, step: np.ndarray, own: np.ndarray, count
 
 class QualityModel:
     def __init__(self, texts: list[str], good: np.ndarray):
-        x, size, own = line_features(texts)
+        self.curve, self.constant = None, float(good.mean()) if len(good) else 1.0
+        if len(set(good)) < 2:
+            return
+        lines, size, own = own_features(texts)
+        x = with_neighbours(lines, own, 0, len(lines))
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         z = self._z(x)
         label = good[own]
@@ -110,10 +130,8 @@ class QualityModel:
             self._fit(z, label, own, len(texts))
             marginal, _ = forward_backward(z @ self.w, self.step, own, len(texts))
             label = np.where((good[own] == 0) & (marginal > 0.5), 1.0, good[own])
-        held = self._held(z, size, own, len(texts))
-        two = np.concatenate([held, held[good == 0]]), np.concatenate([good, good[good == 0]])
-        self.curve = Logistic(*two) if len(set(good)) == 2 else None
-        self.constant = float(good.mean()) if len(good) else 1.0
+        held = self._held(z @ self.w, size, own, len(texts))
+        self.curve = Logistic(np.concatenate([held, held[good == 0]]), np.concatenate([good, good[good == 0]]))
 
     def _z(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -6, 6), np.ones(len(x))])
@@ -132,8 +150,8 @@ class QualityModel:
             self.w += move[:-4]
             self.step += move[-4:].reshape(2, 2)
 
-    def _held(self, z: np.ndarray, size: np.ndarray, own: np.ndarray, count: int) -> np.ndarray:
-        p, _ = forward_backward(z @ self.w, self.step, own, count)
+    def _held(self, score: np.ndarray, size: np.ndarray, own: np.ndarray, count: int) -> np.ndarray:
+        p, _ = forward_backward(score, self.step, own, count, pairs=False)
         weight = size + 1
         mean = np.bincount(own, p * weight, count) / np.bincount(own, weight, count)
         return np.log((mean + 1e-3) / (1 - mean + 1e-3))[:, None]
@@ -141,8 +159,9 @@ class QualityModel:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.curve is None:
             return np.full(len(texts), self.constant)
-        x, size, own = line_features(texts)
-        return self.curve(self._held(self._z(x), size, own, len(texts)))
+        lines, size, own = own_features(texts)
+        parts = [self._z(with_neighbours(lines, own, a, min(a + LINES, len(lines)))) @ self.w for a in range(0, len(lines), LINES)]
+        return self.curve(self._held(np.concatenate([np.zeros(0), *parts]), size, own, len(texts)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
@@ -151,11 +170,5 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make(batches):
-        for b in (part for batch in batches for part in pieces(batch)):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.value(b.column("text").to_pylist()))], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(make, "doc_id long, score double")
+    scored = docs.select("doc_id", scores(model, LINES)(F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -109,10 +109,49 @@ def test_field_marginals_equal_enumeration():
 
 def test_grammar_reads_paths():
     lex = toxicity.Lexicon({"idiot": 2.0})
-    read = lambda t: toxicity.clause_paths(lex.marks(t.split())).tolist()
-    assert read("an idiot here") == [2, 0, 0, 0, 0] and read("you idiot") == [0, 2, 0, 0, 0]
-    assert read("not an idiot") == [0, 0, 2, 0, 0] and read("not a b c idiot") == [2, 0, 0, 0, 0]
-    assert read("they said idiot kill") == [0, 0, 0, 3, 0] and read("kill them") == [0, 0, 0, 0, 1]
+    read = lambda t: {k: v for k, v in toxicity.clause_paths(lex.read(t)).items() if v}
+    assert read("an idiot here") == {"I": 2} and read("you idiot") == {"A": 2} and read("idiot you") == {"A": 2}
+    assert read("not an idiot") == {"i": 2} and read("not a b c idiot") == {"I": 2}
+    assert read("they said idiot kill") == {"r": 3} and read("kill them") == {"D": 1} and read("never kill") == {"t": 1}
+    assert read("") == {} and lex.read("idiotic")[0] == ("I", 2.0)
+
+
+def test_best_path_equals_enumeration_of_paths():
+    import itertools
+
+    def paths(t, marks):
+        found = [(0.0, t.start, ())]
+        for m in marks:
+            found = [(w + v, n, (*out, x)) for w, s, out in found for x, v, n in t.arcs.get(s, {}).get(m, ())]
+        return [(w + t.final[s], list(out)) for w, s, out in found if s in t.final]
+
+    rng = np.random.default_rng(3)
+    T = toxicity.Transducer
+    make = lambda: T(0, {s: {m: [("ab"[rng.integers(2)], float(rng.integers(9)), int(rng.integers(3))) for _ in range(rng.integers(1, 3))] for m in "ab"} for s in range(3)}, {0: 0.0, 2: 1.0})
+    one, two = make(), make()
+    both = toxicity.compose(one, two)
+    for marks in itertools.chain.from_iterable(itertools.product("ab", repeat=n) for n in range(6)):
+        chained = [(w1 + w2, out2) for w1, out1 in paths(one, marks) for w2, out2 in paths(two, out1)]
+        assert sorted(chained) == sorted(paths(both, marks))
+        best = toxicity.best_path(both, list(marks))
+        assert (best is None and not chained) or best[0] == max(w for w, _ in chained) and best in [(w, o) for w, o in chained]
+    for marks in itertools.product("OITYNR", repeat=4):
+        assert len(paths(toxicity.GRAMMAR, marks)) == 1  # a clause is read in one way
+
+
+def test_stems_break_ties_alike():
+    texts, toxic = ["zulu yank"] * 6 + ["good"] * 6, np.array([1.0] * 6 + [0.0] * 6)
+    assert list(toxicity.learn_stems(texts, toxic)) == ["yank", "zulu"]
+    assert toxicity.learn_stems([], np.zeros(0)) == {}
+
+
+def test_long_texts_of_short_lines_score_alike(monkeypatch):
+    texts = ["good words here\nand there", "!!! ### $$$ %%%", "fine", "### %%%"]
+    model = quality.QualityModel(texts, np.array([1.0, 0.0, 1.0, 0.0]))
+    long = ["\n".join(["a b", "### %%%", ""] * 50), None, "x"]
+    whole = model(long)
+    monkeypatch.setattr(quality, "LINES", 7)
+    assert np.allclose(model(long), whole)
 
 
 def test_pipeline_stages(spark):

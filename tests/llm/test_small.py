@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftworks.llm.common import kept
 from siftworks.llm import ann, bpe, chat, decontaminate, near_dedup, queries, substring_dedup, token_store, url_filter
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -52,6 +53,19 @@ def test_urls_are_judged_exactly(spark):
         assert got[-4] == ("example.org", "", None, "allow") and got[-5] == ("xorg", "/", None, "allow")
 
 
+def test_url_levels_end_and_seed_their_hashes(spark, monkeypatch):
+    """Keys left after the last level are compared themselves, and positions of levels differ for keys whose plain hashes agree."""
+    keys = [f"h{i}/p" for i in range(2000)]
+    pages = spark.createDataFrame([(i, "http://" + k) for i, k in enumerate(keys)], "page_id long, url string")
+    listed = spark.createDataFrame([(k,) for k in keys[::4]], "key string")
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 3)
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, listed, []).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(2000))
+    first = spark.range(1).select(*(F.xxhash64(F.lit(i), F.lit("key")) == F.xxhash64(F.lit("key"), F.lit(i)) for i in range(3))).first()
+    assert not any(first)
+
+
 def test_urls_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(none, spark.createDataFrame([], "key string"), []).count() == 0
@@ -110,9 +124,9 @@ def test_decontaminate_keeps_clean_rows_whole(spark):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "cat x x dog"), (2, "dog cat"), (3, "cat x x x x x x dog")], "doc_id long, text string")
-    keyed = decontaminate.row_key(docs, "doc_id", "text")
+    keyed = decontaminate.split_documents(docs)
     pairs = spark.createDataFrame([(9, "cat", "dog")], "pair_id long, term_a string, term_b string")
-    index = decontaminate.postings(keyed, spark.createDataFrame([("cat",), ("dog",)], "term string"))
+    index = decontaminate.postings(keyed, kept(spark.createDataFrame([("cat",), ("dog",)], "term string")))
     assert {(r.doc_id, r.distance) for r in decontaminate.proximity(index, pairs, 3).collect()} == {(1, 3), (2, 1)}
 
 
@@ -148,6 +162,34 @@ def test_repeats_equal_brute_force(spark, seed):
     assert count_rows((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_repeats(docs, substring_dedup.WINDOW)
 
 
+def test_the_automaton_decides():
+    """Without its passage in the automaton a repeat stays."""
+    import pyarrow as pa
+
+    words = [f"w{i}".encode() for i in range(60)]
+    passages = pa.table({"words": pa.array([b" ".join(words[5:45]), b" ".join(words[20:60])]), "good": pa.array([None, [0, 1, 5]], pa.list_(pa.int32()))})
+    texts = [words, words[:40], [b"x", *words[4:46], b"y"]]
+    both = substring_dedup.covered(texts, passages, 35)
+    assert [np.flatnonzero(c).tolist() for c in both] == [list(range(5, 60)), list(range(5, 40)), list(range(2, 42))]
+    one = substring_dedup.covered(texts, passages.slice(1), 35)
+    assert np.flatnonzero(one[0]).tolist() == list(range(20, 60)) and one[2] is None
+    assert substring_dedup.covered(texts, passages.slice(0, 0), 35) == [None] * 3
+
+
+def test_repeats_keep_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, 7, "k"), (2, text + " tail", 8, "l")], "doc_id long, text string, _bucket int, fp string")
+    got = sorted((r.doc_id, r._bucket, r.fp, r.kept_text) for r in substring_dedup.dedup_substrings(df).collect())
+    assert got == [(1, 7, "k", ""), (2, 8, "l", "tail")]
+    out = bpe.encode_documents(df, queries.vocabulary(), ("n_tokens",)).collect()
+    assert sorted((r.doc_id, r._bucket, r.fp) for r in out) == [(1, 7, "k"), (2, 8, "l")]
+    items = spark.createDataFrame([(1, text), (1, "w39 tail"), (None, "tail")], "item_id long, text string")
+    marked = decontaminate.phrase_hits(df, items).collect()
+    assert sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in marked) == [(1, 40, ("1",)), (2, 41, ("1",))]
+    clash = df.withColumnsRenamed({"_bucket": "_h", "fp": "bad_id"})
+    assert decontaminate.decontaminate(clash, items.limit(0)).columns == clash.columns
+
+
 def test_kept_text_has_the_kept_words(spark, odd):
     rows = substring_dedup.dedup_substrings(odd).collect()
     assert len(rows) == len(ODD) and all(r.bucket == "x" for r in rows)
@@ -173,6 +215,22 @@ def test_ids_and_texts_equal_the_library(spark, odd, tokenizer):
     assert bpe.encode_documents(empty(spark), queries.vocabulary()).count() == 0
 
 
+def test_words_equal_the_library(tokenizer):
+    """Marks that normalisation makes meet punctuation; every letter meets every mark of punctuation."""
+    import random
+
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x21, 0x3000) if chr(c).isprintable()] + list("BELEDİYESİহয়क़Éß中国ÅΣς\u0301")
+    texts = ["BELEDİYESİ. ", "হয়, ", "क़?", "it's, don't! a.b. 'S x'LL", "<|endoftext|>. a<|ENDOFTEXT|>, b<|endoftext|>!"]
+    for c in letters:
+        texts += [c + m + " a" for m in (".", ",", ";", ":", "!", "?", "...")] + ["A" + c + ",\n" + c.upper() + "'s."]
+    texts += ["".join(rng.choice(letters + list("abcABC.,!' \t") * 30) for _ in range(20)) for _ in range(5000)]
+    encoder = bpe.WordEncoder(queries.vocabulary(), 3000)
+    got = [x for i in range(0, len(texts), 1000) for x in encoder.encode(texts[i : i + 1000])]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == want
+
+
 def test_chunks_are_content_defined():
     body = " ".join(f"w{i * i * 7919 % 100_003}" for i in range(4000))
     one, two = bpe.chunks(body), bpe.chunks("another beginning " + body)
@@ -274,6 +332,13 @@ def test_one_copy_stays(spark, odd):
     assert near_dedup.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_another_text_under_the_id_of_a_copy_stays(spark):
+    a, b, c = ("alpha " * 3 + "one two three four", "beta five six seven eight nine", "gamma ten eleven twelve thirteen fourteen")
+    rows = [("3", b, 1), ("5", a, 1), ("5", b, 1), ("6", c, 1), ("6", c, 1), (None, c, 1)]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id string, text string, _node int")).collect()
+    assert sorted(((r.doc_id or "", r.text) for r in left)) == [("", c), ("3", b), ("5", a)]
+
+
 @pytest.mark.parametrize(("wa", "wb"), [(1.0, 1.0), (3.0, 5.5), (0.4, 2.0)])
 def test_darts_estimate_weighted_similarity(wa, wb):
     rng = np.random.default_rng(1)
