@@ -4,9 +4,11 @@ The cascade answers exactly for every key of its universe: level 0 encodes the l
 unlisted keys that level 0 wrongly holds, level 2 the listed keys that level 1 wrongly holds, and so on
 until a level has no false positive. A key that the first c levels hold, and the next doesn't, is listed
 when c is odd. Only DataFrame functions are used. Each level is one array of 64-bit words that reaches
-the executors as a scalar subquery, so rows are judged in place: no join and no shuffle of pages. The
-keys are split by hash into as many groups as keep one cascade under `max_filter_bytes`; with more than
-one group each group judges its own keys in a scan of its own.
+the executors as a scalar subquery, so rows are judged in place: no join and no shuffle of pages. Each
+position is a hash seeded with its own number, so keys that meet in one level part in the next; should a
+key be left after MAX_LEVELS levels, the last one is the keys themselves. The keys are split by hash into
+as many groups as keep one cascade under `max_filter_bytes`; with more than one group pages and keys are
+written once, in a folder a group, and each group reads only its own.
 
 Nulls: a null url, or one without `://`, has an empty host and path; the empty key is never listed.
 Null keys and repeated keys in the list count once or not at all. Extra columns pass through.
@@ -19,10 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import free_name, kept, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITS_PER_KEY, PROBES, MAX_FILTER_BYTES = 10, 7, 8_000_000
+BITS_PER_KEY, PROBES, MAX_FILTER_BYTES, MAX_LEVELS = 10, 7, 8_000_000, 40
+
+
+#: Files of a group of pages.
+GROUP_FILES = 8
 
 
 def url_host(url: Column) -> Column:
@@ -50,8 +56,8 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
 
 
 def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    """Bit positions of a key in one level."""
-    return [F.pmod(F.xxhash64(key, F.lit(level * PROBES + i)), F.lit(bits)) for i in range(PROBES)]
+    """Bit positions of a key in one level. The number goes first: it seeds the hash of the key."""
+    return [F.pmod(F.xxhash64(F.lit(level * PROBES + i), key), F.lit(bits)) for i in range(PROBES)]
 
 
 def _bit(at: Column) -> Column:
@@ -60,6 +66,8 @@ def _bit(at: Column) -> Column:
 
 
 def _holds(words: Column, key: Column, level: int, bits: int) -> Column:
+    if not bits:
+        return F.array_contains(words, key)
     tests = [F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0 for p in _positions(key, level, bits)]
     return reduce(lambda a, b: a & b, tests)
 
@@ -76,10 +84,13 @@ def _level(encoded: DataFrame, level: int, bits: int) -> DataFrame:
 
 
 def build_cascade(universe: DataFrame) -> list[tuple[DataFrame, int]]:
-    """Levels of the cascade over `universe` (key, listed): one-row tables of words with their bits."""
+    """Levels of the cascade over `universe` (key, listed): one-row tables of words with their bits; 0 bits: of keys."""
     encoded, others = universe.filter("listed"), universe.filter("NOT listed")
     levels: list[tuple[DataFrame, int]] = []
     while (n := encoded.count()) > 0:
+        if len(levels) == MAX_LEVELS:  # exact, so the last; each level holds about a hundredth of the keys before
+            levels.append((kept(encoded.agg(F.collect_set("key").alias("words"))), 0))
+            break
         bits = -(-n * BITS_PER_KEY // 64) * 64
         at = len(levels)
         words = _level(encoded, at, bits)
@@ -120,12 +131,18 @@ def filter_urls(
     n = universe.filter("listed").count()
     groups = max(1, -(-n * BITS_PER_KEY // (8 * max_filter_bytes)))
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
-    parts = []
-    for g in range(groups):
-        mine = F.pmod(F.xxhash64(key, F.lit("group")), F.lit(groups)) == g
-        of = F.pmod(F.xxhash64(F.col("key"), F.lit("group")), F.lit(groups)) == g
-        levels = build_cascade(universe.filter(of) if groups > 1 else universe)
+
+    def judged(part: DataFrame, levels: list[tuple[DataFrame, int]]) -> DataFrame:
         by_list = F.when(listed_column(levels, key), F.lit("block")).otherwise(F.lit("allow"))
-        part = pages.filter(mine) if groups > 1 else pages
-        parts.append(part.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)}))
+        return part.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)})
+
+    if groups == 1:
+        return judged(pages, build_cascade(universe))
+    g = free_name(pages, "_group")
+    group = F.pmod(F.xxhash64(F.lit("group"), key), F.lit(groups))
+    # Each group's rows lie in about GROUP_FILES files, so a key of many pages isn't one task.
+    salt = (F.rand(7) * GROUP_FILES).cast("int")
+    dealt = stored(pages.withColumn(g, group).repartition(groups * GROUP_FILES, g, salt), "pages", by=g)
+    keys = stored(universe.withColumn("_group", F.pmod(F.xxhash64(F.lit("group"), F.col("key")), F.lit(groups))).repartition(groups, "_group"), "keys", by="_group")
+    parts = [judged(dealt.filter(F.col(g) == i).drop(g), build_cascade(keys.filter(F.col("_group") == i).drop("_group"))) for i in range(groups)]
     return reduce(DataFrame.unionByName, parts)
