@@ -19,24 +19,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucket_count, pieces, stored
+from .common import bucket_count, free_name, pieces, stored
 
 #: A chunk has 2**CHUNK_BITS characters on average; the rolling hash sees ROLL of them.
 CHUNK_BITS, ROLL = 11, 16
 WHITE = " \t\n\r\x0b\x0c"
-#: Distinct words that a Python worker remembers.
-CACHE_WORDS = 500_000
-TAIL = ".,;:!?"
+#: Distinct words that a Python worker remembers, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64_000_000
+#: Punctuation after an ASCII letter and before white space is a pre-token of its own, so it is split off first.
+TAIL = r"([A-Za-z])([.,;:!?]+)([ \t\n]|$)"
 MARKS = re.compile("[\u0300-\U0010ffff]")
 
 
@@ -50,24 +52,26 @@ def _composed(text: str) -> bool:
 
 
 class WordEncoder:
-    """Ids of white-space separated words as little-endian 16-bit strings, remembered up to a bound."""
+    """Ids of white-space separated words, remembered up to a bound in Arrow and numpy arrays."""
 
     _made: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.most = most
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # ASCII letters in lower case are their own normal form and byte symbols: the model alone encodes them.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         if max(vocabulary.values()) > 0xFFFF:
             raise ValueError("ids of more than 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
 
     @classmethod
     def of(cls, path: str, most: int = CACHE_WORDS) -> WordEncoder:
@@ -76,62 +80,74 @@ class WordEncoder:
             cls._made[path] = cls(path, most)
         return cls._made[path]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words that aren't known; if there are too many then, only `words` stay."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if not new:
-            return
-        if len(known) + len(new) > self.most:
-            self.known = known = {w: known[w] for w in ["", *words] if w in known}
-        need, tails, others = set(), [], []
-        for w in new:
-            stem = w.rstrip(TAIL)
-            if not stem.isalpha():
-                others.append(w)
-            elif len(stem) == len(w):
-                need.add(w)
-            else:
-                tails.append((w, stem, w[len(stem) :]))
-                need |= {stem, w[len(stem) :]}
-        self._letters([w for w in need if w not in known])
-        for w, a, b in tails:
-            known[w] = known[a] + known[b]
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters, or of marks, only: one pre-token each, so its end shows in the ids."""
+    def _forget(self) -> None:
+        self.words, self.size, self.pool = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u2")
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the words, of which unknown ones are encoded first."""
+        if len(self.words) + len(words) > self.most or self.words.nbytes > CACHE_BYTES:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words)
+        number = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            unknown = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            new = words.take(pa.array(unknown))
+            letters = pc.and_(pc.and_(pc.string_is_ascii(new), pc.ascii_is_lower(new)), pc.ascii_is_alpha(new)).to_numpy(zero_copy_only=False)
+            order = np.argsort(~letters, kind="stable")
+            new, count = new.take(pa.array(order)), int(letters.sum())
+            number[unknown[order]] = np.arange(len(self.words), len(self.words) + len(new))
+            text = new.to_pylist()
+            (a, m), (b, n) = self._letters(text[:count]), self._whole(text[count:])
+            self.words = pa.concat_arrays([self.words, new])
+            self.pool, self.size = np.concatenate([self.pool, a, b]), np.concatenate([self.size, m, n])
+        return number
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ASCII letters in lower case, one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), [0, *(2 * ends).tolist()]
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
-            else:
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. A-Z is lowered first where that can't matter to composition or to added tokens."""
-        texts = ["" if t is None else t for t in texts]
-        if not texts:
-            return []
-        column = pa.array(texts, pa.string())
-        lower = pa.array(["<|" not in t and _composed(t) for t in texts])
-        split = pc.ascii_split_whitespace(pc.if_else(lower, pc.ascii_lower(column), column))
+            made = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            n = np.diff(np.flatnonzero(self.ends[made]), prepend=-1)
+            a, b = (made, n) if len(n) == len(part) else self._whole(part)
+            ids.append(a)
+            sizes.append(b)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, each encoded by itself, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u2", int(size.sum())), size
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids end; a null text has none.
+
+        A-Z is lowered first where that can't matter to composition or to added tokens.
+        """
+        column = pc.fill_null(column, "")
+        lower = pa.array(["<|" not in t and _composed(t) for t in column.to_pylist()], pa.bool_())
+        if not len(column):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        text = pc.if_else(lower, pc.ascii_lower(column), column)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, TAIL, r"\1 \2 "))
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        self.learn(words)
-        found = list(map(self.known.__getitem__, words))
-        pool, size = np.frombuffer(b"".join(found), "<u2"), np.array([len(x) // 2 for x in found], np.int64)
-        n = size[codes]
+        number = self._known(coded.dictionary)
+        begin = np.cumsum(self.size) - self.size
+        codes = number[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[codes]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        begin = (np.cumsum(size) - size)[codes] - ends[:-1]
-        ids = pool[np.repeat(begin, n) + np.arange(int(ends[-1]))].tobytes() if len(codes) else b""
-        at = (2 * ends[split.offsets.to_numpy()]).tolist()
-        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        out = np.empty(int(ends[-1]), "<u2")
+        for a in range(0, len(codes), 1 << 18):
+            b = min(a + (1 << 18), len(codes))
+            out[ends[a] : ends[b]] = self.pool[np.repeat(begin[codes[a:b]] - ends[a:b], n[a:b]) + np.arange(ends[a], ends[b])]
+        return out, ends[split.offsets.to_numpy()[1:]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit strings."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), [0, *(2 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def cuts(text: str) -> list[int]:
@@ -299,21 +315,21 @@ RESULTS = {"ids": "binary", "decoded": "string", "n_tokens": "long", "ids_sha256
 def encode_documents(docs: DataFrame, path: str, results: tuple[str, ...] = ("ids", "decoded", "n_tokens")) -> DataFrame:
     """`docs` (doc_id, text, more columns) without text, with the results asked for.
 
+    Buckets have about BUCKET_BYTES of text and a partition each on average, whatever the size of the table.
     ids: little-endian unsigned 16-bit ids. path: a vocabulary file of the tokenizers library whose ids
     have 16 bits and whose pre-tokens hold no white space. Columns named like a result are replaced.
     """
     docs = docs.drop(*RESULTS)
-    n = bucket_count(docs)
-    dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    per = chunk_counts(dealt).groupBy("digest", "_bucket").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("digest")  # as many rows as buckets at most
-    per = per.withColumns({"total": F.sum("n").over(of), "owner": F.min("_bucket").over(of)}).filter("total > 1")
-    needed = stored(per.select("digest", "_bucket", "owner"), "chunks")
+    n, bucket = bucket_count(docs), free_name(docs, "_bucket")
+    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, bucket)
+    per = stored(chunk_counts(docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("_bucket"))).groupBy("digest", "_bucket").agg(F.sum("n").alias("n")), "chunks")
+    often = per.groupBy("digest").agg(F.sum("n").alias("total"), F.min("_bucket").alias("owner")).filter("total > 1")
+    needed = stored(per.join(often, "digest").select("digest", "_bucket", "owner"), "shared-chunks")
     owned = needed.filter("_bucket = owner").select("digest", "_bucket")
     # Both passes read the same columns, so that the documents are dealt out once.
-    once = dealt.groupBy("_bucket").cogroup(owned.groupBy("_bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
+    once = dealt.groupBy(bucket).cogroup(owned.groupBy("_bucket")).applyInArrow(_encode_owned(path), "digest binary, ids binary")
     shared = needed.select("digest", "_bucket").join(once, "digest")
-    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "_bucket")])
+    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", bucket)])
     for name in results:
         schema = schema.add(name, RESULTS[name])
-    return dealt.groupBy("_bucket").cogroup(shared.groupBy("_bucket")).applyInArrow(_assemble(path, to_arrow_schema(schema)), schema)
+    return dealt.groupBy(bucket).cogroup(shared.groupBy("_bucket")).applyInArrow(_assemble(path, to_arrow_schema(schema)), schema)

@@ -29,6 +29,8 @@ from .common import bucket_count, pieces, shared_folder, stored
 
 SCALE, BLOCK, LANES, EVERY, END = 20, 1 << 19, 4096, 64, 1
 LOW = 1 << 31
+#: Parts of which the ids are summed together first.
+GROUP = 1000
 #: Distinct words that a Python worker remembers here; a task holds little else.
 CACHE_WORDS = 1_500_000
 RAW = "part long, block long, start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
@@ -180,14 +182,22 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None) -> str:
 OUT = pa.schema([*[f for f in SCHEMA if f.name != "ids"], ("payload", pa.binary()), ("states", pa.binary()), ("places", pa.list_(pa.int64())), ("crc", pa.int64())])
 
 
+def ids_before(blocks: DataFrame) -> DataFrame:
+    """(part, before): ids of all parts before it. Sums by GROUP parts first, so that no window holds all parts."""
+    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("group", F.floor(F.col("part") / GROUP))
+    groups = totals.groupBy("group").agg(F.sum("total").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("base"))
+    inside = F.sum("total").over(Window.partitionBy("group").orderBy("part")) - F.col("total")
+    return totals.withColumn("inside", inside).join(groups, "group").select("part", (F.col("base") + F.col("inside")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Documents from the files: doc_id, start, n_tokens, ids_crc32 and, unless switched off, ids (32-bit, little-endian).
 
     A block whose ids don't have its checksum fails the read.
     """
     blocks = spark.read.schema(FILE).parquet(f"{folder}/blocks")
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    before = ids_before(blocks)
     freq = load_table(spark, folder)
     table = spark.sparkContext.broadcast(freq)
     fields = [("doc_id", pa.int64()), ("part", pa.int64()), ("in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
@@ -208,5 +218,5 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     types = "doc_id long, part long, in_part long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    rows = blocks.mapInArrow(make, types).join(F.broadcast(before), "part")  # a row a part: as many as partitions were written
+    rows = blocks.mapInArrow(make, types).join(before, "part")
     return rows.select("doc_id", (F.col("before") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
