@@ -49,7 +49,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.dedup_substrings(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.dedup_substrings(docs, results=("n_words", "n_removed", "kept_sha256"), with_text=False)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

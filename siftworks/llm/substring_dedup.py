@@ -5,36 +5,41 @@ A window is `window` consecutive words; a word goes if a window over it recurs a
 1. Fingerprints: in each window the least of its GRAM-word hashes is selected (winnowing). Equal windows
    select equal grams, so only windows whose selected gram recurs can recur. Neighbouring windows that
    select the gram at one place make a run, named by the hash of all its words.
-2. Confirmation: where a whole run recurs, so do all its windows. Where runs of one gram differ, as at the
-   ends of passages, the 128-bit hashes of the windows of each different run are counted once a run.
-3. Automata: documents are dealt to buckets. Each bucket compiles one Aho-Corasick automaton over the
-   passages that recur in it (runs of recurring windows are tiled, so overlapping ones share patterns),
-   and all its documents stream through it to locate every occurrence.
+2. Confirmation: the bucket that speaks for a run sends its words and, where runs of one gram differ, the
+   128-bit hashes of its windows. A run that recurs is a passage as a whole; of the others, the stretches
+   of windows that are counted twice or more are passages. Passages are text from here on.
+3. Automata: a bucket of documents gets the passages whose fingerprints it holds, compiles them into its
+   shard, one Aho-Corasick automaton over word numbers, and streams all its documents through it. Only
+   what the automaton finds is removed; the hashes merely choose the shards that a passage goes to.
+
+Every occurrence is found: it lies in some run of its bucket, and that run's passages are in the shard.
+The first and last window of each stretch are its patterns (a stretch is shorter than two windows).
 
 Counts are combined by bucket before any shuffle, so a passage in a third of all documents is one row a
 bucket. Every Python task holds one bucket of about BUCKET_BYTES of text; a single document isn't split.
 Lost executors only cost their own tasks: all state is in shuffles or in the shared folder.
 
 Null text: no words, comes back as null. Texts under `window` words lose nothing. Repeated rows count as
-often as they stand. Extra columns stay.
+often as they stand. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucket_count, pieces, stored
+from .common import bucket_count, discard, free_name, pieces, stored
 
 WINDOW, GRAM = 35, 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -133,124 +138,139 @@ def fingerprints(dealt: DataFrame, window: int) -> DataFrame:
 
 
 def recurring_runs(counted: DataFrame) -> DataFrame:
-    """(fp, run, bucket, whole, weight) of the runs whose gram occurs twice or more, for each bucket that has them.
+    """(fp, run, bucket, speaks, whole, weight) of the runs whose gram occurs twice or more, for each bucket that has them.
 
-    whole: the run recurs. weight: 0, or what each of its windows counts for (one bucket speaks for a run).
+    whole: the run recurs. weight: 0 if it is the only run of its gram, else what each of its windows counts for.
+    Grams and runs are counted by partial sums and joined back, so a gram of a third of all documents isn't one task.
     """
-    per = counted.groupBy("fp", "run", "_bucket").agg(F.sum("n").alias("n"))
-    of_fp, of_run = Window.partitionBy("fp"), Window.partitionBy("fp", "run")
-    per = per.withColumns({"n_fp": F.sum("n").over(of_fp), "one": F.min("run").over(of_fp), "two": F.max("run").over(of_fp)}).filter("n_fp > 1")
-    per = per.withColumns({"n_run": F.sum("n").over(of_run), "speaker": F.min("_bucket").over(of_run)})
-    weight = F.when((F.col("one") != F.col("two")) & (F.col("_bucket") == F.col("speaker")), F.least("n_run", F.lit(2))).otherwise(0)
-    return per.select("fp", "run", "_bucket", (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
+    grams = counted.groupBy("fp").agg(F.sum("n").alias("n_fp"), (F.min("run") != F.max("run")).alias("several")).filter("n_fp > 1")
+    per = stored(counted.join(grams.select("fp", "several"), "fp").groupBy("fp", "run", "_bucket").agg(F.sum("n").alias("n"), F.any_value("several").alias("several")), "run-counts")
+    totals = per.groupBy("fp", "run").agg(F.sum("n").alias("n_run"), F.min("_bucket").alias("speaker"))
+    weight = F.when(F.col("several"), F.least("n_run", F.lit(2))).otherwise(0)
+    both = per.join(totals, ["fp", "run"])
+    return both.select("fp", "run", "_bucket", (F.col("_bucket") == F.col("speaker")).alias("speaks"), (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
 
 
-def recurring_windows(found: DataFrame) -> DataFrame:
-    """(h1, h2, bucket) of windows that start twice or more, for the buckets that ask."""
-    total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    return found.withColumn("total", total).filter("total > 1 AND asks").select("h1", "h2", "_bucket").distinct()
+def passages_of(runs: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(bucket, words, good) for each bucket: the words of its runs and, unless the whole run recurs, the places of its recurring windows."""
+    windows = spoken.filter("weight > 0").select("fp", "run", "whole", "weight", F.posexplode("hashes").alias("at", "h")).select("fp", "run", "whole", "weight", "at", "h.*")
+    twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("total")).filter("total > 1").select("h1", "h2")
+    good = windows.filter("NOT whole").join(twice, ["h1", "h2"]).groupBy("fp", "run").agg(F.collect_list("at").alias("good"))
+    texts = spoken.select("fp", "run", "words", "whole").join(good, ["fp", "run"], "left").filter("whole OR good IS NOT NULL")
+    return runs.select("fp", "run", "_bucket").join(texts, ["fp", "run"]).select("_bucket", "words", "good")
 
 
 def _key(fp: np.ndarray, run: np.ndarray) -> np.ndarray:
     return _mixed(fp ^ _mixed(run))
 
 
-class Known:
-    """The recurring runs of a bucket, found by key."""
-
-    def __init__(self, t: pa.Table):
-        key = _key(*(t.column(c).to_numpy().view(np.uint64) for c in ("fp", "run")))
-        order = np.argsort(key)
-        self.key, self.whole, self.weight = key[order], t.column("whole").to_numpy()[order], t.column("weight").to_numpy()[order]
-
-    def find(self, fp: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which runs are known, and their rows."""
-        key = _key(fp, run)
-        if not len(self.key):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = np.flatnonzero(self.key[at] == key)
-        return hit, at[hit]
-
-
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All starts of runs."""
     return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def _candidates(window: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("_bucket", pa.int64()), ("n", pa.int64()), ("asks", pa.bool_())])
+SPOKEN = "fp long, run long, whole boolean, weight long, words binary, hashes array<struct<h1: long, h2: long>>"
+
+
+def _speak(window: int):
+    pair = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+    schema = pa.schema([("fp", pa.int64()), ("run", pa.int64()), ("whole", pa.bool_()), ("weight", pa.int64()), ("words", pa.binary()), ("hashes", pa.list_(pair))])
 
     def make(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        """Words of the runs that the bucket speaks for, and the hashes of their windows where those are counted."""
         if not runs.num_rows or not docs.num_rows:
             return schema.empty_table()
-        known = Known(runs)
+        key = _key(*(runs.column(c).to_numpy().view(np.uint64) for c in ("fp", "run")))
+        order = np.argsort(key)
+        key, runs = key[order], runs.take(pa.array(order))
         x = Batch(docs.column("text").to_pylist(), window)
         fp, run, begin, n = x.runs(window)
-        hit, row = known.find(fp, run)
-        row, first = np.unique(row, return_index=True)
-        hit = hit[first][known.weight[row] > 0]
-        row = row[known.weight[row] > 0]
-        at = _spread(begin[hit], n[hit])
-        one, two = (_sums(x.hashes, window, b)[at].view(np.int64) for b in BASES[:2])
-        bucket = np.full(len(at), docs.column("_bucket")[0].as_py(), np.int64)
-        return pa.table([pa.array(c) for c in (one, two, bucket, np.repeat(known.weight[row], n[hit]), np.repeat(~known.whole[row], n[hit]))], schema=schema)
+        mine = _key(fp, run)
+        at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+        hit = np.flatnonzero(key[at] == mine)
+        row, first = np.unique(at[hit], return_index=True)
+        hit, runs = hit[first], runs.take(pa.array(row))
+        begin, n = begin[hit], n[hit]
+        doc = np.searchsorted(x.begins, begin, "right") - 1
+        inside = begin - x.begins[doc]
+        words = [b" ".join(x.words[d][i : i + k + window - 1]) for d, i, k in zip(doc.tolist(), inside.tolist(), n.tolist(), strict=True)]
+        counted = np.where(runs.column("weight").to_numpy() > 0, n, 0)
+        starts = _spread(begin, counted)
+        hashes = pa.StructArray.from_arrays([pa.array(_sums(x.hashes, window, b)[starts].view(np.int64)) for b in BASES[:2]], fields=list(pair))
+        ends = np.concatenate([[0], np.cumsum(counted)]).astype(np.int32)
+        columns = [runs.column(c) for c in ("fp", "run", "whole", "weight")]
+        return pa.table([*columns, pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), hashes)], schema=schema)
 
     return make
 
 
-def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
+def shard(passages: pa.Table, numbers: pa.Array, window: int) -> ahocorasick.Automaton:
+    """The automaton over the first and last window of each stretch of passages; numbers: the words of the documents, by number.
 
+    A passage with a word that no document has can't occur.
+    """
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    split = [p.split(b" ") for p in passages.column("words").to_pylist()]
+    flat = pc.index_in(pa.array(list(chain.from_iterable(split)), pa.binary()), value_set=numbers).fill_null(-1).to_numpy(zero_copy_only=False).tolist()
+    begin = 0
+    for words, good in zip(split, passages.column("good").to_pylist(), strict=True):
+        code = flat[begin : begin + len(words)]
+        begin += len(words)
+        if good is None:
+            starts = {0, len(words) - window}
+        else:
+            good.sort()
+            starts = {g for i, g in enumerate(good) if i == 0 or g != good[i - 1] + 1} | {g for i, g in enumerate(good) if i == len(good) - 1 or g != good[i + 1] - 1}
+        for s in starts:
+            pattern = code[s : s + window]
+            if -1 not in pattern:
+                machine.add_word(tuple(pattern))
+    machine.make_automaton()
+    return machine
+
+
+def covered(texts: list[list[bytes]], passages: pa.Table, window: int) -> list[np.ndarray | None]:
+    """Of each text (its words), which words lie under an occurrence of a pattern; None if there is none."""
+    flat = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+    machine = shard(passages, flat.dictionary, window)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    if not len(machine):
+        return out
+    codes, begin = flat.indices.to_numpy(zero_copy_only=False), 0
+    for d, words in enumerate(texts):
+        n = len(words)
+        if n >= window:
+            ends = [e for e, _ in machine.iter(tuple(codes[begin : begin + n].tolist()))]
+            if ends:
+                last = np.array(ends)
+                edge = np.bincount(last - window + 1, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
+                out[d] = np.cumsum(edge[:n]) > 0
+        begin += n
+    return out
 
-def _locate(window: int, out: pa.Schema):
-    def automaton(x: Batch, hit: np.ndarray):
-        """Of the passages that tile each run of recurring windows; the letters are the bucket's word codes."""
-        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for d in np.unique(np.searchsorted(x.begins, hit, "right") - 1):
-            own = hit[(hit >= x.begins[d]) & (hit < x.begins[d + 1])]
-            for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                for s in {*range(int(run[0]), int(run[-1]), window), int(run[-1])}:
-                    machine.add_word(tuple(x.codes[s : s + window].tolist()))
-        machine.make_automaton()
-        return machine
 
+def _locate(window: int, out: pa.Schema):
     def make(docs: pa.Table, passages: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out.empty_table()
         texts = docs.column("text").to_pylist()
-        x = Batch(texts, window)
-        covers = [np.zeros(n, bool) for n in x.sizes]
-        if passages.num_rows:
-            runs = passages.filter(pc.is_valid(passages.column("fp")))
-            alone = passages.filter(pc.is_valid(passages.column("h1")))
-            known = Known(runs)
-            fp, run, begin, n = x.runs(window)
-            hit, row = known.find(fp, run)
-            whole = known.whole[row]
-            at = _spread(begin[hit[whole]], n[hit[whole]])
-            some = _spread(begin[hit[~whole]], n[hit[~whole]])
-            if len(some) and alone.num_rows:
-                pairs = _key(*(alone.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
-                mine = _key(*(_sums(x.hashes, window, b)[some] for b in BASES[:2]))
-                at = np.concatenate([at, some[_within(mine, np.sort(pairs))]])
-            at = np.sort(at)
-            machine = automaton(x, at)
-            for d in np.flatnonzero(x.sizes >= window) if len(machine) else ():
-                for end, _ in machine.iter(tuple(x.codes[x.begins[d] : x.begins[d + 1]].tolist())):
-                    covers[d][end - window + 1 : end + 1] = True
-        rows = {"n_words": x.sizes, "n_removed": np.array([int(c.sum()) for c in covers], np.int64)}
-        digests, kept_texts = [], []
-        for t, w, c in zip(texts, x.words, covers, strict=True):
-            gone = c.any()
-            left = [a for a, k in zip(w, c.tolist(), strict=True) if not k] if gone else w
-            digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            kept_texts.append(_cut(t, c) if gone else t)
-        made = {"n_words": pa.array(rows["n_words"]), "n_removed": pa.array(rows["n_removed"]), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(kept_texts, pa.string())}
-        return pa.table([made[f.name] if f.name in made else docs.column(f.name) for f in out], names=out.names).cast(out)
+        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        covers = covered(words, passages, window) if passages.num_rows else [None] * len(texts)
+        digests, kept_texts, removed = [], [], []
+        for t, w, c in zip(texts, words, covers, strict=True):
+            left = w if c is None else [a for a, k in zip(w, c.tolist(), strict=True) if not k]
+            removed.append(len(w) - len(left))
+            if "kept_sha256" in out.names:
+                digests.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            if "kept_text" in out.names:
+                kept_texts.append(t if c is None else _cut(t, c))
+        made = {
+            "n_words": lambda: pa.array([len(w) for w in words], pa.int64()),
+            "n_removed": lambda: pa.array(removed, pa.int64()),
+            "kept_sha256": lambda: pa.array(digests, pa.string()),
+            "kept_text": lambda: pa.array(kept_texts, pa.string()),
+        }
+        return pa.table([made[f.name]() if f.name in made else docs.column(f.name) for f in out], names=out.names).cast(out)
 
     return make
 
@@ -266,21 +286,27 @@ def _cut(text: str, cover: np.ndarray) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass").rstrip(" \t\n\r\x0b\x0c")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """`docs` (doc_id, text, more columns) with n_words, n_removed, kept_sha256 and, unless switched off, kept_text.
+RESULTS = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, results: tuple[str, ...] = tuple(RESULTS), with_text: bool = True) -> DataFrame:
+    """`docs` (doc_id, text, more columns) with the results asked for; without text, unless switched on.
 
-    kept_sha256 is of the kept words joined by one space. Columns of those names are replaced.
+    kept_sha256 is of the kept words joined by one space. Columns of those names are replaced. Buckets have about
+    BUCKET_BYTES of text and a partition each on average, whatever the size of the table.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    n = bucket_count(docs)
-    names = [c for c in docs.columns if with_text or c in ("doc_id", "text")]
-    dealt = docs.select(*names).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    runs = stored(recurring_runs(fingerprints(dealt, window)), "runs")
+    docs = docs.drop(*RESULTS)
+    n, bucket = bucket_count(docs), free_name(docs, "_bucket")
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    counted = stored(fingerprints(docs.select("text", number.alias("_bucket")), window), "fingerprints")
+    runs = stored(recurring_runs(counted), "runs")
     # Both passes read the same columns, so that the documents are dealt out once.
-    found = dealt.groupBy("_bucket").cogroup(runs.filter("weight > 0").groupBy("_bucket")).applyInArrow(_candidates(window), "h1 long, h2 long, _bucket long, n long, asks boolean")
-    passages = runs.unionByName(recurring_windows(found), allowMissingColumns=True)
-    kept = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", "_bucket") or (with_text and f.name == "text")])
-    kept = kept.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    if with_text:
-        kept = kept.add("kept_text", "string")
-    return dealt.groupBy("_bucket").cogroup(passages.groupBy("_bucket")).applyInArrow(_locate(window, to_arrow_schema(kept)), kept)
+    dealt = docs.withColumn(bucket, number).repartition(n, bucket)
+    speakers = runs.filter("speaks").groupBy("_bucket")
+    spoken = stored(dealt.groupBy(bucket).cogroup(speakers).applyInArrow(_speak(window), SPOKEN), "spoken")
+    discard(counted)
+    passages = passages_of(runs, spoken)
+    schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", bucket) or (with_text and f.name == "text")])
+    for name in results:
+        schema = schema.add(name, RESULTS[name])
+    return dealt.groupBy(bucket).cogroup(passages.groupBy("_bucket")).applyInArrow(_locate(window, to_arrow_schema(schema)), schema)
