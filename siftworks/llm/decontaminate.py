@@ -7,10 +7,13 @@
    the alignment p - i. A window is a candidate where the lists of all its rarest terms agree.
 4. Candidates are matched word for word in the document, and the covered words counted.
 
-Only DataFrame functions are used. Test items are broadcast while their windows stay under
-MAX_BROADCAST_ROWS, else the same joins shuffle. Documents are keyed by id and text digest, so repeated
-ids with different texts stay apart. A null or empty text has no words: nothing is hit. Items without
-words are never found. All rows of `docs` come back, extra columns are dropped.
+Only DataFrame functions are used. Texts are split into words once, into a written table that all passes
+read. Tables of test terms are broadcast while their files have at most `common.SMALL_BYTES`, else the same
+joins shuffle. Documents and items are keyed by id and
+text digest, so repeated ids with different texts stay apart; rows that repeat id and text count once in
+the index and come back each. A null or empty text has no words: nothing is hit. Items without words are
+never found; a null item_id is found but has no name to list. All rows of `docs` come back, extra columns
+are dropped by `phrase_hits` and kept by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, row_key, stored
+from .common import free_name, kept, small, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, RAREST, MAX_BROADCAST_ROWS = 13, 3, 2_000_000
+WINDOW, RAREST = 13, 3
 
 
 def words(text: Column) -> Column:
@@ -30,55 +33,59 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, pos, term) of every word; the frame holds doc_id, _h and text."""
-    return docs.select("doc_id", "_h", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+def digest(text: Column) -> Column:
+    """16 bytes of a text, the same for null and empty texts."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_words, start, terms): a shorter item is one window."""
-    split = items.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("item_words") - window, F.lit(0)))
-    return split.select("item_id", "item_words", F.explode(starts).alias("start")).withColumn(
-        "terms", F.expr(f"slice(item_words, start + 1, {window})")
-    )
+def split_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h, n_words, w): the words of each text and its digest, one row for each row of `docs`."""
+    return docs.select("doc_id", digest(F.col("text")).alias("_h"), words(F.col("text")).alias("w")).select("doc_id", "_h", F.size("w").cast("bigint").alias("n_words"), "w")
+
 
+def tokens(split: DataFrame) -> DataFrame:
+    """(doc_id, _h, pos, term) of every word of split documents."""
+    return split.select("doc_id", "_h", F.posexplode("w").alias("pos", "term"))
 
-def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if its counted rows are under the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
 
+def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, item_id, item_words, start, terms): a shorter item is one window; item tells rows of one id apart."""
+    split = items.select("item_id", "text").distinct().withColumn("item_words", words(F.col("text"))).filter(F.size("item_words") > 0)
+    split = split.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "item_words")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("item_words") - window, F.lit(0)))
+    return split.withColumn("start", F.explode(starts)).withColumn("terms", F.expr(f"slice(item_words, start + 1, {window})"))
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+
+def term_counts(split: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Occurrences in all documents of each term of the vocabulary."""
-    return tokens(docs).join(small(vocabulary), "term").groupBy("term").count()
+    return split.select(F.explode("w").alias("term")).join(small(vocabulary), "term").groupBy("term").count()
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(item_id, start, ipos, term) of the rarest terms of each window all of whose terms occur."""
-    places = windows.select("item_id", "start", F.posexplode("terms").alias("off", "term"))
+    """(item, start, ipos, term) of the rarest terms of each window all of whose terms occur."""
+    places = windows.select("item", "start", F.posexplode("terms").alias("off", "term"))
     places = places.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    by = Window.partitionBy("item_id", "start")
+    by = Window.partitionBy("item", "start")
     ranked = places.withColumn("least", F.min("count").over(by)).withColumn(
         "rank", F.row_number().over(by.orderBy("count", "term", "off"))
     )
-    return ranked.filter(f"least > 0 AND rank <= {rarest}").select("item_id", "start", (F.col("start") + F.col("off")).alias("ipos"), "term")
+    return ranked.filter(f"least > 0 AND rank <= {rarest}").select("item", "start", (F.col("start") + F.col("off")).alias("ipos"), "term")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def postings(split: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: postings of the terms over the whole corpus."""
-    return tokens(docs).join(small(terms), "term")
+    return tokens(split).join(small(terms), "term")
 
 
 def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Intersects offset-adjusted lists: (doc_id, _h, item_id, delta, starts) of candidate windows."""
-    needed = kept(anchors.groupBy("item_id", "start").agg(F.collect_set("ipos").alias("need")))
-    by_item = kept(needed.groupBy("item_id").agg(F.collect_list(F.struct("start", "need")).alias("windows")))
-    places = kept(anchors.select("term", "item_id", "ipos").distinct())
-    votes = index.join(small(places), "term").select("doc_id", "_h", "item_id", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
-    agreed = votes.groupBy("doc_id", "_h", "item_id", "delta").agg(F.collect_set("ipos").alias("got"))
+    """Intersects offset-adjusted lists: (doc_id, _h, item, delta, starts) of candidate windows."""
+    needed = kept(anchors.groupBy("item", "start").agg(F.collect_set("ipos").alias("need")))
+    by_item = kept(needed.groupBy("item").agg(F.collect_list(F.struct("start", "need")).alias("windows")))
+    places = kept(anchors.select("term", "item", "ipos").distinct())
+    votes = index.join(small(places), "term").select("doc_id", "_h", "item", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
+    agreed = votes.groupBy("doc_id", "_h", "item", "delta").agg(F.collect_set("ipos").alias("got"))
     fits = F.expr("transform(filter(windows, w -> forall(w.need, p -> array_contains(got, p))), w -> w.start)")
-    return agreed.join(small(by_item), "item_id").withColumn("starts", fits).filter("size(starts) > 0").select("doc_id", "_h", "item_id", "delta", "starts")
+    return agreed.join(small(by_item), "item").withColumn("starts", fits).filter("size(starts) > 0").select("doc_id", "_h", "item", "delta", "starts")
 
 
 def proximity(index: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
@@ -87,44 +94,40 @@ def proximity(index: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
     Blocks of `span` words make it an equi join: a posting meets those of its own and the two next blocks.
     """
     block = F.floor(F.col("pos") / span)
-    a = index.join(small(pairs), index.term == pairs.term_a).select("pair_id", "doc_id", "_h", F.col("pos").alias("pos_a"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    b = index.join(small(pairs), index.term == pairs.term_b).select("pair_id", "doc_id", "_h", F.col("pos").alias("pos_b"), block.alias("block"))
+    a = index.join(pairs, index.term == pairs.term_a).select("pair_id", "doc_id", "_h", F.col("pos").alias("pos_a"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    b = index.join(pairs, index.term == pairs.term_b).select("pair_id", "doc_id", "_h", F.col("pos").alias("pos_b"), block.alias("block"))
     near = a.join(b, ["pair_id", "doc_id", "_h", "block"]).filter((F.abs(F.col("pos_a") - F.col("pos_b")) <= span) & (F.col("pos_a") != F.col("pos_b")))
     return near.groupBy("pair_id", "doc_id", "_h").agg(F.min(F.abs(F.col("pos_a") - F.col("pos_b"))).alias("distance"))
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted strings of item_ids with occurring windows) and the text.
-
-    The candidates join documents that were keyed by id and digest; only `doc_id` and `text` are used.
-    """
-    docs = row_key(docs.select("doc_id", "text"), "doc_id", "text")
+def marked(split: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, _h, n_words, n_hit, items) of the documents in which a window occurs. items: item_ids as sorted strings."""
     windows = kept(item_windows(items, window))
     vocabulary = kept(windows.select(F.explode("terms").alias("term")).distinct())
-    counts = kept(term_counts(docs, vocabulary))
-    anchors = kept(rarest_terms(windows, counts))
-    index = stored(postings(docs, kept(anchors.select("term").distinct())), "postings")
-    found = alignments(index, anchors).join(small(kept(windows.select("item_id", "item_words").distinct())), "item_id")
-    per_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh")).agg(
-        F.collect_list(F.struct("item_id", "delta", "starts", "item_words")).alias("cands")
-    )
-    both = docs.join(per_doc, docs.doc_id.eqNullSafe(per_doc._id) & (docs._h == per_doc._hh), "left")
-    both = both.select("doc_id", "text", words(F.col("text")).alias("w"), "cands")
+    anchors = kept(rarest_terms(windows, kept(term_counts(split, vocabulary))))
+    index = stored(postings(split, kept(anchors.select("term").distinct())), "postings")
+    found = alignments(index, anchors).join(small(kept(windows.select("item", "item_id", "item_words").distinct())), "item")
+    cands = stored(found.select("doc_id", "_h", F.struct("item_id", "delta", "starts", "item_words").alias("c")).groupBy("doc_id", "_h").agg(F.collect_list("c").alias("cands")), "candidates")
+    both = split.alias("d").join(cands.alias("c"), F.col("d._h").eqNullSafe(F.col("c._h")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.*", "cands")
     spans = F.expr(f"""
-        flatten(transform(coalesce(cands, array()), c -> transform(
+        flatten(transform(cands, c -> transform(
             filter(c.starts, s -> c.delta + s >= 0 AND
                 slice(w, greatest(c.delta + s, 0) + 1, {window}) = slice(c.item_words, s + 1, {window})
                 OR (c.delta + s >= 0 AND size(c.item_words) < {window} AND
                     slice(w, greatest(c.delta + s, 0) + 1, size(c.item_words)) = c.item_words)),
             s -> struct(c.item_id AS item, c.delta + s AS at, least({window}, size(c.item_words)) AS len))))""")
-    both = both.withColumn("spans", spans)
-    return both.select(
-        "doc_id",
-        "text",
-        F.size("w").cast("bigint").alias("n_words"),
-        F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.at, x.at + x.len - 1)))))").cast("bigint").alias("n_hit"),
-        F.expr("array_sort(array_distinct(transform(spans, x -> cast(x.item AS string))))").alias("items"),
-    )
+    hit = F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.at, x.at + x.len - 1)))))").cast("bigint")
+    named = F.expr("array_sort(array_distinct(filter(transform(spans, x -> cast(x.item AS string)), i -> i IS NOT NULL)))")
+    return both.withColumn("spans", spans).select("doc_id", "_h", "n_words", hit.alias("n_hit"), named.alias("items")).filter("n_hit > 0")
+
+
+def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_hit, items (sorted strings of item_ids with occurring windows)."""
+    split = stored(split_documents(docs), "words")
+    hits = kept(marked(split, items, window).select("doc_id", "_h", "n_hit", "items").dropDuplicates(["doc_id", "_h"]))
+    on = F.col("d._h").eqNullSafe(F.col("h._h")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
+    rows = split.select("doc_id", "_h", "n_words").alias("d").join(hits.alias("h"), on, "left")
+    return rows.select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> Column:
@@ -134,7 +137,8 @@ def contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents that aren't contaminated, all their columns as they were."""
-    marks = phrase_hits(docs, items, window).filter(contaminated())
-    bad = row_key(marks, "doc_id", "text").select(F.col("doc_id").alias("_bad_id"), F.col("_h").alias("_bad_h")).distinct()
-    keyed = docs.withColumn("_row_h", F.xxhash64("text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_row_h") == F.col("_bad_h")), "left_anti").drop("_row_h")
+    split = stored(split_documents(docs), "words")
+    bad = kept(marked(split, items, window).filter(contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("_h").alias("bad_h")).distinct())
+    h = free_name(docs, "_h")
+    on = F.col(f"d.{h}").eqNullSafe(F.col("b.bad_h")) & F.col("d.doc_id").eqNullSafe(F.col("b.bad_id"))
+    return docs.withColumn(h, digest(F.col("text"))).alias("d").join(bad.alias("b"), on, "left_anti").drop(h)
