@@ -21,11 +21,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under windows that recur go; documents stay, with what is left of their text."""
-    cut = substring_dedup.dedup_substrings(docs)
-    cut = cut.withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    aside = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = substring_dedup.dedup_substrings(docs.withColumnsRenamed(aside), results=("n_removed", "kept_text"), with_text=False)
+    columns = {c: F.col(aside.get(c, c)) for c in docs.columns} | {"text": F.col("kept_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(columns["n_chars"])
+    return cut.select(*(column.alias(name) for name, column in columns.items()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
