@@ -64,10 +64,14 @@ def indent_blocks(lines: DataFrame) -> DataFrame:
     """(repo, path, lang, first_line, last_line): Python functions, up to the line before the next one not indented deeper."""
     py = lines.filter("lang = 'python'").withColumn("indent", indent(F.col("line"))).filter(F.trim("line") != "")
     heads = py.filter(F.col("line").rlike(r"^\s*(?:async\s+)?def\s+\w+")).select("repo", "path", "lang", F.col("line_no").alias("first_line"), F.col("indent").alias("head"))
-    rest = py.select("repo", "path", "line_no", "indent")
-    ends = heads.join(rest, ["repo", "path"]).filter("line_no > first_line AND indent <= head").groupBy("repo", "path", "first_line").agg(F.min("line_no").alias("next"))
+    # Each line once for each indentation that a head of its file has: the next line not deeper is a running minimum from below.
+    levels = heads.select("repo", "path", F.col("head").alias("level")).distinct()
+    below = Window.partitionBy("repo", "path", "level").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = py.select("repo", "path", "line_no", "indent").join(levels, ["repo", "path"])
+    rows = rows.withColumn("next", F.min(F.when(F.col("indent") <= F.col("level"), F.col("line_no"))).over(below))
+    ends = rows.select("repo", "path", F.col("line_no").alias("first_line"), F.col("level").alias("head"), "next")
     last = lines.filter("lang = 'python'").groupBy("repo", "path").agg((F.max("line_no") + 1).alias("end"))
-    return heads.join(ends, ["repo", "path", "first_line"], "left").join(last, ["repo", "path"]).select("repo", "path", "lang", "first_line", (F.coalesce("next", "end") - 1).alias("last_line"))
+    return heads.join(ends, ["repo", "path", "first_line", "head"], "left").join(last, ["repo", "path"]).select("repo", "path", "lang", "first_line", (F.coalesce("next", "end") - 1).alias("last_line"))
 
 
 def all_blocks(lines: DataFrame) -> DataFrame:
@@ -75,9 +79,9 @@ def all_blocks(lines: DataFrame) -> DataFrame:
 
 
 def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines of each block after its first: an equi join on the file with the range left over."""
-    b = blocks.select("repo", "path", "first_line", "last_line")
-    return lines.join(b, ["repo", "path"]).filter("line_no > first_line AND line_no <= last_line")
+    """Lines of each block after its first: an equi join on line numbers, a row for each line that a block holds."""
+    b = blocks.filter("last_line > first_line").select("repo", "path", "first_line", F.explode(F.expr("sequence(first_line + 1, last_line)")).alias("line_no"))
+    return lines.join(b, ["repo", "path", "line_no"])
 
 
 def doc_code_ratio(lines: DataFrame, most: float = 3.0, least: int = 3) -> DataFrame:

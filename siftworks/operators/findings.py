@@ -96,9 +96,11 @@ def time_buckets(items: DataFrame) -> DataFrame:
         .when(F.col("priority") >= 5, "medium")
         .otherwise("backlog")
     )
-    sizes = F.when(F.col("bucket") == "immediate", 5).when(F.col("bucket") == "short", 10).when(F.col("bucket") == "medium", 15).otherwise(20)
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("priority"), "id"))
-    return items.withColumn("bucket", bucket).withColumn("place", place).filter(F.col("place") <= sizes)
+    sizes = {"immediate": 5, "short": 10, "medium": 15, "backlog": 20}
+    dealt = items.withColumn("bucket", bucket)
+    # Each bucket's best by partial sorts, so that no task holds a bucket.
+    best = reduce(DataFrame.unionByName, [dealt.filter(F.col("bucket") == b).orderBy(F.desc("priority"), "id").limit(n) for b, n in sizes.items()])
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("priority"), "id")))
 
 
 def score_tasks(tasks: DataFrame, recent_words: DataFrame, as_of: str, top: int) -> DataFrame:

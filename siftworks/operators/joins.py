@@ -153,21 +153,30 @@ def text_overlap(a: DataFrame, b: DataFrame, share: float = 0.8, flag: float = 0
     of them, so only the rarest that many are joined on; the share itself is tested on the word arrays.
     """
     sa, sb = sentences(a, "a_id").withColumn("n", F.size("words")), sentences(b, "b_id")
-    words_b = sb.select(F.col("id").alias("b_id"), F.col("sentence").alias("b_sentence"), F.explode("words").alias("word"), F.col("words").alias("b_words"))
+    words_b = sb.select(F.col("id").alias("b_id"), F.col("sentence").alias("b_sentence"), F.explode("words").alias("word"))
     freq = words_b.groupBy("word").agg(F.count("*").alias("f"))
     each = sa.select("id", "sentence", "n", F.explode("words").alias("word")).join(freq, "word", "left")
     rank = F.row_number().over(Window.partitionBy("id", "sentence").orderBy(F.coalesce("f", F.lit(0)), "word"))
     rare = each.withColumn("rank", rank).filter(F.col("rank") <= F.floor((1 - share) * F.col("n") + 1e-9) + 1)
-    pairs = rare.select("id", "sentence", "word").join(words_b, "word").join(sa.select("id", "sentence", "words", "n"), ["id", "sentence"])
+    met = rare.select("id", "sentence", "word").join(words_b, "word").select("id", "sentence", "b_id", "b_sentence").distinct()
+    pairs = met.join(sa.select("id", "sentence", "words", "n"), ["id", "sentence"]).join(sb.select(F.col("id").alias("b_id"), F.col("sentence").alias("b_sentence"), F.col("words").alias("b_words")), ["b_id", "b_sentence"])
     hit = pairs.filter(F.size(F.array_intersect("words", "b_words")) > F.col("n") * share).select("id", "sentence").distinct()
     per = sa.join(hit.withColumn("hit", F.lit(1)), ["id", "sentence"], "left").groupBy("id").agg(F.count("*").alias("sentences"), F.coalesce(F.sum("hit"), F.lit(0)).alias("covered"))
     return per.withColumn("flagged", F.col("covered") / F.col("sentences") > flag)
 
 
 def _blocks(c: Column) -> Column:
-    """Keys such that names which contain each other, or are two edits apart, share one."""
+    """Keys such that names which contain each other, or are two edits apart, share one.
+
+    Names of ten letters or more keep a trigram through two edits; shorter ones share what is left after two deletions at most.
+    """
+
+    def without(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.length(s))))
+
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    near = F.when(F.length(c) <= 9, F.transform(F.sequence(F.length(c) - 1, F.length(c) + 1), lambda n: F.concat(F.lit("#"), n.cast("string")))).otherwise(F.array().cast("array<string>"))
+    left = F.concat(F.array(c), without(c), F.flatten(F.transform(without(c), without)))
+    near = F.when(F.length(c) <= 9, F.transform(left, lambda s: F.concat(F.lit("#"), s))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(grams, near))
 
 

@@ -169,8 +169,11 @@ def repeated_phrases(docs: DataFrame, n: int = 3, least: int = 4) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^a-z0-9à-ÿ]+"), lambda x: x != "")
     grams = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= n)
     starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-    each = grams.select("doc_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("phrase"))
-    return each.groupBy("doc_id", "phrase").agg(F.count("*").alias("times")).filter(F.col("times") >= least)
+    # Sorted within the row, equal phrases make runs; a run's length is the distance to the next one. Nothing is shuffled.
+    runs = grams.select("doc_id", F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("s"))
+    runs = runs.select("doc_id", "s", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[i - 1])").alias("first"))
+    times = F.expr("transform(first, (p, k) -> struct(s[p] AS phrase, cast(coalesce(get(first, k + 1), size(s)) - p AS bigint) AS times))")
+    return runs.select("doc_id", F.inline(F.filter(times, lambda x: x["times"] >= least)))
 
 
 def duplicate_strings(lines: DataFrame, more_than: int = 5) -> DataFrame:

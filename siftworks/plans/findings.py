@@ -55,9 +55,9 @@ _MULTI = _MIXED + """, multi AS (SELECT path, line_no, CASE WHEN line_no % 2 = 0
 def d3(spark, d):
     m = mixed(spark, d)
     fixable = F.col("fix") != "flag"
-    one = m.select("path", "line_no", F.when(F.col("line_no") % 2 == 0, F.concat(F.upper("severity"), F.lit(" "))).otherwise(F.col("severity")).alias("issue"), F.concat(F.lit("a"), (F.length("rule") % 3).cast("string")).alias("source"), fixable.alias("fixable"), "certainty", F.col("rule").alias("seq"))
-    two = m.select("path", "line_no", F.col("severity").alias("issue"), F.lit("b").alias("source"), F.lit(False).alias("fixable"), F.lit("LOW").alias("certainty"), F.concat(F.lit("zz"), "rule").alias("seq"))
-    return fi.dedupe_findings(fi.union_findings(one, two))
+    one = F.struct(F.when(F.col("line_no") % 2 == 0, F.concat(F.upper("severity"), F.lit(" "))).otherwise(F.col("severity")).alias("issue"), F.concat(F.lit("a"), (F.length("rule") % 3).cast("string")).alias("source"), fixable.alias("fixable"), F.col("certainty"), F.col("rule").alias("seq"))
+    two = F.struct(F.col("severity").alias("issue"), F.lit("b").alias("source"), F.lit(False).alias("fixable"), F.lit("LOW").alias("certainty"), F.concat(F.lit("zz"), "rule").alias("seq"))
+    return fi.dedupe_findings(m.select("path", "line_no", F.inline(F.array(one, two))))
 
 
 _REVIEW = """reviews AS (SELECT 'pass' || (l_suppkey % 4) AS pass, 'f' || (l_partkey % 50) AS path, l_suppkey AS line_no, l_returnflag AS text, ['critical','high','medium','low'][l_linenumber % 4 + 1] AS severity,

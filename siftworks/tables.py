@@ -72,6 +72,8 @@ HEADERS = {
     "markdown": ("See [file](src/m1/f", ".js) and [top](#overview)."),
 }
 PARTS = 4
+#: What stands before each line of a text in a file; `//` elsewhere.
+MARKS = {"python": "# ", "markdown": ""}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,9 +102,12 @@ def _per_language(lang: Column, pick) -> Column:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, doc_id, lang, content): one source file or Markdown page for each document."""
+    """(repo, path, doc_id, lang, content): one source file or Markdown page for each document, with its whole text.
+
+    The text's lines are comment lines of a source file and the body's last part of a page, after a head and snippets.
+    """
     lang = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), lang.alias("lang"), F.split("text", "\n").getItem(0).alias("said"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("said"))
     ext = _per_language(F.col("lang"), lambda n: F.lit(EXTENSIONS[n]))
     test = F.col("doc_id") % 11 == 0
     name = F.concat(F.lit("f"), (F.col("doc_id") + F.when(test, 7).otherwise(0)).cast("string"))
@@ -114,7 +119,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(i: int) -> Column:
         return _per_language(F.col("lang"), lambda n: F.element_at(F.array(*map(F.lit, SNIPPETS[n])), ((F.col("doc_id") * 7 + i * 13) % len(SNIPPETS[n]) + 1).cast("int")))
 
-    said = F.concat(_per_language(F.col("lang"), lambda n: F.lit({"python": "# ", "markdown": ""}.get(n, "// "))), "said")
+    mark = _per_language(F.col("lang"), lambda n: F.lit(MARKS.get(n, "// ")))
+    said = F.concat(mark, F.replace(F.col("said"), F.lit("\n"), F.concat(F.lit("\n"), mark)))
     return docs.select("repo", path.alias("path"), "doc_id", "lang", F.concat_ws("\n", head, *[part(i) for i in range(PARTS)], said).alias("content"))
 
 
@@ -125,9 +131,10 @@ def _case(pick) -> str:
 def _files_sql() -> str:
     parts = [_case(lambda n, i=i: f"[{', '.join(map(quoted, SNIPPETS[n]))}][(doc_id * 7 + {i * 13}) % {len(SNIPPETS[n])} + 1]") for i in range(PARTS)]
     head = _case(lambda n: f"{quoted(HEADERS[n][0])} || ((3 * doc_id + 1) % 1000) || {quoted(HEADERS[n][1])}")
-    said = _case(lambda n: quoted({"python": "# ", "markdown": ""}.get(n, "// "))) + " || said"
+    mark = _case(lambda n: quoted(MARKS.get(n, "// ")))
+    said = f"{mark} || replace(said, chr(10), chr(10) || {mark})"
     ext = _case(lambda n: quoted(EXTENSIONS[n]))
-    return f"""code_docs AS (SELECT doc_id, source AS repo, string_split(text, chr(10))[1] AS said, {LANGUAGES}[doc_id % 7 + 1] AS lang FROM documents),
+    return f"""code_docs AS (SELECT doc_id, source AS repo, coalesce(text, '') AS said, {LANGUAGES}[doc_id % 7 + 1] AS lang FROM documents),
 code_files AS (SELECT repo, (CASE WHEN doc_id % 13 = 0 THEN 'node_modules/' ELSE '' END) || (CASE WHEN doc_id % 11 = 0 THEN 'tests/' ELSE 'src/m' || (doc_id % 5) || '/' END)
   || 'f' || (doc_id + CASE WHEN doc_id % 11 = 0 THEN 7 ELSE 0 END) || (CASE WHEN doc_id % 11 = 0 THEN '.test' ELSE '' END) || {ext} AS path,
   doc_id, lang, concat_ws(chr(10), {head}, {', '.join(parts)}, {said}) AS content FROM code_docs)"""
