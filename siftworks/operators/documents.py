@@ -213,10 +213,85 @@ DOC_RULES = [
 ]
 
 
-def doc_rule_scan(docs: DataFrame, id_col: str, verbose: bool = False, rules: list[DocRule] = DOC_RULES) -> DataFrame:
+@dataclass(frozen=True)
+class TextRule:
+    """A rule on one text that weighs several counts.
+
+    when: a condition in SQL. {0}, {1} ... count the patterns in the text, {f0} ... the front patterns in its front matter;
+    {chars}, {words}, {jumps} (headings more than a level below the one before) and {short} (sections of fewer than 20 tokens).
+    """
+
+    name: str
+    category: str
+    certainty: str
+    patterns: tuple[str, ...]
+    when: str
+    front: tuple[str, ...] = ()
+
+    def render(self, count, front: str, **measures: str) -> tuple[str, str]:
+        """(condition, value) in one engine's SQL. count(text, pattern): its expression; front: that of the front matter."""
+        counts = [count("text", p) for p in self.patterns]
+        fields = {f"f{i}": count(front, p) for i, p in enumerate(self.front)}
+        return self.when.format(*counts, **fields, **measures), counts[0] if counts else measures["chars"]
+
+
+FRONT, HEADINGS, JUMP = r"(?s)^\s*---[ \t]*\n(.*?)\n---", r"(?m)^(#{1,6})\s", r"(?:^| )(?:# #{3}|## #{4}|### #{5}|#### #{6})"
+_VAGUE = ("usually", "sometimes", "often", "rarely", "maybe", "might", "could", "should probably", "try to", "as much as possible", "if possible")
+_COT = (r"(?i)step[- ]by[- ]step|<thinking>", r"##\s+")
+_XML = r"<\w+>"
+# Rules of prompts, agents, documents and instruction files that weigh several counts.
+TEXT_RULES = [
+    TextRule("inconsistent_sections", "structure", "MEDIUM", (r"(?m)^##\s+", r"(?m)^\*\*[^*]+\*\*\s*$"), "({0} >= 2 AND {1} >= 2) OR {jumps} > 0"),
+    TextRule("suboptimal_example_count", "examples", "MEDIUM", (r"(?i)##\s*example|<good[_-]?example>|<bad[_-]?example>|<example>",), "{0} = 1 OR {0} > 7"),
+    TextRule("examples_without_contrast", "examples", "MEDIUM", (r"(?i)<example>|##\s*example", r"(?i)<good[_-]?example>|\bgood example\b|\bcorrect\b", r"(?i)<bad[_-]?example>|\bbad example\b|\bincorrect\b|\bwrong\b"), "{0} >= 3 AND {1} = 0 AND {2} = 0"),
+    TextRule("missing_instruction_priority", "context", "MEDIUM", (r"(?i)##\s*(?:constraints?|rules?|requirements?)", r"(?i)\bmust\b", r"(?i)##\s*(?:priority|priorities)|<instruction[_-]?priority>|\bin case of conflict|\bpriority\s*(?:order|:\s*\d)|\b(?:highest|lowest|first|second|third)\s+priority\b"), "{chars} > 2396 AND {2} = 0 AND ({0} >= 2 OR {1} >= 8)"),
+    TextRule("overly_prescriptive", "anti-pattern", "MEDIUM", (r"(?m)^\s*\d+\.\s+\w+", r"(?i)\b(?:first|then|next|finally),?\s+(?:you\s+)?(?:must|should|need to)\b"), "{0} >= 10 OR {1} >= 6"),
+    TextRule("missing_frontmatter", "structure", "HIGH", (r"^\s*---",), "{0} = 0"),
+    TextRule("missing_name", "structure", "HIGH", (r"^\s*---",), "{0} > 0 AND {f0} = 0", (r"(?m)^name:[ \t]*\S",)),
+    TextRule("missing_description", "structure", "HIGH", (r"^\s*---",), "{0} > 0 AND {f0} = 0", (r"(?m)^description:[ \t]*\S",)),
+    TextRule("unrestricted_tools", "tool", "HIGH", (r"^\s*---",), "{0} > 0 AND {f0} = 0", (r"(?m)^tools:\s*\S",)),
+    TextRule("unrestricted_bash", "tool", "HIGH", (r"^\s*---",), "{0} > 0 AND {f0} > 0", (r"(?m)^tools:(?:.*[,\[ \t])?[Bb]ash[ \t]*(?:[,\]]|$)|^\s*-[ \t]*[Bb]ash[ \t]*$",)),
+    TextRule("agent_missing_xml_structure", "xml", "MEDIUM", (r"##\s+", r"(?m)^\s*[-*]\s+", "```", _XML), "({0} >= 5 OR ({1} > 0 AND {2} > 0)) AND {3} = 0"),
+    TextRule("unnecessary_cot", "cot", "MEDIUM", _COT, "{0} > 0 AND {1} < 4 AND {words} < 500"),
+    TextRule("missing_cot", "cot", "MEDIUM", (*_COT, r"(?i)analy[sz]e|evaluate|assess|review", r"(?i)reasoning|think\s+through"), "{words} > 1000 AND {1} >= 5 AND {2} > 0 AND {0} = 0 AND {3} = 0"),
+    TextRule("example_count_suboptimal", "example", "LOW", (r"(?i)##\s+example|<good[- ]?example>|<bad[- ]?example>",), "{0} > 0 AND ({0} < 2 OR {0} > 5)"),
+    TextRule("agent_vague_instructions", "anti-pattern", "MEDIUM", tuple(rf"(?i)\b{w}\b" for w in _VAGUE), " + ".join(f"least({{{i}}}, 1)" for i in range(len(_VAGUE))) + " > 3"),
+    TextRule("agent_prompt_bloat", "anti-pattern", "LOW", (), "{chars} > 8000"),
+    TextRule("no_xml_for_data", "cross-platform", "LOW", (r"(?s)```.+?```", r"(?m)^[-*]\s+.+$", r"(?m)^##\s+", r"(?s)<\w+>.*?</\w+>"), "({0} > 0 OR {1} > 0) AND {2} >= 4 AND {3} = 0"),
+    TextRule("suboptimal_chunking", "rag", "MEDIUM", (r"(?m)^#{1,6}\s+",), "({chars} > 2000 AND {0} < floor(ceil({chars} / 4) / 500)) OR {short} > 0"),
+    TextRule("missing_architecture", "structure", "HIGH", (r"(?i)##\s+architecture|##\s+(?:project\s+)?structure|##\s+overview", r"(?s)```.*?(?:├──|└──|lib/|src/).*?```"), "{0} = 0 AND {1} = 0"),
+    TextRule("excessive_token_count", "efficiency", "MEDIUM", (), "{chars} > 6000"),
+    TextRule("verbose_instructions", "efficiency", "MEDIUM", (r"[^\n]{200,}", r"\n"), "{0} > 3 AND {chars} - {1} > 80 * ({1} + 1)"),
+    TextRule("memory_missing_why", "quality", "MEDIUM", (r"(?i)must|never|always|do not|required|important", r"(?i)\*WHY:|WHY:|because|reason:|rationale:"), "{0} > 5 AND 3 * {1} < {0}"),
+    TextRule("example_overload", "efficiency", "LOW", (r"(?s)```.*?```", r"(?i)##\s+example", r"(?i)<(?:good-)?example>"), "{0} + {1} + {2} > 10"),
+]
+
+
+def _literal(text: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _count(text: str, pattern: str) -> str:
+    return f"regexp_count({text}, {_literal(pattern)})"
+
+
+_FRONT_MATTER = f"regexp_extract(text, {_literal(FRONT)}, 1)"
+_MEASURES = {
+    "chars": "length(text)",
+    "words": f"size(split(text, {_literal(chr(92) + 's+')}))",
+    "jumps": _count(f"array_join(regexp_extract_all(text, {_literal(HEADINGS)}, 1), ' ')", JUMP),
+    "short": f"size(filter(slice(split(text, {_literal('(?m)^#{1,6}' + chr(92) + 's+')}, -1), 2, 1000000000), x -> length(x) <= 76))",
+}
+
+
+def doc_rule_scan(docs: DataFrame, id_col: str, verbose: bool = False, rules: list[DocRule | TextRule] = [*DOC_RULES, *TEXT_RULES]) -> DataFrame:  # noqa: B006
     """(id, rule, category, certainty, value) of the rules that fire; those of LOW certainty only if verbose."""
 
-    def row(r: DocRule) -> Column:
+    def row(r: DocRule | TextRule) -> Column:
+        if isinstance(r, TextRule):
+            when, first = r.render(_count, _FRONT_MATTER, **_MEASURES)
+            return F.when(F.expr(when), F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.certainty).alias("certainty"), F.expr(first).cast("bigint").alias("value")))
         value = reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(p)) for p in r.counts])
         fires = (value <= r.threshold) if r.at_most else (value >= r.threshold)
         fires = fires & (F.length("text") > r.longer_than)

@@ -141,6 +141,17 @@ def _doc_rules_sql(source: str, key: str, verbose: bool) -> str:
         value = " + ".join(f"len(regexp_extract_all(text, {q(p)}))" for p in r.counts)
         cond = f"({value}) {'<=' if r.at_most else '>='} {r.threshold} AND length(text) > {r.longer_than}" + (f" AND NOT regexp_matches(text, {q(r.unless)})" if r.unless else "")
         parts.append(f"SELECT {key}, '{r.name}' AS rule, '{r.category}' AS category, '{r.certainty}' AS certainty, {value} AS value FROM {source} WHERE {cond}")
+    count = lambda text, p: f"len(regexp_extract_all({text}, {q(p)}))"
+    measures = {
+        "chars": "length(text)",
+        "words": "len(regexp_split_to_array(text, '\\s+'))",
+        "jumps": count(f"array_to_string(regexp_extract_all(text, {q(do.HEADINGS)}, 1), ' ')", do.JUMP),
+        "short": "len(list_filter(regexp_split_to_array(text, '(?m)^#{1,6}\\s+')[2:], lambda x: length(x) <= 76))",
+    }
+    for r in do.TEXT_RULES:
+        if verbose or r.certainty != "LOW":
+            when, value = r.render(count, f"regexp_extract(text, {q(do.FRONT)}, 1)", **measures)
+            parts.append(f"SELECT {key}, '{r.name}' AS rule, '{r.category}' AS category, '{r.certainty}' AS certainty, {value} AS value FROM {source} WHERE {when}")
     return " UNION ALL ".join(parts)
 
 
@@ -149,7 +160,7 @@ def l1(spark, d):
     """On the Markdown pages; a page of a thousand characters is bloated here."""
     from dataclasses import replace
 
-    rules = [replace(r, counts=("(?s).{900}.{100}",)) if r.name == "prompt_bloat" else r for r in do.DOC_RULES]
+    rules = [replace(r, counts=("(?s).{900}.{100}",)) if r.name == "prompt_bloat" else r for r in [*do.DOC_RULES, *do.TEXT_RULES]]
     return do.doc_rule_scan(T.doc_pages(spark, d).select("doc_id", F.col("content").alias("text")), "doc_id", True, rules)
 
 

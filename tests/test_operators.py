@@ -250,3 +250,40 @@ def test_document_scans_read_every_line(spark, tmp_path):
     queries = registry.queries()
     assert [(r.line_no, r.rule) for r in queries["b4_secret_scan_documents"](spark, str(tmp_path)).collect()] == [(3, "github_tokens")]
     assert {"vague_instructions", "prompt_bloat"} <= {r.rule for r in queries["l1_doc_rule_scan_documents"](spark, str(tmp_path)).collect()}
+
+
+TEXT_RULE_CASES = {
+    "inconsistent_sections": ("## a\n\n**b**\n## c\n**d**\n", "## a\n### b\n## c\n"),
+    "suboptimal_example_count": ("<example>x</example>", "## Example\n## Example\n"),
+    "examples_without_contrast": ("<example> <example> <example>", "<example> <example> <example> a good example"),
+    "missing_instruction_priority": ("You must. " * 300, "You must. " * 300 + "In case of conflict the first wins."),
+    "overly_prescriptive": ("\n".join(f"{i}. step" for i in range(10)), "1. one\n2. two"),
+    "missing_frontmatter": ("You are a helper.", "---\nname: a\n---\n"),
+    "missing_name": ("---\ndescription: b\n---\n", "---\nname: a\n---\n"),
+    "missing_description": ("---\nname: a\n---\n", "---\ndescription: b\n---\n"),
+    "unrestricted_tools": ("---\nname: a\n---\n", "---\nname: a\ntools: Read\n---\n"),
+    "unrestricted_bash": ("---\ntools: Read, Bash\n---\n", "---\ntools: Read, Bash(git:*)\n---\nBash"),
+    "agent_missing_xml_structure": ("- a\n```\nb\n```\n", "- a\n```\nb\n```\n<rules>\n"),
+    "unnecessary_cot": ("Go step by step.", "Go on."),
+    "missing_cot": ("## s\n" * 5 + "review " * 1001, "## s\n" * 5 + "review " * 1001 + "step by step"),
+    "example_count_suboptimal": ("## Example\n" * 6, "## Example\n" * 3),
+    "agent_vague_instructions": ("usually sometimes often maybe", "usually usually usually usually"),
+    "agent_prompt_bloat": ("x" * 8001, "x" * 8000),
+    "no_xml_for_data": ("## a\n- b\n" * 4, "## a\n- b\n" * 4 + "<a>b</a>"),
+    "suboptimal_chunking": ("# a\nshort\n", "# a\n" + "long enough " * 10),
+    "missing_architecture": ("nothing", "## Overview\n"),
+    "excessive_token_count": ("x" * 6001, "x" * 6000),
+    "verbose_instructions": (("y" * 210 + "\n") * 4, ("y" * 210 + "\n") * 4 + "\n" * 20),
+    "memory_missing_why": ("must " * 6, "must " * 6 + "because because"),
+    "example_overload": ("```\na\n```\n" * 11, "```\na\n```\n" * 10),
+}
+
+
+def test_text_rules_fire_and_spare(spark):
+    from siftworks.operators import documents
+
+    assert sorted(TEXT_RULE_CASES) == sorted(r.name for r in documents.TEXT_RULES)
+    rows = [(f"{name}/{i}", text) for name, pair in TEXT_RULE_CASES.items() for i, text in enumerate(pair)]
+    found = documents.doc_rule_scan(spark.createDataFrame(rows, "id string, text string"), "id", True, documents.TEXT_RULES)
+    hits = {(r.id, r.rule) for r in found.collect()}
+    assert [n for n in TEXT_RULE_CASES if (f"{n}/0", n) not in hits] == [] and [n for n in TEXT_RULE_CASES if (f"{n}/1", n) in hits] == []
