@@ -16,7 +16,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Globs of paths that rules leave out.
 TEST_JS = ("*.test.*", "*.spec.*")
+KEYS = (*TEST_JS, "*.example.*")
+CONSOLE = (*TEST_JS, "*.config.*", "bin/**", "**/bin/**", "scripts/**", "**/scripts/**", "cli.js", "**/cli.js", "**/cli/**", "**/e2e/**", "**/test/**", "**/tests/**", "**/seed*.{js,ts}", "**/fixtures/**", "**/mocks/**", "globalSetup.*", "globalTeardown.*", "**/*-manager.{js,ts}", "**/*Manager.{js,ts}")
+NUMBERS = (
+    *TEST_JS, "**/test/**", "**/tests/**", "**/e2e/**", "**/__tests__/**",
+    "*.json", "*.yaml", "*.yml", "*.toml", "*.lock", "*.config.*", "**/config/**", "**/.env*", "**/package.json", "**/tsconfig.json",
+    "*.css", "*.scss", "*.sass", "*.less", "*.styl", "**/*style*", "**/*Style*", "**/*styles*", "**/*Styles*", "**/*theme*", "**/*Theme*", "**/*colors*", "**/*Colors*", "**/*design*", "**/*spacing*", "**/*layout*",
+    "**/*constants*", "**/*Constants*", "**/*const.{js,ts}", "**/*enums*", "**/*Enums*", "**/constants/**",
+    "**/migrations/**", "**/prisma/**", "**/db/**", "**/*migration*", "**/*seed*", "**/*fixture*",
+    "**/fixtures/**", "**/mocks/**", "**/*mock*", "**/*Mock*",
+    "*.html", "*.ejs", "*.pug", "*.hbs", "dist/**", "build/**", ".next/**", "out/**",
+)
 TEST_PY = ("test_*.py", "*_test.py", "conftest.py")
 
 
@@ -49,7 +61,7 @@ class Rule:
 _SECRET = r"(?i)(password|secret|api[_-]?key|token|credential|auth)[_-]?(key|token|secret|pass)?\s*[:=]\s*[\"'`]([^\"'`\s]{8,})[\"'`]"
 # Names, patterns, severities and fixes of the line rules.
 RULES = [
-    Rule("console_debugging", r"console\.(log|debug|info|warn)\(", "medium", "remove", "javascript", (*TEST_JS, "*.config.*")),
+    Rule("console_debugging", r"console\.(log|debug|info|warn)\(", "medium", "remove", "javascript", CONSOLE),
     Rule("python_debugging", r"(print\(|import pdb|breakpoint\(\)|import ipdb)", "medium", "remove", "python", TEST_PY),
     Rule("rust_debugging", r"(println!|dbg!|eprintln!)\(", "medium", "remove", "rust", ("*_test.rs", "*_tests.rs")),
     Rule("old_todos", r"(TODO|FIXME|HACK|XXX):"),
@@ -65,26 +77,26 @@ RULES = [
     Rule("placeholder_unsupported_java", r"throw\s+new\s+UnsupportedOperationException\s*\(", "high", language="java", exclude=("*Test.java", "**/test/**")),
     Rule("empty_catch_js", r"catch\s*\([^)]*\)\s*\{\s*\}", "high", "add_logging", "javascript"),
     Rule("empty_except_py", r"except\s*[^:]*:\s*pass\s*$", "high", "add_logging", "python"),
-    Rule("magic_numbers", r"[2-9][0-9]{1,2}", part=r"[#$\w]+", reject=r"^(?:[^2-9].*|.|[2-9][0-9]{3,}.*|[2-9][0-9]{1,2}[a-zA-Z_].*|[2-9][a-zA-Z_#$].*|(?:200|201|204|400|401|403|404|500|502|503)(?:[#$].*)?)$", exclude=(*TEST_JS, "*.config.*")),
+    Rule("magic_numbers", r"[2-9][0-9]{1,2}", part=r"[#$\w]+", reject=r"^(?:[^2-9].*|.|[2-9][0-9]{3,}.*|[2-9][0-9]{1,2}[a-zA-Z_].*|[2-9][a-zA-Z_#$].*|(?:200|201|204|400|401|403|404|500|502|503)(?:[#$].*)?)$", exclude=NUMBERS),
     Rule("disabled_linter", r"(eslint-disable|pylint: disable|#\s*noqa|@SuppressWarnings|#\[allow\()", exclude=(*TEST_JS, "**/tests/**", "**/test/**")),
     Rule("unused_imports_hint", r"^import .* from .* // unused$", fix="remove"),
     Rule("mixed_indentation", r"^\t+ +|^ +\t+", fix="replace", exclude=("Makefile", "*.mk")),
     Rule("trailing_whitespace", r"\s+$", fix="remove", exclude=("*.md",)),
-    Rule("hardcoded_secrets", _SECRET, "critical", exclude=(*TEST_JS, "*.example.*"), part=_SECRET, group=3, reject=r"^(?:\$\{|\{\{|<[A-Z_]|[x*#]{8}|[X*#]{8}|(?i:test|mock|dummy))"),
-    Rule("jwt_tokens", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "critical", exclude=TEST_JS),
-    Rule("openai_keys", r"sk-[a-zA-Z0-9]{32,}", "critical", exclude=TEST_JS),
-    Rule("github_tokens", r"(ghp_[a-zA-Z0-9]{36}|gho_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9]{22,})", "critical", exclude=TEST_JS),
-    Rule("aws_keys", r"(AKIA[0-9A-Z]{16}|aws_secret_access_key\s*[:=])", "critical", exclude=TEST_JS),
-    Rule("google_keys", r"AIza[0-9A-Za-z_-]{35}", "critical", exclude=TEST_JS),
-    Rule("stripe_keys", r"(sk|pk)_(live|test)_[a-zA-Z0-9]{24,}", "critical", exclude=TEST_JS),
-    Rule("slack_tokens", r"xox[baprs]-[0-9a-zA-Z-]{10,}", "critical", exclude=TEST_JS),
-    Rule("npm_tokens", r"npm_[A-Za-z0-9]{36}", "critical", exclude=TEST_JS),
-    Rule("sendgrid_keys", r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}", "critical", exclude=TEST_JS),
-    Rule("twilio_keys", r"SK[0-9a-fA-F]{32}", "critical", exclude=TEST_JS),
-    Rule("discord_webhooks", r"https://discord(?:app)?\.com/api/webhooks/\d+/[A-Za-z0-9_-]+", "critical", exclude=TEST_JS),
-    Rule("private_keys", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "critical", exclude=TEST_JS),
-    Rule("high_entropy_string", r"[\"'`][A-Za-z0-9+/=_-]{40,}[\"'`]", "medium", exclude=(*TEST_JS, "*.example.*", "*.lock")),
-    Rule("process_exit", r"process\.exit\(", "high", language="javascript", exclude=TEST_JS),
+    Rule("hardcoded_secrets", _SECRET, "critical", exclude=(*TEST_JS, "*.example.*", "*.sample.*", "README.*", "*.md", "**/*fixture*.{js,ts}", "**/*mock*.{js,ts}"), part=_SECRET, group=3, reject=r"^(?:\$\{|\{\{|<[A-Z_]|[x*#]{8}|[X*#]{8}|(?i:test|mock|dummy))"),
+    Rule("jwt_tokens", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "critical", exclude=KEYS),
+    Rule("openai_api_key", r"sk-[a-zA-Z0-9]{32,}", "critical", exclude=KEYS),
+    Rule("github_token", r"(ghp_[a-zA-Z0-9]{36}|gho_[a-zA-Z0-9]{36}|ghu_[a-zA-Z0-9]{36}|ghs_[a-zA-Z0-9]{36}|ghr_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59})", "critical", exclude=KEYS),
+    Rule("aws_credentials", r"(?i)(AKIA[0-9A-Z]{16}|aws_secret_access_key\s*[:=]\s*[\"'`][A-Za-z0-9/+=]{40}[\"'`])", "critical", exclude=KEYS),
+    Rule("google_api_key", r"(AIza[0-9A-Za-z_-]{35}|[0-9]+-[a-z0-9_]{32}\.apps\.googleusercontent\.com)", "critical", exclude=KEYS),
+    Rule("stripe_api_key", r"(sk_live_[a-zA-Z0-9]{24,}|sk_test_[a-zA-Z0-9]{24,}|rk_live_[a-zA-Z0-9]{24,}|rk_test_[a-zA-Z0-9]{24,})", "critical", exclude=KEYS),
+    Rule("slack_token", r"(xoxb-[0-9]{10,}-[0-9]{10,}-[a-zA-Z0-9]{24}|xoxp-[0-9]{10,}-[0-9]{10,}-[a-zA-Z0-9]{24}|xoxa-[0-9]{10,}-[a-zA-Z0-9]{24}|https://hooks\.slack\.com/services/T[A-Z0-9]{8}/B[A-Z0-9]{8,}/[a-zA-Z0-9]{24})", "critical", exclude=KEYS),
+    Rule("discord_token", r"(?i)(discord.*[\"'`][A-Za-z0-9_-]{24}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27}[\"'`]|https://discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+)", "critical", exclude=KEYS),
+    Rule("sendgrid_api_key", r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}", "critical", exclude=KEYS),
+    Rule("twilio_credentials", r"(AC[a-f0-9]{32}|SK[a-f0-9]{32})", "critical", exclude=KEYS),
+    Rule("npm_token", r"npm_[a-zA-Z0-9]{36}", "critical", exclude=KEYS),
+    Rule("private_key", r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----", "critical", exclude=(*KEYS, "*.pem.example")),
+    Rule("high_entropy_string", r"[\"'`][A-Za-z0-9+/=_-]{40,}[\"'`]", "medium", exclude=(*KEYS, "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")),
+    Rule("process_exit", r"process\.exit\(", "high", language="javascript", exclude=("*.test.*", "cli.js", "index.js", "bin/**", "**/bin/**", "scripts/**", "**/scripts/**", "prisma/**", "**/prisma/**", "**/seed*.{js,ts}", "**/migration*.{js,ts}", "**/backfill*.{js,ts}", "**/cli/**", "**/*.cli.{js,ts}")),
     Rule("bare_urls", r"https?://[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", exclude=("*.test.*", "*.md", "package.json", "README.*")),
     Rule("issue_pr_references", r"(?i)//.*(?:#\d+|issue\s+#?\d+|PR\s+#?\d+|pull\s+request\s+#?\d+|fixed\s+in\s+#?\d+|closes?\s+#?\d+|resolves?\s+#?\d+|iteration\s+\d+)", "medium", "remove", exclude=("*.md", "README.*", "CHANGELOG.*", "CONTRIBUTING.*")),
     Rule("file_path_references", r"(?i)//.*(?:see|refer\s+to|in|per|documented\s+in)\s+([a-zA-Z0-9_\-./]+\.(?:md|js|ts|json|yaml|yml|toml|txt))", exclude=("*.md", "README.*", *TEST_JS)),
@@ -94,8 +106,8 @@ RULES = [
     Rule("boolean_blindness", r"(?i)\w+\s*\([^)]*(?:true|false)\s*,\s*(?:true|false)\s*,\s*(?:true|false)[^)]*\)", "medium", exclude=(*TEST_JS, "**/tests/**", "**/test/**")),
     Rule("mutable_globals_js", r"^(?:let|var)\s+[A-Z][A-Z0-9_]*\s*=", "high", language="javascript", exclude=(*TEST_JS, "*.config.*", "**/tests/**", "constants.js", "constants.ts")),
     Rule("mutable_globals_py", r"^[A-Z][A-Z0-9_]*\s*=\s*(?:\[|\{|dict\(|list\(|set\()", "high", language="python", exclude=(*TEST_PY, "**/tests/**", "constants.py", "settings.py")),
-    Rule("unused_params", r"function\s+\w+\s*\([^)]*_\w+[^)]*\)", language="javascript", exclude=(*TEST_JS, "*.d.ts", "**/tests/**")),
-    Rule("empty_interface", r"interface\s+\w+\s*(?:<[^>]*>)?\s*\{\s*\}", language="javascript", exclude=(*TEST_JS, "**/tests/**")),
+    Rule("speculative_generality_unused_params", r"function\s+\w+\s*\([^)]*_\w+[^)]*\)", language="javascript", exclude=(*TEST_JS, "*.d.ts", "**/tests/**")),
+    Rule("speculative_generality_empty_interface", r"interface\s+\w+\s*(?:<[^>]*>)?\s*\{\s*\}", language="javascript", exclude=(*TEST_JS, "**/tests/**")),
 ]
 SECRETS = {r.name for r in RULES if r.severity == "critical"} | {"high_entropy_string"}
 #: Rules that fire on runs of lines.
@@ -136,12 +148,14 @@ _LINEAR = {
     "unused_imports_hint": r"^import (?>.*? from ).* // unused$",
     "trailing_whitespace": r"\s$",
     "jwt_tokens": r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10}",
+    "google_api_key": r"AIza[0-9A-Za-z_-]{35}|(?<![0-9])[0-9]++-[a-z0-9_]{32}\.apps\.googleusercontent\.com",
+    "discord_token": "(?i)(?:" + _then("discord", r"[\"'`][A-Za-z0-9_-]{24}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27}[\"'`]") + r"|https://discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+)",
     "issue_pr_references": "(?i)" + _then("//", r"(?:#\d+|issue\s+#?\d+|PR\s+#?\d+|pull\s+request\s+#?\d+|fixed\s+in\s+#?\d+|closes?\s+#?\d+|resolves?\s+#?\d+|iteration\s+\d+)"),
     "file_path_references": "(?i)" + _then("//", r"(?:see|refer\s+to|in|per|documented\s+in)\s+[a-zA-Z0-9_\-./]+\.(?:md|js|ts|json|yaml|yml|toml|txt)"),
     "verbosity_hedging": "(?i)" + _then("//", r"\b(?:it'?s?\s+worth\s+noting|generally\s+speaking|more\s+or\s+less|arguably|perhaps|possibly|might\s+be|should\s+work|i\s+think|i\s+believe|probably|maybe)\b"),
     "boolean_blindness": "(?i)" + _within(")", r"\w\s*\(", rf"(?>[^)]*?{_BOOLS})[^)]*+\)"),
-    "unused_params": _within(")", r"function\s+\w+\s*\(", r"(?>[^)]*?_\w)[^)]*+\)"),
-    "empty_interface": r"interface\s+\w+\s*\{\s*\}|" + _within(">", r"interface\s+\w+\s*<", r"[^>]*+>\s*\{\s*\}"),
+    "speculative_generality_unused_params": _within(")", r"function\s+\w+\s*\(", r"(?>[^)]*?_\w)[^)]*+\)"),
+    "speculative_generality_empty_interface": r"interface\s+\w+\s*\{\s*\}|" + _within(">", r"interface\s+\w+\s*<", r"[^>]*+>\s*\{\s*\}"),
     "command_injection": "(?i)" + _within(")", r"(?:exec|system|spawn)\s*\(", r"[^)]*?(?:\$\{|\+|%s|f[\"'])") + "|" + _within(")", r"\$\(", r"[^)]*?\$ARGUMENTS"),
 }
 LINEAR = {r.pattern: _LINEAR[r.name] for r in [*RULES, *SECURITY] if r.name in _LINEAR}

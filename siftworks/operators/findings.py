@@ -22,10 +22,10 @@ def union_findings(*phases: DataFrame) -> DataFrame:
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:
-    """(facet, value, n): counts by severity, certainty, fix and rule, and the total; zeros for known values."""
+    """(facet, value, n): counts by severity, certainty, fix and rule, and the total; zeros for known values; and by phase, if they have one."""
     facets = F.array(
         F.struct(F.lit("total").alias("facet"), F.lit("all").alias("value")),
-        *[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("severity", "certainty", "fix", "rule")],
+        *[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("severity", "certainty", "fix", "rule", *["phase"] * ("phase" in findings.columns))],
     )
     counts = findings.select(F.explode(facets).alias("x")).groupBy("x.facet", "x.value").count()
     known = [("total", "all")] + [("severity", v) for v in SEVERITIES] + [("certainty", v) for v in CERTAINTIES] + [("fix", v) for v in FIXES]

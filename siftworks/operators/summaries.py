@@ -176,6 +176,11 @@ def repeated_phrases(docs: DataFrame, n: int = 3, least: int = 4) -> DataFrame:
     return runs.select("doc_id", F.inline(F.filter(times, lambda x: x["times"] >= least)))
 
 
+def newest_tags(tags: DataFrame, top: int = 10) -> DataFrame:
+    """The newest tags (tag, ts); of one time the lesser name first."""
+    return tags.orderBy(F.desc("ts"), "tag").limit(top)
+
+
 def duplicate_strings(lines: DataFrame, more_than: int = 5) -> DataFrame:
     """String literals that a file holds more than `more_than` times."""
     found = lines.select("repo", "path", F.explode(F.regexp_extract_all("line", F.lit(r"'([^'\\]{3,})'|\"([^\"\\]{3,})\""), F.lit(0))).alias("literal"))

@@ -27,10 +27,11 @@ _ZEROS = T.values([("total", "all", 0)] + [("severity", v, 0) for v in R.SEVERIT
     BASE + f""" SELECT facet, value, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT 'total' AS facet, 'all' AS value, count(*) AS n FROM findings UNION ALL SELECT 'severity', severity, count(*) FROM findings GROUP BY severity
   UNION ALL SELECT 'certainty', certainty, count(*) FROM findings GROUP BY certainty UNION ALL SELECT 'fix', fix, count(*) FROM findings GROUP BY fix
-  UNION ALL SELECT 'rule', rule, count(*) FROM findings GROUP BY rule UNION ALL {_ZEROS}) GROUP BY ALL""",
+  UNION ALL SELECT 'rule', rule, count(*) FROM findings GROUP BY rule UNION ALL SELECT 'phase', '1', count(*) FROM findings UNION ALL {_ZEROS}) GROUP BY ALL""",
 )
 def d1(spark, d):
-    return fi.findings_summary(found(spark, d))
+    """Line rules are phase 1."""
+    return fi.findings_summary(found(spark, d).withColumn("phase", F.lit("1")))
 
 
 _MATRIX = """count(*) FILTER (certainty = 'HIGH') AS high, count(*) FILTER (certainty = 'MEDIUM') AS medium, count(*) FILTER (certainty = 'LOW') AS low, count(*) FILTER (fix <> 'flag') AS fixable"""

@@ -158,7 +158,8 @@ def c11(spark, d):
     return jo.removed_exports_in_docs(exports.filter("doc_id % 10 <> 0"), exports.filter("name <> 'loadUser'"), T.doc_pages(spark, d)).select("repo", "name", "doc_id")
 
 
-@query("c12_undocumented_commits", W + T.COMMITS + r", worth AS (SELECT *, regexp_extract(message, '^\w+!?:\s*(.*)$', 1) AS text FROM commits WHERE regexp_matches(message, '^(feat|fix)|^\w+!:|BREAKING')) SELECT hash, message FROM worth WHERE hash % 3 <> 0 AND hash % 7 <> 0")
+@query("c12_undocumented_commits", W + T.COMMITS + r""", worth AS (SELECT *, regexp_extract(message, '^\w+!?:\s*(.*)$', 1) AS text FROM commits WHERE regexp_matches(message, '^(feat|fix)|^\w+!:|BREAKING')), entries AS (SELECT DISTINCT text AS entry FROM (SELECT hash, regexp_extract(message, '^\w+!?:\s*(.*)$', 1) AS text FROM commits) WHERE hash % 3 = 0), texts AS (SELECT DISTINCT text FROM worth), named AS (SELECT text FROM texts WHERE EXISTS (SELECT 1 FROM entries WHERE contains(entry, text)))
+ SELECT hash, message FROM worth WHERE text NOT IN (SELECT text FROM named) AND hash % 7 <> 0""")
 def c12(spark, d):
     commits = T.commits(spark, d)
     text = F.regexp_extract("message", r"^\w+!?:\s*(.*)$", 1)
@@ -187,6 +188,13 @@ def c13(spark, d):
     return jo.source_test_map(one_repo(spark, d))
 
 
+@query("c13_changed_without_test", W + MAPPED + ", changed AS (SELECT DISTINCT 'r' AS repo, path FROM code_files WHERE doc_id % 3 = 0) SELECT repo, path, test FROM mapped WHERE test IS NOT NULL AND path IN (SELECT path FROM changed) AND test NOT IN (SELECT path FROM changed)")
+def c13b(spark, d):
+    """A third of the files changed."""
+    files = one_repo(spark, d)
+    return jo.changed_without_test(jo.source_test_map(files), files.filter("doc_id % 3 = 0").select("repo", "path"))
+
+
 @query("d23_coverage_summary", W + MAPPED + " SELECT repo, count(test) AS with_tests, count(*) - count(test) AS without, round(100 * count(test) / count(*), 2) AS percent FROM mapped GROUP BY repo")
 def d23(spark, d):
     return jo.coverage_summary(jo.source_test_map(one_repo(spark, d)))

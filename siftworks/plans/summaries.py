@@ -218,6 +218,13 @@ def f6(spark, d):
     return T.commits(spark, d).orderBy(F.desc("ts"), "hash").limit(20).select("hash", "author", "ts")
 
 
+@query("f6_newest_tags", W + T.COMMITS + " SELECT 'v1.' || hash AS tag, ts FROM commits WHERE message LIKE 'feat%' ORDER BY ts DESC, tag LIMIT 10")
+def f6b(spark, d):
+    """Each feature commit is tagged."""
+    tags = T.commits(spark, d).filter("message LIKE 'feat%'").select(F.concat(F.lit("v1."), F.col("hash").cast("string")).alias("tag"), "ts")
+    return su.newest_tags(tags, 10)
+
+
 @query("g2_distinct_features", W + T.FILES + " SELECT DISTINCT repo, lang FROM code_files")
 def g2(spark, d):
     return T.code_files(spark, d).select("repo", "lang").distinct()

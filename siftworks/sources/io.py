@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 def new_folder(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftworks-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
@@ -50,7 +52,8 @@ def write_commit_log(commit_files: DataFrame) -> str:
 
 def read_commit_log(spark: SparkSession, folder: str) -> DataFrame:
     """(hash, path): a record ends where the next header begins, so commits are split between tasks."""
-    rows = spark.read.option("lineSep", "COMMIT:").text(folder).filter("value <> ''")
+    # A file name may hold the mark, so only one at the begin of a line counts.
+    rows = spark.read.option("lineSep", "\nCOMMIT:").text(folder).select(F.regexp_replace("value", r"^COMMIT:", "").alias("value")).filter("value <> ''")
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     return rows.select(F.element_at(lines, 1).alias("hash"), F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("path"))
 
@@ -89,9 +92,10 @@ def write_issues(issues: DataFrame) -> str:
 
 
 def read_issues(spark: SparkSession, folder: str, snippet: int = 200) -> DataFrame:
-    """(number, title, labels, snippet) from issue JSON with label objects."""
-    rows = spark.read.schema("number long, title string, labels array<struct<name:string>>, body string").json(folder)
-    return rows.select("number", "title", F.col("labels.name").alias("labels"), F.substring("body", 1, snippet).alias("snippet"))
+    """(number, title, labels, snippet) from issue JSON whose labels are objects with a name or plain strings; pull requests stay out."""
+    rows = spark.read.schema("number long, title string, labels array<string>, body string, pull_request string").json(folder).filter("pull_request IS NULL")
+    name = lambda x: F.coalesce(F.get_json_object(x, "$.name"), x)
+    return rows.select("number", "title", F.transform("labels", name).alias("labels"), F.substring("body", 1, snippet).alias("snippet"))
 
 
 def write_ndjson(events: DataFrame) -> str:

@@ -222,7 +222,7 @@ def test_long_lines_are_judged(spark):
             files[f"f{i}.{ext}"] = (lang, "import a from " + head * (300_000 // len(head)) + "end")
     lines = lines_of(spark, files)
     got = {(r.path, r.rule) for r in scan.rule_scan(lines).collect()}
-    assert {("long.txt", "github_tokens"), ("long.txt", "old_todos")} <= got
+    assert {("long.txt", "github_token"), ("long.txt", "old_todos")} <= got
     scan.security_scan(lines).collect()
 
 
@@ -232,6 +232,7 @@ def test_linear_forms_equal_their_patterns(spark):
     rng = random.Random(5)
     words = " |  |\r|\r |\t|)|(|{|}|{}|:|;|<|>|,|.|...|'|\"|`|//|/*|#|#12|x|_a|f|throw|new|Error|function|=>|panic!|panic|def|pass|catch|except|import | from | // unused|eyJ|eyJabcdefghij|abcdefghijk.|issue |PR |closes|see |in |a/b.md|true|false|interface|exec|system|$(|$ARGUMENTS|${|+|%s|TODO|todo:|implement|not impl|replace me|maybe|i think".split("|")
     parts = [r"throw| new| |Error|(|'|\r|TODO| x", r"function f|()|(|)|{|}| |\r|_a|=>|<|>|interface A|x", r"panic!|panic|(|'|TODO| |\r|implement", r"def f|(|)|:|pass|...| |except|catch", r"f(|true|,| |)|false|\r", r"eyJ|abcdefghij|.|-| ", r"exec|(|)|+|$(|$ARGUMENTS|%s|f'| ", r"//|see|in| |a.md|#1|maybe|\r|'|todo: implement| issue 4", r"import a| from b|import | from | // unused|\r| ", r"interface A| |{|}|<|>", r"def f|(|)|:|pass", r"def f|(|)|:|...", r"eyJabcdefghij|.eyJ|.", r"except|:|pass", r"catch|(|)|{|}", r"f(|true|,|)", r"import a| from b| from c| // unused", r"panic!|(|'|TODO", r"throw new Error('|throw|\r|new\rError(| new Error|('|(\r'|TODO|x", r"function f|(|_a|)|{|}"]
+    parts += ["discord|x| |\\r|'|'" + "A" * 24 + "." + "b" * 6 + "." + "C" * 27 + "'|https://discord.com/api/webhooks/1/a", "1|23|x|-" + "a" * 32 + ".apps.googleusercontent.com| |AIza" + "b" * 35]
     pools = [words, *[p.replace("\\r", "\r").split("|") for p in parts]]
     rows = [("".join(rng.choice(pool) for _ in range(rng.randint(1, 16))),) for pool in pools for _ in range(3000)]
     df = spark.createDataFrame(rows, "line string")
@@ -248,7 +249,7 @@ def test_document_scans_read_every_line(spark, tmp_path):
     text = "first line\n" + "word " * 30_000 + "\ntoken ghp_" + "a" * 36 + "\n" + "maybe sometimes usually\n"
     spark.createDataFrame([(1, text, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     queries = registry.queries()
-    assert [(r.line_no, r.rule) for r in queries["b4_secret_scan_documents"](spark, str(tmp_path)).collect()] == [(3, "github_tokens")]
+    assert [(r.line_no, r.rule) for r in queries["b4_secret_scan_documents"](spark, str(tmp_path)).collect()] == [(3, "github_token")]
     assert {"vague_instructions", "prompt_bloat"} <= {r.rule for r in queries["l1_doc_rule_scan_documents"](spark, str(tmp_path)).collect()}
 
 
