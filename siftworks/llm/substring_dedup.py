@@ -12,8 +12,8 @@ A window is `window` consecutive words; a word goes if a window over it recurs a
    shard, one Aho-Corasick automaton over word numbers, and streams all its documents through it. Only
    what the automaton finds is removed; the hashes merely choose the shards that a passage goes to.
 
-Every occurrence is found: it lies in some run of its bucket, and that run's passages are in the shard.
-The first and last window of each stretch are its patterns (a stretch is shorter than two windows).
+Every occurrence is found: a recurring window lies in some run of its bucket, and that run's stretches, which
+stand there as a whole, are patterns of the shard.
 
 Counts are combined by bucket before any shuffle, so a passage in a third of all documents is one row a
 bucket. Every Python task holds one bucket of about BUCKET_BYTES of text; a single document isn't split.
@@ -148,7 +148,10 @@ def recurring_runs(counted: DataFrame) -> DataFrame:
     totals = per.groupBy("fp", "run").agg(F.sum("n").alias("n_run"), F.min("_bucket").alias("speaker"))
     weight = F.when(F.col("several"), F.least("n_run", F.lit(2))).otherwise(0)
     both = per.join(totals, ["fp", "run"])
-    return both.select("fp", "run", "_bucket", (F.col("_bucket") == F.col("speaker")).alias("speaks"), (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
+    runs = both.select("fp", "run", "_bucket", (F.col("_bucket") == F.col("speaker")).alias("speaks"), (F.col("n_run") > 1).alias("whole"), weight.cast("long").alias("weight"))
+    runs = stored(runs, "runs")
+    discard(per)
+    return runs
 
 
 def passages_of(runs: DataFrame, spoken: DataFrame) -> DataFrame:
@@ -205,26 +208,23 @@ def _speak(window: int):
 
 
 def shard(passages: pa.Table, numbers: pa.Array, window: int) -> ahocorasick.Automaton:
-    """The automaton over the first and last window of each stretch of passages; numbers: the words of the documents, by number.
+    """The automaton over the stretches of passages; numbers: the words of the documents, by number.
 
     A passage with a word that no document has can't occur.
     """
     machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    split = [p.split(b" ") for p in passages.column("words").to_pylist()]
-    flat = pc.index_in(pa.array(list(chain.from_iterable(split)), pa.binary()), value_set=numbers).fill_null(-1).to_numpy(zero_copy_only=False).tolist()
-    begin = 0
-    for words, good in zip(split, passages.column("good").to_pylist(), strict=True):
-        code = flat[begin : begin + len(words)]
-        begin += len(words)
+    split = pc.split_pattern(pa.concat_arrays([pa.array([], pa.binary()), *passages.column("words").chunks]), " ")
+    codes = pc.index_in(split.flatten(), value_set=numbers).fill_null(-1).to_numpy(zero_copy_only=False)
+    ends, absent = split.offsets.to_numpy(), np.concatenate([[0], np.cumsum(codes < 0)])
+    for a, b, good in zip(ends[:-1].tolist(), ends[1:].tolist(), passages.column("good").to_pylist(), strict=True):
         if good is None:
-            starts = {0, len(words) - window}
+            stretches = [(a, b)]
         else:
-            good.sort()
-            starts = {g for i, g in enumerate(good) if i == 0 or g != good[i - 1] + 1} | {g for i, g in enumerate(good) if i == len(good) - 1 or g != good[i + 1] - 1}
-        for s in starts:
-            pattern = code[s : s + window]
-            if -1 not in pattern:
-                machine.add_word(tuple(pattern))
+            starts = np.sort(np.array(good)) + a
+            stretches = [(int(r[0]), int(r[-1]) + window) for r in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
+        for i, j in stretches:
+            if absent[i] == absent[j]:
+                machine.add_word(tuple(codes[i:j].tolist()))
     machine.make_automaton()
     return machine
 
@@ -240,10 +240,10 @@ def covered(texts: list[list[bytes]], passages: pa.Table, window: int) -> list[n
     for d, words in enumerate(texts):
         n = len(words)
         if n >= window:
-            ends = [e for e, _ in machine.iter(tuple(codes[begin : begin + n].tolist()))]
-            if ends:
-                last = np.array(ends)
-                edge = np.bincount(last - window + 1, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
+            hits = np.fromiter(chain.from_iterable(machine.iter(tuple(codes[begin : begin + n].tolist()))), np.int64).reshape(-1, 2)
+            if len(hits):
+                last, size = hits[:, 0], hits[:, 1]
+                edge = np.bincount(last - size + 1, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
                 out[d] = np.cumsum(edge[:n]) > 0
         begin += n
     return out
@@ -299,12 +299,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, results: tuple[str,
     n, bucket = bucket_count(docs), free_name(docs, "_bucket")
     number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
     counted = stored(fingerprints(docs.select("text", number.alias("_bucket")), window), "fingerprints")
-    runs = stored(recurring_runs(counted), "runs")
+    runs = recurring_runs(counted)
+    discard(counted)
     # Both passes read the same columns, so that the documents are dealt out once.
     dealt = docs.withColumn(bucket, number).repartition(n, bucket)
     speakers = runs.filter("speaks").groupBy("_bucket")
     spoken = stored(dealt.groupBy(bucket).cogroup(speakers).applyInArrow(_speak(window), SPOKEN), "spoken")
-    discard(counted)
     passages = passages_of(runs, spoken)
     schema = T.StructType([f for f in dealt.schema.fields if f.name not in ("text", bucket) or (with_text and f.name == "text")])
     for name in results:

@@ -170,7 +170,7 @@ def test_the_automaton_decides():
     passages = pa.table({"words": pa.array([b" ".join(words[5:45]), b" ".join(words[20:60])]), "good": pa.array([None, [0, 1, 5]], pa.list_(pa.int32()))})
     texts = [words, words[:40], [b"x", *words[4:46], b"y"]]
     both = substring_dedup.covered(texts, passages, 35)
-    assert [np.flatnonzero(c).tolist() for c in both] == [list(range(5, 60)), list(range(5, 40)), list(range(2, 42))]
+    assert np.flatnonzero(both[0]).tolist() == list(range(5, 60)) and both[1] is None and np.flatnonzero(both[2]).tolist() == list(range(2, 42))
     one = substring_dedup.covered(texts, passages.slice(1), 35)
     assert np.flatnonzero(one[0]).tolist() == list(range(20, 60)) and one[2] is None
     assert substring_dedup.covered(texts, passages.slice(0, 0), 35) == [None] * 3
