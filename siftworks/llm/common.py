@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BUCKET_BYTES = 6_000_000
 #: Bytes of compressed files of a table that may be broadcast.
 SMALL_BYTES = 8_000_000
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,7 +42,12 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # the shuffles of this write are never read again
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
