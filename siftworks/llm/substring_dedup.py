@@ -159,6 +159,7 @@ def passages_of(runs: DataFrame, spoken: DataFrame) -> DataFrame:
     windows = spoken.filter("weight > 0").select("fp", "run", "whole", "weight", F.posexplode("hashes").alias("at", "h")).select("fp", "run", "whole", "weight", "at", "h.*")
     twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("total")).filter("total > 1").select("h1", "h2")
     good = windows.filter("NOT whole").join(twice, ["h1", "h2"]).groupBy("fp", "run").agg(F.collect_list("at").alias("good"))
+    good = stored(good, "recurring-windows")  # the shuffles of single windows go before the documents are dealt out again
     texts = spoken.select("fp", "run", "words", "whole").join(good, ["fp", "run"], "left").filter("whole OR good IS NOT NULL")
     return runs.select("fp", "run", "_bucket").join(texts, ["fp", "run"]).select("_bucket", "words", "good")
 
