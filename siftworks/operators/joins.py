@@ -204,13 +204,25 @@ def file_name(path: Column) -> Column:
 
 
 def docs_mentioning(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(repo, doc_id, path, kinds): documents that name a changed file, by its path tokens."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w./-]*\w"), F.lit(0))))
-    tokens = docs.select("repo", "doc_id", "content", token.alias("token")).withColumn("name", F.regexp_replace(file_name(F.col("token")), r"\.\w+$", "")).filter("name <> ''")
+    """(repo, doc_id, path, kinds): documents that name a changed file, by its path tokens.
+
+    Every mention is a `filename`; the whole path is also a `full-path`; `from '...'` and `require('...')` of the path
+    without its suffix, or of its last parts, are also an `import` and a `require`.
+    """
+    lead = r"(?:(?:from\s+|require\()['\"])?"
+    raw = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(lead + r"[\w./-]*\w"), F.lit(0))))
+    tokens = docs.select("repo", "doc_id", raw.alias("raw")).withColumn("token", F.regexp_replace("raw", "^" + lead, "")).withColumn("name", F.regexp_replace(file_name(F.col("token")), r"\.\w+$", "")).filter("name <> ''")
     sides = changed.select("repo", "path", F.regexp_replace(file_name(F.col("path")), r"\.\w+$", "").alias("name")).distinct()
     met = tokens.join(sides, ["repo", "name"])
-    kind = F.when(F.col("token") == F.col("path"), "full-path").when(F.col("token").startswith("./"), "import").otherwise("filename")
-    return met.groupBy("repo", "doc_id", "path").agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+    module = F.concat(F.lit("/"), F.regexp_replace("path", r"\.\w+$", ""))
+    target = module.endswith(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("token", r"^(\.{1,2}/)+", ""), r"\.\w+$", "")))
+    kinds = F.array(
+        F.lit("filename"),
+        F.when(F.col("token") == F.col("path"), "full-path"),
+        F.when(F.col("raw").rlike(r"^from\s+['\"]") & target, "import"),
+        F.when(F.col("raw").rlike(r"^require\(['\"]") & target, "require"),
+    )
+    return met.select("repo", "doc_id", "path", F.explode(F.array_compact(kinds)).alias("kind")).groupBy("repo", "doc_id", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def removed_exports_in_docs(old: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:

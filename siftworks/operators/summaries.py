@@ -230,11 +230,16 @@ def overdue(milestones: DataFrame, as_of: str) -> DataFrame:
     return milestones.filter((F.col("state") != "closed") & F.col("due_on").isNotNull() & (F.col("due_on") < F.lit(as_of).cast("date")))
 
 
-def drift_indicators(issues: DataFrame, milestones: DataFrame, progress: DataFrame, as_of: str) -> DataFrame:
-    """(repo, indicator, value): late milestones, little progress, many stale severe issues, old untouched issues."""
+def drift_indicators(issues: DataFrame, milestones: DataFrame, progress: DataFrame, docs: DataFrame, pulls: DataFrame, as_of: str) -> DataFrame:
+    """(repo, indicator, value): late milestones, little progress, many stale severe issues, old documents, old drafts.
+
+    docs: (repo, path, updated); those unchanged for 180 days are counted. pulls: (repo, number, draft, state, created);
+    open drafts of more than 30 days are counted. A null date counts for nothing.
+    """
     late = milestones.filter(F.col("state") != "closed").groupBy("repo").agg(F.max(F.datediff(F.lit(as_of), "due_on")).alias("v")).filter("v >= 30")
     stale = stale_items(issues.filter("state = 'open'"), as_of, 60).filter(F.exists("labels", lambda x: x.rlike("high|urgent"))).groupBy("repo").agg(F.count("*").alias("v")).filter("v >= 5")
-    old = issues.groupBy("repo").agg(F.datediff(F.lit(as_of), F.max("updated")).alias("v")).filter("v > 180")
+    old = docs.filter(F.datediff(F.lit(as_of), "updated") >= 180).groupBy("repo").agg(F.count("*").alias("v"))
+    drafts = pulls.filter(F.col("draft") & (F.col("state") == "open") & (F.datediff(F.lit(as_of), "created") > 30)).groupBy("repo").agg(F.count("*").alias("v"))
     slow = progress.filter("total > 0").select("repo", F.floor(100 * F.col("checked") / F.col("total")).alias("v")).filter("v < 30")
-    parts = [("milestone_late", late), ("severe_stale", stale), ("inactive", old), ("plan_behind", slow)]
+    parts = [("milestone_late", late), ("severe_stale", stale), ("docs_old", old), ("drafts_old", drafts), ("plan_behind", slow)]
     return reduce(DataFrame.unionByName, [x.select("repo", F.lit(n).alias("indicator"), F.col("v").cast("bigint").alias("value")) for n, x in parts])

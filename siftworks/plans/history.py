@@ -116,6 +116,16 @@ def a13(spark, d):
     return io.load_snapshot(spark, folder, "one")
 
 
+@query("a13_snapshot_status", W + T.LINES + ", " + NAMES + " SELECT lang AS snapshot, count(*) AS symbols, lang = 'go' AS stale FROM symbols WHERE lang IN ('go', 'python') GROUP BY lang")
+def a13_status(spark, d):
+    """Two snapshots written, one of them marked as stale."""
+    symbols = hi.extract_symbols(T.code_lines(spark, d)).select("repo", "path", "lang", "kind", "name")
+    folder = io.write_snapshot(symbols.filter("lang = 'python'").drop("lang"), "python")
+    io.write_snapshot(symbols.filter("lang = 'go'").drop("lang"), "go", folder)
+    io.mark_stale(spark, folder, "go")
+    return io.snapshot_status(spark, folder)
+
+
 @query("g3_removed_exports", W + T.LINES + ", " + NAMES + ", " + EXPORTS + " SELECT repo, path, name FROM exports EXCEPT SELECT repo, path, name FROM listed")
 def g3(spark, d):
     lines = T.code_lines(spark, d)

@@ -138,8 +138,20 @@ def every_repo(spark, d):
 _NAME = r"regexp_replace(regexp_extract({}, '([^/]+)$', 1), '\.\w+$', '')"
 
 
-@query("c10_docs_mentioning", W + T.PAGES + ", " + _CHANGED + rf""", tok AS (SELECT doc_id, t, {_NAME.format('t')} AS name FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(content, '[\w./-]*\w'))) AS t FROM md)),
- side AS (SELECT DISTINCT path, {_NAME.format('path')} AS name FROM changed) SELECT 'r' AS repo, doc_id, path, list_sort(list(DISTINCT CASE WHEN t = path THEN 'full-path' WHEN starts_with(t, './') THEN 'import' ELSE 'filename' END)) AS kinds FROM tok JOIN side USING (name) WHERE name <> '' GROUP BY doc_id, path""")
+_LEAD = r"""(?:(?:from\s+|require\()[''"])?"""
+_CORE = r"regexp_replace(regexp_replace(t, '^(\.{1,2}/)+', ''), '\.\w+$', '')"
+_TARGET = rf"ends_with('/' || regexp_replace(path, '\.\w+$', ''), '/' || {_CORE})"
+
+
+@query(
+    "c10_docs_mentioning",
+    W + T.PAGES + ", " + _CHANGED + rf""", words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(content, '{_LEAD}[\w./-]*\w'))) AS raw FROM md),
+ tok AS (SELECT *, {_NAME.format('t')} AS name FROM (SELECT doc_id, raw, regexp_replace(raw, '^{_LEAD}', '') AS t FROM words)),
+ side AS (SELECT DISTINCT path, {_NAME.format('path')} AS name FROM changed),
+ met AS (SELECT doc_id, path, unnest(['filename', CASE WHEN t = path THEN 'full-path' END, CASE WHEN regexp_matches(raw, '^from\s+[''"]') AND {_TARGET} THEN 'import' END,
+  CASE WHEN regexp_matches(raw, '^require\([''"]') AND {_TARGET} THEN 'require' END]) AS kind FROM tok JOIN side USING (name) WHERE name <> '')
+ SELECT 'r' AS repo, doc_id, path, list_sort(list(DISTINCT kind)) AS kinds FROM met WHERE kind IS NOT NULL GROUP BY doc_id, path""",
+)
 def c10(spark, d):
     return jo.docs_mentioning(*every_repo(spark, d))
 

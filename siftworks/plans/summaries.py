@@ -249,13 +249,20 @@ def i2(spark, d):
 
 @query(
     "i3_drift_indicators",
-    W + T.PAGES + ", " + T.ISSUES + ", " + _MILES + ", " + _BOXES + f""", day AS (SELECT *, date_diff('day', updated, DATE '{T.AS_OF}') AS dd FROM issues)
+    W + T.PAGES + ", " + T.ISSUES + ", " + T.COMMIT_FILES + ", " + _MILES + ", " + _BOXES + f""", day AS (SELECT *, date_diff('day', updated, DATE '{T.AS_OF}') AS dd FROM issues),
+ touched AS (SELECT repo, path, max(updated) AS updated FROM commit_files JOIN issues ON number = hash WHERE starts_with(path, 'docs/') GROUP BY repo, path)
  SELECT repo, 'milestone_late' AS indicator, max(date_diff('day', due_on, DATE '{T.AS_OF}')) AS value FROM milestones WHERE state <> 'closed' GROUP BY repo HAVING value >= 30
  UNION ALL SELECT repo, 'severe_stale', count(*) FROM day WHERE state = 'open' AND dd > 60 AND len(list_filter(labels, lambda x: regexp_matches(x, 'high|urgent'))) > 0 GROUP BY repo HAVING count(*) >= 5
- UNION ALL SELECT repo, 'inactive', min(dd) FROM day GROUP BY repo HAVING min(dd) > 180
+ UNION ALL SELECT repo, 'docs_old', count(*) FROM touched WHERE date_diff('day', updated, DATE '{T.AS_OF}') >= 180 GROUP BY repo
+ UNION ALL SELECT repo, 'drafts_old', count(*) FROM issues WHERE number % 11 = 0 AND state = 'open' AND date_diff('day', created, DATE '{T.AS_OF}') > 30 GROUP BY repo
  UNION ALL SELECT repo, 'plan_behind', CAST(floor(100 * checked / total) AS BIGINT) FROM progress WHERE total > 0 AND floor(100 * checked / total) < 30""",
 )
 def i3(spark, d):
-    return su.drift_indicators(T.issues(spark, d), milestones(spark, d), su.checkbox_progress(T.doc_pages(spark, d)), T.AS_OF)
+    """Documents are as old as the last commit on them; every eleventh issue stands for a draft."""
+    issues = T.issues(spark, d)
+    touched = T.commit_files(spark, d).filter(F.col("path").startswith("docs/")).join(issues.withColumnRenamed("number", "hash"), "hash")
+    docs = touched.groupBy("repo", "path").agg(F.max("updated").alias("updated"))
+    pulls = issues.select("repo", "number", (F.col("number") % 11 == 0).alias("draft"), "state", "created")
+    return su.drift_indicators(issues, milestones(spark, d), su.checkbox_progress(T.doc_pages(spark, d)), docs, pulls, T.AS_OF)
 
 

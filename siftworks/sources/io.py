@@ -121,9 +121,27 @@ def write_snapshot(symbols: DataFrame, snapshot: str, folder: str | None = None)
     """A symbol map as Parquet, one folder a snapshot."""
     folder = folder or new_folder(symbols.sparkSession, "snapshots")
     symbols.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(folder)
+    _mark(symbols.sparkSession, folder, snapshot, False)
     return folder
 
 
+def _mark(spark: SparkSession, folder: str, snapshot: str, stale: bool) -> None:
+    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(stale).alias("stale"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{folder}-marks")
+
+
+def mark_stale(spark: SparkSession, folder: str, snapshot: str) -> None:
+    """Marks a snapshot as out of date; writing it again lifts the mark."""
+    _mark(spark, folder, snapshot, True)
+
+
+def snapshot_status(spark: SparkSession, folder: str) -> DataFrame:
+    """(snapshot, symbols, stale) of every snapshot with rows."""
+    rows = spark.read.parquet(folder).groupBy("snapshot").agg(F.count("*").alias("symbols"))
+    marks = spark.read.parquet(f"{folder}-marks").groupBy("snapshot").agg(F.max_by("stale", "at").alias("stale"))
+    return rows.join(marks, "snapshot")
+
+
 def load_snapshot(spark: SparkSession, folder: str, snapshot: str) -> DataFrame:
     """The rows of one snapshot; an unknown one has none."""
     return spark.read.parquet(folder).filter(F.col("snapshot") == snapshot).drop("snapshot")

@@ -288,3 +288,39 @@ def test_text_rules_fire_and_spare(spark):
     found = documents.doc_rule_scan(spark.createDataFrame(rows, "id string, text string"), "id", True, documents.TEXT_RULES)
     hits = {(r.id, r.rule) for r in found.collect()}
     assert [n for n in TEXT_RULE_CASES if (f"{n}/0", n) not in hits] == [] and [n for n in TEXT_RULE_CASES if (f"{n}/1", n) in hits] == []
+
+
+def test_mention_kinds(spark):
+    text = "import { a } from 'src/util/load';\nconst b = require('./util/load');\nsee src/util/load.js and from 'other/load'"
+    docs = spark.createDataFrame([("r", 1, text), ("r", 2, "load it"), ("r", 3, "nothing"), ("r", 4, None)], "repo string, doc_id long, content string")
+    changed = spark.createDataFrame([("r", "src/util/load.js"), ("r", "lib/load.js")], "repo string, path string")
+    got = {(r.doc_id, r.path): r.kinds for r in joins.docs_mentioning(changed, docs).collect()}
+    assert got == {
+        (1, "src/util/load.js"): ["filename", "full-path", "import", "require"],
+        (1, "lib/load.js"): ["filename"],
+        (2, "src/util/load.js"): ["filename"],
+        (2, "lib/load.js"): ["filename"],
+    }
+
+
+def test_old_documents_and_drafts(spark):
+    issues = spark.createDataFrame([], "repo string, number long, title string, labels array<string>, state string, created date, updated date")
+    miles = spark.createDataFrame([], "repo string, title string, state string, due_on date")
+    progress = spark.createDataFrame([], "repo string, total long, checked long")
+    docs = spark.sql("SELECT 'r' AS repo, p AS path, CAST(u AS DATE) AS updated FROM VALUES ('a', '2023-07-05'), ('b', '2023-07-06'), ('c', NULL) AS t(p, u)")
+    pulls = spark.sql("SELECT 'r' AS repo, n AS number, d AS draft, s AS state, CAST(c AS DATE) AS created FROM VALUES (1, true, 'open', '2023-12-01'), (2, true, 'open', '2023-12-02'), (3, false, 'open', '2023-01-01'), (4, true, 'closed', '2023-01-01') AS t(n, d, s, c)")
+    got = {tuple(r) for r in summaries.drift_indicators(issues, miles, progress, docs, pulls, "2024-01-01").collect()}
+    assert got == {("r", "docs_old", 1), ("r", "drafts_old", 1)}
+
+
+def test_snapshot_marks(spark):
+    from siftworks.sources import io
+
+    symbols = spark.createDataFrame([("a.py", "f")], "path string, name string")
+    folder = io.write_snapshot(symbols, "one")
+    io.write_snapshot(symbols, "two", folder)
+    io.mark_stale(spark, folder, "one")
+    status = lambda: {(r.snapshot, r.stale) for r in io.snapshot_status(spark, folder).collect()}
+    assert status() == {("one", True), ("two", False)}
+    io.write_snapshot(symbols, "one", folder)
+    assert status() == {("one", False), ("two", False)}
