@@ -1,4 +1,4 @@
-"""Function blocks by braces and by indentation, and measures on them."""
+"""Function blocks by braces and by indentation, and measures on them; `lines` are those of code_lines()."""
 
 from __future__ import annotations
 
@@ -21,24 +21,39 @@ def significant(lines: DataFrame) -> DataFrame:
     return lines.filter((F.trim("line") != "") & ~comment(F.col("line")))
 
 
-def masked(line: Column) -> Column:
-    """The line without string literals and line comments, so that their braces don't count."""
-    plain = F.regexp_replace(F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*\"", "\"\""), r"'(?:[^'\\]|\\.)*'", "''")
-    return F.regexp_replace(plain, r"//.*$", "")
+#: A source text in pieces, from left to right: triple-quoted, double, single and back-quoted strings, block and line comments,
+#: code between them, and quotes or slashes that open nothing. Block comments, triple and back-quoted strings cross lines.
+PIECES = (
+    r"\"\"\"[\s\S]*?(?:\"\"\"|\z)|'''[\s\S]*?(?:'''|\z)|\"[^\"\\\n]*(?:\\[\s\S][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"
+    r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`|/\*[\s\S]*?(?:\*/|\z)|//[^\n]*|[^\"'`/]+|[\"'`/]"
+)
+HIDDEN = r"^(?:[\"'`][\s\S]|/[/*])"
+
+
+def masked(text: Column) -> Column:
+    """The text without its strings and comments, line breaks kept, so that what looks like code in them doesn't count."""
+    each = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    return F.array_join(F.transform(each, lambda x: F.when(x.rlike(HIDDEN), F.regexp_replace(x, r"[^\n]+", "")).otherwise(x)), "")
+
+
+def code_lines(files: DataFrame, text_col: str = "content") -> DataFrame:
+    """One row a line, with `line` as it is and `code`, the line without strings and comments; a file is masked as a whole."""
+    rest = [c for c in files.columns if c != text_col]
+    both = F.arrays_zip(F.split(text_col, "\n").alias("line"), F.split(masked(F.col(text_col)), "\n").alias("code"))
+    each = files.select(*rest, F.posexplode(both).alias("pos", "both"))
+    return each.select(*rest, F.col("both.line").alias("line"), F.col("both.code").alias("code"), (F.col("pos") + 1).cast("bigint").alias("line_no"))
 
 
 def brace_depth(lines: DataFrame) -> DataFrame:
     """Adds `depth`, the open braces at each line's end, and `before`, those at its begin."""
-    m = masked(F.col("line"))
-    delta = F.regexp_count(m, F.lit(r"\{")) - F.regexp_count(m, F.lit(r"\}"))
+    delta = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
     by = Window.partitionBy("repo", "path").orderBy("line_no")
     return lines.withColumn("delta", delta).withColumn("depth", F.sum("delta").over(by)).withColumn("before", F.col("depth") - F.col("delta")).drop("delta")
 
 
 def brace_pairs(lines: DataFrame) -> DataFrame:
     """(repo, path, open_line, close_line, depth) of matching braces: a closer belongs to the next event of its depth."""
-    m = masked(F.col("line"))
-    each = lines.select("repo", "path", "line_no", F.posexplode(F.regexp_extract_all(m, F.lit(r"[{}]"), F.lit(0))).alias("k", "c"))
+    each = lines.select("repo", "path", "line_no", F.posexplode(F.regexp_extract_all("code", F.lit(r"[{}]"), F.lit(0))).alias("k", "c"))
     order = Window.partitionBy("repo", "path").orderBy("line_no", "k")
     open_ = F.col("c") == "{"
     run = F.sum(F.when(open_, 1).otherwise(-1)).over(order)
@@ -48,12 +63,23 @@ def brace_pairs(lines: DataFrame) -> DataFrame:
     return paired.filter(open_ & (F.col("next.c") == "}")).select("repo", "path", F.col("line_no").alias("open_line"), F.col("next.line_no").alias("close_line"), F.col("level").alias("depth"))
 
 
+NO_HEAD = r"^\s*(?:if|for|while|switch|catch|match|return|else|\}|//|\*)"
+
+
 def function_blocks(lines: DataFrame) -> DataFrame:
-    """(repo, path, lang, first_line, last_line): functions whose opening brace stands on their own line."""
-    heads = lines.filter(F.col("lang").isin(BRACED) & F.col("line").rlike(FUNCTION) & ~F.col("line").rlike(r"^\s*(?:if|for|while|switch|catch|match|return|else|\}|//|\*)"))
-    pairs = brace_pairs(lines.filter(F.col("lang").isin(BRACED)))
-    first = pairs.groupBy("repo", "path", "open_line").agg(F.min(F.struct("depth", "close_line")).alias("x"))
-    return heads.select("repo", "path", "lang", F.col("line_no").alias("first_line")).join(first.select("repo", "path", F.col("open_line").alias("first_line"), F.col("x.close_line").alias("last_line")), ["repo", "path", "first_line"])
+    """(repo, path, lang, first_line, open_line, last_line): functions from their heads to the end of the block that follows.
+
+    The block opens on the head's line or a later one; a semicolon or a closing brace on a line before it ends the search.
+    """
+    braced = lines.filter(F.col("lang").isin(BRACED))
+    down = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first_of = lambda pattern: F.min(F.when(F.col("code").rlike(pattern), F.col("line_no"))).over(down)
+    heads = braced.withColumn("open_line", first_of(r"\{")).withColumn("stop", first_of("[;}]"))
+    heads = heads.filter(F.col("code").rlike(FUNCTION) & ~F.col("code").rlike(NO_HEAD) & (F.col("open_line") <= F.coalesce("stop", "open_line")))
+    # Of the pairs that open on a line the outermost is meant; of several such the last, as parameters may hold braces.
+    body = brace_pairs(braced).groupBy("repo", "path", "open_line").agg(F.max(F.struct(-F.col("depth"), "close_line")).alias("x"))
+    body = body.select("repo", "path", "open_line", F.col("x.close_line").alias("last_line"))
+    return heads.select("repo", "path", "lang", F.col("line_no").alias("first_line"), "open_line").join(body, ["repo", "path", "open_line"]).select("repo", "path", "lang", "first_line", "open_line", "last_line")
 
 
 def indent(line: Column) -> Column:
@@ -75,12 +101,12 @@ def indent_blocks(lines: DataFrame) -> DataFrame:
 
 
 def all_blocks(lines: DataFrame) -> DataFrame:
-    return function_blocks(lines).unionByName(indent_blocks(lines))
+    return function_blocks(lines).unionByName(indent_blocks(lines).withColumn("open_line", F.col("first_line")))
 
 
 def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines of each block after its first: an equi join on line numbers, a row for each line that a block holds."""
-    b = blocks.filter("last_line > first_line").select("repo", "path", "first_line", F.explode(F.expr("sequence(first_line + 1, last_line)")).alias("line_no"))
+    """Lines of each block after the one that opens it: an equi join on line numbers, a row for each line that a block holds."""
+    b = blocks.filter("last_line > open_line").select("repo", "path", "first_line", F.explode(F.expr("sequence(open_line + 1, last_line)")).alias("line_no"))
     return lines.join(b, ["repo", "path", "line_no"])
 
 
@@ -89,7 +115,7 @@ def doc_code_ratio(lines: DataFrame, most: float = 3.0, least: int = 3) -> DataF
     marked = lines.withColumn("is_doc", comment(F.col("line")))
     by = Window.partitionBy("repo", "path").orderBy("line_no")
     island = marked.withColumn("g", F.sum((~F.col("is_doc")).cast("int")).over(by)).filter("is_doc").groupBy("repo", "path", "g").agg(F.count("*").alias("doc"), (F.max("line_no") + 1).alias("first_line")).drop("g")
-    blocks = all_blocks(lines).withColumn("body", F.col("last_line") - F.col("first_line"))
+    blocks = all_blocks(lines).withColumn("body", F.col("last_line") - F.col("open_line"))
     return blocks.join(island, ["repo", "path", "first_line"]).filter((F.col("body") >= least) & (F.col("doc") > most * F.col("body"))).select("repo", "path", "first_line", "doc", "body")
 
 
@@ -128,5 +154,5 @@ def stub_functions(lines: DataFrame) -> DataFrame:
 def complexity(lines: DataFrame, medium: int = 10, high: int = 20) -> DataFrame:
     """(repo, path, first_line, complexity, level): one more than the branch words of each function."""
     inside = block_lines(lines, all_blocks(lines)).filter(~comment(F.col("line")))
-    per = inside.groupBy("repo", "path", "first_line").agg((F.sum(F.regexp_count(masked(F.col("line")), F.lit(BRANCH))) + 1).alias("complexity"))
+    per = inside.groupBy("repo", "path", "first_line").agg((F.sum(F.regexp_count("code", F.lit(BRANCH))) + 1).alias("complexity"))
     return per.withColumn("level", F.when(F.col("complexity") > high, "high").when(F.col("complexity") > medium, "medium").otherwise("low"))

@@ -10,8 +10,12 @@ from siftworks.tables import to_lines
 
 def lines_of(spark, files):
     """(repo, path, lang, doc_id, line_no, line) of {path: (language, text)}."""
+    return to_lines(files_of(spark, files))
+
+
+def files_of(spark, files):
     rows = [("r", p, lang, i, text) for i, (p, (lang, text)) in enumerate(files.items())]
-    return to_lines(spark.createDataFrame(rows, "repo string, path string, lang string, doc_id long, content string"))
+    return spark.createDataFrame(rows, "repo string, path string, lang string, doc_id long, content string")
 
 
 def test_rules_fire_and_spare(spark):
@@ -47,7 +51,7 @@ def test_brace_pairs_equal_a_stack(spark):
     rng, files = random.Random(7), {}
     for k in range(20):
         files[f"f{k}.js"] = ("javascript", "\n".join("".join(rng.choice("{}x ") for _ in range(rng.randint(0, 6))) for _ in range(30)))
-    got = {(r.path, r.open_line, r.close_line) for r in blocks.brace_pairs(lines_of(spark, files)).collect()}
+    got = {(r.path, r.open_line, r.close_line) for r in blocks.brace_pairs(blocks.code_lines(files_of(spark, files))).collect()}
     expected = set()
     for path, (_, text) in files.items():
         stack = []
@@ -68,6 +72,19 @@ def test_brace_pairs_equal_a_stack(spark):
     assert got == expected
 
 
+def test_masked_keeps_lines_and_code(spark):
+    text = "a(`x{\n}`); /* {\n*/ b('it{', \"q\\\"{\"); // {\nc / d; don't {\n\"\"\"{\n\"\"\" e /* open {\n}"
+    (row,) = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(blocks.masked(F.col("t")).alias("m")).filter("m <> ''").collect()
+    assert row.m == "a(\n); \n b(, ); \nc / d; don't {\n\n e \n"
+
+
+def test_function_blocks(spark):
+    js = "function a()\n{\n  x = `}\n}`;\n}\n/*\nfunction no() {\n}\n*/\nfunction b({ p, q }) {\n  y();\n}\nfunction c(\n  p,\n  q\n) {\n  z();\n}"
+    rust = "trait S {\n    fn get(&self) -> u32;\n    fn put(&self) -> u32 {\n        1\n    }\n}"
+    got = blocks.function_blocks(blocks.code_lines(files_of(spark, {"a.js": ("javascript", js), "b.rs": ("rust", rust), "c.js": ("javascript", ""), "d.js": ("javascript", None)})))
+    assert {(r.path, r.first_line, r.open_line, r.last_line) for r in got.collect()} == {("a.js", 1, 2, 5), ("a.js", 10, 10, 12), ("a.js", 13, 16, 18), ("b.rs", 3, 3, 5)}
+
+
 def test_indent_blocks(spark):
     text = "def a():\n    x\n    def b():\n        y\n    z\nw\ndef c():\n    v"
     got = {(r.first_line, r.last_line) for r in blocks.indent_blocks(lines_of(spark, {"a.py": ("python", text)})).collect()}
@@ -76,7 +93,7 @@ def test_indent_blocks(spark):
 
 def test_dead_code_and_stubs(spark):
     js = "function a() {\n  return 1;\n  dead();\n}\nfunction b() {\n  return null;\n}\nfunction c() {\n  if (x) {\n    return 1;\n  }\n  live();\n}"
-    lines = lines_of(spark, {"a.js": ("javascript", js)})
+    lines = blocks.code_lines(files_of(spark, {"a.js": ("javascript", js)}))
     assert [(r.line_no, r.dead_line) for r in blocks.dead_code(lines).collect()] == [(2, 3)]
     assert [r.first_line for r in blocks.stub_functions(lines).collect()] == [5]
 
