@@ -9,36 +9,51 @@ from ..sources.io import new_folder
 from .blocks import significant
 from .scan import TEST_PATH
 
-# Symbol rules: (languages, kind, pattern with the name as group 1).
 _JS, _PY, _GO, _RS, _JV = ["javascript", "typescript"], ["python"], ["go"], ["rust"], ["java"]
+_OPEN, _PUB = r"^\s*(?:export\s+)?(?:default\s+)?", r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
+# Symbol rules (languages, kind, pattern with the name as group 1) and import rules (the source as group 1).
 SYMBOLS = [
-    (_JS, "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"),
-    (_JS, "function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"),
-    (_JS, "class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"),
-    (_JS, "type", r"^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)"),
+    (_JS, "function", _OPEN + r"(?:async\s+)?function\b\s*\*?\s*(\w+)"),
+    (_JS, "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\b)"),
+    (_JS, "function", r"^\s*export\s+(default)\s+(?:async\s+)?function\b\s*\*?\s*\("),
+    (_JS, "class", _OPEN + r"(?:abstract\s+)?class\s+(\w+)"),
+    (_JS, "class", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*class\b"),
+    (_JS, "class", r"^\s*export\s+(default)\s+class\s*\{"),
+    (_JS, "type", r"^\s*(?:export\s+)?(?:interface|type|(?:const\s+)?enum|namespace)\s+(\w+)"),
+    (_JS, "namespace", r"^\s*export\s+as\s+namespace\s+(\w+)"),
     (_JS, "constant", r"^\s*(?:export\s+)?const\s+([A-Z][A-Z0-9_]+)\s*="),
+    (_JS, "variable", r"^\s*export\s+(?:let|var)\s+(\w+)"),
+    (_JS, "value", r"^\s*export\s+default\s+(\w+)\s*;?\s*$"),
+    (_JS, "value", r"^\s*module\.exports\s*=\s*([A-Za-z_]\w*)\s*;?\s*$"),
+    (_JS, "value", r"^\s*(?:module\.)?exports\.(\w+)\s*=[^=]"),
+    (_JS, "re-export", r"^\s*export\s+(\*)\s+from\b"),
     (_PY, "function", r"^\s*(?:async\s+)?def\s+(\w+)"),
     (_PY, "class", r"^\s*class\s+(\w+)"),
     (_PY, "constant", r"^([A-Z][A-Z0-9_]+)\s*="),
     (_GO, "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"),
     (_GO, "type", r"^type\s+(\w+)\s"),
     (_GO, "constant", r"^(?:const|var)\s+(\w+)"),
-    (_RS, "function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
-    (_RS, "type", r"^\s*(?:pub\s+)?(?:struct|enum|trait|type)\s+(\w+)"),
-    (_RS, "constant", r"^\s*(?:pub\s+)?(?:const|static)\s+(\w+)"),
+    (_RS, "function", _PUB + r"(?:async\s+)?fn\s+(\w+)"),
+    (_RS, "type", _PUB + r"(?:struct|enum|trait|type)\s+(\w+)"),
+    (_RS, "constant", _PUB + r"(?:const|static)\s+(\w+)\s*:"),
+    (_RS, "module", _PUB + r"mod\s+(\w+)"),
     (_JV, "class", r"^\s*(?:public\s+)?(?:abstract\s+|final\s+)?class\s+(\w+)"),
-    (_JV, "type", r"^\s*(?:public\s+)?(?:interface|enum)\s+(\w+)"),
-    (_JV, "function", r"^\s*(?:public|protected|private)\s+(?:static\s+)?[\w<>]+\s+(\w+)\s*\("),
+    (_JV, "type", r"^\s*(?:public\s+)?(?:interface|enum|record)\s+(\w+)"),
+    (_JV, "constant", r"^\s*(?:public\s+|protected\s+|private\s+)?static\s+final\s+[\w<>\[\],.?]+\s+(\w+)\s*="),
+    (_JV, "function", r"^\s*(?:public|protected|private)\s+(?:static\s+)?(?:(?:void|boolean|byte|char|short|int|long|float|double)(?:\[\])*|[\w.]*[A-Z][\w<>\[\],.?]*)\s+(\w+)\s*\("),
 ]
 IMPORTS = [
-    (_JS, "import", r"^\s*import\s.*from\s+'([^']+)'"),
-    (_JS, "require", r"require\('([^']+)'\)"),
+    (_JS, "import", r"^\s*import\s.*from\s+['\"]([^'\"]+)['\"]"),
+    (_JS, "side-effect", r"^\s*import\s+['\"]([^'\"]+)['\"]"),
+    (_JS, "require", r"require\(['\"]([^'\"]+)['\"]\)"),
     (_PY, "from", r"^\s*from\s+([\w.]+)\s+import"),
     (_PY, "import", r"^\s*import\s+([\w., ]+)"),
-    (_GO, "import", r"^\s*import\s+\"([^\"]+)\""),
-    (_RS, "use", r"^\s*use\s+([\w:]+);"),
-    (_JV, "import", r"^\s*import\s+([\w.]+);"),
+    (_GO, "import", r"^\s*import\s+(?:[\w.]+\s+)?\"([^\"]+)\""),
+    (_RS, "use", r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\*|::\{[^}]*\})?;"),
+    (_JV, "import", r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?);"),
 ]
+#: Lines that export the symbols on them.
+SHOWN = {"js": r"^\s*(?:export\s|(?:module\.)?exports\b)", "py": r"^\S", "rs": r"^\s*pub\b", "jv": r"^\s*public\s"}
 
 
 def _found(rules, lang: Column, line: Column) -> Column:
@@ -63,11 +78,11 @@ def export_list_names(lines: DataFrame) -> DataFrame:
 def exports(lines: DataFrame) -> DataFrame:
     """(repo, path, name) of what a file exports: export words and lists; Python public names; Go capitals; `pub`, `public`."""
     open_ = {
-        "js": F.col("lang").isin(_JS) & F.col("line").rlike(r"^\s*export\s"),
-        "py": F.col("lang").isin(_PY) & ~F.col("name").startswith("_") & F.col("line").rlike(r"^\S"),
+        "js": F.col("lang").isin(_JS) & F.col("line").rlike(SHOWN["js"]),
+        "py": F.col("lang").isin(_PY) & ~F.col("name").startswith("_") & F.col("line").rlike(SHOWN["py"]),
         "go": F.col("lang").isin(_GO) & F.col("name").rlike("^[A-Z]"),
-        "rs": F.col("lang").isin(_RS) & F.col("line").rlike(r"^\s*pub\s"),
-        "jv": F.col("lang").isin(_JV) & F.col("line").rlike(r"^\s*public\s"),
+        "rs": F.col("lang").isin(_RS) & F.col("line").rlike(SHOWN["rs"]),
+        "jv": F.col("lang").isin(_JV) & F.col("line").rlike(SHOWN["jv"]),
     }
     rows = lines.select("repo", "path", "lang", "line", F.explode(_found(SYMBOLS, F.col("lang"), F.col("line"))).alias("s")).select("repo", "path", "lang", "line", "s.name")
     named = rows.filter(open_["js"] | open_["py"] | open_["go"] | open_["rs"] | open_["jv"]).select("repo", "path", "name")

@@ -18,8 +18,8 @@ def _rules_sql(rules, columns: str) -> str:
 NAMES = f"found AS ({_rules_sql(hi.SYMBOLS, 'repo, path, lang, line, line_no')}), symbols AS (SELECT repo, path, lang, kind, name, min(line_no) AS line_no FROM found GROUP BY ALL)"
 _LISTS = " UNION ALL ".join(f"SELECT repo, path, regexp_extract(line, {q(rx)}, 1) AS b FROM code_lines WHERE regexp_matches(line, {q(rx)})" for rx in (r"^\s*export\s*\{([^}]*)\}", r"module\.exports\s*=\s*\{([^}]*)\}", r"__all__\s*=\s*\[([^\]]*)\]"))
 LISTS = rf"""listed AS (SELECT DISTINCT repo, path, name FROM (SELECT repo, path, regexp_replace(regexp_replace(trim(x, ' '), '^.*\sas\s+', ''), '[''"]|:.*$', '', 'g') AS name FROM (SELECT repo, path, unnest(string_split(b, ',')) AS x FROM ({_LISTS}))) WHERE name <> '')"""
-EXPORTS = LISTS + r""", exports AS (SELECT repo, path, name FROM found WHERE (lang IN ('javascript', 'typescript') AND regexp_matches(line, '^\s*export\s')) OR (lang = 'python' AND NOT starts_with(name, '_') AND regexp_matches(line, '^\S'))
- OR (lang = 'go' AND regexp_matches(name, '^[A-Z]')) OR (lang = 'rust' AND regexp_matches(line, '^\s*pub\s')) OR (lang = 'java' AND regexp_matches(line, '^\s*public\s')) UNION SELECT repo, path, name FROM listed)"""
+EXPORTS = LISTS + rf""", exports AS (SELECT repo, path, name FROM found WHERE (lang IN ('javascript', 'typescript') AND regexp_matches(line, {q(hi.SHOWN["js"])})) OR (lang = 'python' AND NOT starts_with(name, '_') AND regexp_matches(line, {q(hi.SHOWN["py"])}))
+ OR (lang = 'go' AND regexp_matches(name, '^[A-Z]')) OR (lang = 'rust' AND regexp_matches(line, {q(hi.SHOWN["rs"])})) OR (lang = 'java' AND regexp_matches(line, {q(hi.SHOWN["jv"])})) UNION SELECT repo, path, name FROM listed)"""
 
 
 @query("h1_extract_symbols", W + T.LINES + ", " + NAMES + " SELECT * FROM symbols")

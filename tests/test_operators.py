@@ -85,6 +85,23 @@ def test_function_blocks(spark):
     assert {(r.path, r.first_line, r.open_line, r.last_line) for r in got.collect()} == {("a.js", 1, 2, 5), ("a.js", 10, 10, 12), ("a.js", 13, 16, 18), ("b.rs", 3, 3, 5)}
 
 
+def test_symbols_exports_and_imports(spark):
+    files = {
+        "a.js": ("javascript", "export default function () {\nfunction* gen() {\nlet f = async function () {\nexport let v = 1;\nconst K = class {\nexports.w = 1;\nexports.w === 1;\nmodule.exports = gen;\nexport * from 'x';\nimport 'side';\nimport d from \"dq\";"),
+        "b.ts": ("typescript", "export abstract class A {\nexport const enum E {\nnamespace N {\nexport as namespace Lib;"),
+        "c.rs": ("rust", "pub(crate) fn g() {\nmod inner;\npub mod outer {\nconst fn h() {\nstatic S: u8 = 1;\nuse std::io::*;\nuse a::b::{c, d};\nuse e::f;"),
+        "d.java": ("java", "public record P(int x) {\n  private static final int[] Q = {1};\n  public List<String> r() {\nimport static a.b.C;\nimport a.b.*;"),
+        "e.go": ("go", "import al \"x/y\""),
+    }
+    lines = lines_of(spark, files)
+    assert {(r.kind, r.name) for r in history.extract_symbols(lines).collect()} == {
+        *{("function", x) for x in ("default", "gen", "f", "g", "r")}, ("variable", "v"), *{("class", x) for x in ("K", "A")}, ("value", "w"), ("value", "gen"), ("re-export", "*"),
+        *{("type", x) for x in ("E", "N", "P")}, ("namespace", "Lib"), *{("module", x) for x in ("inner", "outer")}, *{("constant", x) for x in ("S", "Q")},
+    }
+    assert {r.name for r in history.exports(lines).collect()} == {"default", "v", "w", "gen", "*", "A", "E", "Lib", "g", "outer", "P", "r"}
+    assert {r.source for r in history.extract_imports(lines).collect()} == {"side", "dq", "std::io", "a::b", "e::f", "a.b.C", "a.b.*", "x/y"}
+
+
 def test_indent_blocks(spark):
     text = "def a():\n    x\n    def b():\n        y\n    z\nw\ndef c():\n    v"
     got = {(r.first_line, r.last_line) for r in blocks.indent_blocks(lines_of(spark, {"a.py": ("python", text)})).collect()}
