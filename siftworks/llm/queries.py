@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, near_dedup, quality, substring_dedup, token_store, toxicity, url_filter
+from . import ann, bpe, centroids, chat, decontaminate, near_dedup, prefix_trie, quality, substring_dedup, token_store, toxicity, url_filter
 
 VOCABULARY = "word_bpe_49k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -86,7 +86,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.as_mail(table(spark, sf_dir, "conversations"))).withColumnRenamed("msg_id", "turn")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("entered", "left")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("centroid_sha256", centroids.centroid_digest(F.col("centroid"))).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_decontamination, op3_substring_dedup, op4_bpe, op5_minhash, op6_token_store, op7_quality, op8_nearest, op9_toxicity, op10_chat)
+    for f in (op1_url_filter, op2_decontamination, op3_substring_dedup, op4_bpe, op5_minhash, op6_token_store, op7_quality, op8_nearest, op9_toxicity, op10_chat, op11_prefix_trie, op12_centroids)
 }

@@ -55,4 +55,57 @@ SELECT conv_id, turn, role, text, lag(turn) OVER w AS parent, first_value(turn)
        row_number() OVER w - 1 AS depth, row_number() OVER w AS position
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 
-ORACLES = {"op1_url_filter": OP1, "op2_decontamination": OP2, "op3_substring_dedup": OP3, "op10_chat": OP10}
+
+
+def _clusters() -> str:
+    """Ten rounds over 8 centroids; every CTE is materialised, as each is read twice."""
+    distance = "list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"SELECT i, v, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT i, v, c, {distance} AS d FROM kept, at_K) GROUP BY i, v"
+    steps = []
+    for k in range(10):
+        steps.append(f"""near_{k} AS MATERIALIZED ({nearest.replace("at_K", f"at_{k}")}), at_{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m, x) AS x FROM at_{k} LEFT JOIN (SELECT c, list(m ORDER BY p) AS m FROM (
+    SELECT c, p, CAST((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM (SELECT c, unnest(v) AS y, unnest(generate_series(1, 64)) AS p FROM near_{k}) GROUP BY c, p) GROUP BY c) USING (c))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64
+), at_0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 8)
+), {", ".join(steps)}, last AS MATERIALIZED ({nearest.replace("at_K", "at_10")})
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM last JOIN at_10 USING (c) JOIN kept USING (i)"""
+
+
+OP11 = """
+WITH RECURSIVE crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS v FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END
+  FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(v, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE v END AS x FROM crc WHERE k < 8 * length(s))
+), heads AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM crc WHERE k = 8 * length(s)
+), original AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(o.turns, h + 1, len(o.turns))) AS turns
+  FROM heads JOIN original o USING (conv_id) LEFT JOIN original b ON b.conv_id = base
+), steps AS (
+  SELECT conv_id, d, list_slice(turns, 1, d) AS path, d = len(turns) AS ends FROM (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS d FROM rebuilt)
+), nodes AS MATERIALIZED (
+  SELECT path, min(conv_id) AS conv_id, d AS depth, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(path[d].text) END AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM steps GROUP BY path, d
+), children AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT list_slice(path, 1, k) AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(generate_series(0, depth)) AS k FROM nodes LEFT JOIN children USING (path)) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (path) LEFT JOIN children USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_decontamination": OP2, "op3_substring_dedup": OP3, "op10_chat": OP10, "op11_prefix_trie": OP11, "op12_centroids": _clusters()}
