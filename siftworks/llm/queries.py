@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, centroids, chat, decontaminate, near_dedup, prefix_trie, quality, substring_dedup, token_store, toxicity, url_filter
+from . import ann, bpe, centroids, chat, decontaminate, near_dedup, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, toxicity, url_filter
 
 VOCABULARY = "word_bpe_49k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -95,7 +95,15 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("centroid_sha256", centroids.centroid_digest(F.col("centroid"))).drop("centroid")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_bytes(docs, with_kept=False).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_decontamination, op3_substring_dedup, op4_bpe, op5_minhash, op6_token_store, op7_quality, op8_nearest, op9_toxicity, op10_chat, op11_prefix_trie, op12_centroids)
+    for f in (
+        op1_url_filter, op2_decontamination, op3_substring_dedup, op4_bpe, op5_minhash, op6_token_store, op7_quality,
+        op8_nearest, op9_toxicity, op10_chat, op11_prefix_trie, op12_centroids, op13_suffix_dedup,
+    )
 }
