@@ -116,9 +116,9 @@ hits AS (SELECT r, s FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(
 marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER w + 200 THEN 0 ELSE 1 END AS new FROM hits WINDOW w AS (PARTITION BY r ORDER BY s)),
 spans AS (SELECT r, i, min(s) AS a, max(s) + 200 AS z FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS i FROM marked) GROUP BY r, i),
 gaps AS (
-  SELECT r, a AS at, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM spans
+  SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p FROM spans
 ), cut AS (
-  SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS tail, string_agg(hex(array_slice(b, p + 1, a)), '' ORDER BY at) AS x FROM gaps JOIN d USING (r) GROUP BY r
+  SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS tail, string_agg(hex(array_slice(b, p + 1, a)), '' ORDER BY a) AS x FROM gaps JOIN d USING (r) GROUP BY r
 )
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(CASE WHEN r IN (SELECT r FROM cut) THEN unhex(x || hex(array_slice(b, tail + 1, octet_length(b)))) ELSE b END) AS kept_sha256
