@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..operators import history as hi
+from ..operators import imports as im
 from ..sources import io
 from .registry import query
 from .scans import W, q
@@ -53,10 +54,16 @@ def h5(spark, d):
 _EDGES = "nodes AS (SELECT count(*) AS n FROM part), edges AS (SELECT p_partkey AS src, (3 * p_partkey + 1) % n AS dst FROM part, nodes UNION SELECT p_partkey, (7 * p_partkey + 2) % n FROM part, nodes)"
 
 
-@query("h6_import_cycles", W.replace("WITH", "WITH RECURSIVE") + _EDGES + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+_CYCLES = """e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
  p(nodes, last, done) AS (SELECT [src, dst], dst, false FROM e WHERE src < dst UNION ALL SELECT CASE WHEN e.dst = nodes[1] THEN nodes ELSE list_append(nodes, e.dst) END, e.dst, e.dst = nodes[1] FROM p JOIN e ON p.last = e.src
    WHERE NOT done AND (e.dst = nodes[1] OR (e.dst > nodes[1] AND NOT list_contains(nodes, e.dst) AND len(nodes) < 6)))
- SELECT nodes AS cycle FROM p WHERE done""")
+ SELECT nodes AS cycle FROM p WHERE done"""
+_COMPONENTS = """e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+ r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+ SELECT a.src AS file, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src"""
+
+
+@query("h6_import_cycles", W.replace("WITH", "WITH RECURSIVE") + _EDGES + ", " + _CYCLES)
 def h6(spark, d):
     return hi.import_cycles(import_edges(spark, d))
 
@@ -67,13 +74,57 @@ def import_edges(spark, d):
     return part.select(F.col("p_partkey").alias("src"), F.explode(F.array((3 * F.col("p_partkey") + 1) % n, (7 * F.col("p_partkey") + 2) % n)).alias("dst"))
 
 
-@query("h6_import_components", W.replace("WITH", "WITH RECURSIVE") + _EDGES + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
- r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
- SELECT a.src AS file, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+@query("h6_import_components", W.replace("WITH", "WITH RECURSIVE") + _EDGES + ", " + _COMPONENTS)
 def h6_components(spark, d):
     return hi.import_components(import_edges(spark, d))
 
 
+# Files of one repository with a planted import: of each four documents 35 apart, each names the next and the last the first.
+_NEXT = "CASE WHEN (doc_id // 35) % 4 = 3 THEN doc_id - 105 ELSE doc_id + 35 END"
+
+
+def _linked_files(spark, d):
+    to = F.when(F.floor(F.col("doc_id") / 35) % 4 == 3, F.col("doc_id") - 105).otherwise(F.col("doc_id") + 35)
+    where, name = F.concat(F.lit("m"), (to % 5).cast("string")), F.concat(F.lit("f"), to.cast("string"))
+    line = (
+        F.when(F.col("lang").isin("javascript", "typescript"), F.concat(F.lit("\nimport { next } from '../"), where, F.lit("/"), name, F.lit("';")))
+        .when(F.col("lang") == "python", F.concat(F.lit("\nfrom "), where, F.lit("."), name, F.lit(" import next")))
+        .when(F.col("lang") == "java", F.concat(F.lit("\nimport src."), where, F.lit("."), name, F.lit(";")))
+        .when(F.col("lang") == "rust", F.concat(F.lit("\nuse crate::"), where, F.lit("::"), name, F.lit(";")))
+        .otherwise("")
+    )
+    return T.code_files(spark, d).withColumns({"repo": F.lit("all"), "content": F.concat("content", line)})
+
+
+def _file_edges(spark, d):
+    files = _linked_files(spark, d)
+    return im.file_edges(hi.extract_imports(T.to_lines(files)), files)
+
+
+# The edges by arithmetic on the document ids: planted ones, and heads of JavaScript and TypeScript that name a file beside them.
+_REAL = T.FILES + f""", plain AS (SELECT doc_id, lang, path, {_NEXT} AS t, doc_id % 11 = 0 AS test, doc_id % 13 = 0 AS off, lang IN ('javascript', 'typescript') AS js FROM code_files),
+ edges AS (SELECT 'all/' || a.path AS src, 'all/' || b.path AS dst FROM plain a JOIN plain b ON b.doc_id = a.t WHERE NOT b.test AND a.lang NOT IN ('go', 'markdown')
+   AND (NOT a.js OR (NOT a.test AND a.off = b.off)) AND (a.lang <> 'rust' OR (NOT a.test AND a.off = b.off))
+  UNION SELECT 'all/' || a.path, 'all/' || b.path FROM plain a JOIN plain b ON b.doc_id = (3 * a.doc_id + 1) % 1000 WHERE a.js AND b.js AND NOT a.test AND NOT b.test AND a.off = b.off AND a.doc_id % 5 = b.doc_id % 5)"""
+
+
+@query("h5_file_edges", W + _REAL + " SELECT src, dst FROM edges WHERE src <> dst")
+def h5_files(spark, d):
+    """Imports of source files resolved to files."""
+    return _file_edges(spark, d)
+
+
+@query("h6_file_cycles", W.replace("WITH", "WITH RECURSIVE") + _REAL + ", " + _CYCLES)
+def h6_files(spark, d):
+    """Cycles of real imports, a planted one among them."""
+    return hi.import_cycles(hi.written(_file_edges(spark, d)))
+
+
+@query("h6_file_components", W.replace("WITH", "WITH RECURSIVE") + _REAL + ", " + _COMPONENTS)
+def h6_file_components(spark, d):
+    return hi.import_components(_file_edges(spark, d))
+
+
 _SIG = r"trim(line, ' ') <> '' AND NOT regexp_matches(line, '^\s*(//|\*|/\*)') AND NOT (regexp_matches(line, '^\s*#') AND NOT regexp_matches(line, '^\s*#\['))"
 
 
