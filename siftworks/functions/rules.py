@@ -11,11 +11,14 @@ that hits the same lines in linear time, so that lines of any length are judged.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import may_match
+
 # Globs of paths that rules leave out.
 TEST_JS = ("*.test.*", "*.spec.*")
 KEYS = (*TEST_JS, "*.example.*")
@@ -30,6 +33,8 @@ NUMBERS = (
     "*.html", "*.ejs", "*.pug", "*.hbs", "dist/**", "build/**", ".next/**", "out/**",
 )
 TEST_PY = ("test_*.py", "*_test.py", "conftest.py")
+#: Predicates of rules that no pattern can state, by name: each takes a pandas Series of lines and gives one of booleans.
+PREDICATES: dict[str, Callable] = {}
 
 
 @dataclass(frozen=True)
@@ -43,9 +48,15 @@ class Rule:
     part: str | None = None
     group: int = 0
     reject: str | None = None
+    predicate: str | None = None
 
-    def fires(self, line: Column) -> Column:
+    def fires(self, line: Column, lower: Column | None = None) -> Column:
+        """Whether the rule fires on a line; with its lower case at hand, lines without what the pattern needs are told first."""
+        if self.predicate:
+            return F.coalesce(F.pandas_udf(PREDICATES[self.predicate], "boolean")(line), F.lit(False))
         hit = line.rlike(LINEAR.get(self.pattern, self.pattern))
+        if lower is not None and (first := may_match(self.pattern, line, lower)) is not None:
+            hit = first & hit
         if self.part:
             hit = hit & F.exists(F.regexp_extract_all(line, F.lit(self.part), F.lit(self.group)), lambda x: ~x.rlike(self.reject))
         return hit
@@ -120,6 +131,11 @@ SECURITY = [
 ]
 
 
+def register_predicate(name: str, test: Callable) -> None:
+    """Makes `test` known to rules under `name`: the open end of rule tables."""
+    PREDICATES[name] = test
+
+
 def _then(head: str, tail: str) -> str:
     r"""`head.*tail`, tried from the first head after each line terminator only; heads that span a \r are tried by themselves."""
     parts = re.split(r"(\\s[*+])", head)

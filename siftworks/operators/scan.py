@@ -56,21 +56,34 @@ def select_rules(language: str | None = None, severity: str | None = None, fix:
     return [r for r in RULES if (language is None or r.language in (language, None)) and severity in (None, r.severity) and fix in (None, r.fix)]
 
 
-def rule_scan(lines: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules from a table, in order of its column `seq`: name, pattern, severity, fix, language, exclude, part, group, reject, predicate; only the first two are needed.
+
+    A table of rules is a catalogue, so its rows are read to the driver, where they become one projection.
+    """
+    known = [c for c in ("name", "pattern", "severity", "fix", "language", "exclude", "part", "group", "reject", "predicate") if c in table.columns]
+    rows = (table.orderBy("seq") if "seq" in table.columns else table).select(*known).collect()
+    return [Rule(**{k: tuple(v) if k == "exclude" else v for k, v in r.asDict().items() if v is not None}) for r in rows]
+
+
+def rule_scan(lines: DataFrame, rules: list[Rule] | DataFrame = RULES) -> DataFrame:
     """Findings: one row a line and rule that fires. lines: (repo, path, lang, line_no, line).
 
-    All rules are one projection over the lines, however long: no join, no shuffle.
+    All rules, those of a table too, are one projection over the lines, however long: no join, no shuffle. Before a pattern is
+    tried, the line is searched for the strings that the pattern can't do without.
     """
+    rules = rules_of(rules) if isinstance(rules, DataFrame) else rules
 
     def hit(r: Rule) -> Column:
-        cond = r.fires(F.col("line"))
+        cond = r.fires(F.col("line"), F.col("lower"))
         if r.language:
             cond = F.col("lang").isin(*(["javascript", "typescript"] if r.language == "javascript" else [r.language])) & cond
         if (rx := excluded_regex(r)) is not None:
             cond = cond & ~F.col("path").rlike(rx)
         return F.when(cond, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.fix).alias("fix")))
 
-    found = lines.select("repo", "path", "line_no", F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("f"), "line")
+    rows = lines.select("repo", "path", "lang", "line_no", "line", F.lower("line").alias("lower"))
+    found = rows.select("repo", "path", "line_no", F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("f"), "line")
     return found.select("repo", "path", "line_no", "f.rule", "f.severity", "f.fix", F.lit("HIGH").alias("certainty"), F.substring(F.trim("line"), 1, 100).alias("content"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ["scans", "findings", "joins", "summaries", "blocks", "history", "documents", "streams"]
+MODULES = ["scans", "findings", "joins", "summaries", "blocks", "history", "documents", "streams", "changes"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

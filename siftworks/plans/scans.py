@@ -123,6 +123,16 @@ def b1(spark, d):
     return scan.rule_scan(T.code_lines(spark, d))
 
 
+@query("b1_rules_from_table", W + T.LINES + ", " + FINDINGS + " SELECT * FROM findings")
+def b1_table(spark, d):
+    """The catalogue written as a table, read back and scanned with."""
+    rows = [(i, r.name, r.pattern, r.severity, r.fix, r.language, list(r.exclude), r.part, r.group, r.reject) for i, r in enumerate(R.RULES)]
+    made = spark.createDataFrame(rows, "seq int, name string, pattern string, severity string, fix string, language string, exclude array<string>, part string, `group` int, reject string")
+    folder = io.new_folder(spark, "rules")
+    made.write.parquet(folder)
+    return scan.rule_scan(T.code_lines(spark, d), spark.read.parquet(folder))
+
+
 _TEXT = "text_lines AS (SELECT source AS repo, 'd' || doc_id AS path, 'text' AS lang, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents)"
 
 

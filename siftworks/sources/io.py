@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,51 @@ def read_name_status(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(p[0].alias("hash"), F.explode(both).alias("x"), docs.alias("touches_docs")).select("hash", "x.*", "touches_docs")
 
 
+def write_text(rows: DataFrame, name: str) -> str:
+    """A column `value` as lines of text."""
+    folder = new_folder(rows.sparkSession, name)
+    rows.select("value").write.text(folder)
+    return folder
+
+
+def _status_rows(parts: Column, *keys: str) -> list[Column]:
+    """Columns of a name-status row split at tabs: one row for it, and one more for a rename below 100."""
+    rename = parts[0].startswith("R")
+    # names with odd characters come quoted
+    name = lambda i: F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(i)), '^"(.*)"$', "$1"), r'\\(["\\])', "$1")
+    score = F.when(rename, F.regexp_extract(parts[0], r"^R(\d+)", 1).try_cast("int"))
+    to = F.when(rename, name(2))
+    docs = F.coalesce(name(1).endswith(".md"), F.lit(False)) | F.coalesce(to.endswith(".md"), F.lit(False))
+    row = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("status", "from_path", "to_path", "score", "touches_docs"), strict=True)))
+    one = row(F.substring(parts[0], 1, 1), name(1), to, score, docs)
+    two = row(F.lit("M"), to, F.lit(None).cast("string"), F.lit(None).cast("int"), docs)
+    return [*map(F.col, keys), F.explode(F.when(rename & (score < 100), F.array(one, two)).otherwise(F.array(one))).alias("x")]
+
+
+def read_diff_status(spark: SparkSession, folder: str) -> DataFrame:
+    """(status, from_path, to_path, score, touches_docs) of `diff --name-status` text as it is printed; lines of no such form are left out."""
+    rows = spark.read.text(folder).filter(F.col("value").rlike(r"^[A-Z]\d*\t.")).select(F.split("value", "\t").alias("p"))
+    return rows.select(*_status_rows(F.col("p"))).select("x.*")
+
+
+def write_status_log(commit_files: DataFrame) -> str:
+    """One record a commit: `COMMIT:<hash>`, an empty line, and statuses with names; a third of the deletions are renames with a score."""
+    folder = new_folder(commit_files.sparkSession, "status-log")
+    renamed = (F.col("status") == "D") & (F.col("hash") % 3 == 0)
+    status = F.when(renamed, F.concat(F.lit("R"), F.lpad((F.col("hash") % 101).cast("string"), 3, "0"))).otherwise(F.col("status"))
+    row = F.concat_ws("\t", status, "path", F.when(renamed, F.concat("path", F.lit(".new"))))
+    log = commit_files.groupBy("hash").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    log.select(F.concat(F.lit("COMMIT:"), F.col("hash").cast("string"), F.lit("\n\n"), F.array_join("rows", "\n")).alias("value")).write.text(folder)
+    return folder
+
+
+def read_status_log(spark: SparkSession, folder: str) -> DataFrame:
+    """(hash, status, from_path, to_path, score, touches_docs) of `log --name-status --format=COMMIT:%H` text."""
+    rows = spark.read.option("lineSep", "\nCOMMIT:").text(folder).select(F.split(F.regexp_replace("value", r"^COMMIT:", ""), "\n").alias("lines"))
+    each = rows.select(F.trim(F.col("lines")[0]).alias("hash"), F.explode(F.filter("lines", lambda x: x.rlike(r"^[A-Z]\d*\t."))).alias("line"))
+    return each.select("hash", F.split("line", "\t").alias("p")).select(*_status_rows(F.col("p"), "hash")).select("hash", "x.*")
+
+
 def write_issues(issues: DataFrame) -> str:
     folder = new_folder(issues.sparkSession, "issues")
     issues.select("number", "title", F.transform("labels", lambda x: F.struct(x.alias("name"))).alias("labels"), "body").write.json(folder)
@@ -118,33 +163,66 @@ def read_task_list(lines: DataFrame) -> DataFrame:
 
 
 def write_snapshot(symbols: DataFrame, snapshot: str, folder: str | None = None) -> str:
-    """A symbol map as Parquet, one folder a snapshot."""
-    folder = folder or new_folder(symbols.sparkSession, "snapshots")
-    symbols.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(folder)
-    _mark(symbols.sparkSession, folder, snapshot, False)
+    """A symbol map as Parquet under its name, in place of the one of that name.
+
+    Each write has a folder of its own, and its mark is written last: until then, and if the write is lost, the one
+    before stays the snapshot. Then what no mark names as the latest is deleted.
+    """
+    spark = symbols.sparkSession
+    folder, version = folder or new_folder(spark, "snapshots"), uuid.uuid4().hex
+    symbols.write.parquet(f"{folder}/versions/{version}")
+    before = latest_versions(spark, folder).filter(F.col("snapshot") == snapshot).select("version").collect() if _exists(spark, f"{folder}/marks") else []
+    _mark(spark, folder, snapshot, version, False)
+    for r in before:  # at most one
+        _delete(spark, f"{folder}/versions/{r.version}")
     return folder
 
 
-def _mark(spark: SparkSession, folder: str, snapshot: str, stale: bool) -> None:
-    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(stale).alias("stale"), F.current_timestamp().alias("at"))
-    row.write.mode("append").parquet(f"{folder}-marks")
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    files, path = _path(spark, name)
+    return files.exists(path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    files, path = _path(spark, name)
+    files.delete(path, True)
+
+
+def _mark(spark: SparkSession, folder: str, snapshot: str, version: str | None, stale: bool) -> None:
+    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(version).cast("string").alias("version"), F.lit(stale).alias("stale"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{folder}/marks")
+
+
+def latest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """(snapshot, version, stale): the version that stands for each snapshot, and whether it was marked as out of date since."""
+    marks = spark.read.schema("snapshot string, version string, stale boolean, at timestamp").parquet(f"{folder}/marks")
+    return marks.groupBy("snapshot").agg(F.max_by("version", F.when(F.col("version").isNotNull(), F.col("at"))).alias("version"), F.max_by("stale", "at").alias("stale"))
 
 
 def mark_stale(spark: SparkSession, folder: str, snapshot: str) -> None:
     """Marks a snapshot as out of date; writing it again lifts the mark."""
-    _mark(spark, folder, snapshot, True)
+    _mark(spark, folder, snapshot, None, True)
 
 
 def snapshot_status(spark: SparkSession, folder: str) -> DataFrame:
-    """(snapshot, symbols, stale) of every snapshot with rows."""
-    rows = spark.read.parquet(folder).groupBy("snapshot").agg(F.count("*").alias("symbols"))
-    marks = spark.read.parquet(f"{folder}-marks").groupBy("snapshot").agg(F.max_by("stale", "at").alias("stale"))
-    return rows.join(marks, "snapshot")
+    """(snapshot, symbols, stale) of every snapshot, empty ones too."""
+    latest = latest_versions(spark, folder).filter("version IS NOT NULL")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/versions")
+    version = F.regexp_extract(F.col("_metadata.file_path"), r"/versions/([^/]+)/", 1)
+    counts = rows.select(version.alias("version")).groupBy("version").agg(F.count("*").alias("symbols"))
+    return latest.join(counts, "version", "left").select("snapshot", F.coalesce("symbols", F.lit(0).cast("bigint")).alias("symbols"), "stale")
 
 
 def load_snapshot(spark: SparkSession, folder: str, snapshot: str) -> DataFrame:
     """The rows of one snapshot; an unknown one has none."""
-    return spark.read.parquet(folder).filter(F.col("snapshot") == snapshot).drop("snapshot")
+    found = latest_versions(spark, folder).filter((F.col("snapshot") == snapshot) & F.col("version").isNotNull()).select("version").collect()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/versions/{found[0].version}" if found else f"{folder}/versions")
+    return rows if found else rows.limit(0)
 
 
 def write_findings(findings: DataFrame) -> str:

@@ -1,4 +1,7 @@
-"""Rule findings over streams: scan, deduplication within a time bound, and counts by hour."""
+"""Rule findings over streams: scan, deduplication within a time bound, counts by hour, and stalls.
+
+State is bounded by the watermark everywhere: keys, hours and runs that it has passed are let go.
+"""
 
 from __future__ import annotations
 
@@ -23,11 +26,14 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over Parquet files; `path` may name one file or a folder of them."""
-    schema = spark.read.parquet(path).schema
+def source(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """A stream over Parquet files, the oldest first; `path` may name one file or a folder of them, with folders in it."""
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{folder}/{name}*")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(path if _is_folder(spark, path) else f"{folder}/{name}*")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -51,3 +57,49 @@ def counts_by_hour(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     hour = F.window("ts", "1 hour")
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(hour.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), key, "n")
+
+
+STALL, RUN = "key long, digest string, from_step long, n long", "digest string, from_step long, n long, step long, last timestamp"
+
+
+def stalls(results: DataFrame, gap: str = "1 day", least: int = 2, late: str = LATE) -> DataFrame:
+    """(key, digest, from_step, n): runs of equal digests of a key, by step, across batches. results: (key, step, digest, ts).
+
+    Every batch gives the runs of `least` and more that it made longer, as they stand; longest_runs() keeps the last state
+    of each. A run ends at another digest, and where a key is silent for more than `gap`. The open run of each key
+    is all the state there is; it is let go once the watermark is `gap` beyond it. Rows later than the watermark are dropped. The
+    steps of a key must rise with its batches. Null keys make one key; null digests, steps and times are dropped.
+    """
+    seconds = int(results.sparkSession.range(1).select(F.expr(f"INTERVAL {gap}").cast("interval day to second").alias("i")).first().i.total_seconds())
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        rows = pd.concat(list(frames), ignore_index=True)
+        rows = rows[rows["ts"] >= mark].sort_values(["step", "ts"], kind="stable")
+        if rows.empty:
+            return
+        run, grown = (list(state.get) if state.exists else None), {}
+        for at, digest, ts in zip(rows["step"], rows["digest"], rows["ts"], strict=True):
+            if run and run[0] == digest and (ts - pd.Timestamp(run[4])).total_seconds() <= seconds:
+                run = [digest, run[1], run[2] + 1, int(at), max(ts, pd.Timestamp(run[4]))]
+            else:
+                run = [digest, int(at), 1, int(at), ts]
+            grown[run[1]] = (key[0], digest, run[1], run[2])
+        state.update(tuple(run))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(run[4]).timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        out = [r for r in grown.values() if r[3] >= least]
+        if out:
+            yield pd.DataFrame(out, columns=["key", "digest", "from_step", "n"])
+
+    timed = results.filter("digest IS NOT NULL AND step IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.select("key", "step", "digest", "ts").groupBy("key").applyInPandasWithState(step, STALL, RUN, "append", "EventTimeTimeout")
+
+
+def longest_runs(states: DataFrame) -> DataFrame:
+    """The last state of every run that stalls() gave."""
+    return states.groupBy("key", "digest", "from_step").agg(F.max("n").alias("n"))
