@@ -34,13 +34,13 @@ _SLICED = f"""ev AS (SELECT *, least({SLICES - 1}, CAST(floor((epoch(ts) - epoch
 
 
 def arrivals(spark, d) -> str:
-    """Events cut by time into SLICES files that arrive one after another; from the third on, each brings rows of the slice before the last again, under other ids and users."""
+    """Events cut by time into SLICES files that arrive one after another; from the fourth on, each brings rows of the slice three before it again, under other ids and users."""
     events = T.read(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     first = events.agg(F.min("ts")).first()[0]
     k = F.least(F.lit(SLICES - 1), F.floor((F.col("ts").cast("double") - F.lit(first).cast("double")) / (DAYS * 86400))).cast("int")
     sliced, folder = events.withColumn("k", k), new_folder(spark, "arrivals")
     for i in range(SLICES):
-        late = sliced.filter((F.col("k") == i - 2) & (F.col("event_id") % 20 == 0)).withColumns({"event_id": F.col("event_id") + 10**9, "user_id": F.col("user_id") + 10**6})
+        late = sliced.filter((F.col("k") == i - 3) & (F.col("event_id") % 20 == 0)).withColumns({"event_id": F.col("event_id") + 10**9, "user_id": F.col("user_id") + 10**6})
         sliced.filter(F.col("k") == i).unionByName(late).drop("k").coalesce(1).sortWithinPartitions("ts").write.parquet(f"{folder}/slice{i}")
     return folder
 
