@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +37,24 @@ from .common import discard, pieces, small, stored
 
 WINDOW, SYMBOL = 200, 8
 #: Gram lengths by level; the last is the window itself, so that its groups hold equal windows only.
-GRAMS = (48, 48, None)
-#: Bytes of pieces that one block holds, and that one gram may have.
-BLOCK, CROWD = 1_000_000, 1_000_000
+GRAMS = (32, 32, None)
+#: Bytes of pieces that one block holds (about a processor's cache in all its columns), and that one gram may have.
+BLOCK, CROWD = 200_000, 400_000
 #: Bytes of text that are hashed, and of pieces that are handed over, at a time.
 SLICE = 1_000_000
 HIGH = np.uint64(0xFFFFFFFF00000000)
 ODD = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (ODD, pow(ODD, -1, 1 << 64)))
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of ODD and of its inverse, n + 1 and more; kept by the process."""
+    if len(_POWERS[0]) <= n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (ODD, pow(ODD, -1, 1 << 64))]
+    return _POWERS
 
 
 def gram_hashes(data: np.ndarray, gram: int, seed: int) -> np.ndarray:
@@ -55,7 +62,7 @@ def gram_hashes(data: np.ndarray, gram: int, seed: int) -> np.ndarray:
     values = np.random.default_rng(seed).integers(1, 2**63, 256, np.uint64)
     power, back = _powers(len(data))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * power[:-1])])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * power[: len(data)])])
         x = (sums[gram:] - sums[:-gram]) * back[: len(data) - gram + 1]
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,22 +129,24 @@ def cut_out(chosen: DataFrame, window: int) -> DataFrame:
     """(doc, n, start, gram, piece) of the runs that stand in column `runs` of texts (doc, text, n)."""
 
     def make(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                data, _ = _bytes(one.column("text"))
-                rows = one.column("runs").flatten()
-                start, count = (rows.field(k).to_numpy().astype(np.int64) for k in ("start", "windows"))
-                gram = rows.field("gram")
-                size = count + window - 1
-                part = np.cumsum(size) // SLICE
-                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(start)]
-                for a, z in zip(edges, edges[1:], strict=False):
-                    ends = np.concatenate([[0], np.cumsum(size[a:z])])
-                    where = np.arange(ends[-1]) + np.repeat(start[a:z] - ends[:-1], size[a:z])
-                    piece = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])])
-                    same = pa.array(np.zeros(z - a, np.int32))
-                    yield pa.RecordBatch.from_arrays([one.column("doc").take(same), one.column("n").take(same), rows.field("start").slice(a, z - a), gram.slice(a, z - a), piece], names=["doc", "n", "start", "gram", "piece"])
+        for part in (p for batch in batches for p in pieces(batch, limit=SLICE)):
+            data, offsets = _bytes(part.column("text"))
+            lists = part.column("runs")
+            doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            rows = lists.flatten()
+            size = rows.field("windows").to_numpy().astype(np.int64) + window - 1
+            start = rows.field("start").to_numpy() + offsets[doc]
+            slices = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
+            edges = [0, *slices.tolist(), len(doc)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                ends = np.concatenate([[0], np.cumsum(size[a:z])])
+                where = np.arange(ends[-1]) + np.repeat(start[a:z] - ends[:-1], size[a:z])
+                piece = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[where])])
+                own = pa.array(doc[a:z])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(own), part.column("n").take(own), rows.field("start").slice(a, z - a), rows.field("gram").slice(a, z - a), piece],
+                    names=["doc", "n", "start", "gram", "piece"],
+                )
 
     return chosen.select("doc", "n", "text", "runs").mapInArrow(make, "doc binary, n long, start int, gram long, piece binary")
 
@@ -186,8 +195,10 @@ def recurring(data: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
         new = new[order]
         at = np.searchsorted(keys, new)
         inserted = at + np.arange(len(new))
-        minima = Minima(np.concatenate([np.zeros(empties, np.uint8), common, np.zeros(1, np.uint8)]))
+        minima = Minima(common)
         n = len(keys) + len(new)
+        # places move up by the suffixes inserted before them
+        moved = np.concatenate([np.zeros(empties, np.int32), np.cumsum(np.bincount(at, minlength=len(keys) + 1), dtype=np.int32)])
         old = np.ones(n, bool)
         old[inserted] = False
         merged, prefixes = np.empty(n, np.int64), np.empty(n, np.uint8)
@@ -198,9 +209,11 @@ def recurring(data: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
         same = (touched > 0) & (before >> 32 == merged[touched] >> 32)
         prefixes[touched] = 0
         there = touched[same]
-        prefixes[there] = np.minimum(minima((before[same] & 0xFFFFFFFF) + 1, merged[there] & 0xFFFFFFFF) + 1, whole)
-        # places move up by the suffixes inserted before them
-        moved = np.concatenate([np.zeros(empties, np.int64), np.cumsum(np.bincount(at, minlength=len(keys) + 1))])
+        # rests that are empty share nothing; the others' common prefix is the least between their places
+        a, b = (before[same] & 0xFFFFFFFF) - empties, (merged[there] & 0xFFFFFFFF) - empties
+        shared = a >= 0
+        prefixes[there] = 1
+        prefixes[there[shared]] = np.minimum(minima(a[shared] + 1, b[shared]) + 1, whole)
         merged += moved[merged & 0xFFFFFFFF]
         keys, common = merged, prefixes
         place[active[order]] = empties + inserted
@@ -272,24 +285,29 @@ def cut_texts(texts: DataFrame, window: int, with_kept: bool) -> DataFrame:
     """(doc, n_removed, n_spans, kept_sha256, kept) of texts (doc, text, spans)."""
 
     def make(batches):
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                whole, parts, removed, count, stop = memoryview(text.as_buffer()), [], 0, 0, 0
-                for a, b in sorted((s["a"], s["b"] + window - 1) for s in spans):
-                    if a > stop or not count:
-                        parts.append(whole[stop:a])
-                        removed, count, stop = removed + b - a, count + 1, b
-                    elif b > stop:
-                        removed, stop = removed + b - stop, b
-                parts.append(whole[stop:])
+        for part in (p for batch in batches for p in pieces(batch, limit=SLICE)):
+            data, offsets = _bytes(part.column("text"))
+            spans = part.column("spans")
+            doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            flat = spans.flatten()
+            a, b = (flat.field(k).to_numpy().astype(np.int64) + offsets[doc] for k in ("a", "b"))
+            order = np.argsort(a, kind="stable")
+            a, b, doc = a[order], np.maximum.accumulate(b[order] + window - 1), doc[order]  # texts lie one after another
+            new = np.append(True, (a[1:] > b[:-1]) | (doc[1:] != doc[:-1]))
+            first = np.flatnonzero(new)
+            begin, end, own = a[first], b[np.append(first[1:] - 1, len(b) - 1)], doc[first]
+            removed = np.bincount(own, end - begin, part.num_rows).astype(np.int64)
+            count = np.bincount(own, minlength=part.num_rows)
+            cuts, at, digests, kept = np.cumsum(np.append(0, count)), memoryview(data), [], []
+            for i in range(part.num_rows):
+                edges = [offsets[i], *np.stack([begin, end], 1)[cuts[i] : cuts[i + 1]].reshape(-1).tolist(), offsets[i + 1]]
+                left = [at[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
                 digest = hashlib.sha256()
-                for p in parts:
-                    digest.update(p)
-                rows.append((removed, count, digest.hexdigest(), b"".join(parts) if with_kept else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
+                for x in left:
+                    digest.update(x)
+                digests.append(digest.hexdigest())
+                kept.append(b"".join(left) if with_kept else None)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(removed), pa.array(count), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.select("doc", "text", "spans").mapInArrow(make, "doc binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
