@@ -140,15 +140,33 @@ def dead_code(lines: DataFrame) -> DataFrame:
     return nxt.filter(whole & same & ~F.col("n.line").rlike(ENDS)).select("repo", "path", "line_no", F.col("n.line_no").alias("dead_line"))
 
 
-STUB = r"^\s*(return\s*(null|None|0|false|true|False|True|''|\"\"|\[\]|\{\}|undefined|nil)?\s*;?|pass|\.\.\.|throw\s+new\s+Error\(.*(?i:todo|implement).*|raise\s+NotImplementedError.*|todo!\(.*|unimplemented!\(.*|panic!?\(.*(?i:todo|implement).*)\s*$"
+# The one line of a stub, by language.
+STUBS = {
+    "javascript": r"^\s*return\s+(?:0|null|undefined|true|false|\[\]|\{\}|\"\"|''|``)\s*;?\s*$",
+    "rust": r"^\s*(?:return\s+)?(?:None|0|true|false|String::new\(\)|Vec::new\(\)|vec!\[\]|\(\)|\"\"|Default::default\(\))\s*;?\s*$|^\s*(?:todo!\(\)|unimplemented!\(\)|panic!\([^)]*\))\s*;?\s*$",
+    "java": r"^\s*return\s+(?:null|0|0L|0\.0|0\.0f|true|false|\"\"|Collections\.emptyList\(\)|Collections\.emptyMap\(\)|Optional\.empty\(\))\s*;\s*$|^\s*throw\s+new\s+(?:Unsupported(?:Operation)?Exception|NotImplementedException|IllegalStateException)\s*\([^)]*\)\s*;\s*$",
+    "go": r"^\s*return\s+(?:nil|0|\"\"|false|true|\[\][a-zA-Z_]\w*\{\}|map\[[^\]]+\][a-zA-Z_]\w*\{\}|&?[A-Z]\w*\{\})\s*$|^\s*panic\s*\([^)]*\)\s*$",
+    "python": r"^\s*return\s+(?:None|0|True|False|\[\]|\{\}|\"\")\s*$|^\s*pass\s*$|^\s*raise\s+NotImplementedError\s*\([^)]*\)\s*$|^\s*\.\.\.\s*$",
+}
+STUB_TODO = r"(?i)\b(?:TODO|FIXME|XXX|HACK|STUB)\b"
+_DOC_STRING = r"^\s*(\"{3}|'{3})"
 
 
 def stub_functions(lines: DataFrame) -> DataFrame:
-    """Functions whose one significant line returns a constant, passes or says not implemented; a TODO raises certainty."""
-    inside = block_lines(lines, all_blocks(lines)).withColumn("todo", F.col("line").rlike("(?i)todo|fixme|implement"))
-    code = (F.trim("line") != "") & ~comment(F.col("line")) & ~F.col("line").rlike(r"^\s*[})\]];?\s*$")
-    per = inside.groupBy("repo", "path", "first_line").agg(F.count_if(code).alias("n"), F.max(F.when(code, F.col("line"))).alias("only"), F.bool_or("todo").alias("todo"))
-    return per.filter((F.col("n") == 1) & F.col("only").rlike(STUB)).select("repo", "path", "first_line", F.when(F.col("todo"), "HIGH").otherwise("MEDIUM").alias("certainty"))
+    """Functions whose one significant line is a stub of their language; a TODO in the body raises certainty. A body on the opening line counts too."""
+    blocks = all_blocks(lines)
+    short = blocks.filter("last_line = first_line AND lang <> 'python'").select("repo", "path", "first_line", F.col("first_line").alias("line_no"))
+    one = lines.join(short, ["repo", "path", "line_no"]).withColumn("line", F.regexp_extract("line", r"\{(.*)\}", 1))
+    columns = ["repo", "path", "lang", "first_line", "line_no", "line"]
+    inside = block_lines(lines, blocks).select(*columns).unionByName(one.select(*columns)).withColumn("todo", F.col("line").rlike(STUB_TODO))
+    docs = (F.col("lang") == "python") & F.col("line").rlike(_DOC_STRING)
+    code = (F.trim("line") != "") & ~comment(F.col("line")) & ~F.col("line").rlike(r"^\s*[})\]];?\s*$") & ~docs
+    per = inside.groupBy("repo", "path", "lang", "first_line").agg(F.count_if(code).alias("n"), F.max(F.when(code, F.col("line"))).alias("only"), F.bool_or("todo").alias("todo"))
+    of = {lang: rx for lang, rx in STUBS.items()} | {"typescript": STUBS["javascript"]}
+    stub = F.when(F.lit(False), F.lit(False))
+    for lang, rx in of.items():
+        stub = stub.when(F.col("lang") == lang, F.col("only").rlike(rx))
+    return per.filter((F.col("n") == 1) & stub).select("repo", "path", "first_line", F.when(F.col("todo"), "HIGH").otherwise("MEDIUM").alias("certainty"))
 
 
 def complexity(lines: DataFrame, medium: int = 10, high: int = 20) -> DataFrame:

@@ -8,10 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Verbose phrases and their short forms, words of emphasis.
+# Verbose phrases and their short forms, words of emphasis, critical terms, dangling openers and transitions.
 PHRASES = [("in order to", "to"), ("for the purpose of", "for"), ("in the event that", "if"), ("at this point in time", "now"), ("due to the fact that", "because"), ("has the ability to", "can"), ("is able to", "can"), ("make use of", "use"), ("a large number of", "many"), ("a small number of", "few"), ("the majority of", "most"), ("prior to", "before"), ("subsequent to", "after")]
 EMPHASIS = ["CRITICAL", "IMPORTANT", "MUST", "NEVER", "ALWAYS", "REQUIRED", "MANDATORY", "ESSENTIAL", "WARNING", "CAUTION"]
-CRITICAL = r"\b(CRITICAL|IMPORTANT|MUST|NEVER|ALWAYS|REQUIRED|WARNING)\b"
+CRITICAL = r"(?i)\b(?:important|critical|must|required|warning|caution|danger)\b|\b(?:error|fail|break|crash|security|vulnerability)\b"
+BURIED = [r"(?i)\b(?:important|critical|must|essential|required|mandatory)\b", r"(?i)\b(?:always|never)\s+\w+", r"(?i)\b(?:warning|caution|note)\s*:"]
+DANGLING = r"(?i)^(?:It|This|These|Those|They|The above|As mentioned)\s"
+TRANSITION = (
+    r"(?i)^(?:additionally|also|furthermore|moreover|on another note|separately|however|on the other hand|alternatively|in contrast"
+    r"|next|then|finally|lastly|another (?:thing|point|topic))"
+)
 HEADING = r"^#{1,6}\s"
 
 
@@ -68,38 +74,51 @@ def heading_jumps(lines: DataFrame) -> DataFrame:
 
 
 def section_sizes(lines: DataFrame, long: int = 1000, bare: int = 500, tiny: int = 20) -> DataFrame:
-    """(doc_id, section, tokens, issue): long sections, long text without headings, tiny sections."""
-    per = sections(lines).groupBy("doc_id", "section").agg(F.ceil(F.sum(F.length("line") + 1) / 4).alias("tokens"))
-    issue = F.when(F.col("tokens") > long, "long").when((F.col("section") == 0) & (F.col("tokens") > bare), "no_headings").when((F.col("section") > 0) & (F.col("tokens") < tiny), "tiny")
-    return per.withColumn("issue", issue).filter("issue IS NOT NULL")
+    """(doc_id, section, tokens, issue): sections of more than `long` tokens, more than `bare` below a heading or before the first one, fewer than `tiny`.
+
+    A section's tokens count its heading without the marks; a section may have two issues.
+    """
+    marks = F.length(F.regexp_extract("line", r"^(#{1,6}\s+)", 1))
+    head = F.col("line").rlike(HEADING)
+    last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("line_no"))) == 1
+    chars = F.length("line") + F.when(last, 0).otherwise(1)
+    rows = sections(lines).withColumns({"chars": chars - F.when(head, marks).otherwise(0), "below": F.when(head, 0).otherwise(chars)})
+    per = rows.groupBy("doc_id", "section").agg(F.ceil(F.sum("chars") / 4).alias("tokens"), F.ceil(F.sum("below") / 4).alias("below"))
+    issues = F.array(
+        F.when((F.col("section") > 0) & (F.col("tokens") > long), "long"), F.when(F.col("below") > bare, "no_headings"), F.when((F.col("section") > 0) & (F.col("tokens") < tiny), "tiny")
+    )
+    return per.select("doc_id", "section", "tokens", F.explode(F.array_compact(issues)).alias("issue"))
 
 
 def late_critical(lines: DataFrame, share: float = 0.7, least: int = 3) -> DataFrame:
     """Documents with `least` critical lines or more after `share` of their lines."""
     n = F.count("*").over(Window.partitionBy("doc_id"))
-    late = lines.withColumn("n", n).filter((F.col("line_no") > share * F.col("n")) & F.col("line").rlike(CRITICAL))
+    late = lines.withColumn("n", n).filter((F.col("line_no") > F.floor(share * F.col("n"))) & F.col("line").rlike(CRITICAL))
     return late.groupBy("doc_id").agg(F.count("*").alias("late")).filter(F.col("late") >= least)
 
 
 def buried_critical(lines: DataFrame, least: int = 5, length: int = 20) -> DataFrame:
-    """Texts of `length` full lines or more with `least` critical words or more between 30 and 70 % of them."""
+    """Texts of `length` full lines or more with `least` critical terms or more between 30 and 70 % of them."""
     full = lines.filter(F.trim("line") != "")
     placed = full.withColumns({"rn": F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")), "n": F.count("*").over(Window.partitionBy("doc_id"))})
-    mid = placed.filter((F.col("n") >= length) & (F.col("rn") > 0.3 * F.col("n")) & (F.col("rn") <= 0.7 * F.col("n")))
-    return mid.groupBy("doc_id").agg(F.sum(F.regexp_count("line", F.lit(CRITICAL))).alias("buried")).filter(F.col("buried") >= least)
+    mid = placed.filter((F.col("n") >= length) & (F.col("rn") > F.floor(0.3 * F.col("n"))) & (F.col("rn") <= F.floor(0.7 * F.col("n"))))
+    terms = reduce(lambda a, b: a + b, [F.regexp_count("line", F.lit(p)) for p in BURIED])
+    return mid.groupBy("doc_id").agg(F.sum(terms).alias("buried")).filter(F.col("buried") >= least)
 
 
-def context_dependent(lines: DataFrame) -> DataFrame:
-    """Documents with two or more sections that open with It, This, Those and the like."""
+def context_dependent(lines: DataFrame, least: int = 2) -> DataFrame:
+    """Documents with `least` sections or more whose first line below the heading opens with It, This, Those and the like."""
     full = sections(lines).filter((F.trim("line") != "") & (F.col("section") > 0))
     second = full.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("line_no"))).filter("rn = 2")
-    return second.filter(F.col("line").rlike(r"^\s*(It|This|That|These|Those|They)\b")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n >= 1")
+    return second.filter(F.col("line").rlike(DANGLING)).groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def mixed_topics(lines: DataFrame, least: int = 3) -> DataFrame:
-    """Sections with `least` lines or more that open with a transition."""
-    opener = F.col("line").rlike(r"^\s*(However|Moreover|Furthermore|Therefore|Additionally|Meanwhile|Nevertheless)\b")
-    return sections(lines).groupBy("doc_id", "section").agg(F.count_if(opener).alias("n")).filter(F.col("n") >= least)
+    """Sections with `least` transitions or more at the begin of a line after an empty one."""
+    before = F.lag("line").over(Window.partitionBy("doc_id", "section").orderBy("line_no"))
+    opener = (before == "") & F.col("line").rlike(TRANSITION)
+    rows = sections(lines).withColumn("opens", opener.cast("int"))
+    return rows.groupBy("doc_id", "section").agg(F.coalesce(F.sum("opens"), F.lit(0)).alias("n")).filter(F.col("n") >= least)
 
 
 def bullet_features(lines: DataFrame, cap: int = 20) -> DataFrame:
@@ -173,52 +192,13 @@ def normal_whitespace(line: Column) -> Column:
     return F.when(rest == "", "").otherwise(F.concat(F.regexp_replace(lead, "\t", "    "), rest))
 
 
-@dataclass(frozen=True)
-class DocRule:
-    """A rule on one text: it fires if the value passes the threshold."""
-
-    name: str
-    category: str
-    certainty: str
-    counts: tuple[str, ...]
-    threshold: int
-    at_most: bool = False
-    unless: str | None = None
-    longer_than: int = 0
-
-
-# Document, prompt, agent and instruction rules: patterns to count, and how many are too many or too few.
-DOC_RULES = [
-    DocRule("missing_code_language", "structure", "HIGH", (r"(?m)^```\s*$",), 2),
-    DocRule("unnecessary_prose", "efficiency", "MEDIUM", (r"(?i)\b(it is important to note|as mentioned|needless to say|basically|in this document)\b",), 1),
-    DocRule("verbose_explanations", "efficiency", "MEDIUM", tuple(rf"(?i)\b{p}\b" for p, _ in PHRASES), 2),
-    DocRule("readability", "balance", "LOW", (r"[^.!?\n]{200,}",), 1),
-    DocRule("structure", "balance", "LOW", (r"(?m)^#{1,6}\s",), 0, at_most=True, longer_than=500),
-    DocRule("vague_instructions", "clarity", "MEDIUM", (r"(?i)\b(usually|sometimes|maybe|as needed|if possible|try to|should probably)\b",), 3),
-    DocRule("negative_only", "clarity", "MEDIUM", (r"(?i)\b(don't|do not|never|avoid)\b",), 5, unless=r"(?i)\binstead\b|\brather\b"),
-    DocRule("missing_output_format", "clarity", "MEDIUM", (r"(?i)\b(output format|respond with|return (?:a )?(?:json|list|table))\b",), 0, at_most=True, longer_than=800),
-    DocRule("aggressive_emphasis", "tone", "HIGH", (r"\b(CRITICAL|IMPORTANT|MUST|NEVER|ALWAYS|MANDATORY)\b", r"!{2,}"), 3),
-    DocRule("missing_xml_structure", "structure", "LOW", (r"<\w+>",), 0, at_most=True, longer_than=3000),
-    DocRule("missing_examples", "examples", "MEDIUM", (r"(?i)\b(example|e\.g\.|for instance)\b",), 0, at_most=True, longer_than=1000),
-    DocRule("many_examples", "examples", "LOW", (r"(?i)\bexample\b",), 8),
-    DocRule("missing_why", "context", "LOW", (r"(?i)\b(because|so that|since|why)\b",), 0, at_most=True, longer_than=600),
-    DocRule("redundant_cot", "efficiency", "MEDIUM", (r"(?i)(think step by step|reason carefully|chain of thought)",), 2),
-    DocRule("prompt_bloat", "efficiency", "LOW", (r"(?s).{10000}",), 1),
-    DocRule("json_without_schema", "clarity", "MEDIUM", (r"(?i)\bjson\b",), 1, unless=r"(?i)schema|\{\s*\""),
-    DocRule("missing_role", "agent", "HIGH", (r"(?i)\byou are\b|\brole\b",), 0, at_most=True, longer_than=400),
-    DocRule("missing_constraints", "agent", "MEDIUM", (r"(?i)\b(constraint|must not|only|limit)\b",), 0, at_most=True, longer_than=700),
-    DocRule("critical_rules", "memory", "LOW", (r"(?im)^#+.*(critical|rules)",), 0, at_most=True, longer_than=900),
-    DocRule("key_commands", "memory", "LOW", (r"(?i)npm run|make |pytest",), 0, at_most=True, longer_than=900),
-    DocRule("deep_nesting", "memory", "MEDIUM", (r"(?m)^#{4,6}\s", r"(?m)^ {6,}[-*]\s"), 1),
-]
-
-
 @dataclass(frozen=True)
 class TextRule:
     """A rule on one text that weighs several counts.
 
     when: a condition in SQL. {0}, {1} ... count the patterns in the text, {f0} ... the front patterns in its front matter;
-    {chars}, {words}, {jumps} (headings more than a level below the one before) and {short} (sections of fewer than 20 tokens).
+    {chars}, {words}, {jumps} (headings more than a level below the one before), {short} (sections of fewer than 20 tokens),
+    {paragraphs} and {brief} (those of fewer than 20 tokens).
     """
 
     name: str
@@ -239,7 +219,58 @@ FRONT, HEADINGS, JUMP = r"(?s)^\s*---[ \t]*\n(.*?)\n---", r"(?m)^(#{1,6})\s", r"
 _VAGUE = ("usually", "sometimes", "often", "rarely", "maybe", "might", "could", "should probably", "try to", "as much as possible", "if possible")
 _COT = (r"(?i)step[- ]by[- ]step|<thinking>", r"##\s+")
 _XML = r"<\w+>"
-# Rules of prompts, agents, documents and instruction files that weigh several counts.
+_VAGUE_TERMS = (*_VAGUE[:6], "should probably", "try to", "as much as possible", "if possible", "when appropriate", "as needed")
+_PLAIN_CAPS = ("API", "JSON", "XML", "HTML", "CSS", "URL", "HTTP", "HTTPS", "SQL", "CLI", "SDK", "JWT", "UUID", "REST", "YAML", "EOF", "TODO", "FIXME", "NOTE", "README", "MCP")
+_PROSE = (
+    r"in this (?:document|section|guide)", r"as you (?:can see|may know|probably know)", r"it(?:'s| is) (?:important|worth noting) (?:to note |that )?", r"please note that",
+    r"the following (?:section|document|guide) (?:will |provides )", r"let(?:'s| us) (?:take a look|explore|dive into)", r"we(?:'ll| will) (?:cover|discuss|explore)",
+    r"this allows you to", r"you(?:'ll| will) (?:learn|discover|find)", r"as mentioned (?:earlier|above|before)",
+)
+_NEGATIVES = (r"\bdon['’]t\s+\w+", r"\bnever\s+\w+", r"\bdo not\s+\w+", r"\bavoid\s+\w+ing\b", r"\brefrain from\b")
+_FORMATS = (
+    r"##\s*output\s*format", r"##\s*response\s*format", r"##\s*format", r"\brespond\s+(?:with|in)\s+(?:JSON|XML|markdown|YAML)",
+    r"\boutput\s*:\s*```", r"<output_format>", r"<response_format>", r"your\s+(?:response|output)\s+should\s+(?:be|follow)",
+)
+_EXAMPLES = (r"##\s*example", r"<example>", r"<good[_-]?example>", r"<bad[_-]?example>", r"\bfor example\b", r"\be\.g\.\b", r"\bsample\s+(?:input|output|response)", r"(?s:input:\s*\n.{1,500}\noutput:)")
+_RULES = (r"\b(?:must|should|always|never)\s+\w+", r"\bdo not\b", r"\b(?:required|mandatory)\b")
+_WHYS = (r"\bbecause\b", r"\bsince\b", r"\bthis (?:is|ensures?|prevents?|helps?)", r"\bto (?:ensure|prevent|avoid|maintain)", r"\bwhy:\s", r"\*why\*")
+_STEPS = (r"\bthink\s+step[- ]by[- ]step\b", r"\bstep[- ]by[- ]step\s+(?:reasoning|thinking|approach)\b", r"\blet['’]s\s+think\s+(?:through|about)\s+this\b", r"\breason\s+through\s+each\s+step\b")
+
+
+def _any_case(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple("(?i)" + p for p in patterns)
+
+
+def _sum(first: int, n: int, most: int | None = None) -> str:
+    """The counts `first` ... added up, each of at most `most`."""
+    return "(" + " + ".join(f"least({{{i}}}, {most})" if most else f"{{{i}}}" for i in range(first, first + n)) + ")"
+
+
+# Rules of documents, prompts, agents and instruction files on one text; 4 characters make a token.
+DOC_RULES = [
+    TextRule("missing_code_language", "code", "HIGH", ("```", r"```[a-zA-Z][a-zA-Z0-9_-]*"), "floor({0} / 2) > {1}"),
+    TextRule("unnecessary_prose", "efficiency", "HIGH", _any_case(_PROSE), _sum(0, len(_PROSE), 2) + " >= 3"),
+    TextRule("verbose_explanations", "efficiency", "HIGH", tuple(rf"(?i)\b{p}\b" for p, _ in PHRASES), _sum(0, len(PHRASES)) + " >= 3"),
+    TextRule("readability_with_rag_suggestions", "balance", "LOW", (r"(?i)```|<example>|for example|e\.g\.", r"(?i)because|since|therefore|this means", r"(?s)```.*?```", r"(?im)^##?\s+(?:summary|overview|tldr|key points)"), "2 * {brief} > {paragraphs} OR ({0} > 0 AND {1} = 0) OR ({2} >= 5 AND {3} = 0)"),
+    TextRule("structure_recommendations", "structure", "LOW", (r"(?m)^#{1,6}\s+", r"(?im)^##?\s+(?:table of contents|contents|toc)", r"(?m)^\s*-\s+\[.+\]\(#", r"(?m)^#{1,6}\s+.+", r"(?im)^##?\s+(?:introduction|overview|about|getting started)", r"(?m)^-\s+", r"(?m)^\*\s+"), "({chars} > 8000 AND {0} >= 5 AND {1} = 0 AND {2} = 0) OR ({chars} > 4000 AND {3} > 0 AND {4} = 0) OR ({5} > 0 AND {6} > 0)"),
+    TextRule("vague_instructions", "clarity", "HIGH", tuple(rf"(?i)\b{w}\b" for w in _VAGUE_TERMS), _sum(0, len(_VAGUE_TERMS)) + " >= 4"),
+    TextRule("negative_only_constraints", "clarity", "HIGH", (*_any_case(_NEGATIVES), r"(?i)\binstead\b|\brather\b"), _sum(0, len(_NEGATIVES), 2) + " >= 5 AND {5} = 0"),
+    TextRule("missing_output_format", "output", "HIGH", _any_case(_FORMATS), "{chars} > 800 AND " + _sum(0, len(_FORMATS)) + " = 0"),
+    TextRule("aggressive_emphasis", "clarity", "HIGH", (r"\b[A-Z]{3,}\b", r"!{2,}", r"(?i)\bCRITICAL(?:LY)?\b", r"(?i)\bMUST\s+(?:ALWAYS|NEVER)\b", r"(?i)\bABSOLUTELY\b", r"(?i)\bEXTREMELY\s+IMPORTANT\b", rf"\b(?:{'|'.join(_PLAIN_CAPS)})\b"), _sum(0, 6) + " - {6} >= 5"),
+    TextRule("missing_xml_structure", "structure", "HIGH", (r"(?m)^#{1,6}\s+", "```", r"(?i)<[a-z_][a-z0-9_-]*>"), "({chars} > 3200 OR ({0} >= 6 AND {1} > 0)) AND {2} = 0"),
+    TextRule("missing_examples", "examples", "HIGH", (*_any_case(_EXAMPLES), r"(?i)\bformat\b|\bjson\b|\bxml\b|\bstructured\b"), "{chars} > 1196 AND " + _sum(0, len(_EXAMPLES)) + " = 0 AND {8} > 0"),
+    TextRule("missing_context_why", "context", "MEDIUM", (*_any_case(_RULES), *_any_case(_WHYS)), "{chars} > 1596 AND " + _sum(0, 3) + " >= 8 AND " + _sum(3, 6) + " < 0.3 * " + _sum(0, 3)),
+    TextRule("redundant_cot", "anti-pattern", "HIGH", _any_case(_STEPS), _sum(0, len(_STEPS)) + " >= 2"),
+    TextRule("prompt_bloat", "anti-pattern", "LOW", (), "{chars} > 10000"),
+    TextRule("json_without_schema", "output", "MEDIUM", (r"(?i)\b(?:respond|output|return)\s+(?:with|in|as)?\s*JSON\b", r"(?i)\bJSON\s+(?:object|response|format)\b", r"(?is)\bproperties\b.{1,200}\btype\b", r"(?i)```json\s*\n\s*\{", r"(?i)<json[_-]?schema>"), "{0} + {1} > 0 AND {2} + {3} + {4} = 0"),
+    TextRule("missing_role", "structure", "HIGH", (r"(?i)you are", r"(?i)##\s+(?:your\s+)?role"), "{0} + {1} = 0"),
+    TextRule("agent_missing_output_format", "structure", "HIGH", (r"(?i)##\s+output\s+format", r"(?i)##\s+format", r"(?i)##\s+response"), "{0} + {1} + {2} = 0"),
+    TextRule("missing_constraints", "structure", "HIGH", (r"(?i)##\s+constraints", r"(?i)##\s+(?:what\s+)?(?:you\s+)?(?:must\s+)?not\s+do", r"(?i)##\s+rules"), "{0} + {1} + {2} = 0"),
+    TextRule("missing_critical_rules", "structure", "HIGH", (r"(?i)##\s+critical\s+rules", r"(?i)##\s+priority\s+rules", r"(?i)<critical-rules>", r"(?i)##\s+must[- ]know"), "{0} + {1} + {2} + {3} = 0"),
+    TextRule("missing_key_commands", "structure", "HIGH", (r"(?i)##\s+(?:key\s+)?commands", r"(?i)##\s+scripts", r"(?i)##\s+usage", r"(?is)```(?:bash|sh|shell).*?(?:npm|yarn|pnpm|git|make)"), "{0} + {1} + {2} + {3} = 0"),
+    TextRule("deep_nesting", "quality", "LOW", (r"(?m)^#{5}", r"(?m)^(?:\s{8,}[-*]|\t{3,}[-*])", r"(?m)^#{4}"), "{0} > 2 OR {1} > 5 OR ({2} > 5 AND {1} > 3)"),
+]
+# More rules of the same kind.
 TEXT_RULES = [
     TextRule("inconsistent_sections", "structure", "MEDIUM", (r"(?m)^##\s+", r"(?m)^\*\*[^*]+\*\*\s*$"), "({0} >= 2 AND {1} >= 2) OR {jumps} > 0"),
     TextRule("suboptimal_example_count", "examples", "MEDIUM", (r"(?i)##\s*example|<good[_-]?example>|<bad[_-]?example>|<example>",), "{0} = 1 OR {0} > 7"),
@@ -272,8 +303,12 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: The end of a word of ASCII letters, whatever letters stand beside it: Java's own \\b knows all letters, but its \\w doesn't.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def _count(text: str, pattern: str) -> str:
-    return f"regexp_count({text}, {_literal(pattern)})"
+    return f"regexp_count({text}, {_literal(pattern.replace(chr(92) + 'b', EDGE))})"
 
 
 _FRONT_MATTER = f"regexp_extract(text, {_literal(FRONT)}, 1)"
@@ -281,23 +316,18 @@ _MEASURES = {
     "chars": "length(text)",
     "words": f"size(split(text, {_literal(chr(92) + 's+')}))",
     "jumps": _count(f"array_join(regexp_extract_all(text, {_literal(HEADINGS)}, 1), ' ')", JUMP),
+    "paragraphs": f"size(filter(split(text, {_literal(chr(92) + 'n' + chr(92) + 'n+')}), x -> trim(x) <> ''))",
+    "brief": f"size(filter(split(text, {_literal(chr(92) + 'n' + chr(92) + 'n+')}), x -> trim(x) <> '' AND length(x) <= 76))",
     "short": f"size(filter(slice(split(text, {_literal('(?m)^#{1,6}' + chr(92) + 's+')}, -1), 2, 1000000000), x -> length(x) <= 76))",
 }
 
 
-def doc_rule_scan(docs: DataFrame, id_col: str, verbose: bool = False, rules: list[DocRule | TextRule] = [*DOC_RULES, *TEXT_RULES]) -> DataFrame:  # noqa: B006
+def doc_rule_scan(docs: DataFrame, id_col: str, verbose: bool = False, rules: list[TextRule] = [*DOC_RULES, *TEXT_RULES]) -> DataFrame:  # noqa: B006
     """(id, rule, category, certainty, value) of the rules that fire; those of LOW certainty only if verbose."""
 
-    def row(r: DocRule | TextRule) -> Column:
-        if isinstance(r, TextRule):
-            when, first = r.render(_count, _FRONT_MATTER, **_MEASURES)
-            return F.when(F.expr(when), F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.certainty).alias("certainty"), F.expr(first).cast("bigint").alias("value")))
-        value = reduce(lambda a, b: a + b, [F.regexp_count("text", F.lit(p)) for p in r.counts])
-        fires = (value <= r.threshold) if r.at_most else (value >= r.threshold)
-        fires = fires & (F.length("text") > r.longer_than)
-        if r.unless:
-            fires = fires & ~F.col("text").rlike(r.unless)
-        return F.when(fires, F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.certainty).alias("certainty"), value.cast("bigint").alias("value")))
+    def row(r: TextRule) -> Column:
+        when, first = r.render(_count, _FRONT_MATTER, **_MEASURES)
+        return F.when(F.expr(when), F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.certainty).alias("certainty"), F.expr(first).cast("bigint").alias("value")))
 
     picked = [r for r in rules if verbose or r.certainty != "LOW"]
     return docs.select(id_col, F.explode(F.array_compact(F.array(*map(row, picked)))).alias("x")).select(id_col, "x.*")

@@ -105,13 +105,13 @@ def time_buckets(items: DataFrame) -> DataFrame:
 
 def score_tasks(tasks: DataFrame, recent_words: DataFrame, as_of: str, top: int) -> DataFrame:
     """The best tasks by label, blocker, effort, recent work, age and reactions. recent_words: one column `word`."""
-    has = lambda *w: F.exists("labels", lambda x: reduce(lambda a, b: a | b, [x.contains(y) for y in w]))
+    has = lambda *w: F.exists("labels", lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(y) for y in w]))
     words = tasks.select("number", F.explode(F.array_distinct(F.split(F.lower("title"), r"\W+"))).alias("word")).filter("length(word) > 3")
     related = words.join(recent_words, "word", "left_semi").select("number").distinct().withColumn("related", F.lit(True))
     t = tasks.join(related, "number", "left")
     part = lambda cond, n: F.when(cond, n).otherwise(0)
     score = (
-        part(has("critical", "p0", "1-urgent"), 100)
+        part(has("critical", "p0"), 100)
         + part(has("high", "p1"), 50)
         + part(has("medium", "p2"), 25)
         + part(has("security"), 40)
@@ -119,7 +119,7 @@ def score_tasks(tasks: DataFrame, recent_words: DataFrame, as_of: str, top: int)
         + part(has("small", "quick"), 20)
         + part(has("large", "complex"), -10)
         + part(F.coalesce("related", F.lit(False)), 15)
-        + part(F.array_contains("labels", "bug") & (F.datediff(F.lit(as_of), "created") > 30), 10)
+        + part(F.exists("labels", lambda x: F.lower(x) == "bug") & (F.datediff(F.lit(as_of), "created") > 30), 10)
         + part(F.col("reactions") > 5, 15)
     )
     return t.select("number", score.cast("bigint").alias("score")).orderBy(F.desc("score"), "number").limit(top)

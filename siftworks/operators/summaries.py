@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import TEST_PATH
+from .diffs import ASYNC, BRANCHES
 
 # Entry points of libraries, exports by language, frameworks, feature words, label order.
 ENTRY_POINTS = ["index.js", "index.ts", "src/index.js", "src/index.ts", "lib/index.js", "lib/index.ts", "main.js", "main.ts", "lib.rs", "src/lib.rs", "main.go", "__init__.py", "src/__init__.py", "Main.java", "src/Main.java", "App.java", "src/main/java/App.java"]
@@ -18,7 +18,25 @@ EXPORTS = {
     "python": [r"__all__\s*=\s*\[", r"(?m)^def\s+[A-Za-z0-9]\w*\s*\(", r"(?m)^class\s+[A-Z]\w*[\s:(]"],
     "java": [r"(?m)^\s*public\s+(?:static\s+)?(?:final\s+)?(?:class|interface|enum)\s+\w+", r"(?m)^\s*public\s+(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?(?:\w+(?:<[^>]*>)?)\s+\w+\s*\("],
 }
-FEATURES = {"auth": ["auth", "login"], "api": ["api", "routes"], "storage": ["store", "db", "m1"], "tests": ["test"], "ui": ["ui", "views"]}
+FEATURES = {
+    "authentication": ["auth", "login", "session", "jwt", "oauth"],
+    "api": ["routes", "controllers", "handlers", "endpoints"],
+    "database": ["models", "schemas", "migrations", "seeds"],
+    "ui": ["components", "views", "pages", "layouts"],
+    "testing": ["__tests__", "test", "spec", ".test.", ".spec."],
+    "docs": ["docs", "documentation", "wiki"],
+}
+SECTION_WORDS = {"has_install": "install|setup|getting.started", "has_usage": "usage|how.to|example", "has_api": "api|reference|methods", "has_tests": "test|spec|coverage"}
+LINT_FILES = [".eslintrc", ".eslintrc.js", ".eslintrc.json", "eslint.config.js", "biome.json"]
+CI_PLACES = [".github/workflows", ".gitlab-ci.yml", ".circleci", "Jenkinsfile", ".travis.yml"]
+TEST_FOLDERS = ["tests", "__tests__", "test", "spec"]
+SIGNALS = {
+    "has_db": "(?i)db|migrations?|schema|prisma|typeorm|sql",
+    "has_api": "(?i)api|routes?|controllers?|handlers?",
+    "has_frontend": r"\.(?:tsx|jsx|vue|svelte)$",
+    "has_backend": "(?i)server|backend|services?|domain",
+    "has_devops": r"(?i)\.github/workflows|Dockerfile|k8s|terraform",
+}
 STOP_WORDS = ["the", "a", "an", "is", "are", "to", "for", "in", "on", "at", "with", "and", "or", "of"]
 CATEGORIES = [("bug", "bugs"), ("type: bug", "bugs"), ("feature", "features"), ("type: feature", "features"), ("enhancement", "enhancements"), ("security", "security"), ("type: security", "security")]
 VERBS = [(r"[_ -]", ""), (r"^(get|fetch|retrieve|find|search)", "get"), (r"^(set|update|modify|change)", "set"), (r"^(create|make|add|new)", "create"), (r"^(delete|remove|destroy)", "delete")]
@@ -39,11 +57,17 @@ def count_exports(files: DataFrame) -> DataFrame:
     return files.withColumn("exports", out.otherwise(js).cast("bigint"))
 
 
+BLOCK_COMMENT = r"(?s)/\*.*?(?:\*/|\z)"
+LINE_COMMENTS = ["//", "#", '"'+'""', "'"+"''"]
+
+
 def count_source_lines(files: DataFrame) -> DataFrame:
-    """Adds `code_lines`: lines that aren't blank once comments are out; block comments go at file level."""
-    plain = F.regexp_replace("content", r"(?s)/\*.*?\*/", "")
-    line_comment = F.when(F.col("language") == "python", F.lit("#")).otherwise(F.lit("//"))
-    lines = F.filter(F.split(plain, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), line_comment))
+    """Adds `code_lines`: lines that aren't blank or line comments of any language once block comments are out, whose line breaks stay."""
+    comments = F.regexp_extract_all("content", F.lit(BLOCK_COMMENT), F.lit(0))
+    breaks = lambda i: F.coalesce(F.regexp_replace(F.get(comments, i), r"[^\n]+", ""), F.lit(""))
+    plain = F.array_join(F.transform(F.split("content", BLOCK_COMMENT), lambda x, i: F.concat(x, F.lit(" "), breaks(i))), "")
+    code = lambda x: (F.trim(x) != "") & ~reduce(lambda a, b: a | b, [F.startswith(F.trim(x), F.lit(m)) for m in LINE_COMMENTS])
+    lines = F.filter(F.split(F.regexp_replace(plain, r"[\t\r]", " "), "\n"), code)
     return files.withColumn("code_lines", F.size(lines).cast("bigint"))
 
 
@@ -90,20 +114,22 @@ def top_extensions(files: DataFrame, n: int = 10) -> DataFrame:
     return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "extension").limit(n)
 
 
+def section_flags(content: Column) -> dict[str, Column]:
+    """Whether the first ten second-level headings hold words of the usual sections."""
+    first = F.lower(F.array_join(F.slice(F.regexp_extract_all(content, F.lit(r"(?m)^##\s+(.+)$"), F.lit(1)), 1, 10), " "))
+    return {name: first.rlike(rx) for name, rx in SECTION_WORDS.items()}
+
+
 def doc_profile(docs: DataFrame) -> DataFrame:
-    """Sections, first ten headings, flags for usual sections, fenced blocks and words."""
-    headings = F.regexp_extract_all("content", F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1))
-    flag = lambda rx: F.col("content").rlike(rf"(?im)^#+\s.*({rx})")
+    """Second-level sections, the first ten of them, flags for usual sections, fenced blocks and words."""
+    headings = F.regexp_extract_all("content", F.lit(r"(?m)^##\s+(.+)$"), F.lit(1))
     return docs.select(
         "doc_id",
         F.size(headings).cast("bigint").alias("sections"),
         F.slice(headings, 1, 10).alias("headings"),
-        flag("install|setup").alias("has_install"),
-        flag("usage|example").alias("has_usage"),
-        flag("api").alias("has_api"),
-        flag("test").alias("has_tests"),
+        *(flag.alias(name) for name, flag in section_flags(F.col("content")).items()),
         F.floor(F.regexp_count("content", F.lit("```")) / 2).alias("code_blocks"),
-        F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")).cast("bigint").alias("words"),
+        F.size(F.split("content", r"\s+")).cast("bigint").alias("words"),
     )
 
 
@@ -113,23 +139,30 @@ def checkbox_progress(docs: DataFrame) -> DataFrame:
     return docs.groupBy("repo").agg(F.sum(done).alias("checked"), F.sum(todo).alias("unchecked"), F.sum(done + todo).alias("total"))
 
 
-def doc_gaps(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """(repo, gap): missing README or CHANGELOG, missing sections."""
-    have = files.groupBy("repo").agg(F.bool_or(F.lower("path").rlike("(^|/)readme")).alias("readme"), F.bool_or(F.lower("path").rlike("(^|/)changelog")).alias("changelog"))
-    sections = docs.groupBy("repo").agg(*[F.bool_or(F.col("content").rlike(rf"(?im)^#+\s.*{s}")).alias(s) for s in ("install", "usage", "license")])
-    both = have.join(sections, "repo", "left")
-    gaps = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in ("readme", "changelog", "install", "usage", "license")]))
-    return both.select("repo", F.explode(gaps).alias("gap"))
+def doc_gaps(files: DataFrame) -> DataFrame:
+    """(repo, type, file, section, severity): no README.md or CHANGELOG.md at the root, or no section on installation or usage in README.md."""
+    flags = section_flags(F.col("content"))
+    readme, name = F.col("path") == "README.md", F.col("path")
+    have = files.groupBy("repo").agg(
+        F.bool_or(readme).alias("readme"), F.bool_or(name == "CHANGELOG.md").alias("changelog"),
+        F.bool_or(readme & flags["has_install"]).alias("install"), F.bool_or(readme & flags["has_usage"]).alias("usage"),
+    )
+    row = lambda *v: F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(v, ("type", "file", "section", "severity"), strict=True)))
+    gaps = F.array(
+        F.when(~F.col("readme"), row("missing", "README.md", None, "high")),
+        F.when(F.col("readme") & ~F.col("install"), row("missing-section", "README.md", "Installation", "medium")),
+        F.when(F.col("readme") & ~F.col("usage"), row("missing-section", "README.md", "Usage", "medium")),
+        F.when(~F.col("changelog"), row("missing", "CHANGELOG.md", None, "low")),
+    )
+    return have.select("repo", F.explode(F.array_compact(gaps)).alias("g")).select("repo", "g.*")
 
 
 def repo_health(files: DataFrame) -> DataFrame:
+    """Whether a repo has, at its root, a README.md, a linter's settings, settings of a build service, and a folder of tests."""
     p = F.col("path")
-    return files.groupBy("repo").agg(
-        F.bool_or(p.rlike(TEST_PATH)).alias("has_tests"),
-        F.bool_or(p.rlike(r"(^|/)\.?eslintrc|ruff\.toml|node_modules/")).alias("has_linting"),
-        F.bool_or(p.rlike(r"^\.github/workflows/|\.gitlab-ci")).alias("has_ci"),
-        F.bool_or(p.rlike(r"(?i)(^|/)readme")).alias("has_readme"),
-    )
+    at = lambda names: reduce(lambda a, b: a | b, [(p == n) | p.startswith(n + "/") for n in names])
+    folder = reduce(lambda a, b: a | b, [p.startswith(n + "/") for n in TEST_FOLDERS])
+    return files.groupBy("repo").agg(F.bool_or(folder).alias("has_tests"), F.bool_or(at(LINT_FILES)).alias("has_linting"), F.bool_or(at(CI_PLACES)).alias("has_ci"), F.bool_or(p == "README.md").alias("has_readme"))
 
 
 def stack_tags(manifests: DataFrame, tags: DataFrame) -> DataFrame:
@@ -141,7 +174,7 @@ def stack_tags(manifests: DataFrame, tags: DataFrame) -> DataFrame:
 def implemented_features(files: DataFrame) -> DataFrame:
     """(repo, feature) where a folder's name holds one of the feature's words."""
     folders = files.select("repo", F.explode(F.array_distinct(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))))).alias("dir")).distinct()
-    hits = F.array_compact(F.array(*[F.when(F.lower("dir").rlike("|".join(w)), F.lit(f)) for f, w in FEATURES.items()]))
+    hits = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.lower("dir").contains(x) for x in w]), F.lit(f)) for f, w in FEATURES.items()]))
     return folders.select("repo", F.explode(hits).alias("feature")).distinct()
 
 
@@ -152,7 +185,7 @@ def themes(issues: DataFrame, top: int = 10) -> DataFrame:
 
 
 def categorise(issues: DataFrame) -> DataFrame:
-    """Adds `category` by the first label pattern that fits; plurals count, `debug` isn't a bug."""
+    """Adds `category` by the first label pattern that fits, in any case; `debug` and `bugs` aren't `bug`."""
     out = None
     for word, category in CATEGORIES:
         out = F.when(_label_fits(word), category) if out is None else out.when(_label_fits(word), category)
@@ -160,13 +193,13 @@ def categorise(issues: DataFrame) -> DataFrame:
 
 
 def _label_fits(word: str) -> Column:
-    pattern = rf"(^|[^a-z]){word}s?([^a-z]|$)"
-    return F.exists("labels", lambda x: x.rlike(pattern))
+    pattern = rf"(^|[^a-z]){word}([^a-z]|$)"
+    return F.exists("labels", lambda x: F.lower(x).rlike(pattern))
 
 
 def repeated_phrases(docs: DataFrame, n: int = 3, least: int = 4) -> DataFrame:
     """(doc_id, phrase, times): word n-grams that occur `least` times or more in a document."""
-    words = F.filter(F.split(F.lower("text"), r"[^a-z0-9à-ÿ]+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     grams = docs.select("doc_id", words.alias("w")).filter(F.size("w") >= n)
     starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
     # Sorted within the row, equal phrases make runs; a run's length is the distance to the next one. Nothing is shuffled.
@@ -204,14 +237,15 @@ def diff_stat(changes: DataFrame, commits: DataFrame, since: str) -> DataFrame:
 
 
 def project_signals(files: DataFrame) -> DataFrame:
-    has = lambda rx: F.bool_or(F.lower("path").rlike(rx))
-    return files.groupBy("repo").agg(has("migrat|schema|m1/").alias("has_db"), has("api|routes|controllers").alias("has_api"), has(r"\.(ts|tsx|jsx|css)$").alias("has_frontend"), has(r"\.(go|rs|py|java)$").alias("has_backend"), has("docker|deploy|ci/").alias("has_devops"), (F.count("*") > 20).alias("large"))
+    """What the paths of a repo point to, and whether it has more than 20 files."""
+    return files.groupBy("repo").agg(*(F.bool_or(F.col("path").rlike(rx)).alias(name) for name, rx in SIGNALS.items()), (F.count("*") > 20).alias("large"))
 
 
 def branch_growth(diff_lines: DataFrame, tests: DataFrame) -> DataFrame:
-    """Added branch lines by file, more than three are high; async code without a test of rejections. tests: (path, rejects)."""
-    branch = F.col("line").rlike(r"^\+.*\b(if|else|case|catch|for|while)\b|^\+.*(&&|\|\||\?)")
-    per = diff_lines.groupBy("path").agg(F.count_if(branch).alias("branches"), F.bool_or(F.col("line").rlike(r"^\+.*\basync\b")).alias("is_async"))
+    """Added branches by file, a line once for each form, more than three are high; async code without a test of rejections. tests: (path, rejects)."""
+    added = diff_lines.filter(F.col("line").startswith("+"))
+    forms = reduce(lambda a, b: a + b, [F.col("line").rlike(rx).cast("long") for rx in BRANCHES])
+    per = added.groupBy("path").agg(F.sum(forms).alias("branches"), F.bool_or(F.col("line").rlike(ASYNC)).alias("is_async"))
     both = per.join(tests, "path", "left")
     return both.select("path", "branches", F.when(F.col("branches") > 3, "high").when(F.col("branches") > 0, "medium").otherwise("none").alias("risk"), (F.col("is_async") & ~F.coalesce("rejects", F.lit(False))).alias("untested_async"))
 

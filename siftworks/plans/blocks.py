@@ -73,8 +73,14 @@ def e5(spark, d):
 _CODE = rf"(trim(line, ' ') <> '' AND NOT {_COMMENT} AND NOT regexp_matches(line, '^\s*[}})\]];?\s*$'))"
 
 
-@query("e6_stub_functions", BASE + rf""", st AS (SELECT repo, path, first_line, count(*) FILTER ({_CODE}) AS n, max(line) FILTER ({_CODE}) AS only_, bool_or(regexp_matches(line, '(?i)todo|fixme|implement')) AS todo FROM inside GROUP BY ALL)
- SELECT repo, path, first_line, CASE WHEN todo THEN 'HIGH' ELSE 'MEDIUM' END AS certainty FROM st WHERE n = 1 AND regexp_matches(only_, {q(bl.STUB)})""")
+_STUBS = " ".join(f"WHEN lang IN ({q(lang)}{', ' + q('typescript') if lang == 'javascript' else ''}) THEN regexp_matches(only_, {q(rx)})" for lang, rx in bl.STUBS.items())
+_SIGNIFICANT = _CODE + r""" AND NOT (lang = 'python' AND regexp_matches(line, '^\s*("{3}|''{3})'))"""
+
+
+@query("e6_stub_functions", BASE + rf""", body AS (SELECT repo, path, lang, first_line, line FROM inside UNION ALL
+  SELECT repo, path, l.lang, first_line, regexp_extract(line, '\{{(.*)\}}', 1) FROM blocks b JOIN code_lines l USING (repo, path) WHERE b.first_line = l.line_no AND last_line = first_line AND l.lang <> 'python'),
+ st AS (SELECT repo, path, lang, first_line, count(*) FILTER ({_SIGNIFICANT}) AS n, max(line) FILTER ({_SIGNIFICANT}) AS only_, bool_or(regexp_matches(line, {q(bl.STUB_TODO)})) AS todo FROM body GROUP BY ALL)
+ SELECT repo, path, first_line, CASE WHEN todo THEN 'HIGH' ELSE 'MEDIUM' END AS certainty FROM st WHERE n = 1 AND CASE {_STUBS} ELSE false END""")
 def e6(spark, d):
     return bl.stub_functions(bl.code_lines(T.code_files(spark, d)))
 

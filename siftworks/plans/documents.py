@@ -32,33 +32,89 @@ def e8(spark, d):
     return do.heading_jumps(pages(spark, d))
 
 
-@query("e9_section_sizes", SECTIONS + """, s AS (SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(ceil(sum(length(line) + 1) / 4) AS BIGINT) AS tokens FROM sec GROUP BY ALL),
- i AS (SELECT *, CASE WHEN tokens > 120 THEN 'long' WHEN section = 0 AND tokens > 20 THEN 'no_headings' WHEN section > 0 AND tokens < 20 THEN 'tiny' END AS issue FROM s) SELECT * FROM i WHERE issue IS NOT NULL""")
+def _sizes_sql(long: int, bare: int) -> str:
+    return rf""", c AS (SELECT doc_id, CAST(section AS BIGINT) AS section, regexp_matches(line, '^#{{1,6}}\s') AS head, length(regexp_extract(line, '^(#{{1,6}}\s+)', 1)) AS marks,
+  length(line) + CASE WHEN line_no = max(line_no) OVER (PARTITION BY doc_id) THEN 0 ELSE 1 END AS chars FROM sec),
+ s AS (SELECT doc_id, section, CAST(ceil(sum(chars - CASE WHEN head THEN marks ELSE 0 END) / 4) AS BIGINT) AS tokens, CAST(ceil(sum(CASE WHEN head THEN 0 ELSE chars END) / 4) AS BIGINT) AS below FROM c GROUP BY ALL)
+ SELECT doc_id, section, tokens, 'long' AS issue FROM s WHERE section > 0 AND tokens > {long} UNION ALL SELECT doc_id, section, tokens, 'no_headings' FROM s WHERE below > {bare}
+ UNION ALL SELECT doc_id, section, tokens, 'tiny' FROM s WHERE section > 0 AND tokens < 20"""
+
+
+@query("e9_section_sizes", SECTIONS + _sizes_sql(120, 20))
 def e9(spark, d):
     """Sections of the fixture are short, so the limits are 120 and 20 tokens."""
     return do.section_sizes(pages(spark, d), 120, 20)
 
 
-@query("e10_late_critical", MD + f", n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM md_lines) SELECT doc_id, count(*) AS late FROM n WHERE line_no > CAST(0.7 AS DOUBLE) * n AND regexp_matches(line, {q(do.CRITICAL)}) GROUP BY doc_id HAVING count(*) >= 2")
+def _late_sql(source: str, least: int, share: float = 0.7) -> str:
+    return f"SELECT doc_id, count(*) AS late FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM {source}) WHERE line_no > floor(CAST({share} AS DOUBLE) * n) AND regexp_matches(line, {q(do.CRITICAL)}) GROUP BY doc_id HAVING count(*) >= {least}"
+
+
+@query("e10_late_critical", MD + " " + _late_sql("md_lines", 2, 0.2))
 def e10(spark, d):
-    return do.late_critical(pages(spark, d), least=2)
+    """Pages of the fixture end with prose, so the limits are two lines after a fifth of the page."""
+    return do.late_critical(pages(spark, d), 0.2, 2)
+
+
+_TERMS = " + ".join(f"len(regexp_extract_all(line, {q(p)}))" for p in do.BURIED)
 
 
-@query("e11_buried_critical", MD + f""", f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM md_lines WHERE trim(line, ' ') <> '')
- SELECT doc_id, CAST(sum(len(regexp_extract_all(line, {q(do.CRITICAL)}))) AS BIGINT) AS buried FROM f WHERE n >= 15 AND rn > CAST(0.3 AS DOUBLE) * n AND rn <= CAST(0.7 AS DOUBLE) * n GROUP BY doc_id HAVING sum(len(regexp_extract_all(line, {q(do.CRITICAL)}))) >= 2""")
+def _buried_sql(source: str, least: int, length: int) -> str:
+    return f"""SELECT doc_id, CAST(sum({_TERMS}) AS BIGINT) AS buried FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM {source} WHERE trim(line, ' ') <> '')
+ WHERE n >= {length} AND rn > floor(CAST(0.3 AS DOUBLE) * n) AND rn <= floor(CAST(0.7 AS DOUBLE) * n) GROUP BY doc_id HAVING sum({_TERMS}) >= {least}"""
+
+
+@query("e11_buried_critical", MD + " " + _buried_sql("md_lines", 2, 15))
 def e11(spark, d):
+    """Pages of the fixture are short, so the limits are 2 terms and 15 lines."""
     return do.buried_critical(pages(spark, d), 2, 15)
 
 
-@query("e12_context_dependent", SECTIONS + r""", f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS rn FROM sec WHERE section > 0 AND trim(line, ' ') <> '')
- SELECT doc_id, count(*) AS n FROM f WHERE rn = 2 AND regexp_matches(line, '^\s*(It|This|That|These|Those|They)\b') GROUP BY doc_id""")
+# Every document as a page: each seventh line is a heading, and each fifth one says that something must hold.
+_EVERY = rf"""doc_text AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents),
+ all_lines AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 0 THEN '## ' WHEN line_no % 5 = 2 THEN 'This must hold: ' ELSE '' END || line AS line FROM doc_text),
+ sec AS (SELECT *, sum(CAST(regexp_matches(line, '^#{{1,6}}\s') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM all_lines)"""
+
+
+def every_document(spark, d):
+    """Lines of the whole text of every document; each seventh line is a heading, and each fifth one says that something must hold."""
+    lines = T.to_lines(T.read(spark, d, "documents").select("doc_id", "text"), "text")
+    mark = F.when(F.col("line_no") % 7 == 0, "## ").when(F.col("line_no") % 5 == 2, "This must hold: ").otherwise("")
+    return lines.withColumn("line", F.concat(mark, "line"))
+
+
+@query("e7_sections_documents", W + _EVERY + " SELECT doc_id, line_no, CAST(section AS BIGINT) AS section FROM sec")
+def e7_every(spark, d):
+    return do.sections(every_document(spark, d)).select("doc_id", "line_no", "section")
+
+
+@query("e9_section_sizes_documents", W + _EVERY + _sizes_sql(1000, 500))
+def e9_every(spark, d):
+    """Sections of every document, with the production limits."""
+    return do.section_sizes(every_document(spark, d))
+
+
+@query("e10_late_critical_documents", W + _EVERY + " " + _late_sql("all_lines", 3))
+def e10_every(spark, d):
+    return do.late_critical(every_document(spark, d))
+
+
+@query("e11_buried_critical_documents", W + _EVERY + " " + _buried_sql("all_lines", 5, 20))
+def e11_every(spark, d):
+    return do.buried_critical(every_document(spark, d))
+
+
+@query("e12_context_dependent", SECTIONS + rf""", f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, section ORDER BY line_no) AS rn FROM sec WHERE section > 0 AND trim(line, ' ') <> '')
+ SELECT doc_id, count(*) AS n FROM f WHERE rn = 2 AND regexp_matches(line, {q(do.DANGLING)}) GROUP BY doc_id HAVING count(*) >= 2""")
 def e12(spark, d):
     return do.context_dependent(pages(spark, d))
 
 
-@query("e13_mixed_topics", SECTIONS + r" SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) FILTER (regexp_matches(line, '^\s*(However|Moreover|Furthermore|Therefore|Additionally|Meanwhile|Nevertheless)\b')) AS n FROM sec GROUP BY ALL HAVING n >= 3")
+@query("e13_mixed_topics", SECTIONS + rf""", o AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, section ORDER BY line_no) AS b FROM sec)
+ SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) FILTER (b = '' AND regexp_matches(line, {q(do.TRANSITION)})) AS n FROM o GROUP BY ALL HAVING n >= 1""")
 def e13(spark, d):
-    return do.mixed_topics(pages(spark, d))
+    """Sections of the fixture are short, so one transition is enough."""
+    return do.mixed_topics(pages(spark, d), 1)
 
 
 @query("i4_extract_features", MD + r""", f AS (SELECT doc_id, regexp_extract(line, '^[-*]\s+(.{6,79})$', 1) AS feature, min(line_no) AS line_no FROM md_lines WHERE regexp_matches(line, '^[-*]\s+.{6,79}$') GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM f) SELECT doc_id, feature FROM p WHERE place <= 20""")
@@ -135,36 +191,29 @@ def j6(spark, d):
 
 def _doc_rules_sql(source: str, key: str, verbose: bool) -> str:
     parts = []
-    for r in do.DOC_RULES:
-        if not verbose and r.certainty == "LOW":
-            continue
-        value = " + ".join(f"len(regexp_extract_all(text, {q(p)}))" for p in r.counts)
-        cond = f"({value}) {'<=' if r.at_most else '>='} {r.threshold} AND length(text) > {r.longer_than}" + (f" AND NOT regexp_matches(text, {q(r.unless)})" if r.unless else "")
-        parts.append(f"SELECT {key}, '{r.name}' AS rule, '{r.category}' AS category, '{r.certainty}' AS certainty, {value} AS value FROM {source} WHERE {cond}")
     count = lambda text, p: f"len(regexp_extract_all({text}, {q(p)}))"
     measures = {
         "chars": "length(text)",
         "words": "len(regexp_split_to_array(text, '\\s+'))",
         "jumps": count(f"array_to_string(regexp_extract_all(text, {q(do.HEADINGS)}, 1), ' ')", do.JUMP),
+        "paragraphs": "len(list_filter(regexp_split_to_array(text, '\\n\\n+'), lambda x: trim(x, ' ') <> ''))",
+        "brief": "len(list_filter(regexp_split_to_array(text, '\\n\\n+'), lambda x: trim(x, ' ') <> '' AND length(x) <= 76))",
         "short": "len(list_filter(regexp_split_to_array(text, '(?m)^#{1,6}\\s+')[2:], lambda x: length(x) <= 76))",
     }
-    for r in do.TEXT_RULES:
+    for r in [*do.DOC_RULES, *do.TEXT_RULES]:
         if verbose or r.certainty != "LOW":
             when, value = r.render(count, f"regexp_extract(text, {q(do.FRONT)}, 1)", **measures)
             parts.append(f"SELECT {key}, '{r.name}' AS rule, '{r.category}' AS category, '{r.certainty}' AS certainty, {value} AS value FROM {source} WHERE {when}")
     return " UNION ALL ".join(parts)
 
 
-@query("l1_doc_rule_scan", MD + ", texts AS (SELECT doc_id, content AS text FROM md) " + _doc_rules_sql("texts", "doc_id", True).replace("(?s).{10000}", "(?s).{900}.{100}"))
+@query("l1_doc_rule_scan", MD + ", texts AS (SELECT doc_id, content AS text FROM md) " + _doc_rules_sql("texts", "doc_id", True))
 def l1(spark, d):
-    """On the Markdown pages; a page of a thousand characters is bloated here."""
-    from dataclasses import replace
-
-    rules = [replace(r, counts=("(?s).{900}.{100}",)) if r.name == "prompt_bloat" else r for r in [*do.DOC_RULES, *do.TEXT_RULES]]
-    return do.doc_rule_scan(T.doc_pages(spark, d).select("doc_id", F.col("content").alias("text")), "doc_id", True, rules)
+    """On the Markdown pages."""
+    return do.doc_rule_scan(T.doc_pages(spark, d).select("doc_id", F.col("content").alias("text")), "doc_id", True)
 
 
-@query("l1_doc_rule_scan_documents", W + "texts AS (SELECT doc_id, text FROM documents) " + _doc_rules_sql("texts", "doc_id", True).replace("len(regexp_extract_all(text, '(?s).{10000}'))", "length(text) // 10000"))
+@query("l1_doc_rule_scan_documents", W + "texts AS (SELECT doc_id, text FROM documents) " + _doc_rules_sql("texts", "doc_id", True))
 def l1_documents(spark, d):
     """On the whole text of every document."""
     return do.doc_rule_scan(T.read(spark, d, "documents").select("doc_id", "text"), "doc_id", True)

@@ -158,10 +158,10 @@ _HAS = lambda w: f"len(list_filter(labels, lambda x: regexp_matches(x, '{w}')))
     "f2_score_tasks",
     W + T.ISSUES + f""", recent AS (SELECT DISTINCT lower(p_name_word) AS word FROM (SELECT unnest(['login', 'export']) AS p_name_word)),
   rel AS (SELECT DISTINCT number FROM (SELECT number, unnest(regexp_split_to_array(lower(title), '\\W+')) AS word FROM issues) JOIN recent USING (word) WHERE length(word) > 3)
-  SELECT number, CAST((CASE WHEN {_HAS('critical|p0|1-urgent')} THEN 100 ELSE 0 END) + (CASE WHEN {_HAS('high|p1')} THEN 50 ELSE 0 END) + (CASE WHEN {_HAS('medium|p2')} THEN 25 ELSE 0 END)
+  SELECT number, CAST((CASE WHEN {_HAS('critical|p0')} THEN 100 ELSE 0 END) + (CASE WHEN {_HAS('high|p1')} THEN 50 ELSE 0 END) + (CASE WHEN {_HAS('medium|p2')} THEN 25 ELSE 0 END)
   + (CASE WHEN {_HAS('security')} THEN 40 ELSE 0 END) + (CASE WHEN regexp_matches(body, '(?i)blocks #\\d+') THEN 30 ELSE 0 END) + (CASE WHEN {_HAS('small|quick')} THEN 20 ELSE 0 END)
   - (CASE WHEN {_HAS('large|complex')} THEN 10 ELSE 0 END) + (CASE WHEN number IN (SELECT number FROM rel) THEN 15 ELSE 0 END)
-  + (CASE WHEN list_contains(labels, 'bug') AND date_diff('day', created, DATE '{T.AS_OF}') > 30 THEN 10 ELSE 0 END) + (CASE WHEN reactions > 5 THEN 15 ELSE 0 END) AS BIGINT) AS score
+  + (CASE WHEN len(list_filter(labels, lambda x: lower(x) = 'bug')) > 0 AND date_diff('day', created, DATE '{T.AS_OF}') > 30 THEN 10 ELSE 0 END) + (CASE WHEN reactions > 5 THEN 15 ELSE 0 END) AS BIGINT) AS score
   FROM issues ORDER BY score DESC, number LIMIT 5""",
 )
 def f2(spark, d):

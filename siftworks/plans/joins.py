@@ -34,11 +34,22 @@ def c1(spark, d):
 
 def _setup_sql() -> str:
     out = []
-    for lang, rxs in jo.SETUPS.items():
-        for rx in rxs:
-            langs = "('javascript', 'typescript')" if lang == "javascript" else f"('{lang}')"
-            out.append(f"SELECT repo, path, line_no, line, regexp_extract(line, {q(rx)}, 1) AS name, regexp_extract(line, {q(rx)}, 2) AS kind FROM code_lines WHERE lang IN {langs} AND regexp_matches(line, {q(rx)})")
-    return f"setups AS (SELECT * FROM ({' UNION ALL '.join(out)}) WHERE NOT regexp_matches(name, '^[ijkxy]$'))"
+    for seq, (lang, rx) in enumerate((lang, rx) for lang, rxs in jo.SETUPS.items() for rx in rxs):
+        langs = "('javascript', 'typescript')" if lang == "javascript" else f"('{lang}')"
+        kind = f"regexp_extract(line, {q(rx)}, 2)"
+        out.append(f"SELECT repo, path, line_no, line, {seq} AS seq, regexp_extract(line, {q(rx)}, 1) AS name, CASE WHEN {kind} = '' THEN 'Infrastructure' ELSE {kind} END AS kind FROM code_lines WHERE lang IN {langs} AND regexp_matches(line, {q(rx)})")
+    return f"""setups AS (SELECT repo, path, name, max(line_no) FILTER (seq = top) AS line_no, arg_max(line, (seq, line_no)) AS line, arg_max(kind, (seq, line_no)) AS kind
+ FROM (SELECT *, max(seq) OVER (PARTITION BY repo, path, name) AS top FROM ({' UNION ALL '.join(out)}) WHERE length(name) > 1 AND NOT regexp_matches(name, '^[ijkxy]$')) GROUP BY repo, path, name)"""
+
+
+# Each setup's name is put into the five forms and tried on the other lines of its file or repository.
+_FORMS = [r"'\\b' || s.name || '\\s*\\.\\w+'", r"'\\b' || s.name || '\\s*\\['", r"'\\(.*\\b' || s.name || '\\b.*\\)'", r"'\\b' || s.name || '\\s*\\)'", r"'return\\s+.*\\b' || s.name || '\\b'"]
+
+
+def _unused_sql(within: str) -> str:
+    uses = " OR ".join(f"regexp_matches(l.line, {f})" for f in _FORMS).replace("\\\\", "\\")
+    return f"""SELECT repo, name, path, line_no, kind FROM setups s WHERE NOT contains(lower(line), 'export') AND NOT (contains(lower(line), 'function') AND contains(lower(line), name))
+ AND NOT EXISTS (SELECT 1 FROM code_lines l WHERE {within} AND contains(l.line, s.name) AND NOT (l.path = s.path AND l.repo = s.repo AND l.line_no = s.line_no) AND ({uses}))"""
 
 
 @query("j8_extract_setups", W + T.LINES + ", " + _setup_sql() + " SELECT repo, path, line_no, name, kind FROM setups")
@@ -46,8 +57,13 @@ def j8(spark, d):
     return jo.extract_setups(T.code_lines(spark, d)).drop("line")
 
 
-@query("c2_setup_without_usage", W + T.LINES + ", " + _setup_sql() + r""", ids AS (SELECT repo, path, line_no, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_]\w*'))) AS name FROM code_lines),
- uses AS (SELECT path AS _p, repo, name, count(*) AS n FROM ids GROUP BY ALL) SELECT repo, name, path, line_no, kind FROM setups ANTI JOIN (SELECT _p AS path, name FROM uses WHERE n > 1) USING (path, name) WHERE NOT regexp_matches(line, '^\s*(export|pub|public)\b')""")
+@query("c2_setup_without_usage_repo", W + T.LINES + ", " + _setup_sql() + " " + _unused_sql("l.repo = s.repo"))
+def c2_repo(spark, d):
+    lines = T.code_lines(spark, d)
+    return jo.setup_without_usage(jo.extract_setups(lines), lines)
+
+
+@query("c2_setup_without_usage", W + T.LINES + ", " + _setup_sql() + " " + _unused_sql("l.repo = s.repo AND l.path = s.path"))
 def c2(spark, d):
     """Each file of the fixture is a repository of its own here: names repeat between files."""
     lines = T.code_lines(spark, d).withColumn("whole", F.col("repo")).withColumn("repo", F.col("path"))
@@ -99,7 +115,7 @@ def c7(spark, d):
 
 _FEATURES = r"""df AS (SELECT DISTINCT regexp_extract(line, '^[-*]\s+(.{6,79})$', 1) AS feature FROM md_lines WHERE regexp_matches(line, '^[-*]\s+.{6,79}$') UNION SELECT DISTINCT p_brand || ' loader' FROM part),
  cf AS (SELECT DISTINCT name AS feature FROM symbols UNION SELECT DISTINCT lower(replace(p_brand, '#', '')) FROM part),
- na AS (SELECT feature AS doc_feature, regexp_replace(lower(feature), '[^a-z0-9]', '', 'g') AS x FROM df), nb AS (SELECT feature AS code_feature, regexp_replace(lower(feature), '[^a-z0-9]', '', 'g') AS y FROM cf),
+ na AS (SELECT feature AS doc_feature, regexp_replace(regexp_replace(lower(feature), '[^\p{L}\p{N}]', '', 'g'), 's$', '') AS x FROM df), nb AS (SELECT feature AS code_feature, regexp_replace(regexp_replace(lower(feature), '[^\p{L}\p{N}]', '', 'g'), 's$', '') AS y FROM cf),
  pairs AS (SELECT doc_feature, code_feature FROM na, nb WHERE length(x) > 2 AND length(y) > 2 AND (contains(x, y) OR contains(y, x) OR levenshtein(x, y) < 3))"""
 
 
@@ -179,9 +195,21 @@ def c12(spark, d):
     return jo.undocumented_commits(commits, entries)
 
 
+_HEX = "hexed AS (SELECT substr(sha256(CAST(hash AS VARCHAR)), 1, 40) AS hash, message, hash AS n FROM commits)"
+
+
+@query("c12_undocumented_by_hash", W + T.COMMITS + ", " + _HEX + r""" SELECT hash, message FROM hexed WHERE regexp_matches(message, '^(feat|fix)|^\w+!:|BREAKING') AND n % 3 <> 0 AND n % 5 <> 0""")
+def c12_hash(spark, d):
+    """Commits with hex hashes; the changelog names a third of them by seven digits, a fifth by twelve, and others by digits that aren't theirs."""
+    commits = T.commits(spark, d).select(F.substring(F.sha2(F.col("hash").cast("string"), 256), 1, 40).alias("hash"), "message", F.col("hash").alias("n"))
+    said = F.when(F.col("n") % 3 == 0, F.substring("hash", 1, 7)).when(F.col("n") % 5 == 0, F.substring("hash", 1, 12)).otherwise(F.concat(F.substring("hash", 1, 7), F.lit("fffffffffff")))
+    return jo.undocumented_commits(commits.drop("n"), commits.select(F.concat(F.lit("- done in "), said).alias("entry")))
+
+
 def _map_sql() -> str:
     stem, ext, folder = r"regexp_extract(path, '([^/]+)\.\w+$', 1)", r"regexp_extract(path, '(\.\w+)$', 1)", r"regexp_extract(path, '^(.*/)?[^/]+$', 1)"
-    names = [f"{a} || {stem} || '{b}' || {ext}" for a in ("'tests/'", folder, "'__tests__/'", "'test/'") for b in (".test", ".spec")] + [f"'tests/test_' || {stem} || {ext}", f"{folder} || {stem} || '_test' || {ext}"]
+    places = ["'tests/'", "'tests/'", "'test/'", "'__tests__/'", folder, folder, f"{folder} || '__tests__/'", "'tests/test_'", "'test/test_'", folder]
+    names = [f"{a} || {stem} || '{b}' || {ext}" for a, b in zip(places, jo.TEST_ENDS, strict=True)]
     return rf"""src AS (SELECT repo, path FROM code_files WHERE NOT regexp_matches(path, '(^|/)tests/') AND regexp_matches(path, '\.(js|ts|py|go|rs|java)$')),
  cand AS (SELECT repo, path, unnest([{', '.join(names)}]) AS test, unnest(generate_series(1, {len(names)})) AS pos FROM src),
  met AS (SELECT repo, path, arg_min(test, pos) AS test FROM cand SEMI JOIN (SELECT repo, path AS test FROM code_files) USING (repo, test) GROUP BY ALL), mapped AS (SELECT repo, path, test FROM src LEFT JOIN met USING (repo, path))"""
@@ -212,9 +240,10 @@ def d23(spark, d):
     return jo.coverage_summary(jo.source_test_map(one_repo(spark, d)))
 
 
-@query("d27_test_quality", W + MAPPED + r""", p AS (SELECT m.repo, m.path, content AS c, regexp_extract(m.path, '([^/]+)\.\w+$', 1) AS stem FROM mapped m JOIN code_files f ON f.repo = m.repo AND f.path = m.test),
- g AS (SELECT repo, path, regexp_matches(c, 'toBe\(true\)|assert True|expect\(true\)') AS trivial, NOT regexp_matches(c, '\b(describe|it|test|def test_)\b') AS no_cases, NOT regexp_matches(c, '(?i)null|undefined|empty|error|None') AS no_edges, NOT contains(c, stem) AS no_import FROM p)
- SELECT *, CASE WHEN trivial::INT + no_cases::INT + no_edges::INT + no_import::INT >= 3 THEN 'poor' WHEN trivial OR no_cases OR no_edges OR no_import THEN 'needs-improvement' ELSE 'good' END AS grade FROM g""")
+@query("d27_test_quality", W + MAPPED + rf""", p AS (SELECT m.repo, m.path, content AS c, regexp_extract(m.path, '([^/]+)\.\w+$', 1) AS stem FROM mapped m JOIN code_files f ON f.repo = m.repo AND f.path = m.test),
+ g AS (SELECT repo, path, regexp_matches(c, {q(jo.TRIVIAL)}) AS trivial, NOT regexp_matches(c, {q(jo.CASES)}) AS no_cases, NOT regexp_matches(c, {q(jo.EDGES)}) AS no_edges,
+  NOT (regexp_matches(c, 'from\s+[''"][^''"]*' || stem || '[''"]') OR regexp_matches(c, 'require\s*\(\s*[''"][^''"]*' || stem || '[''"]') OR regexp_matches(c, 'import\s+.*' || stem)) AS no_import FROM p)
+ SELECT *, CASE WHEN no_import THEN 'poor' WHEN trivial OR no_cases OR no_edges THEN 'needs-improvement' ELSE 'good' END AS grade FROM g""")
 def d27(spark, d):
     return jo.test_quality(jo.source_test_map(one_repo(spark, d)), one_repo(spark, d))
 

@@ -18,7 +18,10 @@ def tagged(spark, d):
 TAGGED = T.FILES + f", tagged AS (SELECT *, {_LANG} AS language FROM code_files)"
 _COUNT = lambda rx: f"len(regexp_extract_all(content, {q(rx)}))"
 _EXPORTS = "CASE language " + " ".join(f"WHEN '{k}' THEN {' + '.join(map(_COUNT, v))}" for k, v in su.EXPORTS.items()) + f" ELSE {' + '.join(map(_COUNT, su.EXPORTS['js']))} END"
-_CODE = r"""len(list_filter(string_split(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), chr(10)), lambda x: trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), CASE WHEN language = 'python' THEN '#' ELSE '//' END)))"""
+_BLOCK = q(su.BLOCK_COMMENT)
+_PLAIN = f"array_to_string(list_transform(regexp_split_to_array(content, {_BLOCK}), lambda x, i: x || ' ' || coalesce(regexp_replace(regexp_extract_all(content, {_BLOCK})[i], '[^\\n]+', '', 'g'), '')), '')"
+_STARTS = " OR ".join(f"starts_with(trim(x, ' '), {q(m)})" for m in su.LINE_COMMENTS)
+_CODE = f"len(list_filter(string_split(regexp_replace({_PLAIN}, '[\\t\\r]', ' ', 'g'), chr(10)), lambda x: trim(x, ' ') <> '' AND NOT ({_STARTS})))"
 COUNTED = TAGGED + f", counted AS (SELECT *, {_EXPORTS} AS exports, {_CODE} AS code_lines FROM tagged)"
 
 
@@ -63,14 +66,13 @@ def d10b(spark, d):
     return su.top_extensions(T.code_files(spark, d))
 
 
-_FLAG = lambda rx: f"regexp_matches(content, '(?im)^#+\\s.*({rx})')"
+_FLAGS = lambda hs: ", ".join(f"regexp_matches(lower(array_to_string({hs}[1:10], ' ')), '{rx}') AS {name}" for name, rx in su.SECTION_WORDS.items())
 
 
 @query(
     "d11_doc_profile",
-    W + T.PAGES + rf""", h AS (SELECT *, regexp_extract_all(content, '(?m)^#{{1,6}}\s+(.+)$', 1) AS hs FROM md)
- SELECT doc_id, len(hs) AS sections, hs[1:10] AS headings, {_FLAG('install|setup')} AS has_install, {_FLAG('usage|example')} AS has_usage, {_FLAG('api')} AS has_api, {_FLAG('test')} AS has_tests,
- CAST(floor(len(regexp_extract_all(content, '```')) / 2) AS BIGINT) AS code_blocks, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS words FROM h""",
+    W + T.PAGES + rf""", h AS (SELECT *, regexp_extract_all(content, '(?m)^##\s+(.+)$', 1) AS hs FROM md)
+ SELECT doc_id, len(hs) AS sections, hs[1:10] AS headings, {_FLAGS('hs')}, CAST(floor(len(regexp_extract_all(content, '```')) / 2) AS BIGINT) AS code_blocks, len(regexp_split_to_array(content, '\s+')) AS words FROM h""",
 )
 def d11(spark, d):
     return su.doc_profile(T.doc_pages(spark, d))
@@ -85,25 +87,39 @@ def d12(spark, d):
     return su.checkbox_progress(T.doc_pages(spark, d))
 
 
-_GAP = " UNION ALL ".join(f"SELECT repo, '{c}' AS gap FROM have LEFT JOIN sec USING (repo) WHERE NOT coalesce({c}, false)" for c in ("readme", "changelog", "install", "usage", "license"))
+# The first page of a repository stands as its README.md if its number is even, and a changelog beside it if that has a third digit of 0.
+_ROOTS = rf"""root AS (SELECT repo, min(doc_id) AS i, arg_min(content, doc_id) AS content FROM md GROUP BY repo), h AS (SELECT repo, i % 2 = 0 AS readme, i % 3 = 0 AS changelog, regexp_extract_all(content, '(?m)^##\s+(.+)$', 1) AS hs FROM root),
+ have AS (SELECT repo, readme, changelog, {_FLAGS('hs')} FROM h)"""
 
 
-@query(
-    "d13_doc_gaps",
-    W + T.PAGES + r""", have AS (SELECT repo, bool_or(regexp_matches(lower(path), '(^|/)readme')) AS readme, bool_or(regexp_matches(lower(path), '(^|/)changelog')) AS changelog FROM code_files GROUP BY repo),
- sec AS (SELECT repo, bool_or(regexp_matches(content, '(?im)^#+\s.*install')) AS install, bool_or(regexp_matches(content, '(?im)^#+\s.*usage')) AS usage, bool_or(regexp_matches(content, '(?im)^#+\s.*license')) AS license FROM md GROUP BY repo) """ + _GAP,
-)
+@query("d13_doc_gaps", W + T.PAGES + ", " + _ROOTS + """ SELECT repo, 'missing' AS type, 'README.md' AS file, NULL AS section, 'high' AS severity FROM have WHERE NOT readme
+ UNION ALL SELECT repo, 'missing-section', 'README.md', 'Installation', 'medium' FROM have WHERE readme AND NOT has_install UNION ALL SELECT repo, 'missing-section', 'README.md', 'Usage', 'medium' FROM have WHERE readme AND NOT has_usage
+ UNION ALL SELECT repo, 'missing', 'CHANGELOG.md', NULL, 'low' FROM have WHERE NOT changelog""")
 def d13(spark, d):
-    return su.doc_gaps(T.code_files(spark, d), T.doc_pages(spark, d))
+    root = T.doc_pages(spark, d).groupBy("repo").agg(F.min("doc_id").alias("i"), F.min_by("content", "doc_id").alias("content"))
+    names = F.array(F.when(F.col("i") % 2 == 0, "README.md").otherwise("page.md"), F.when(F.col("i") % 3 == 0, "CHANGELOG.md").otherwise("other.md"))
+    return su.doc_gaps(root.select("repo", F.explode(names).alias("path"), "content"))
 
 
-@query(
-    "d14_repo_health",
-    W + T.FILES + rf""" SELECT repo, bool_or(regexp_matches(path, {q(scan.TEST_PATH)})) AS has_tests, bool_or(regexp_matches(path, '(^|/)\.?eslintrc|ruff\.toml|node_modules/')) AS has_linting,
- bool_or(regexp_matches(path, '^\.github/workflows/|\.gitlab-ci')) AS has_ci, bool_or(regexp_matches(path, '(?i)(^|/)readme')) AS has_readme FROM code_files GROUP BY repo""",
-)
+# Settings and folders at the root stand in for some of the fixture's files.
+_PLACES = {3: "README.md", 7: "biome.json", 11: ".github/workflows/ci.yml", 13: "docs/README.md", 17: "web/.eslintrc", 19: "k8s/Dockerfile", 23: "src/Login/Routes.tsx", 29: "server/migrations/1.sql"}
+_PLACED = f"placed AS (SELECT repo, CASE doc_id % 31 {' '.join(f'WHEN {k} THEN {q(v)}' for k, v in _PLACES.items())} ELSE path END AS path FROM code_files)"
+
+
+def placed(spark, d):
+    files, path = T.code_files(spark, d), F.col("path")
+    for k, name in _PLACES.items():
+        path = F.when(F.col("doc_id") % 31 == k, name).otherwise(path)
+    return files.select("repo", path.alias("path"))
+
+
+_AT = lambda names: " OR ".join(f"path = {q(n)} OR starts_with(path, {q(n + '/')})" for n in names)
+
+
+@query("d14_repo_health", W + T.FILES + ", " + _PLACED + f""" SELECT repo, bool_or({' OR '.join(f"starts_with(path, '{n}/')" for n in su.TEST_FOLDERS)}) AS has_tests, bool_or({_AT(su.LINT_FILES)}) AS has_linting,
+ bool_or({_AT(su.CI_PLACES)}) AS has_ci, bool_or(path = 'README.md') AS has_readme FROM placed GROUP BY repo""")
 def d14(spark, d):
-    return su.repo_health(T.code_files(spark, d))
+    return su.repo_health(placed(spark, d))
 
 
 TAGS = [("react", "react", 1), ("vue", "vue", 2), ("express", "express", 3), ("jest", "jest", 4), ("pytest", "pytest", 5)]
@@ -121,12 +137,12 @@ def d15(spark, d):
     return su.stack_tags(manifests, spark.createDataFrame(TAGS, "dep string, tag string, seq int"))
 
 
-_FEAT = " UNION ".join(f"SELECT repo, '{f}' AS feature FROM dirs WHERE regexp_matches(lower(dir), '{'|'.join(w)}')" for f, w in su.FEATURES.items())
+_FEAT = " UNION ".join(f"SELECT repo, '{f}' AS feature FROM dirs WHERE {' OR '.join(f'contains(lower(dir), {q(x)})' for x in w)}" for f, w in su.FEATURES.items())
 
 
-@query("d16_implemented_features", W + T.FILES + ", dirs AS (SELECT DISTINCT repo, unnest(string_split(path, '/')[1 : -2]) AS dir FROM code_files) " + _FEAT)
+@query("d16_implemented_features", W + T.FILES + ", " + _PLACED + ", dirs AS (SELECT DISTINCT repo, unnest(string_split(path, '/')[1 : -2]) AS dir FROM placed) " + _FEAT)
 def d16(spark, d):
-    return su.implemented_features(T.code_files(spark, d))
+    return su.implemented_features(placed(spark, d))
 
 
 _STOP = ", ".join(map(q, su.STOP_WORDS))
@@ -137,7 +153,7 @@ def d17(spark, d):
     return su.themes(T.issues(spark, d))
 
 
-_CAT = "CASE " + " ".join(f"WHEN len(list_filter(labels, lambda x: regexp_matches(x, '(^|[^a-z]){w}s?([^a-z]|$)'))) > 0 THEN '{c}'" for w, c in su.CATEGORIES) + " ELSE 'other' END"
+_CAT = "CASE " + " ".join(f"WHEN len(list_filter(labels, lambda x: regexp_matches(lower(x), '(^|[^a-z]){w}([^a-z]|$)'))) > 0 THEN '{c}'" for w, c in su.CATEGORIES) + " ELSE 'other' END"
 
 
 @query("d18_categorise_issues", W + T.ISSUES + f" SELECT repo, {_CAT} AS category, count(*) AS n FROM issues GROUP BY ALL")
@@ -147,7 +163,7 @@ def d18(spark, d):
 
 @query(
     "d20_repeated_phrases",
-    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: x <> '') AS w FROM documents),
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
  g AS (SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS phrase FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3))
  SELECT doc_id, phrase, count(*) AS times FROM g GROUP BY ALL HAVING count(*) >= 4""",
 )
@@ -183,25 +199,25 @@ def d25(spark, d):
     return su.diff_stat(T.commit_files(spark, d), T.commits(spark, d), "1996-01-01")
 
 
-_SIG = lambda rx: f"bool_or(regexp_matches(lower(path), '{rx}'))"
+_SIGNALS = ", ".join(f"bool_or(regexp_matches(path, {q(rx)})) AS {name}" for name, rx in su.SIGNALS.items())
 
 
-@query("d26_project_signals", W + T.FILES + rf" SELECT repo, {_SIG('migrat|schema|m1/')} AS has_db, {_SIG('api|routes|controllers')} AS has_api, {_SIG('\\.(ts|tsx|jsx|css)$')} AS has_frontend, {_SIG('\\.(go|rs|py|java)$')} AS has_backend, {_SIG('docker|deploy|ci/')} AS has_devops, count(*) > 20 AS large FROM code_files GROUP BY repo")
+@query("d26_project_signals", W + T.FILES + ", " + _PLACED + f" SELECT repo, {_SIGNALS}, count(*) > 20 AS large FROM placed GROUP BY repo")
 def d26(spark, d):
-    return su.project_signals(T.code_files(spark, d))
+    return su.project_signals(placed(spark, d))
 
 
-_DIFF = """diff AS (SELECT repo || '/' || path AS path, '+' || line AS line FROM code_lines WHERE doc_id % 3 = 0), rej AS (SELECT DISTINCT repo || '/' || path AS path, true AS rejects FROM code_files WHERE doc_id % 2 = 0)"""
+_DIFF = """diff AS (SELECT repo || '/' || path AS path, '+' || line AS line FROM code_lines), rej AS (SELECT DISTINCT repo || '/' || path AS path, true AS rejects FROM code_files WHERE doc_id % 2 = 0)"""
 
 
 @query(
     "d28_branch_growth",
-    W + T.LINES + ", " + _DIFF + r""", per AS (SELECT path, count(*) FILTER (regexp_matches(line, '^\+.*\b(if|else|case|catch|for|while)\b|^\+.*(&&|\|\||\?)')) AS branches, bool_or(regexp_matches(line, '^\+.*\basync\b')) AS a FROM diff GROUP BY path)
+    W + T.LINES + ", " + _DIFF + r""", per AS (SELECT path, CAST(sum(""" + " + ".join(f"CAST(regexp_matches(line, {q(rx)}) AS BIGINT)" for rx in su.BRANCHES) + r""") AS BIGINT) AS branches, bool_or(regexp_matches(line, """ + q(su.ASYNC) + r""")) AS a FROM diff GROUP BY path)
  SELECT path, branches, CASE WHEN branches > 3 THEN 'high' WHEN branches > 0 THEN 'medium' ELSE 'none' END AS risk, a AND NOT coalesce(rejects, false) AS untested_async FROM per LEFT JOIN rej USING (path)""",
 )
 def d28(spark, d):
     at = F.concat("repo", F.lit("/"), "path")
-    diff = T.code_lines(spark, d).filter("doc_id % 3 = 0").select(at.alias("path"), F.concat(F.lit("+"), "line").alias("line"))
+    diff = T.code_lines(spark, d).select(at.alias("path"), F.concat(F.lit("+"), "line").alias("line"))
     tests = T.code_files(spark, d).filter("doc_id % 2 = 0").select(at.alias("path"), F.lit(True).alias("rejects")).distinct()
     return su.branch_growth(diff, tests)
 
