@@ -123,11 +123,13 @@ RULES = [
 SECRETS = {r.name for r in RULES if r.severity == "critical"} | {"high_entropy_string"}
 #: Rules that fire on runs of lines.
 COMMENTED_CODE = Rule("commented_code", r"^\s*(//|#)\s*\w{5,}", "medium", "remove")
+_SHELL, _WHERE = r"(?:exec|spawn|system|shell|`|Bash)\s*[(`]", "(?:path|file|dir)"
+_TOLD = r"(?i)(?:api[_-]?key|secret|token|password|credential)\s*[:=]\s*[\"'`]([^\"'`\s]{8,})[\"'`]"
 SECURITY = [
-    Rule("command_injection", r"(?i)(exec|system|spawn)\s*\([^)]*(\$\{|\+|%s|f[\"'])|\$\((?:[^)]*)\$ARGUMENTS", "high"),
-    Rule("path_traversal", r"\.\./|\.\.\\", "medium"),
-    Rule("inline_secret", _SECRET, "high", part=_SECRET, group=3, reject=r"^(?:\$\{|\{\{|<[A-Z_]|[x*#]{8}|[X*#]{8}|(?i:test|mock|dummy))"),
-    Rule("dynamic_eval", r"\beval\s*\(|new\s+Function\s*\(", "high"),
+    Rule("command_injection", _SHELL + r".*\$\{", "high"),
+    Rule("path_traversal", _WHERE + r".*\$.*\.\./|\.\./.*\$", "high"),
+    Rule("inline_secret", _TOLD, "high", part=_TOLD, group=1, reject=r"^(?:\$\{|\{\{)"),
+    Rule("unsafe_eval", r"\b(?:eval|Function)\s*\(", "high"),
 ]
 
 
@@ -172,7 +174,8 @@ _LINEAR = {
     "boolean_blindness": "(?i)" + _within(")", r"\w\s*\(", rf"(?>[^)]*?{_BOOLS})[^)]*+\)"),
     "speculative_generality_unused_params": _within(")", r"function\s+\w+\s*\(", r"(?>[^)]*?_\w)[^)]*+\)"),
     "speculative_generality_empty_interface": r"interface\s+\w+\s*\{\s*\}|" + _within(">", r"interface\s+\w+\s*<", r"[^>]*+>\s*\{\s*\}"),
-    "command_injection": "(?i)" + _within(")", r"(?:exec|system|spawn)\s*\(", r"[^)]*?(?:\$\{|\+|%s|f[\"'])") + "|" + _within(")", r"\$\(", r"[^)]*?\$ARGUMENTS"),
+    "command_injection": _then(_SHELL, r"\$\{"),
+    "path_traversal": rf"(?m:^)(?>.*?{_WHERE})(?>.*?\$).*\.\./|(?m:^)(?>.*?\.\./).*\$",
 }
 LINEAR = {r.pattern: _LINEAR[r.name] for r in [*RULES, *SECURITY] if r.name in _LINEAR}
 SEVERITIES, CERTAINTIES = ["critical", "high", "medium", "low"], ["HIGH", "MEDIUM", "LOW"]

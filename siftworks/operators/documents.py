@@ -121,21 +121,26 @@ def mixed_topics(lines: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("doc_id", "section").agg(F.coalesce(F.sum("opens"), F.lit(0)).alias("n")).filter(F.col("n") >= least)
 
 
+# Bullets, whose feature ends before a dash and stands without bold marks, and plans in lines and headings.
+BULLET = r"^[-*]\s+\*{0,2}(.+?)\*{0,2}(?:\s*[-–]\s*(.+))?$"
+PLAN_LINE, PLAN_HEADING = r"(?i)(?:TODO|FIXME|PLAN):\s*(.+)", r"(?i)^##\s+(?:Roadmap|Future|Planned|Coming Soon)"
+
+
 def bullet_features(lines: DataFrame, cap: int = 20) -> DataFrame:
-    """(doc_id, feature): bullets of 6 to 79 characters, the first `cap` of a document."""
-    rx = r"^[-*]\s+(.{6,79})$"
-    found = lines.filter(F.col("line").rlike(rx)).groupBy("doc_id", F.regexp_extract("line", rx, 1).alias("feature")).agg(F.min("line_no").alias("line_no"))
+    """(doc_id, feature): the first `cap` features of 6 to 79 characters of a document, each once."""
+    rows = lines.filter(F.col("line").rlike(BULLET)).select("doc_id", "line_no", F.trim(F.regexp_extract("line", BULLET, 1)).alias("feature"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return found.withColumn("place", place).filter(F.col("place") <= cap).select("doc_id", "feature")
+    sized = rows.filter((F.length("feature") > 5) & (F.length("feature") < 80))
+    return sized.withColumn("place", place).filter(F.col("place") <= cap).select("doc_id", "feature").distinct()
 
 
 def plans(lines: DataFrame, cap: int = 15) -> DataFrame:
-    """(doc_id, plan): TODO and PLAN lines and roadmap headings, the first `cap` of a document."""
-    rx = r"^[-*]?\s*(?:TODO|PLAN|FIXME):\s*(.+)$|^#+\s*(.*(?i:roadmap|planned|future).*)$"
-    text = F.trim(F.concat(F.regexp_extract("line", rx, 1), F.regexp_extract("line", rx, 2)))
-    found = lines.filter(F.col("line").rlike(rx)).select("doc_id", "line_no", text.alias("plan"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return found.withColumn("place", place).filter(F.col("place") <= cap).select("doc_id", "plan")
+    """(doc_id, plan): what stands behind TODO, FIXME and PLAN, then roadmap headings, the first `cap` of a document, of at most 100 characters."""
+    said, heading = F.regexp_extract("line", PLAN_LINE, 1), F.regexp_extract("line", PLAN_HEADING, 0)
+    kinds = F.array(F.when(said != "", F.struct(F.lit(1).alias("kind"), said.alias("plan"))), F.when(heading != "", F.struct(F.lit(2).alias("kind"), heading.alias("plan"))))
+    found = lines.select("doc_id", "line_no", F.explode(F.array_compact(kinds)).alias("p"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("p.kind", "line_no"))
+    return found.withColumn("place", place).filter(F.col("place") <= cap).select("doc_id", F.substring("p.plan", 1, 100).alias("plan"))
 
 
 def outside_fences(text: Column, change) -> Column:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .imports import normalised
+
 # Quality words by category, signs of a claim, and evidence by category.
 CLAIM_WORDS = {
     "production": ["production-ready", "production-grade", "prod-ready"],
@@ -76,7 +78,8 @@ SETUPS = {
         rf"@(?:Autowired|Inject)\s+(?:private\s+)?{_TYPE}\s+(\w+)()",
     ],
 }
-BUILTINS = ["install", "test", "start", "run", "ci", "init", "publish", "version", "audit"]
+BUILTINS = ["install", "i", "ci", "test", "t", "start", "build", "publish", "pack"]
+TASK_STOP_WORDS = ["the", "a", "an", "is", "are", "and", "or", "to", "for", "in", "on", "at", "by", "add", "fix", "update", "create", "implement"]
 IDENTIFIER = r"[A-Za-z_]\w*"
 
 
@@ -165,21 +168,37 @@ def slug(text: Column) -> Column:
 
 def broken_anchors(docs: DataFrame) -> DataFrame:
     """`#anchor` links without a heading of that slug in the same document."""
-    anchors = links(docs).filter(F.col("target").startswith("#")).select("doc_id", F.substring("target", F.lit(2), F.length("target")).alias("slug"))
+    anchors = links(docs).filter(F.col("target").startswith("#")).select("doc_id", F.lower(F.substring("target", F.lit(2), F.length("target"))).alias("slug"))
     heads = docs.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1))).alias("h")).select("doc_id", slug(F.col("h")).alias("slug"))
     return anchors.join(heads, ["doc_id", "slug"], "left_anti")
 
 
+def file_references(docs: DataFrame) -> DataFrame:
+    """(repo, doc_id, ref): targets of links without their anchor, and what stands in back quotes with a dot or a slash and without a space."""
+    said = lambda rx: F.regexp_extract_all("content", F.lit(rx), F.lit(1))
+    linked = F.filter(said(r"\[[^\]]+\]\(([^)]+)\)"), lambda x: ~x.rlike("^(?:http|#|mailto:)"))
+    quoted = F.filter(said(r"`([^`]+)`"), lambda x: x.rlike(r"[./]") & ~x.contains(" ") & ~x.startswith("$"))
+    refs = F.concat(F.transform(linked, lambda x: F.regexp_replace(x, "#(?s:.*)$", "")), quoted)
+    return docs.select("repo", "doc_id", F.explode(F.array_distinct(refs)).alias("ref")).filter("ref <> ''")
+
+
 def broken_file_refs(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """Paths in links, backticks or prose that the repo doesn't have; globs and `${` count as valid."""
-    refs = docs.select("repo", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\w./${}*-]+/[\w${}*-]+\.\w{1,5})"), F.lit(1)))).alias("path")).filter(~F.col("path").rlike(r"[*$]"))
-    return refs.withColumn("path", F.regexp_replace("path", r"^\./", "")).join(files.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
+    """References to files and folders that the repo doesn't have; globs and `${` count as valid, and what leads out of the repo as broken."""
+    refs = file_references(docs).filter(~F.col("ref").contains("*") & ~F.col("ref").contains("${"))
+    path = F.when(~F.col("ref").startswith("/"), normalised(F.col("ref")))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    there = files.select("repo", F.explode(above).alias("target")).distinct()
+    inside = refs.withColumn("target", path).filter("coalesce(target, '-') <> ''")
+    return inside.join(there, ["repo", "target"], "left_anti").select("repo", "doc_id", F.col("ref").alias("path"))
 
 
 def broken_command_refs(docs: DataFrame, scripts: DataFrame) -> DataFrame:
-    """`npm run x` and `npm x` that aren't scripts of the repo or built in. scripts: (repo, name)."""
-    names = docs.select("repo", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"npm (?:run )?([\w:-]+)"), F.lit(1)))).alias("name"))
-    return names.filter(~F.col("name").isin(BUILTINS)).join(scripts.select("repo", "name").distinct(), ["repo", "name"], "left_anti")
+    """`npm run x`, and `npm x` of five common commands, that aren't scripts of the repo or built in. scripts: (repo, name)."""
+    said = lambda rx: F.regexp_extract_all("content", F.lit(rx), F.lit(1))
+    names = F.concat(said(r"(?i)npm\s+run\s+([a-z][\w:-]*)"), said(r"(?i)npm\s+(test|start|build|lint|install)"))
+    each = docs.select("repo", "doc_id", F.explode(F.array_distinct(names)).alias("name"))
+    return each.filter(~F.col("name").isin(BUILTINS)).join(scripts.select("repo", "name").distinct(), ["repo", "name"], "left_anti")
 
 
 def sentences(docs: DataFrame, id_col: str) -> DataFrame:
@@ -358,10 +377,13 @@ def exclude_claimed(tasks: DataFrame, claimed: DataFrame) -> DataFrame:
 
 
 def task_already_done(tasks: DataFrame, files: DataFrame, keywords: int = 5) -> DataFrame:
-    """Tasks as pending, partially-done (a hit is a test file) or appears-done, by title words found in code."""
-    words = F.slice(F.filter(F.array_distinct(F.split(F.lower("title"), r"\W+")), lambda x: F.length(x) > 3), 1, keywords)
-    asked = tasks.select("number", F.explode(words).alias("word"))
-    tokens = files.select(F.col("path").rlike(r"(^|/)tests/").alias("is_test"), F.explode(F.array_distinct(F.split(F.lower("content"), r"\W+"))).alias("word")).groupBy("word").agg(F.bool_or("is_test").alias("is_test"))
+    """Tasks as pending, partially-done (a hit is a test file) or appears-done, by title words found as words of JavaScript and TypeScript files."""
+    title = F.split(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", " "), " ")
+    words = F.slice(F.filter(title, lambda x: (x != "") & ~x.isin(TASK_STOP_WORDS)), 1, keywords)
+    asked = tasks.select("number", F.explode(F.array_distinct(words)).alias("word"))
+    code = files.filter(F.col("path").rlike(r"\.[cm]?[jt]sx?$"))
+    is_test = F.col("path").rlike(r"\.test\.|\.spec\.|__tests__")
+    tokens = code.select(is_test.alias("is_test"), F.explode(F.array_distinct(F.split(F.lower("content"), "[^a-z0-9]+"))).alias("word")).groupBy("word").agg(F.bool_or("is_test").alias("is_test"))
     hits = asked.join(tokens, "word").groupBy("number").agg(F.bool_or("is_test").alias("tested"))
     both = tasks.select("number").join(hits, "number", "left")
     return both.select("number", F.when(F.col("tested").isNull(), "pending").when(F.col("tested"), "partially-done").otherwise("appears-done").alias("status"))

@@ -125,26 +125,35 @@ def filter_by_label(tasks: DataFrame, category: str) -> DataFrame:
     return tasks.filter(F.exists("labels", lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in LABELS[category]])))
 
 
+# Folders and texts that tell what kind of prompt a document is.
+PROMPT_FOLDERS = {"agent": "/agents/", "command": "/commands/", "skill": "/skills/", "prompt": "/prompts/"}
+AGENT_TEXT, SYSTEM_TEXT = r"(?m)^---\s*\nname:\s*\w+", r"(?i)<system>|(?im)^##?\s*system\s+prompt"
+
+
 def prompt_type(docs: DataFrame) -> DataFrame:
-    """Adds `kind`: by path first, then by content, else markdown."""
-    kind = (
-        F.when(F.col("path").rlike("(?i)(^|/)agents?/"), "agent")
-        .when(F.col("path").rlike("(?i)(^|/)commands?/"), "command")
-        .when(F.col("path").rlike("(?i)(^|/)skills?/|SKILL"), "skill")
-        .when(F.col("content").rlike(r"(?i)\byou are\b"), "agent")
-        .when(F.col("content").rlike(r"(?m)^import "), "code")
-        .otherwise("markdown")
-    )
-    return docs.withColumn("kind", kind)
+    """Adds `kind`: by folder first, then by front matter and system prompts, else markdown."""
+    path = F.translate(F.lower("path"), "\\", "/")
+    kind = reduce(lambda c, kv: c.when(path.contains(kv[1]), kv[0]), PROMPT_FOLDERS.items(), F.when(F.lit(False), ""))
+    return docs.withColumn("kind", kind.when(F.col("content").rlike(AGENT_TEXT), "agent").when(F.col("content").rlike(SYSTEM_TEXT), "prompt").otherwise("markdown"))
+
+
+VALIDATION = "validate|check|verify|sanitize"
+WRITERS = r"^tools:\s*.*\b(?:Write|Edit)\b(?:\s*$|\s*[^(\s])"
 
 
 def security_scan(lines: DataFrame) -> DataFrame:
-    """Security rules, and `$ARGUMENTS` without a word of validation in the five lines before."""
+    """Security rules, `$ARGUMENTS` without a word of validation in it or the five lines before, and front matter that lets a tool write anywhere."""
     plain = rule_scan(lines, SECURITY).select("repo", "path", "line_no", "rule")
-    by = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(-5, 0)
-    seen = F.max(F.col("line").rlike("(?i)valid|sanitiz|check|verify|quote").cast("int")).over(by)
-    raw = lines.withColumn("seen", seen).filter(F.col("line").contains("$ARGUMENTS") & (F.col("seen") == 0))
-    return plain.unionByName(raw.select("repo", "path", "line_no", F.lit("unvalidated_arguments").alias("rule")))
+    by = Window.partitionBy("repo", "path").orderBy("line_no")
+    fence = (F.col("line") == "---").cast("int")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumns({"seen": F.max(F.lower("line").rlike(VALIDATION).cast("int")).over(by.rowsBetween(-5, 0)), "top": F.first(fence).over(by), "fences": F.coalesce(F.sum(fence).over(before), F.lit(0))})
+    raw = marked.filter(F.col("line").contains("$ARGUMENTS") & (F.col("seen") == 0))
+    # a second fence has to close the front matter: one stands in a later line
+    closed = F.sum(fence).over(Window.partitionBy("repo", "path")) > 1
+    broad = marked.withColumn("closed", closed).filter((F.col("top") == 1) & (F.col("fences") == 1) & F.col("closed") & F.col("line").rlike(WRITERS))
+    named = lambda rows, rule: rows.select("repo", "path", "line_no", F.lit(rule).alias("rule"))
+    return plain.unionByName(named(raw, "missing_input_validation")).unionByName(named(broad, "broad_file_access"))
 
 
 def find_claim_docs(files: DataFrame) -> DataFrame:

@@ -117,19 +117,40 @@ def e13(spark, d):
     return do.mixed_topics(pages(spark, d), 1)
 
 
-@query("i4_extract_features", MD + r""", f AS (SELECT doc_id, regexp_extract(line, '^[-*]\s+(.{6,79})$', 1) AS feature, min(line_no) AS line_no FROM md_lines WHERE regexp_matches(line, '^[-*]\s+.{6,79}$') GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM f) SELECT doc_id, feature FROM p WHERE place <= 20""")
-def i4(spark, d):
-    return do.bullet_features(pages(spark, d))
+_FEATURES = "SELECT DISTINCT doc_id, feature FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM (SELECT doc_id, line_no, trim(regexp_extract(line, " + q(do.BULLET) + ", 1), ' ') AS feature FROM {0} WHERE regexp_matches(line, " + q(do.BULLET) + ")) WHERE length(feature) > 5 AND length(feature) < 80) WHERE place <= 20"
+_PLANS = "SELECT doc_id, substr(plan, 1, 100) AS plan FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, line_no) AS place FROM (SELECT doc_id, line_no, 1 AS kind, regexp_extract(line, " + q(do.PLAN_LINE) + ", 1) AS plan FROM {0} UNION ALL SELECT doc_id, line_no, 2, regexp_extract(line, " + q(do.PLAN_HEADING) + ", 0) FROM {0}) WHERE plan <> '') WHERE place <= 15"
 
 
-_PLAN = r"^[-*]?\s*(?:TODO|PLAN|FIXME):\s*(.+)$|^#+\s*(.*(?i:roadmap|planned|future).*)$"
+@query("i4_extract_features", MD + " " + _FEATURES.replace("{0}", "md_lines"))
+def i4(spark, d):
+    return do.bullet_features(pages(spark, d))
 
 
-@query("i4_extract_plans", MD + f""", f AS (SELECT doc_id, line_no, trim(regexp_extract(line, {q(_PLAN)}, 1) || regexp_extract(line, {q(_PLAN)}, 2), ' ') AS plan FROM md_lines WHERE regexp_matches(line, {q(_PLAN)})), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM f) SELECT doc_id, plan FROM p WHERE place <= 15""")
+@query("i4_extract_plans", MD + " " + _PLANS.replace("{0}", "md_lines"))
 def i4b(spark, d):
     return do.plans(pages(spark, d))
 
 
+# Every document as a list: each line is a bullet with a bold begin and a tail, and each ninth one a plan.
+_LISTED = "doc_text AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents), listed AS (SELECT doc_id, line_no, CASE WHEN line_no % 9 = 0 THEN 'Todo: ' || line ELSE '- **' || substr(line, 1, line_no % 90) || '** - ' || line END AS line FROM doc_text)"
+
+
+def listed(spark, d):
+    lines = T.to_lines(T.read(spark, d, "documents").select("doc_id", "text"), "text")
+    bullet = F.concat(F.lit("- **"), F.substring("line", F.lit(1), (F.col("line_no") % 90).cast("int")), F.lit("** - "), "line")
+    return lines.withColumn("line", F.when(F.col("line_no") % 9 == 0, F.concat(F.lit("Todo: "), "line")).otherwise(bullet))
+
+
+@query("i4_extract_features_documents", W + _LISTED + " " + _FEATURES.replace("{0}", "listed"))
+def i4_every(spark, d):
+    return do.bullet_features(listed(spark, d))
+
+
+@query("i4_extract_plans_documents", W + _LISTED + " " + _PLANS.replace("{0}", "listed"))
+def i4b_every(spark, d):
+    return do.plans(listed(spark, d))
+
+
 def _condense_sql(x: str) -> str:
     for long, short in do.PHRASES:
         x = f"regexp_replace({x}, '\\b{long[0].upper()}(?i:{long[1:]})\\b', '{short[0].upper() + short[1:]}', 'g')"

@@ -83,22 +83,42 @@ _SLUG = r"regexp_replace(regexp_replace(lower(trim(h)), '[^\w\s-]', '', 'g'), '\
 
 
 @query("c4_broken_anchors", W + T.PAGES + ", " + _LINKS + rf""", heads AS (SELECT doc_id, {_SLUG} AS slug FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?m)^#{{1,6}}\s+(.+)$', 1)) AS h FROM md))
- SELECT doc_id, substr(target, 2) AS slug FROM links WHERE target LIKE '#%' AND NOT EXISTS (SELECT 1 FROM heads WHERE heads.doc_id = links.doc_id AND heads.slug = substr(target, 2))""")
+ SELECT doc_id, lower(substr(target, 2)) AS slug FROM links WHERE target LIKE '#%' AND NOT EXISTS (SELECT 1 FROM heads WHERE heads.doc_id = links.doc_id AND heads.slug = lower(substr(target, 2)))""")
 def c4(spark, d):
     return jo.broken_anchors(T.doc_pages(spark, d))
 
 
-@query("c5_broken_file_refs", W + T.PAGES + r""", refs AS (SELECT repo, doc_id, regexp_replace(p, '^\./', '') AS path FROM (SELECT repo, doc_id, unnest(list_distinct(regexp_extract_all(content, '([\w./${}*-]+/[\w${}*-]+\.\w{1,5})', 1))) AS p FROM md) WHERE NOT regexp_matches(p, '[*$]'))
- SELECT repo, path, doc_id FROM refs ANTI JOIN (SELECT DISTINCT repo, path FROM code_files) USING (repo, path)""")
+# The path of a reference by segments; chr(1) stands for one that leads out of the repository.
+_WALK = """list_reduce(list_prepend('', string_split(ref, '/')), lambda acc, x: CASE WHEN starts_with(acc, chr(1)) OR x IN ('', '.') THEN acc WHEN x = '..' THEN CASE WHEN acc = '' THEN chr(1) ELSE regexp_replace(acc, '/?[^/]*$', '') END
+ WHEN acc = '' THEN x ELSE acc || '/' || x END)"""
+# Each page also names some files: beside it, above it, in back quotes, and outside of the repository.
+_NAMED = r"""named AS (SELECT *, content || chr(10) || '[a](./src/m1/f' || doc_id || '.js#top) `src/m' || (doc_id % 5) || '/../m2/f' || (doc_id + 1) || '.py` `setup.sh` `../up.md` `src/m3` [u](https://x.org/a/b.html) `*.js` `$HOME/.rc` plain src/none.js' AS text FROM md)"""
+
+
+def naming_pages(spark, d):
+    named = F.concat(
+        F.lit("\n[a](./src/m1/f"), F.col("doc_id"), F.lit(".js#top) `src/m"), F.col("doc_id") % 5, F.lit("/../m2/f"), F.col("doc_id") + 1,
+        F.lit(".py` `setup.sh` `../up.md` `src/m3` [u](https://x.org/a/b.html) `*.js` `$HOME/.rc` plain src/none.js"),
+    )
+    return T.doc_pages(spark, d).withColumn("content", F.concat("content", named))
+
+
+@query("c5_broken_file_refs", W + T.PAGES + ", " + _NAMED + rf""", refs AS (SELECT DISTINCT repo, doc_id, ref FROM (
+  SELECT repo, doc_id, regexp_replace(x, '#(?s:.*)$', '') AS ref FROM (SELECT repo, doc_id, unnest(regexp_extract_all(text, '\[[^\]]+\]\(([^)]+)\)', 1)) AS x FROM named) WHERE NOT regexp_matches(x, '^(http|#|mailto:)')
+  UNION ALL SELECT repo, doc_id, x FROM (SELECT repo, doc_id, unnest(regexp_extract_all(text, '`([^`]+)`', 1)) AS x FROM named) WHERE regexp_matches(x, '[./]') AND NOT contains(x, ' ') AND NOT starts_with(x, '$')) WHERE ref <> ''),
+ walked AS (SELECT *, CASE WHEN starts_with(ref, '/') THEN chr(1) ELSE {_WALK} END AS target FROM refs WHERE NOT contains(ref, '*') AND NOT contains(ref, '${{'))
+ SELECT repo, doc_id, ref AS path FROM walked WHERE target <> '' AND NOT EXISTS (SELECT 1 FROM code_files f WHERE f.repo = walked.repo AND (f.path = target OR starts_with(f.path, target || '/')))""")
 def c5(spark, d):
-    return jo.broken_file_refs(T.doc_pages(spark, d), T.code_files(spark, d))
+    return jo.broken_file_refs(naming_pages(spark, d), T.code_files(spark, d))
 
 
-@query("c6_broken_command_refs", W + T.PAGES + f""", names AS (SELECT repo, doc_id, unnest(list_distinct(regexp_extract_all(content, 'npm (?:run )?([\\w:-]+)', 1))) AS name FROM md)
- SELECT repo, name, doc_id FROM names WHERE name NOT IN ({', '.join(map(q, jo.BUILTINS))}) AND NOT (name = 'build' AND repo IN (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0))""")
+@query("c6_broken_command_refs", W + T.PAGES + rf""", said AS (SELECT repo, doc_id, content || ' npm install npm  test npm RUN Deploy:all npm run' || chr(10) || 'lint npm lint npm i npm outdated' AS text FROM md),
+ names AS (SELECT DISTINCT repo, doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)npm\s+run\s+([a-z][\w:-]*)', 1), regexp_extract_all(text, '(?i)npm\s+(test|start|build|lint|install)', 1))) AS name FROM said)
+ SELECT repo, name, doc_id FROM names WHERE name NOT IN ({', '.join(map(q, jo.BUILTINS))}) AND NOT (name = 'lint' AND repo IN (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0))""")
 def c6(spark, d):
-    scripts = T.read(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.lit("build").alias("name")).distinct()
-    return jo.broken_command_refs(T.doc_pages(spark, d), scripts)
+    scripts = T.read(spark, d, "documents").filter("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.lit("lint").alias("name")).distinct()
+    said = T.doc_pages(spark, d).withColumn("content", F.concat("content", F.lit(" npm install npm  test npm RUN Deploy:all npm run\nlint npm lint npm i npm outdated")))
+    return jo.broken_command_refs(said, scripts)
 
 
 _SENT = lambda t, i: f"(SELECT {i} AS id, unnest(regexp_split_to_array(text, '[.!?]+')) AS s, unnest(generate_series(0, len(regexp_split_to_array(text, '[.!?]+')) - 1)) AS sentence FROM {t})"
@@ -264,8 +284,8 @@ def c15(spark, d):
     return jo.exclude_claimed(T.issues(spark, d).select("number", "title"), claimed)
 
 
-@query("c16_task_already_done", W + T.FILES + ", " + T.ISSUES + r""", k AS (SELECT number, unnest(list_filter(list_distinct(regexp_split_to_array(lower(title), '\W+')), lambda x: length(x) > 3)[1:5]) AS word FROM issues),
- t AS (SELECT word, bool_or(is_test) AS is_test FROM (SELECT regexp_matches(path, '(^|/)tests/') AS is_test, unnest(list_distinct(regexp_split_to_array(lower(content), '\W+'))) AS word FROM code_files) GROUP BY word),
+@query("c16_task_already_done", W + T.FILES + ", " + T.ISSUES + rf""", k AS (SELECT number, unnest(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN ({', '.join(map(q, jo.TASK_STOP_WORDS))}))[1:5]) AS word FROM issues),
+ t AS (SELECT word, bool_or(is_test) AS is_test FROM (SELECT regexp_matches(path, '\.test\.|\.spec\.|__tests__') AS is_test, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9]+'))) AS word FROM code_files WHERE regexp_matches(path, '\.[cm]?[jt]sx?$')) GROUP BY word),
  h AS (SELECT number, bool_or(is_test) AS tested FROM k JOIN t USING (word) GROUP BY number) SELECT number, CASE WHEN tested IS NULL THEN 'pending' WHEN tested THEN 'partially-done' ELSE 'appears-done' END AS status FROM issues LEFT JOIN h USING (number)""")
 def c16(spark, d):
     return jo.task_already_done(T.issues(spark, d), T.code_files(spark, d))

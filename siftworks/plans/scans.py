@@ -191,25 +191,43 @@ def b7(spark, d):
     return scan.filter_by_label(T.issues(spark, d), "bugs").select("number", "labels")
 
 
+_KINDS = " ".join(f"WHEN contains(lower(path), {q(f)}) THEN '{k}'" for k, f in scan.PROMPT_FOLDERS.items())
+_HEADS = {4: "---\nname: a\n---\n", 5: "<system>\n", 6: "---\n\nname: b\n", 7: "x\n## System  Prompt\n"}
+
+
 @query(
     "b8_prompt_type",
-    W + T.FILES + """, moved AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'agents/' WHEN 1 THEN 'commands/' WHEN 2 THEN 'skills/' ELSE '' END || path AS path, content FROM code_files)
-    SELECT doc_id, CASE WHEN regexp_matches(path, '(^|/)agents?/') THEN 'agent' WHEN regexp_matches(path, '(^|/)commands?/') THEN 'command' WHEN regexp_matches(path, '(^|/)skills?/') THEN 'skill'
-    WHEN regexp_matches(content, '(?i)\\byou are\\b') THEN 'agent' WHEN regexp_matches(content, '(?m)^import ') THEN 'code' ELSE 'markdown' END AS kind FROM moved""",
+    W + T.FILES + f""", moved AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'kit/Agents/' WHEN 1 THEN 'kit/commands/' WHEN 2 THEN 'kit/skills/' WHEN 3 THEN 'kit/prompts/' ELSE '' END || path AS path,
+    CASE doc_id % 9 {' '.join(f'WHEN {k} THEN {q(v)}' for k, v in _HEADS.items())} ELSE '' END || content AS content FROM code_files)
+    SELECT doc_id, CASE {_KINDS} WHEN regexp_matches(content, {q(scan.AGENT_TEXT)}) THEN 'agent' WHEN regexp_matches(content, {q(scan.SYSTEM_TEXT)}) THEN 'prompt' ELSE 'markdown' END AS kind FROM moved""",
 )
 def b8(spark, d):
-    at = F.col("doc_id") % 5
-    moved = T.code_files(spark, d).withColumn("path", F.concat(F.when(at == 0, "agents/").when(at == 1, "commands/").when(at == 2, "skills/").otherwise(""), "path"))
+    at = F.col("doc_id") % 9
+    folder = F.when(at == 0, "kit/Agents/").when(at == 1, "kit/commands/").when(at == 2, "kit/skills/").when(at == 3, "kit/prompts/").otherwise("")
+    head = F.lit("")
+    for k, v in _HEADS.items():
+        head = F.when(at == k, v).otherwise(head)
+    moved = T.code_files(spark, d).withColumns({"path": F.concat(folder, "path"), "content": F.concat(head, "content")})
     return scan.prompt_type(moved).select("doc_id", "kind")
 
 
-_ARGS = """, shell AS (SELECT repo, path, lang, line_no, CASE WHEN line_no % 9 = 0 THEN 'run $ARGUMENTS now' WHEN line_no % 16 = 0 THEN 'validate input' ELSE line END AS line FROM code_lines),
-seen AS (SELECT *, max(CAST(regexp_matches(line, '(?i)valid|sanitiz|check|verify|quote') AS INTEGER)) OVER (PARTITION BY repo, path ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s FROM shell)"""
+_ARGS = f""", shell AS (SELECT repo, path, lang, line_no, CASE WHEN doc_id % 4 = 0 AND line_no = 1 THEN '---' WHEN doc_id % 4 = 0 AND line_no = 2 THEN 'tools: Read, Write' || CASE WHEN doc_id % 8 = 0 THEN '(src/*)' ELSE '' END
+  WHEN doc_id % 12 = 0 AND line_no = 3 THEN '---' WHEN doc_id % 12 = 4 AND line_no = 4 THEN '---' WHEN line_no % 9 = 0 THEN 'run $ARGUMENTS now' WHEN line_no % 16 = 0 THEN 'Validate input' WHEN line_no % 23 = 0 THEN 'exec(`rm ${{x}}`)'
+  WHEN line_no % 29 = 0 THEN 'file = ${{base}}/../x' WHEN line_no % 31 = 0 THEN 'eval (code)' ELSE line END AS line FROM code_lines),
+seen AS (SELECT *, max(CAST(regexp_matches(lower(line), '{scan.VALIDATION}') AS INTEGER)) OVER (PARTITION BY repo, path ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s,
+ first_value(line) OVER (PARTITION BY repo, path ORDER BY line_no) AS top, coalesce(sum(CAST(line = '---' AS INTEGER)) OVER (PARTITION BY repo, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f,
+ sum(CAST(line = '---' AS INTEGER)) OVER (PARTITION BY repo, path) AS fs FROM shell)"""
 
 
-@query("b9_security_scan", W + T.LINES + _ARGS + f" SELECT repo, path, line_no, rule FROM ({scan_sql(R.SECURITY, 'shell')}) UNION ALL SELECT repo, path, line_no, 'unvalidated_arguments' FROM seen WHERE contains(line, '$ARGUMENTS') AND s = 0")
+@query("b9_security_scan", W + T.LINES + _ARGS + f""" SELECT repo, path, line_no, rule FROM ({scan_sql(R.SECURITY, 'shell')}) UNION ALL SELECT repo, path, line_no, 'missing_input_validation' FROM seen WHERE contains(line, '$ARGUMENTS') AND s = 0
+ UNION ALL SELECT repo, path, line_no, 'broad_file_access' FROM seen WHERE top = '---' AND f = 1 AND fs > 1 AND regexp_matches(line, {q(scan.WRITERS)})""")
 def b9(spark, d):
-    line = F.when(F.col("line_no") % 9 == 0, "run $ARGUMENTS now").when(F.col("line_no") % 16 == 0, "validate input").otherwise(F.col("line"))
+    n, i = F.col("line_no"), F.col("doc_id")
+    line = (
+        F.when((i % 4 == 0) & (n == 1), "---").when((i % 4 == 0) & (n == 2), F.concat(F.lit("tools: Read, Write"), F.when(i % 8 == 0, "(src/*)").otherwise("")))
+        .when((i % 12 == 0) & (n == 3), "---").when((i % 12 == 4) & (n == 4), "---").when(n % 9 == 0, "run $ARGUMENTS now").when(n % 16 == 0, "Validate input").when(n % 23 == 0, "exec(`rm ${x}`)")
+        .when(n % 29 == 0, "file = ${base}/../x").when(n % 31 == 0, "eval (code)").otherwise(F.col("line"))
+    )
     return scan.security_scan(T.code_lines(spark, d).withColumn("line", line))
 
 

@@ -280,7 +280,7 @@ def test_linear_forms_equal_their_patterns(spark):
 def test_document_scans_read_every_line(spark, tmp_path):
     from siftworks.plans import registry
 
-    text = "first line\n" + "word " * 30_000 + "\ntoken ghp_" + "a" * 36 + "\n" + "maybe sometimes usually\n"
+    text = "first line\n" + "word " * 30_000 + "\ntoken ghp_" + "a" * 36 + "\n" + "maybe sometimes usually often\n"
     spark.createDataFrame([(1, text, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     queries = registry.queries()
     assert [(r.line_no, r.rule) for r in queries["b4_secret_scan_documents"](spark, str(tmp_path)).collect()] == [(3, "github_token")]
