@@ -49,6 +49,7 @@ IMPORTS = [
     (_PY, "from", r"^\s*from\s+([\w.]+)\s+import"),
     (_PY, "import", r"^\s*import\s+([\w., ]+)"),
     (_GO, "import", r"^\s*import\s+(?:[\w.]+\s+)?\"([^\"]+)\""),
+    (_GO, "import-group", r"^\s*import\s*\(([^)]*)\)"),
     (_RS, "use", r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\*|::\{[^}]*\})?;"),
     (_JV, "import", r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?);"),
 ]
@@ -56,6 +57,32 @@ IMPORTS = [
 SHOWN = {"js": r"^\s*(?:export\s|(?:module\.)?exports\b)", "py": r"^\S", "rs": r"^\s*pub\b", "jv": r"^\s*public\s"}
 
 
+#: Lines that open a statement of imports, exports or a function's head and don't close it, and what closes one.
+OPENS = (
+    r"^\s*import\s*(?:type\s*)?[\w*,\s]*\{[^}]*$|^\s*import\s*\([^)]*$|^\s*from\s+[\w.]+\s+import\s*\([^)]*$|^\s*(?:pub\s+)?use\s+[\w:]+::\{[^}]*$|^\s*export\s*(?:type\s*)?\{[^}]*$"
+    r"|^\s*(?:module\.exports|__all__)\s*=\s*[{\[][^}\]]*$|^\s*(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\([^)]*$"
+)
+CLOSES = r"[)}\]]"
+
+
+def logical_lines(lines: DataFrame) -> DataFrame:
+    """`lines` with statements that go over several lines joined to one, at their first line's number.
+
+    A statement runs from a line that opens one to the first line that closes a bracket; one that nothing closes stays as it was.
+    """
+    by = Window.partitionBy("repo", "path").orderBy("line_no")
+    opens = F.col("line").rlike(OPENS).cast("int")
+    rows = lines.withColumns({"opens": opens, "g": F.sum(opens).over(by)})
+    own = Window.partitionBy("repo", "path", "g")
+    closed = F.sum((F.col("line").rlike(CLOSES) & (F.col("opens") == 0)).cast("int"))
+    before = F.coalesce(closed.over(own.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"joined": (F.col("g") > 0) & (before == 0) & (closed.over(own) > 0), "head": F.min("line_no").over(own)})
+    at = F.when(F.col("joined"), F.col("head")).otherwise(F.col("line_no"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
+    rest = [c for c in lines.columns if c not in ("repo", "path", "line_no", "line")]
+    return rows.groupBy("repo", "path", at.alias("at")).agg(text.alias("line"), *(F.first(c).alias(c) for c in rest)).withColumnRenamed("at", "line_no").select(*lines.columns)
+
+
 def _found(rules, lang: Column, line: Column) -> Column:
     return F.array_compact(F.array(*[F.when(lang.isin(ls) & line.rlike(rx), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, rx, 1).alias("name"))) for ls, kind, rx in rules]))
 
@@ -92,7 +119,8 @@ def exports(lines: DataFrame) -> DataFrame:
 def extract_imports(lines: DataFrame) -> DataFrame:
     """(repo, path, source, kind, line_no): distinct imports, lists split."""
     rows = lines.select("repo", "path", "line_no", F.explode(_found(IMPORTS, F.col("lang"), F.col("line"))).alias("s"))
-    each = rows.select("repo", "path", "line_no", "s.kind", F.explode(F.split("s.name", r"\s*,\s*")).alias("source")).filter("source <> ''")
+    listed = F.when(F.col("s.kind") == "import-group", F.regexp_extract_all("s.name", F.lit('"([^"]+)"'), F.lit(1))).otherwise(F.split("s.name", r"\s*,\s*"))
+    each = rows.select("repo", "path", "line_no", F.regexp_replace("s.kind", "-group$", "").alias("kind"), F.explode(listed).alias("source")).filter("source <> ''")
     return each.groupBy("repo", "path", "source", "kind").agg(F.min("line_no").alias("line_no"))
 
 
@@ -184,6 +212,40 @@ def duplicate_blocks(lines: DataFrame, size: int = 5) -> DataFrame:
     return islands.agg(F.min("line_a").alias("from_a"), F.min("line_no").alias("from_b"), (F.count("*") + size - 1).alias("n")).select("path_a", "from_a", "path_b", "from_b", "n")
 
 
+TOKEN = r"[A-Za-z_]\w*|\d+|[^\s\w]"
+
+
+def duplicate_tokens(lines: DataFrame, tokens: int = 50, size: int = 5) -> DataFrame:
+    """Copied code of at least `tokens` tokens on `size` lines or more of either side: (path_a, from_a, to_a, path_b, from_b, to_b, tokens).
+
+    Files are compared by their tokens, so other line breaks and spaces don't hide a copy; blank and comment lines don't
+    count. A frame of `tokens` tokens is compared with the first place of its hash only, so code in many files makes a row a file and
+    not a row a pair. Frames at one offset merge to one block.
+    """
+    words = lambda: F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))
+    rows = significant(lines).select("path", "line_no", words().alias("w")).filter(F.size("w") > 0)
+    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "w"))).alias("x"))
+    spread = lambda pick: F.flatten(F.transform("x", lambda l, i: F.transform(l["w"], lambda w: pick(l, i, w))))
+    flat = files.select("path", spread(lambda l, i, w: w).alias("t"), spread(lambda l, i, w: l["line_no"]).alias("ln"), spread(lambda l, i, w: i).alias("ord")).filter(F.size("t") >= tokens)
+
+    def frame(i: Column) -> Column:
+        last = i + (tokens - 1)
+        part = lambda c, at: F.element_at(c, at)
+        digest = F.md5(F.array_join(F.slice("t", i, F.lit(tokens)), " "))
+        return F.struct(i.alias("pos"), digest.alias("h"), part("ln", i).alias("first"), part("ln", last).alias("last"), part("ord", i).alias("o1"), part("ord", last).alias("o2"))
+
+    frames = flat.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - (tokens - 1)), frame)).alias("f")).select("path", "f.*")
+    first = frames.groupBy("h").agg(F.min(F.struct("path", "pos", "first", "last", "o1", "o2")).alias("a"), F.count("*").alias("k")).filter("k > 1")
+    met = frames.join(first, "h").filter((F.col("path") != F.col("a.path")) | (F.col("pos") - F.col("a.pos") >= tokens))
+    off = F.col("pos") - F.col("a.pos")
+    by = Window.partitionBy("a.path", "path", off).orderBy("pos")
+    islands = met.withColumns({"off": off, "island": F.col("pos") - F.row_number().over(by)}).groupBy(F.col("a.path").alias("path_a"), F.col("path").alias("path_b"), "off", "island")
+    span = {"from_a": F.min("a.first"), "to_a": F.max("a.last"), "from_b": F.min("first"), "to_b": F.max("last"), "tokens": F.count("*") + tokens - 1}
+    lines_a, lines_b = F.max("a.o2") - F.min("a.o1") + 1, F.max("o2") - F.min("o1") + 1
+    out = islands.agg(*(v.alias(k) for k, v in span.items()), F.greatest(lines_a, lines_b).alias("n"))
+    return out.filter(F.col("n") >= size).select("path_a", "from_a", "to_a", "path_b", "from_b", "to_b", "tokens")
+
+
 def co_change_pairs(commit_files: DataFrame, least: int = 3, most_files: int = 20) -> DataFrame:
     """(file_a, file_b, times): source files that change together, in commits of 2 to `most_files` of them."""
     code = commit_files.select("hash", "path").distinct().filter(F.col("path").rlike(r"\.(js|ts|py|go|rs|java)$") & ~F.col("path").rlike(TEST_PATH))

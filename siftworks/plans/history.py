@@ -33,7 +33,8 @@ def h2(spark, d):
     return hi.exports(T.code_lines(spark, d))
 
 
-_IMPORTS = f"imports AS (SELECT repo, path, source, kind, min(line_no) AS line_no FROM (SELECT repo, path, line_no, kind, unnest(regexp_split_to_array(name, '\\s*,\\s*')) AS source FROM ({_rules_sql(hi.IMPORTS, 'repo, path, line_no')})) WHERE source <> '' GROUP BY ALL)"
+_IMPORTS = f"""imports AS (SELECT repo, path, source, replace(kind, '-group', '') AS kind, min(line_no) AS line_no FROM (SELECT repo, path, line_no, kind,
+ unnest(CASE WHEN kind = 'import-group' THEN regexp_extract_all(name, '"([^"]+)"', 1) ELSE regexp_split_to_array(name, '\\s*,\\s*') END) AS source FROM ({_rules_sql(hi.IMPORTS, 'repo, path, line_no')})) WHERE source <> '' GROUP BY ALL)"""
 
 
 @query("h3_extract_imports", W + T.LINES + ", " + _IMPORTS + " SELECT * FROM imports")
@@ -41,6 +42,46 @@ def h3(spark, d):
     return hi.extract_imports(T.code_lines(spark, d))
 
 
+# Statements of several lines at each file's end; what they say is known by the file's number.
+_GROUPS = {
+    "javascript": "\nimport {\n  one,\n  two\n} from './g#';\nexport {\n  one as first#,\n  two\n};\nconst fresh# = async (\n  a,\n  b\n) => {\n};",
+    "python": "\nfrom pack#.sub import (\n    one,\n    two,\n)\n__all__ = [\n    'left#',\n    'right',\n]",
+    "go": "\nimport (\n\t\"net/http\"\n\tdb \"store/g#\"\n)",
+    "rust": "\nuse crate::g#::{\n    One,\n    Two,\n};",
+}
+_GROUPS["typescript"] = _GROUPS["javascript"]
+
+
+def grouped_lines(spark, d):
+    text = F.lit("")
+    for lang, group in _GROUPS.items():
+        text = F.when(F.col("lang") == lang, F.replace(F.lit(group), F.lit("#"), F.col("doc_id").cast("string"))).otherwise(text)
+    return hi.logical_lines(T.to_lines(T.code_files(spark, d).withColumn("content", F.concat("content", text))))
+
+
+_ENDS = """ends AS (SELECT repo, path, doc_id, lang, len(string_split(content, chr(10))) + 1 AS n FROM code_files)"""
+
+
+@query("h3_extract_imports_grouped", W + T.LINES + ", " + _IMPORTS + ", " + _ENDS + """ SELECT * FROM imports UNION ALL SELECT repo, path, './g' || doc_id, 'import', n FROM ends WHERE lang IN ('javascript', 'typescript')
+ UNION ALL SELECT repo, path, 'pack' || doc_id || '.sub', 'from', n FROM ends WHERE lang = 'python' UNION ALL SELECT repo, path, unnest(['net/http', 'store/g' || doc_id]), 'import', n FROM ends WHERE lang = 'go'
+ UNION ALL SELECT repo, path, 'crate::g' || doc_id, 'use', n FROM ends WHERE lang = 'rust'""")
+def h3_grouped(spark, d):
+    """Imports that go over several lines, beside those of one line."""
+    return hi.extract_imports(grouped_lines(spark, d))
+
+
+@query("h4_export_list_names_grouped", W + T.LINES + ", " + LISTS + ", " + _ENDS + """ SELECT * FROM listed UNION SELECT repo, path, unnest(['first' || doc_id, 'two']) FROM ends WHERE lang IN ('javascript', 'typescript')
+ UNION SELECT repo, path, unnest(['left' || doc_id, 'right']) FROM ends WHERE lang = 'python'""")
+def h4_grouped(spark, d):
+    return hi.export_list_names(grouped_lines(spark, d))
+
+
+@query("h1_extract_symbols_grouped", W + T.LINES + ", " + NAMES + ", " + _ENDS + " SELECT * FROM symbols UNION ALL SELECT repo, path, lang, 'function', 'fresh' || doc_id, n + 8 FROM ends WHERE lang IN ('javascript', 'typescript')")
+def h1_grouped(spark, d):
+    """Function heads cut in several lines, beside those of one line."""
+    return hi.extract_symbols(grouped_lines(spark, d))
+
+
 @query("h4_export_list_names", W + T.LINES + ", " + LISTS + " SELECT * FROM listed")
 def h4(spark, d):
     return hi.export_list_names(T.code_lines(spark, d))
@@ -138,6 +179,25 @@ def h7(spark, d):
     return hi.duplicate_blocks(T.code_lines(spark, d).withColumn("path", F.concat("repo", F.lit("/"), "path")))
 
 
+# Every third file's code stands in one line more or less: each line of it is cut at its spaces.
+_WRAPPED = "wrapped AS (SELECT repo || '/' || path AS path, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(content, '(\\w) (\\w)', '\\1' || chr(10) || '\\2', 'g') ELSE content END AS content FROM code_files), code_lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no FROM wrapped)"
+
+
+@query("h7_duplicate_tokens", W + T.FILES + ", " + _WRAPPED + f""", sig AS (SELECT path, line_no, regexp_extract_all(line, {q(hi.TOKEN)}) AS w FROM code_lines WHERE {_SIG}),
+ tok AS (SELECT path, line_no, o, unnest(w) AS t, unnest(generate_series(1, len(w))) AS k FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS o FROM sig WHERE len(w) > 0)),
+ num AS (SELECT *, row_number() OVER w AS pos, list(t) OVER f AS f, last_value(line_no) OVER f AS last_, last_value(o) OVER f AS o2 FROM tok WINDOW w AS (PARTITION BY path ORDER BY o, k), f AS (PARTITION BY path ORDER BY o, k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+ frames AS (SELECT path, pos, line_no, last_, o, o2, md5(array_to_string(f, ' ')) AS h FROM num WHERE len(f) = 50),
+ first_ AS (SELECT h, min(struct_pack(path := path, pos := pos, l1 := line_no, l2 := last_, o1 := o, o2 := o2)) AS a FROM frames GROUP BY h),
+ pairs AS (SELECT a.path AS path_a, a.l1 AS l1, a.l2 AS l2, a.o1 AS ao1, a.o2 AS ao2, path AS path_b, pos, pos - a.pos AS off, line_no, last_, o, frames.o2 AS o2 FROM frames JOIN first_ USING (h) WHERE path <> a.path OR pos - a.pos >= 50),
+ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY path_a, path_b, off ORDER BY pos) AS island FROM pairs)
+ SELECT path_a, min(l1) AS from_a, max(l2) AS to_a, path_b, min(line_no) AS from_b, max(last_) AS to_b, count(*) + 49 AS tokens FROM isl GROUP BY path_a, path_b, off, island HAVING greatest(max(ao2) - min(ao1), max(o2) - min(o)) + 1 >= 5""")
+def h7_tokens(spark, d):
+    """Copies by tokens; the lines of every third file are wrapped, which hides none."""
+    wrapped = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("content", r"(\w) (\w)", "$1\n$2")).otherwise(F.col("content"))
+    files = T.code_files(spark, d).select(F.lit("all").alias("repo"), F.concat("repo", F.lit("/"), "path").alias("path"), wrapped.alias("content"))
+    return hi.duplicate_tokens(T.to_lines(files))
+
+
 _PAIRS = r"""code AS (SELECT hash, list(path) AS paths FROM commit_files WHERE regexp_matches(path, '\.(js|ts|py|go|rs|java)$') AND NOT regexp_matches(path, '(?i)tests?/') GROUP BY hash HAVING count(*) BETWEEN 2 AND 20),
  flat AS (SELECT hash, unnest(paths) AS path FROM code), pairs AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS times FROM flat a JOIN flat b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL HAVING count(*) >= 3)"""
 

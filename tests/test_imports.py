@@ -45,3 +45,39 @@ def test_cycles_of_real_files(spark):
     assert sorted(r.cycle for r in hi.import_cycles(edges).collect()) == [["r/a/x.js", "r/a/y.js", "r/b/z.js"], ["r/c/m.py", "r/c/n.py"]]
     parts = {r.file: r.component for r in hi.import_components(edges).collect()}
     assert parts == {"r/a/x.js": "r/a/x.js", "r/a/y.js": "r/a/x.js", "r/b/z.js": "r/a/x.js", "r/c/m.py": "r/c/m.py", "r/c/n.py": "r/c/m.py"}
+
+
+def test_statements_over_lines(spark):
+    texts = {
+        "a.js": ("javascript", "import {\n  a,\n  b\n} from './x';\nexport {\n  a as c,\n  b\n};\nconst run = (\n  x\n) => {\n  call(x);\n};\nimport { z } from './z';"),
+        "a.go": ("go", "package a\nimport (\n\t\"fmt\"\n\tx \"net/http\"\n)\nfunc F() {\n}"),
+        "a.py": ("python", "from p.q import (\n  a,\n  b)\n__all__ = [\n 'a',\n 'b']\nfrom r import ("),
+        "a.rs": ("rust", "use crate::m::{\n  A,\n  B,\n};\npub fn f() {}"),
+    }
+    rows = [("r", p, lang, t) for p, (lang, t) in texts.items()]
+    lines = to_lines(spark.createDataFrame(rows, "repo string, path string, lang string, content string"))
+    joined = hi.logical_lines(lines)
+    assert joined.columns == lines.columns
+    assert {(r.path, r.source, r.kind, r.line_no) for r in hi.extract_imports(joined).collect()} == {
+        ("a.js", "./x", "import", 1), ("a.js", "./z", "import", 14), ("a.go", "fmt", "import", 2), ("a.go", "net/http", "import", 2),
+        ("a.py", "p.q", "from", 1), ("a.py", "r", "from", 7), ("a.rs", "crate::m", "use", 1),
+    }
+    assert {(r.path, r.name) for r in hi.export_list_names(joined).collect()} == {("a.js", "c"), ("a.js", "b"), ("a.py", "a"), ("a.py", "b")}
+    assert {(r.path, r.name, r.line_no) for r in hi.extract_symbols(joined).collect()} == {("a.js", "run", 9), ("a.go", "F", 6), ("a.rs", "f", 5)}
+    plain = {r.line for r in joined.filter("path = 'a.js'").collect()}
+    assert {"  call(x);", "};"} <= plain
+
+
+def test_copies_by_tokens(spark):
+    code = [f"value{i} = call(one{i}, two{i});" for i in range(8)]  # nine tokens a line
+    other = ["x = 1;"] * 3
+    files = {
+        "a.js": code, "b.js": [*other, *[part for line in code for part in line.replace("(", "(\n").split("\n")]], "c.js": [" ".join(code)],
+        "short.js": code[:5], "d.js": [*["y = 2;"] * 3, "// a note", *code[:6], "", *code[6:], "end();"],
+    }
+    rows = [("r", p, i + 1, x) for p, ls in files.items() for i, x in enumerate(ls)]
+    lines = spark.createDataFrame(rows, "repo string, path string, line_no long, line string")
+    got = {(r.path_a, r.from_a, r.to_a, r.path_b, r.from_b, r.to_b, r.tokens) for r in hi.duplicate_tokens(lines).collect()}
+    n = 9 * 8
+    assert got == {("a.js", 1, 8, "b.js", 4, 19, n), ("a.js", 1, 8, "c.js", 1, 1, n), ("a.js", 1, 8, "d.js", 5, 13, n)}
+    assert hi.duplicate_tokens(lines.filter("path in ('c.js')").unionByName(lines.filter("path = 'c.js'").withColumn("path", hi.F.lit("e.js")))).count() == 0  # one line each
