@@ -11,7 +11,8 @@ vectors that a query meets. Vectors are shuffled once a table. Of equal vectors
 answer holds more of them. The rows of each bucket are counted, and a bucket with more than a block (BLOCK_VALUES
 components) is dealt by row hash over ceil(count / block) salts, its queries likewise; each block of vectors meets each
 block of queries, so no task holds more than about two blocks, whatever a bucket holds. Each task keeps the best `k` of a query before
-they meet. Vectors that are null, zero or hold null or non-finite components take no part. Repeated ids
+they meet. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id and
+vectors of another length than most usable rows have (of two such lengths the smaller one counts). Repeated ids
 are vectors of their own; a query never meets rows of its own id. Extra columns are left out.
 """
 
@@ -81,7 +82,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of the vectors that take part."""
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.filter(F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
+    return v.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
+
+
+def usual_length(v: DataFrame) -> int:
+    """The most frequent number of components."""
+    most = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return most.n if most else 0
 
 
 def least_of_equal(v: DataFrame, count: int) -> DataFrame:
@@ -156,7 +163,9 @@ def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each query by inner product; ties to the smaller id."""
-    v, q = least_of_equal(usable(vectors, id_col, vec_col), k + 1), usable(queries, id_col, vec_col).distinct()
+    v, q = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    same = F.size("vec") == usual_length(v)
+    v, q = least_of_equal(v.filter(same), k + 1), q.filter(same).distinct()
     home, probe = stored(hashed(v, 1), "vectors"), stored(hashed(q, PROBES), "probes")
     v, q = home.select("id", "vec"), probe.select("id", "vec")
     count, size = home.agg(F.count("*"), F.max(F.size("vec"))).first()

@@ -394,6 +394,15 @@ def test_nearest_groups_are_bounded(spark, monkeypatch):
         assert got[i] == sorted((j for j in range(900) if j != i), key=lambda j: (-score[j], j))[:5]
 
 
+def test_vectors_of_odd_ids_and_lengths(spark):
+    rows = [(i, [float(i % 7), 1.0, float(-i)]) for i in range(1, 41)] + [(None, [1.0, 1.0, 1.0]), (60, [1.0, 2.0]), (80, [1.0, 2.0, 3.0, 4.0]), (100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0 or vec_id is null"), 50).collect()
+    assert {r.query_id for r in got} == {20, 40} and {r.vec_id for r in got} == set(range(1, 41))
+    odd = df.filter("vec_id > 50")
+    assert ann.usual_length(ann.usable(odd, "vec_id", "embedding")) == 2 and ann.nearest(odd, odd, 3).count() == 0
+
+
 def test_few_vectors_find_all(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id = 20"), 20).orderBy("rank").collect()] == [(2, 1.0), (1, 0.0)]
