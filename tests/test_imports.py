@@ -73,7 +73,7 @@ def test_copies_by_tokens(spark):
     other = ["x = 1;"] * 3
     files = {
         "a.js": code, "b.js": [*other, *[part for line in code for part in line.replace("(", "(\n").split("\n")]], "c.js": [" ".join(code)],
-        "short.js": code[:5], "d.js": [*["y = 2;"] * 3, "// a note", *code[:6], "", *code[6:], "end();"],
+        "short.js": code[:5], "d.js": [*["begin {"] * 3, "// a note", *code[:6], "", *code[6:], "end();"],
     }
     rows = [("r", p, i + 1, x) for p, ls in files.items() for i, x in enumerate(ls)]
     lines = spark.createDataFrame(rows, "repo string, path string, line_no long, line string")
