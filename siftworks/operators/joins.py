@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import may_match
 from .imports import normalised
 
 # Quality words by category, signs of a claim, and evidence by category.
@@ -89,17 +90,29 @@ def claim_pattern() -> str:
 
 
 def extract_claims(lines: DataFrame) -> DataFrame:
-    """(repo, path, line_no, buzzword, category, positive): quality words, the longest first."""
-    word = F.explode(F.regexp_extract_all("line", F.lit(claim_pattern()), F.lit(1)))
+    """(repo, path, line_no, buzzword, category, positive): quality words, the longest first.
+
+    Lines are searched for the words as plain strings first, so that patterns are tried on few of them.
+    """
+    words = {w for ws in CLAIM_WORDS.values() for w in ws}
+    short = sorted(w for w in words if not any(x != w and x in w for x in words))
+    held = lines.select("repo", "path", "line_no", "line", F.lower("line").alias("lower")).filter(reduce(lambda a, b: a | b, [F.col("lower").contains(w) for w in short]))
+    said = held.select("repo", "path", "line_no", "line", F.explode(F.regexp_extract_all("line", F.lit(claim_pattern()), F.lit(1))).alias("w"))
     positive = F.col("line").rlike(CLAIMS) & ~F.col("line").rlike(NOT_CLAIMS)
     category = reduce(lambda c, kv: c.when(F.col("buzzword").isin(kv[1]), kv[0]), CLAIM_WORDS.items(), F.when(F.lit(False), ""))
-    return lines.select("repo", "path", "line_no", positive.alias("positive"), word.alias("w")).withColumn("buzzword", F.lower("w")).withColumn("category", category).drop("w")
+    return said.select("repo", "path", "line_no", positive.alias("positive"), F.lower("w").alias("buzzword")).withColumn("category", category)
 
 
 def evidence(files: DataFrame) -> DataFrame:
     """(repo, category, hits): distinct (kind, path) that speak for a category."""
-    hit = lambda key, where: F.when(F.col(where[0]).rlike(where[1]), F.struct(F.lit(key[0]).alias("category"), F.lit(key[1]).alias("kind")))
-    found = files.select("repo", "path", F.explode(F.array_compact(F.array(*[hit(k, w) for k, w in EVIDENCE.items()]))).alias("e"))
+
+    def hit(key: tuple[str, str], where: tuple[str, str]) -> Column:
+        cond, text = F.col(where[0]).rlike(where[1]), F.col(where[0])
+        if where[0] == "content" and (first := may_match(where[1], text, F.col("lower"))) is not None:
+            cond = first & cond
+        return F.when(cond, F.struct(F.lit(key[0]).alias("category"), F.lit(key[1]).alias("kind")))
+
+    found = files.select("repo", "path", "content", F.lower("content").alias("lower")).select("repo", "path", F.explode(F.array_compact(F.array(*[hit(k, w) for k, w in EVIDENCE.items()]))).alias("e"))
     return found.groupBy("repo", "e.category").agg(F.countDistinct("e.kind", "path").alias("hits"))
 
 

@@ -185,7 +185,7 @@ def themes(issues: DataFrame, top: int = 10) -> DataFrame:
 
 
 def categorise(issues: DataFrame) -> DataFrame:
-    """Adds `category` by the first label pattern that fits, in any case; `debug` and `bugs` aren't `bug`."""
+    """Adds `category` by the first label pattern that fits, in any case; plurals count, `debug` isn't a bug."""
     out = None
     for word, category in CATEGORIES:
         out = F.when(_label_fits(word), category) if out is None else out.when(_label_fits(word), category)
@@ -193,7 +193,7 @@ def categorise(issues: DataFrame) -> DataFrame:
 
 
 def _label_fits(word: str) -> Column:
-    pattern = rf"(^|[^a-z]){word}([^a-z]|$)"
+    pattern = rf"(^|[^a-z]){word}s?([^a-z]|$)"
     return F.exists("labels", lambda x: F.lower(x).rlike(pattern))
 
 

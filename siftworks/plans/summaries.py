@@ -153,7 +153,7 @@ def d17(spark, d):
     return su.themes(T.issues(spark, d))
 
 
-_CAT = "CASE " + " ".join(f"WHEN len(list_filter(labels, lambda x: regexp_matches(lower(x), '(^|[^a-z]){w}([^a-z]|$)'))) > 0 THEN '{c}'" for w, c in su.CATEGORIES) + " ELSE 'other' END"
+_CAT = "CASE " + " ".join(f"WHEN len(list_filter(labels, lambda x: regexp_matches(lower(x), '(^|[^a-z]){w}s?([^a-z]|$)'))) > 0 THEN '{c}'" for w, c in su.CATEGORIES) + " ELSE 'other' END"
 
 
 @query("d18_categorise_issues", W + T.ISSUES + f" SELECT repo, {_CAT} AS category, count(*) AS n FROM issues GROUP BY ALL")
