@@ -313,7 +313,8 @@ EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def _count(text: str, pattern: str) -> str:
-    return f"regexp_count({text}, {_literal(pattern.replace(chr(92) + 'b', EDGE))})"
+    capitals = "[A-Z]" in pattern or _PLAIN_CAPS[0] in pattern  # other words don't stand beside such letters
+    return f"regexp_count({text}, {_literal(pattern.replace(chr(92) + 'b', EDGE) if capitals else pattern)})"
 
 
 _FRONT_MATTER = f"regexp_extract(text, {_literal(FRONT)}, 1)"

@@ -146,7 +146,7 @@ def name_uses(lines: DataFrame) -> DataFrame:
         all_(line, r"\w+(?=\s*\.\w)"), all_(line, r"\w+(?=\s*\[)"), all_(line, r"\w+(?=\s*\))"),
         all_(F.regexp_extract(line, r"\((.*)\)", 1), r"\w+"), all_(F.regexp_extract(line, r"return\s+(.*)", 1), r"\w+"),
     )
-    return lines.filter(line.rlike(r"[.\[()]|return")).select("repo", "path", "line_no", F.explode(F.array_distinct(used)).alias("name"))
+    return lines.filter(line.rlike(r"[\[()]|return|\w\s*+\.\w")).select("repo", "path", "line_no", F.explode(F.array_distinct(used)).alias("name"))
 
 
 def setup_without_usage(setups: DataFrame, lines: DataFrame) -> DataFrame:
