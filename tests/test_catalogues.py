@@ -166,6 +166,15 @@ def test_labels_in_any_case(spark):
     assert got == {1: 150, 2: 0, 3: 30}
 
 
+def test_changelog_is_not_broadcast(spark):
+    commits = spark.range(40).selectExpr("sha2(string(id), 256) AS hash", "concat('feat: number ', id) AS message")
+    log = commits.selectExpr("concat('- done in ', substring(hash, 1, 7)) AS entry").limit(30)
+    rest = joins.undocumented_commits(commits, log)
+    assert rest.count() == 10
+    plan = rest._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftAnti, BuildRight" not in plan and "Inner, BuildRight" not in plan
+
+
 def test_phrases_of_all_scripts(spark):
     docs = spark.createDataFrame([(1, "один два три " * 4), (2, "你 好 吗 " * 3)], "doc_id long, text string")
     assert {(r.doc_id, r.phrase, r.times) for r in summaries.repeated_phrases(docs).collect()} == {(1, "один два три", 4)}
