@@ -26,6 +26,8 @@ from .common import free_name, kept, small, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, RAREST = 13, 3
+#: Bytes of compressed files of a table of document keys that may be broadcast.
+KEY_BYTES = 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -108,7 +110,11 @@ def marked(split: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     index = stored(postings(split, kept(anchors.select("term").distinct())), "postings")
     found = alignments(index, anchors).join(small(kept(windows.select("item", "item_id", "item_words").distinct())), "item")
     cands = stored(found.select("doc_id", "_h", F.struct("item_id", "delta", "starts", "item_words").alias("c")).groupBy("doc_id", "_h").agg(F.collect_list("c").alias("cands")), "candidates")
-    both = split.alias("d").join(cands.alias("c"), F.col("d._h").eqNullSafe(F.col("c._h")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.*", "cands")
+    # words of documents without candidates are left where they are: shuffled are those of the few others at most
+    held = kept(cands.select("doc_id", "_h"))
+    same = F.col("d._h").eqNullSafe(F.col("k._h")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    few = split.alias("d").join(small(held, KEY_BYTES).alias("k"), same, "left_semi")
+    both = few.alias("d").join(cands.alias("c"), F.col("d._h").eqNullSafe(F.col("c._h")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.*", "cands")
     spans = F.expr(f"""
         flatten(transform(cands, c -> transform(
             filter(c.starts, s -> c.delta + s >= 0 AND

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import joint, may_match_any
 from ..functions.rules import COMMENTED_CODE, RULES, SECRETS, SECURITY, Rule, excluded_regex
 
-
-
+#: Rules from which on their patterns are joined.
+JOINED = 8
 # Extensions, folders that hold no sources, and test paths.
 LANGUAGE_OF = {".js": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".mjs": "js", ".cjs": "js", ".rs": "rust", ".go": "go", ".py": "python", ".java": "java"}
 EXCLUDED_DIRS = ["node_modules", "vendor", "dist", "build", "out", "target", ".git", ".svn", ".hg", "__pycache__", ".pytest_cache", "coverage", ".nyc_output", ".next", ".nuxt", ".cache"]
@@ -70,9 +71,12 @@ def rule_scan(lines: DataFrame, rules: list[Rule] | DataFrame = RULES) -> DataFr
     """Findings: one row a line and rule that fires. lines: (repo, path, lang, line_no, line).
 
     All rules, those of a table too, are one projection over the lines, however long: no join, no shuffle. Before a pattern is
-    tried, the line is searched for the strings that the pattern can't do without.
+    tried, the line is searched for the strings that the pattern can't do without; where there are many rules, lines are
+    read once by all their patterns joined first, and only those that some pattern may match go on.
     """
     rules = rules_of(rules) if isinstance(rules, DataFrame) else rules
+    if len(rules) >= JOINED and not any(r.predicate for r in rules) and (all_ := joint([r.pattern for r in rules])) is not None:
+        lines = lines.filter(may_match_any(all_, F.col("line")))
 
     def hit(r: Rule) -> Column:
         cond = r.fires(F.col("line"), F.col("lower"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftworks.functions import rules as R
+from siftworks.functions.literals import joint
 from siftworks.operators import blocks, documents, findings, history, joins, scan, summaries
 from siftworks.tables import to_lines
 
@@ -26,6 +27,25 @@ def test_rules_fire_and_spare(spark):
     assert ("a.js", 4, "magic_numbers") in got and ("a.js", 5, "magic_numbers") not in got
 
 
+def test_joined_patterns_spare_no_line(spark):
+    """Lines on which the two engines differ: what Java's matches, the joined pattern of RE2 must match."""
+    texts = ["x \x0b", "pass ", "except E: pass\r", "import a from b // unused\r", "// perhapsé", "ésk-" + "a" * 40, "// see\x0ba.md", "var\x0bX = 1", "plain text", "", "x = 250"]
+    lines = spark.createDataFrame([("r", "a.js", lang, i, t) for lang in ("javascript", "python") for i, t in enumerate(texts)], "repo string, path string, lang string, line_no long, line string")
+    whole = [r for x in R.RULES for r in scan.rule_scan(lines, [x]).collect()]  # one rule is scanned without joining
+    assert sorted(map(str, scan.rule_scan(lines).collect())) == sorted(map(str, whole)) and len(whole) > 4
+    assert "ArrowEvalPython" in scan.rule_scan(lines)._jdf.queryExecution().sparkPlan().toString()
+    broken = lines.limit(1).withColumn("line", F.expr("decode(encode('x = 250', 'utf-8'), 'utf-8') || cast(x'ff' AS string)"))
+    assert [r.rule for r in scan.rule_scan(broken).collect()] == ["magic_numbers"]
+
+
+def test_patterns_of_one_engine_are_not_joined():
+    assert joint([r"a\s+b$", r"\bword\b"]) is not None
+    for only_java in (r"a(?=b)", r"a++", r"[a&&b]", r"[a[bc]]", r"(?m)a$", r"\h", r"\p{L}", r"[^\S]", r"(a)\1"):
+        assert joint(["a", only_java]) is None, only_java
+    every = [rx for rxs in joins.SETUPS.values() for rx in rxs]
+    assert joint(every) is not None and joint([r.pattern for r in R.RULES]) is not None
+
+
 def test_rule_runs_need_five_lines(spark):
     four, five = "\n".join(["// longer words"] * 4), "\n".join(["// longer words"] * 5)
     got = scan.rule_runs(lines_of(spark, {"a.js": ("javascript", four), "b.js": ("javascript", "x\n" + five)})).collect()
