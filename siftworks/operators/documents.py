@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import pattern_counts, readable
+
 # Verbose phrases and their short forms, words of emphasis, critical terms, dangling openers and transitions.
 PHRASES = [("in order to", "to"), ("for the purpose of", "for"), ("in the event that", "if"), ("at this point in time", "now"), ("due to the fact that", "because"), ("has the ability to", "can"), ("is able to", "can"), ("make use of", "use"), ("a large number of", "many"), ("a small number of", "few"), ("the majority of", "most"), ("prior to", "before"), ("subsequent to", "after")]
 EMPHASIS = ["CRITICAL", "IMPORTANT", "MUST", "NEVER", "ALWAYS", "REQUIRED", "MANDATORY", "ESSENTIAL", "WARNING", "CAUTION"]
@@ -329,14 +331,20 @@ _MEASURES = {
 
 
 def doc_rule_scan(docs: DataFrame, id_col: str, verbose: bool = False, rules: list[TextRule] = [*DOC_RULES, *TEXT_RULES]) -> DataFrame:  # noqa: B006
-    """(id, rule, category, certainty, value) of the rules that fire; those of LOW certainty only if verbose."""
+    """(id, rule, category, certainty, value) of the rules that fire; those of LOW certainty only if verbose.
+
+    The rules' patterns are counted by RE2, a batch of texts and a pattern at a time; those that it can't read, by Java's engine.
+    """
+    picked = [r for r in rules if verbose or r.certainty != "LOW"]
+    place = {p: i for i, p in enumerate(p for p in dict.fromkeys(p for r in picked for p in r.patterns) if readable(p))}
+    found = lambda text, p: f"counts[{place[p]}]" if text == "text" and p in place else _count(text, p)
 
     def row(r: TextRule) -> Column:
-        when, first = r.render(_count, _FRONT_MATTER, **_MEASURES)
+        when, first = r.render(found, _FRONT_MATTER, **_MEASURES)
         return F.when(F.expr(when), F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.certainty).alias("certainty"), F.expr(first).cast("bigint").alias("value")))
 
-    picked = [r for r in rules if verbose or r.certainty != "LOW"]
-    return docs.select(id_col, F.explode(F.array_compact(F.array(*map(row, picked)))).alias("x")).select(id_col, "x.*")
+    counted = docs.filter("text IS NOT NULL").select(id_col, "text", pattern_counts(F.make_valid_utf8("text"), list(place)).alias("counts"))
+    return counted.select(id_col, F.explode(F.array_compact(F.array(*map(row, picked)))).alias("x")).select(id_col, "x.*")
 
 
 def stall_detection(results: DataFrame, least: int = 2) -> DataFrame:

@@ -166,6 +166,15 @@ def test_labels_in_any_case(spark):
     assert got == {1: 150, 2: 0, 3: 30}
 
 
+def test_patterns_of_documents_are_counted_in_one_pass(spark):
+    rules = [documents.TextRule("both", "x", "HIGH", (r"(?i)\bcaf\b", r"o(?=n)"), "{0} >= 1 OR {1} >= 1")]
+    docs = spark.createDataFrame([(1, "Caf caf xcaf café"), (2, "on on oh"), (3, "no"), (4, None)], "id long, text string")
+    found = documents.doc_rule_scan(docs, "id", True, rules)
+    # RE2's word edges are those of ASCII letters; the second pattern is of Java's engine alone
+    assert sorted((r.id, r.value) for r in found.collect()) == [(1, 3), (2, 0)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_changelog_is_not_broadcast(spark):
     commits = spark.range(40).selectExpr("sha2(string(id), 256) AS hash", "concat('feat: number ', id) AS message")
     log = commits.selectExpr("concat('- done in ', substring(hash, 1, 7)) AS entry").limit(30)
