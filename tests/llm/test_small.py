@@ -114,6 +114,14 @@ def test_hits_equal_brute_force(spark):
     assert count_rows(got) == brute_hits(docs, items)
 
 
+def test_only_candidates_words_are_joined(spark):
+    docs = spark.createDataFrame([(i, f"a b c d word{i}") for i in range(9)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "c d word3")], "item_id string, text string")
+    hits = decontaminate.marked(decontaminate.stored(decontaminate.split_documents(docs), "words"), items)
+    assert [(r.doc_id, r.n_hit) for r in hits.collect()] == [(3, 3)]
+    assert "LeftSemi" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decontaminate_keeps_clean_rows_whole(spark):
     docs = spark.createDataFrame([(1, "clean text", "k"), (2, "the benchmark phrase stands here", "k"), (None, None, "k")], "doc_id long, text string, term string")
     items = spark.createDataFrame([(1, "benchmark phrase")], "item_id long, text string")
