@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import new_folder
 from .blocks import significant
+from .copies import COPIES, FRAMES, copies, distinct
 from .scan import TEST_PATH
 
 _JS, _PY, _GO, _RS, _JV = ["javascript", "typescript"], ["python"], ["go"], ["rust"], ["java"]
@@ -215,35 +216,28 @@ def duplicate_blocks(lines: DataFrame, size: int = 5) -> DataFrame:
 TOKEN = r"[A-Za-z_]\w*|\d+|[^\s\w]"
 
 
+#: Characters of code that one Python task holds at a time.
+BUCKET_CHARS = 6_000_000
+
+
 def duplicate_tokens(lines: DataFrame, tokens: int = 50, size: int = 5) -> DataFrame:
     """Copied code of at least `tokens` tokens on `size` lines or more of either side: (path_a, from_a, to_a, path_b, from_b, to_b, tokens).
 
-    Files are compared by their tokens, so other line breaks and spaces don't hide a copy; blank and comment lines don't
+    Files are compared by their tokens, so other line breaks and spaces don't hide a copy; blank and comment lines, and lines without a path, don't
     count. A frame of `tokens` tokens is compared with the first place of its hash only, so code in many files makes a row a file and
     not a row a pair. Frames at one offset merge to one block.
+
+    Files are dealt into buckets of about BUCKET_CHARS. A bucket sends each of its distinct frames once, with its count and first
+    place there, and gets back the first place of those that occur twice or more anywhere; it then finds its blocks by itself.
     """
-    words = lambda: F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))
-    rows = significant(lines).select("path", "line_no", words().alias("w")).filter(F.size("w") > 0)
-    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "w"))).alias("x"))
-    spread = lambda pick: F.flatten(F.transform("x", lambda l, i: F.transform(l["w"], lambda w: pick(l, i, w))))
-    flat = files.select("path", spread(lambda l, i, w: w).alias("t"), spread(lambda l, i, w: l["line_no"]).alias("ln"), spread(lambda l, i, w: i).alias("ord")).filter(F.size("t") >= tokens)
-
-    def frame(i: Column) -> Column:
-        last = i + (tokens - 1)
-        part = lambda c, at: F.element_at(c, at)
-        digest = F.md5(F.array_join(F.slice("t", i, F.lit(tokens)), " "))
-        return F.struct(i.alias("pos"), digest.alias("h"), part("ln", i).alias("first"), part("ln", last).alias("last"), part("ord", i).alias("o1"), part("ord", last).alias("o2"))
-
-    frames = flat.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - (tokens - 1)), frame)).alias("f")).select("path", "f.*")
-    first = frames.groupBy("h").agg(F.min(F.struct("path", "pos", "first", "last", "o1", "o2")).alias("a"), F.count("*").alias("k")).filter("k > 1")
-    met = frames.join(first, "h").filter((F.col("path") != F.col("a.path")) | (F.col("pos") - F.col("a.pos") >= tokens))
-    off = F.col("pos") - F.col("a.pos")
-    by = Window.partitionBy("a.path", "path", off).orderBy("pos")
-    islands = met.withColumns({"off": off, "island": F.col("pos") - F.row_number().over(by)}).groupBy(F.col("a.path").alias("path_a"), F.col("path").alias("path_b"), "off", "island")
-    span = {"from_a": F.min("a.first"), "to_a": F.max("a.last"), "from_b": F.min("first"), "to_b": F.max("last"), "tokens": F.count("*") + tokens - 1}
-    lines_a, lines_b = F.max("a.o2") - F.min("a.o1") + 1, F.max("o2") - F.min("o1") + 1
-    out = islands.agg(*(v.alias(k) for k, v in span.items()), F.greatest(lines_a, lines_b).alias("n"))
-    return out.filter(F.col("n") >= size).select("path_a", "from_a", "to_a", "path_b", "from_b", "to_b", "tokens")
+    rows = significant(lines).filter("path IS NOT NULL AND line_no IS NOT NULL").select("path", F.col("line_no").cast("bigint").alias("line_no"), F.make_valid_utf8("line").alias("line"))
+    n = -(-(rows.agg(F.sum(F.length("line"))).first()[0] or 1) // BUCKET_CHARS)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(n))).repartition(n, "bucket")
+    frames = dealt.groupBy("bucket").applyInArrow(distinct(TOKEN, tokens), FRAMES)
+    of = Window.partitionBy("h1", "h2")
+    place = F.struct("path", "pos", "first", "last", "o1", "o2")
+    firsts = frames.select("bucket", "at", F.sum("k").over(of).alias("k"), F.min(place).over(of).alias("a")).filter("k > 1").select("bucket", "at", "a.*")
+    return dealt.groupBy("bucket").cogroup(firsts.groupBy("bucket")).applyInArrow(copies(TOKEN, tokens, size), COPIES)
 
 
 def co_change_pairs(commit_files: DataFrame, least: int = 3, most_files: int = 20) -> DataFrame:

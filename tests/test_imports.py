@@ -81,3 +81,22 @@ def test_copies_by_tokens(spark):
     n = 9 * 8
     assert got == {("a.js", 1, 8, "b.js", 4, 19, n), ("a.js", 1, 8, "c.js", 1, 1, n), ("a.js", 1, 8, "d.js", 5, 13, n)}
     assert hi.duplicate_tokens(lines.filter("path in ('c.js')").unionByName(lines.filter("path = 'c.js'").withColumn("path", hi.F.lit("e.js")))).count() == 0  # one line each
+
+
+def test_copies_by_tokens_are_the_same_in_any_buckets(spark, monkeypatch):
+    """A bucket sends each distinct frame once, and files that share code meet across buckets as in one."""
+    import pyarrow as pa
+
+    from siftworks.operators import copies
+
+    code = [f"value{i} = call(one{i}, two{i});" for i in range(8)]
+    texts = {f"f{i}.js": [f"begin{i} {{", *code[i % 3 :], f"fin{i}();", *(code if i % 4 == 0 else [])] for i in range(12)}
+    rows = [(p, i + 1, x) for p, ls in texts.items() for i, x in enumerate(ls)]
+    lines = spark.createDataFrame(rows, "path string, line_no long, line string")
+    monkeypatch.setattr(hi, "BUCKET_CHARS", 10**9)
+    one = sorted(tuple(r) for r in hi.duplicate_tokens(lines).collect())
+    monkeypatch.setattr(hi, "BUCKET_CHARS", 300)
+    assert sorted(tuple(r) for r in hi.duplicate_tokens(lines).collect()) == one and len(one) >= 12
+    same = pa.table({"path": [f"f{i}" for i in range(50) for _ in code], "line_no": [*range(8)] * 50, "line": code * 50})
+    frames = copies.distinct(hi.TOKEN, 50)((pa.scalar(0),), same)
+    assert frames.num_rows == 9 * 8 - 49 and set(frames.column("k").to_pylist()) == {50} and set(frames.column("path").to_pylist()) == {"f0"}
