@@ -59,45 +59,58 @@ def counts_by_hour(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return timed.groupBy(hour.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), key, "n")
 
 
-STALL, RUN = "key long, digest string, from_step long, n long", "digest string, from_step long, n long, step long, last timestamp"
+STALL = "key long, digest string, from_step long, n long"
+#: Open runs of the keys of a bucket: their state.
+RUNS = "anon array<boolean>, key array<long>, digest array<string>, from_step array<long>, n array<long>, step array<long>, at array<long>"
+#: Buckets of keys: each is one state and one call a batch, however many keys it holds.
+BUCKETS = 256
 
 
-def stalls(results: DataFrame, gap: str = "1 day", least: int = 2, late: str = LATE) -> DataFrame:
+def stalls(results: DataFrame, gap: str = "1 day", least: int = 2, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """(key, digest, from_step, n): runs of equal digests of a key, by step, across batches. results: (key, step, digest, ts).
 
     Every batch gives the runs of `least` and more that it made longer, as they stand; longest_runs() keeps the last state
     of each. A run ends at another digest, and where a key is silent for more than `gap`. The open run of each key
     is all the state there is; it is let go once the watermark is `gap` beyond it. Rows later than the watermark are dropped. The
     steps of a key must rise with its batches. Null keys make one key; null digests, steps and times are dropped.
+
+    Keys are dealt into `buckets` states, and the keys of a bucket are advanced together.
     """
-    seconds = int(results.sparkSession.range(1).select(F.expr(f"INTERVAL {gap}").cast("interval day to second").alias("i")).first().i.total_seconds())
+    micros = round(results.sparkSession.range(1).select(F.expr(f"INTERVAL {gap}").cast("interval day to second").alias("i")).first().i.total_seconds() * 1_000_000)
+    names = [c.split()[0] for c in RUNS.split(", ")]
 
-    def step(key, frames, state):
+    def step(_, frames, state):
         import pandas as pd
 
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        runs = pd.DataFrame(dict(zip(names, state.get, strict=True))) if state.exists else None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            rows = rows[rows["at"] >= mark * 1000]
+            rows = rows.assign(from_step=rows["step"], n=1, new=True)[[*names, "new"]]
+            both = rows if runs is None else pd.concat([runs.assign(new=False), rows], ignore_index=True)
+            both = both.sort_values(["anon", "key", "new", "step", "at"], kind="stable", ignore_index=True)
+            same = (both["key"] == both["key"].shift()) & (both["anon"] == both["anon"].shift()) & (both["digest"] == both["digest"].shift())
+            # the latest time of a run is that of its whole stretch of one digest, as a run that begins anew is later than all before
+            latest = both["at"].groupby((~same).cumsum()).cummax()
+            begins = ~same | (both["at"] - latest.shift(fill_value=0) > micros)
+            run = both.groupby(begins.cumsum(), sort=False)
+            runs = run.agg({"anon": "first", "key": "first", "digest": "first", "from_step": "first", "n": "sum", "step": "last", "at": "max", "new": "any"})
+            out = runs[runs["new"] & (runs["n"] >= least)]
+            if len(out):
+                yield out.assign(key=out["key"].astype("Int64").mask(out["anon"].astype(bool)))[["key", "digest", "from_step", "n"]]
+            runs = runs.drop_duplicates(["anon", "key"], keep="last")
+        runs = runs[runs["at"] + micros >= mark * 1000]
+        if len(runs):
+            state.update(tuple(runs[c].tolist() for c in names))
+            state.setTimeoutTimestamp(max((int(runs["at"].min()) + micros) // 1000, mark) + 1)
+        elif state.exists:
             state.remove()
-            return
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows[rows["ts"] >= mark].sort_values(["step", "ts"], kind="stable")
-        if rows.empty:
-            return
-        run, grown = (list(state.get) if state.exists else None), {}
-        for at, digest, ts in zip(rows["step"], rows["digest"], rows["ts"], strict=True):
-            if run and run[0] == digest and (ts - pd.Timestamp(run[4])).total_seconds() <= seconds:
-                run = [digest, run[1], run[2] + 1, int(at), max(ts, pd.Timestamp(run[4]))]
-            else:
-                run = [digest, int(at), 1, int(at), ts]
-            grown[run[1]] = (key[0], digest, run[1], run[2])
-        state.update(tuple(run))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(run[4]).timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        out = [r for r in grown.values() if r[3] >= least]
-        if out:
-            yield pd.DataFrame(out, columns=["key", "digest", "from_step", "n"])
 
     timed = results.filter("digest IS NOT NULL AND step IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.select("key", "step", "digest", "ts").groupBy("key").applyInPandasWithState(step, STALL, RUN, "append", "EventTimeTimeout")
+    key = F.coalesce(F.col("key").cast("long"), F.lit(0))
+    rows = timed.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("key").isNull().alias("anon"), key.alias("key"), F.col("step").cast("long").alias("step"), "digest", F.unix_micros("ts").alias("at"), "ts")
+    return rows.groupBy("bucket").applyInPandasWithState(step, STALL, RUNS, "append", "EventTimeTimeout")
 
 
 def longest_runs(states: DataFrame) -> DataFrame:

@@ -202,3 +202,16 @@ def test_history_map_is_unchanged(spark):
     files = spark.createDataFrame([("", "a.py", "python", "def f(): pass\nfrom x import y")], "repo string, path string, lang string, content string")
     assert history.extract_symbols(to_lines(files)).count() == 1
     assert {tuple(r) for r in refresh.symbol_map(files).collect()} == {("a.py", "symbol", "function", "f", 1), ("a.py", "import", "from", "x", 2)}
+
+
+def test_stalls_of_keys_that_share_a_state(spark, tmp_path):
+    parts = [
+        [(None, 1, "x", at(0)), (0, 2, "x", at(0)), *[(k, 3, "a", at(1)) for k in range(1, 40)]],
+        [(None, 4, "x", at(2)), (0, 5, "y", at(2)), *[(k, 6, "a" if k % 2 else "b", at(3)) for k in range(1, 40)]],
+        [(0, 7, "y", at(4)), *[(k, 8, "b", at(4) if k % 4 else at(40)) for k in range(1, 40)]],
+    ]
+    rows = slices(spark, tmp_path, parts, "key long, step long, digest string, ts timestamp")
+    expected = {(None, "x", 1, 2), (0, "y", 5, 2)} | {(k, "a", 3, 2) for k in range(1, 40, 2)} | {(k, "b", 6, 2) for k in range(2, 40, 4)}
+    for buckets in (1, 5):
+        got = {tuple(r) for r in stream.longest_runs(stream.run_to_table(stream.stalls(rows, "1 day", buckets=buckets), "stalls")).collect()}
+        assert got == expected
