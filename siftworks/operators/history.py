@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ IMPORTS = [
     (_RS, "use", r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\*|::\{[^}]*\})?;"),
     (_JV, "import", r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?);"),
 ]
+IMPORT_WORDS = ["import", "require(", "use"]
 #: Lines that export the symbols on them.
 SHOWN = {"js": r"^\s*(?:export\s|(?:module\.)?exports\b)", "py": r"^\S", "rs": r"^\s*pub\b", "jv": r"^\s*public\s"}
 
@@ -118,7 +121,8 @@ def exports(lines: DataFrame) -> DataFrame:
 
 
 def extract_imports(lines: DataFrame) -> DataFrame:
-    """(repo, path, source, kind, line_no): distinct imports, lists split."""
+    """(repo, path, source, kind, line_no): distinct imports, lists split. No pattern matches without one of IMPORT_WORDS."""
+    lines = lines.filter(reduce(lambda a, b: a | b, [F.col("line").contains(w) for w in IMPORT_WORDS]))
     rows = lines.select("repo", "path", "line_no", F.explode(_found(IMPORTS, F.col("lang"), F.col("line"))).alias("s"))
     listed = F.when(F.col("s.kind") == "import-group", F.regexp_extract_all("s.name", F.lit('"([^"]+)"'), F.lit(1))).otherwise(F.split("s.name", r"\s*,\s*"))
     each = rows.select("repo", "path", "line_no", F.regexp_replace("s.kind", "-group$", "").alias("kind"), F.explode(listed).alias("source")).filter("source <> ''")
@@ -162,7 +166,7 @@ def import_components(edges: DataFrame) -> DataFrame:
 
     A round gives each file the least file that reaches it, and within files of one such label the least that it
     reaches. Where both are the same file, that is its component; edges between open files of the same two labels go
-    into the next round, until none is left.
+    into the next round, until none is left. Joins are merged: there are many rounds, and each broadcast goes through the driver.
     """
     e = written(edges.filter("src <> dst").select("src", "dst").distinct())
     found = edges.select(F.col("src").alias("file"), F.col("src").alias("component")).limit(0)
@@ -171,7 +175,7 @@ def import_components(edges: DataFrame) -> DataFrame:
         ahead = written(ahead.select("src", "dst", F.col("src_f").alias("f")))
         least = _least_label(ahead, "dst", "src")
         of = ahead.select(F.explode(F.array("src", "dst")).alias("node"), "f").distinct()
-        found = found.unionByName(written(of.join(least, "node").filter("label = f").select(F.col("node").alias("file"), F.col("f").alias("component"))))
+        found = found.unionByName(written(of.join(least.hint("merge"), "node").filter("label = f").select(F.col("node").alias("file"), F.col("f").alias("component"))))
         e = written(_ends(ahead, least, "b").filter("src_b = dst_b and src_b <> f").select("src", "dst"))
     many = found.groupBy("component").count().filter("count > 1").select("component")
     return found.join(many, "component").select("file", "component")
@@ -180,7 +184,7 @@ def import_components(edges: DataFrame) -> DataFrame:
 def _ends(e: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """Edges with the labels of both ends, `src_name` and `dst_name`."""
     for end in ("src", "dst"):
-        e = e.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_{name}")), end)
+        e = e.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_{name}")).hint("merge"), end)
     return e
 
 
@@ -189,7 +193,7 @@ def _least_label(e: DataFrame, start: str, end: str) -> DataFrame:
     labels = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(True).alias("new"))
     step = e.select(F.col(start).alias("node"), F.col(end).alias("to"))
     while not labels.filter("new").isEmpty():
-        sent = labels.filter("new").join(step, "node").select(F.col("to").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        sent = labels.filter("new").join(step.hint("merge"), "node").select(F.col("to").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
         met = labels.select("node", "label", F.col("label").alias("old")).unionByName(sent).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         labels = written(met.select("node", "label", (F.col("label") < F.col("old")).alias("new")))
     return labels.select("node", "label")

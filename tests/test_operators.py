@@ -378,3 +378,12 @@ def test_snapshot_marks(spark):
     assert status() == {("one", True), ("two", False)}
     io.write_snapshot(symbols, "one", folder)
     assert status() == {("one", False), ("two", False)}
+
+
+def test_import_components_broadcast_nothing(spark):
+    """Their rounds are many, and each broadcast would go through the driver."""
+    e = history.written(spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)], "src long, dst long"))
+    labels = history.written(e.select(history.F.col("src").alias("node"), history.F.col("dst").alias("label")))
+    joined = history._ends(e, labels, "f")
+    assert joined.count() == 9
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
