@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CERTAINTIES, FIXES, SEVERITIES
+from .history import written
 
 
 def rank_of(col: str, order: list[str]) -> Column:
@@ -67,8 +68,9 @@ def top_findings(findings: DataFrame, n: int) -> DataFrame:
 def compact_summary(items: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """Counts by key of the first `most` rows, with total, showing and truncated.
 
-    The first rows come from a top-k, so nothing is ranked in one task.
+    The first rows come from a top-k, so nothing is ranked in one task. Items are made once and written, as two questions are asked of them.
     """
+    items = written(items.select(*dict.fromkeys([key, *order])))
     shown = items.orderBy(*order).limit(most).groupBy(key).agg(F.count("*").alias("n"))
     total = items.agg(F.count("*").alias("total"))
     return shown.withColumn("total", total.scalar()).withColumns({"showing": F.least("total", F.lit(most).cast("bigint")), "truncated": F.col("total") > most})

@@ -387,3 +387,18 @@ def test_import_components_broadcast_nothing(spark):
     joined = history._ends(e, labels, "f")
     assert joined.count() == 9
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compact_summary_makes_its_items_once(spark):
+    """Total and first rows come from one run over the items."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 200, numPartitions=3).selectExpr("id AS n", "if(id % 3 = 0, 'low', 'high') AS severity").mapInArrow(count, "n long, severity string")
+    got = {r.severity: (r.n, r.total, r.showing, r.truncated) for r in findings.compact_summary(rows.withColumnRenamed("n", "line_no"), "severity", ["line_no"], 9).collect()}
+    assert got == {"low": (3, 200, 9, True), "high": (6, 200, 9, True)}
+    assert made.value == 200
