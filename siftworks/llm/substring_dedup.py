@@ -9,8 +9,9 @@ A window is `window` consecutive words; a word goes if a window over it recurs a
    128-bit hashes of its windows. A run that recurs is a passage as a whole; of the others, the stretches
    of windows that are counted twice or more are passages. Passages are text from here on.
 3. Automata: a bucket of documents gets the passages whose fingerprints it holds, compiles them into its
-   shard, one Aho-Corasick automaton over word numbers, and streams all its documents through it. Only
-   what the automaton finds is removed; the hashes merely choose the shards that a passage goes to.
+   shard, one Aho-Corasick automaton over word numbers, and streams its documents through it, but for stretches
+   that hold a gram of no passage. Only what the automaton finds is removed; the hashes merely choose the shards
+   that a passage goes to and the stretches that are read.
 
 Every occurrence is found: a recurring window lies in some run of its bucket, and that run's stretches, which
 stand there as a whole, are patterns of the shard.
@@ -230,22 +231,52 @@ def shard(passages: pa.Table, numbers: pa.Array, window: int) -> ahocorasick.Aut
     return machine
 
 
+def _grams(codes: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the `size` words from each place on, and whether they stand in one text; own: the text of each word."""
+    grams = _sums(_mixed(codes.astype(np.uint64)), size, BASES[2])
+    return grams, own[: len(grams)] == own[len(own) - len(grams) :]
+
+
+def stretches(codes: np.ndarray, own: np.ndarray, passages: pa.Table, numbers: pa.Array, window: int) -> list[tuple[int, int]]:
+    """Places (begin, end) of `window` words and more, all of whose grams stand in passages: no occurrence lies elsewhere."""
+    size = min(GRAM, window)
+    split = pc.split_pattern(pa.concat_arrays([pa.array([], pa.binary()), *passages.column("words").chunks]), " ")
+    said = pc.index_in(split.flatten(), value_set=numbers).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    grams, inside = _grams(said, np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy())), size)
+    known = np.unique(grams[inside])
+    grams, inside = _grams(codes.astype(np.int64), own, size)
+    if not len(known) or not len(grams):
+        return []
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    held = np.concatenate([[False], (known[at] == grams) & inside, [False]])
+    begin, end = np.flatnonzero(held[1:] & ~held[:-1]), np.flatnonzero(held[:-1] & ~held[1:])
+    long = end - begin >= window - size + 1
+    return list(zip(begin[long].tolist(), (end[long] + size - 1).tolist(), strict=True))
+
+
 def covered(texts: list[list[bytes]], passages: pa.Table, window: int) -> list[np.ndarray | None]:
-    """Of each text (its words), which words lie under an occurrence of a pattern; None if there is none."""
+    """Of each text (its words), which words lie under an occurrence of a pattern; None if there is none.
+
+    The automaton's root has an edge for each first word of a pattern, which makes a word that fits nothing dear, so it
+    reads the stretches only whose grams all stand in passages.
+    """
     flat = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
-    machine = shard(passages, flat.dictionary, window)
     out: list[np.ndarray | None] = [None] * len(texts)
+    codes, sizes = flat.indices.to_numpy(zero_copy_only=False), [len(w) for w in texts]
+    parts = stretches(codes, np.repeat(np.arange(len(texts)), sizes), passages, flat.dictionary, window)
+    machine = shard(passages, flat.dictionary, window) if parts else ()
     if not len(machine):
         return out
-    codes, begin = flat.indices.to_numpy(zero_copy_only=False), 0
-    for d, words in enumerate(texts):
-        n = len(words)
-        if n >= window:
-            hits = np.fromiter(chain.from_iterable(machine.iter(tuple(codes[begin : begin + n].tolist()))), np.int64).reshape(-1, 2)
-            if len(hits):
-                last, size = hits[:, 0], hits[:, 1]
-                edge = np.bincount(last - size + 1, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
-                out[d] = np.cumsum(edge[:n]) > 0
+    edge = np.zeros(len(codes) + 1, np.int64)
+    for begin, end in parts:
+        hits = np.fromiter(chain.from_iterable(machine.iter(tuple(codes[begin:end].tolist()))), np.int64).reshape(-1, 2)
+        last, size = hits[:, 0], hits[:, 1]
+        edge[begin : end + 1] += np.bincount(last - size + 1, minlength=end - begin + 1) - np.bincount(last + 1, minlength=end - begin + 1)
+    cover, begin = np.cumsum(edge[:-1]) > 0, 0
+    for d, n in enumerate(sizes):
+        mine = cover[begin : begin + n]
+        if mine.any():
+            out[d] = mine
         begin += n
     return out
 

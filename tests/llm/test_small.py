@@ -431,3 +431,26 @@ def test_quotes_are_parsed_and_linked(spark):
     assert got["1-1"] == (1, 1, 0, 0, 1, "Hi") and got["1-2"] == (1, 2, 1, 0, 2, "Bye") and got["1-3"] == (1, 3, 0, 0, 1, "Other")
     assert got["1-4"] == (1, 4, None, 4, 0, "Lone") and got["2-1"] == (2, 1, None, 1, 0, "No") and got["1"] == (None, 1, 0, 0, 1, "y")
     assert got["1-900"] == (1, 900, 2, 0, 3, "Late")
+
+
+def test_automata_read_only_stretches_whose_grams_are_known():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(300)}".encode()
+    copied = [[word() for _ in range(rng.randrange(12, 30))] for _ in range(6)]
+    texts = [[word() for _ in range(200)] for _ in range(8)] + [[]]
+    for i, c in enumerate(copied):
+        texts[i][20 * i : 20 * i] = c
+        texts[i + 2][5:5] = c[:11]  # a word less than a window
+    passages = pa.table({"words": pa.array([b" ".join(c) for c in copied], pa.binary()), "good": pa.array([None] * 6, pa.list_(pa.int32()))})
+    flat = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    parts = substring_dedup.stretches(flat.indices.to_numpy(), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), passages, flat.dictionary, 12)
+    assert sum(b - a for a, b in parts) < 250 and len(parts) == 6
+    expected = [any(t[i : i + len(c)] == c for i in range(len(t)) for c in copied) for t in texts]
+    covers = substring_dedup.covered(texts, passages, 12)
+    assert [c is not None for c in covers] == expected
+    assert [int(c.sum()) for c in covers[:6]] == [len(c) for c in copied]
