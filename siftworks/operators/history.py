@@ -141,17 +141,26 @@ def map_stats(symbols: DataFrame) -> DataFrame:
 def import_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     """(cycle): simple cycles of up to `longest` nodes, as paths that begin at their least node.
 
-    Paths grow by one join a round and never leave the nodes above their first, so each cycle is found once.
+    A cycle is met in its middle: a path of half its edges away from its least node, and one of the other half back to
+    it. Neither leaves the nodes above that least one, so each cycle is found once. Joins are merged: a broadcast would
+    hold all edges, and the joins that it serves would run in the few tasks of the first one.
     """
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
-    paths = e.filter("src < dst").select(F.array("src", "dst").alias("nodes"))
-    found = None
-    for _ in range(longest - 1):
-        step = paths.join(e, F.element_at("nodes", -1) == F.col("src"))
-        closed = step.filter(F.col("dst") == F.col("nodes")[0]).select(F.col("nodes").alias("cycle"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = step.filter((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst"))).select(F.concat("nodes", F.array("dst")).alias("nodes"))
-    return found
+    e = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    away, back = (_halves(e, *ends, most) for ends, most in ((("src", "dst"), (longest + 1) // 2), (("dst", "src"), longest // 2)))
+    met = away.alias("a").join(back.hint("merge").alias("b"), ["least", "last"]).filter(F.size("a.nodes").isin(F.size("b.nodes"), F.size("b.nodes") + 1))
+    inner = {side: F.slice(f"{side}.nodes", F.lit(2), F.size(f"{side}.nodes") - 2) for side in "ab"}
+    return met.filter(~F.arrays_overlap(inner["a"], inner["b"])).select(F.concat("a.nodes", F.reverse(inner["b"])).alias("cycle"))
+
+
+def _halves(e: DataFrame, near: str, far: str, most: int) -> DataFrame:
+    """(nodes, least, last): simple paths of up to `most` edges, from their least node on, along edges taken from `near` to `far`."""
+    paths = e.filter(F.col(near) < F.col(far)).select(F.array(near, far).alias("nodes"))
+    found = paths
+    for _ in range(most - 1):
+        step = paths.join(e.hint("merge"), F.element_at("nodes", -1) == F.col(near))
+        paths = step.filter((F.col(far) > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col(far))).select(F.concat("nodes", F.array(far)).alias("nodes"))
+        found = found.unionByName(paths)
+    return found.select("nodes", F.col("nodes")[0].alias("least"), F.element_at("nodes", -1).alias("last"))
 
 
 def written(df: DataFrame) -> DataFrame:

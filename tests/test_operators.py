@@ -389,6 +389,28 @@ def test_import_components_broadcast_nothing(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_import_cycles_meet_in_the_middle(spark):
+    """All cycles of a dense graph at every bound, from paths of half a cycle and without a broadcast of the edges."""
+    import random
+
+    rng = random.Random(5)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(45)}
+    df = history.written(spark.createDataFrame([*edges, *edges, (None, 1), (1, None)], "src long, dst long"))
+
+    def search(path, longest):
+        for a, b in edges:
+            if a == path[-1] and b == path[0] and len(path) > 1:
+                yield path
+            if a == path[-1] and b > path[0] and b not in path and len(path) < longest:
+                yield from search((*path, b), longest)
+
+    for longest in (2, 3, 6, 7):
+        found = history.import_cycles(df, longest)
+        got = [tuple(r.cycle) for r in found.collect()]
+        assert sorted(got) == sorted(c for i in range(14) for c in search((i,), longest)) and max(map(len, got)) == longest
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_compact_summary_makes_its_items_once(spark):
     """Total and first rows come from one run over the items."""
     made = spark.sparkContext.accumulator(0)
