@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 BRACED = ["javascript", "typescript", "go", "rust", "java"]
 BRANCH = r"\b(?:if|for|while|case|catch|elif|except|match)\b|&&|\|\||\?"
 #: Comment lines of both families.
@@ -70,16 +72,18 @@ def function_blocks(lines: DataFrame) -> DataFrame:
     """(repo, path, lang, first_line, open_line, last_line): functions from their heads to the end of the block that follows.
 
     The block opens on the head's line or a later one; a semicolon or a closing brace on a line before it ends the search.
+    Only lines with one of these or a head decide that; others don't go into the shuffle.
     """
-    braced = lines.filter(F.col("lang").isin(BRACED))
+    head = F.col("code").rlike(FUNCTION) & ~F.col("code").rlike(NO_HEAD)
+    braced = lines.filter(F.col("lang").isin(BRACED) & (F.col("code").rlike("[{;}]") | head))
     down = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     first_of = lambda pattern: F.min(F.when(F.col("code").rlike(pattern), F.col("line_no"))).over(down)
     heads = braced.withColumn("open_line", first_of(r"\{")).withColumn("stop", first_of("[;}]"))
-    heads = heads.filter(F.col("code").rlike(FUNCTION) & ~F.col("code").rlike(NO_HEAD) & (F.col("open_line") <= F.coalesce("stop", "open_line")))
+    heads = heads.filter(head & (F.col("open_line") <= F.coalesce("stop", "open_line")))
     # Of the pairs that open on a line the outermost is meant; of several such the last, as parameters may hold braces.
     body = brace_pairs(braced).groupBy("repo", "path", "open_line").agg(F.max(F.struct(-F.col("depth"), "close_line")).alias("x"))
     body = body.select("repo", "path", "open_line", F.col("x.close_line").alias("last_line"))
-    return heads.select("repo", "path", "lang", F.col("line_no").alias("first_line"), "open_line").join(body, ["repo", "path", "open_line"]).select("repo", "path", "lang", "first_line", "open_line", "last_line")
+    return heads.select("repo", "path", "lang", F.col("line_no").alias("first_line"), "open_line").join(body.hint("merge"), ["repo", "path", "open_line"]).select("repo", "path", "lang", "first_line", "open_line", "last_line")
 
 
 def indent(line: Column) -> Column:
@@ -87,17 +91,21 @@ def indent(line: Column) -> Column:
 
 
 def indent_blocks(lines: DataFrame) -> DataFrame:
-    """(repo, path, lang, first_line, last_line): Python functions, up to the line before the next one not indented deeper."""
-    py = lines.filter("lang = 'python'").withColumn("indent", indent(F.col("line"))).filter(F.trim("line") != "")
-    heads = py.filter(F.col("line").rlike(r"^\s*(?:async\s+)?def\s+\w+")).select("repo", "path", "lang", F.col("line_no").alias("first_line"), F.col("indent").alias("head"))
+    """(repo, path, lang, first_line, last_line): Python functions, up to the line before the next one not indented deeper.
+
+    Such a next line stands right below the head or is indented less than the line before it; others are left out at once.
+    """
+    text, file = F.col("line"), Window.partitionBy("repo", "path")
+    py = lines.filter("lang = 'python'").select("repo", "path", "lang", "line_no", indent(text).alias("indent"), (F.trim("line") != "").alias("full"), text.rlike(r"^\s*(?:async\s+)?def\s+\w+").alias("head"))
+    above = F.last(F.when(F.col("full"), F.struct("indent", "head")), ignorenulls=True).over(file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    levels = F.collect_set(F.when(F.col("full") & F.col("head"), F.col("indent"))).over(file)
+    rows = py.withColumns({"above": above, "end": F.max("line_no").over(file) + 1, "levels": levels})
+    rows = rows.filter(F.col("full") & (F.col("head") | F.col("above.head") | (F.col("indent") < F.col("above.indent"))))
     # Each line once for each indentation that a head of its file has: the next line not deeper is a running minimum from below.
-    levels = heads.select("repo", "path", F.col("head").alias("level")).distinct()
+    rows = rows.select("repo", "path", "lang", "line_no", "indent", "head", "end", F.explode("levels").alias("level"))
     below = Window.partitionBy("repo", "path", "level").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = py.select("repo", "path", "line_no", "indent").join(levels, ["repo", "path"])
-    rows = rows.withColumn("next", F.min(F.when(F.col("indent") <= F.col("level"), F.col("line_no"))).over(below))
-    ends = rows.select("repo", "path", F.col("line_no").alias("first_line"), F.col("level").alias("head"), "next")
-    last = lines.filter("lang = 'python'").groupBy("repo", "path").agg((F.max("line_no") + 1).alias("end"))
-    return heads.join(ends, ["repo", "path", "first_line", "head"], "left").join(last, ["repo", "path"]).select("repo", "path", "lang", "first_line", (F.coalesce("next", "end") - 1).alias("last_line"))
+    rows = rows.withColumn("next", F.min(F.when(F.col("indent") <= F.col("level"), F.col("line_no"))).over(below)).filter("head AND indent = level")
+    return rows.select("repo", "path", "lang", F.col("line_no").alias("first_line"), (F.coalesce("next", "end") - 1).alias("last_line"))
 
 
 def all_blocks(lines: DataFrame) -> DataFrame:
@@ -153,20 +161,44 @@ _DOC_STRING = r"^\s*(\"{3}|'{3})"
 
 
 def stub_functions(lines: DataFrame) -> DataFrame:
-    """Functions whose one significant line is a stub of their language; a TODO in the body raises certainty. A body on the opening line counts too."""
-    blocks = all_blocks(lines)
-    short = blocks.filter("last_line = first_line AND lang <> 'python'").select("repo", "path", "first_line", F.col("first_line").alias("line_no"))
-    one = lines.join(short, ["repo", "path", "line_no"]).withColumn("line", F.regexp_extract("line", r"\{(.*)\}", 1))
-    columns = ["repo", "path", "lang", "first_line", "line_no", "line"]
-    inside = block_lines(lines, blocks).select(*columns).unionByName(one.select(*columns)).withColumn("todo", F.col("line").rlike(STUB_TODO))
-    docs = (F.col("lang") == "python") & F.col("line").rlike(_DOC_STRING)
-    code = (F.trim("line") != "") & ~comment(F.col("line")) & ~F.col("line").rlike(r"^\s*[})\]];?\s*$") & ~docs
-    per = inside.groupBy("repo", "path", "lang", "first_line").agg(F.count_if(code).alias("n"), F.max(F.when(code, F.col("line"))).alias("only"), F.bool_or("todo").alias("todo"))
-    of = {lang: rx for lang, rx in STUBS.items()} | {"typescript": STUBS["javascript"]}
-    stub = F.when(F.lit(False), F.lit(False))
-    for lang, rx in of.items():
-        stub = stub.when(F.col("lang") == lang, F.col("only").rlike(rx))
-    return per.filter((F.col("n") == 1) & stub).select("repo", "path", "first_line", F.when(F.col("todo"), "HIGH").otherwise("MEDIUM").alias("certainty"))
+    """Functions whose one significant line is a stub of their language; a TODO in the body raises certainty. A body on the opening line counts too.
+
+    Files are masked and lines chosen once: those that decide are written, and blocks and bodies are made from them.
+    """
+    lines = written(_deciding(lines))
+    line, lang = F.col("line"), F.col("lang")
+    within = F.when(F.col("last_line") > F.col("open_line"), F.expr("sequence(open_line + 1, last_line)")).when((F.col("last_line") == F.col("first_line")) & (lang != "python"), F.array("first_line"))
+    body = all_blocks(lines).select("repo", "path", "first_line", F.explode(within).alias("line_no"))
+    told = lines.filter((lang != "python") | _in_body(line, lang)).select("repo", "path", "lang", "line_no", "line")
+    # On a block's first line its body is what stands between the braces.
+    said = F.when(F.col("line_no") == F.col("first_line"), F.regexp_extract("line", r"\{(.*)\}", 1)).otherwise(line)
+    inside = told.join(body.hint("merge"), ["repo", "path", "line_no"]).withColumn("line", said)
+    code, stub = _stub_code(line, lang), F.when(F.lit(False), F.lit(False))
+    for name, rx in (STUBS | {"typescript": STUBS["javascript"]}).items():
+        stub = stub.when(lang == name, line.rlike(rx))
+    marks = inside.select("repo", "path", "lang", "first_line", code.alias("code"), (code & stub).alias("stub"), line.rlike(STUB_TODO).alias("todo"))
+    per = marks.groupBy("repo", "path", "lang", "first_line").agg(F.count_if("code").alias("n"), F.count_if("stub").alias("stubs"), F.bool_or("todo").alias("todo"))
+    return per.filter("n = 1 AND stubs = 1").select("repo", "path", "first_line", F.when(F.col("todo"), "HIGH").otherwise("MEDIUM").alias("certainty"))
+
+
+def _stub_code(line: Column, lang: Column) -> Column:
+    """Whether a line counts in a body: neither blank, a comment, a doc string of Python nor a closing bracket alone."""
+    return (F.trim(line) != "") & ~comment(line) & ~line.rlike(r"^\s*[})\]];?\s*$") & ~((lang == "python") & line.rlike(_DOC_STRING))
+
+
+def _in_body(line: Column, lang: Column) -> Column:
+    return _stub_code(line, lang) | line.rlike(STUB_TODO)
+
+
+def _deciding(lines: DataFrame) -> DataFrame:
+    """Lines that decide on stubs: those that count in a body or hold a TODO, and those that tell where blocks begin and end.
+
+    Any line of Python may end a block by its indentation, so all stay, but of its comments without a TODO only the mark.
+    """
+    line, code, lang = F.col("line"), F.col("code"), F.col("lang")
+    mark = F.when(comment(line) & ~line.rlike(STUB_TODO), F.regexp_extract("line", r"^\s*(?:#|//|/?\*)", 0)).otherwise(line)
+    known = lines.filter(lang.isin(*BRACED, "python")).filter((lang == "python") | code.rlike("[{;}]") | code.rlike(FUNCTION) | _in_body(line, lang))
+    return known.select("repo", "path", "lang", "line_no", F.when(lang == "python", mark).otherwise(line).alias("line"), F.when(lang != "python", code).alias("code"))
 
 
 def complexity(lines: DataFrame, medium: int = 10, high: int = 20) -> DataFrame:

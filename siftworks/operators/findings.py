@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CERTAINTIES, FIXES, SEVERITIES
-from .history import written
+from ..sources.io import written
 
 
 def rank_of(col: str, order: list[str]) -> Column:

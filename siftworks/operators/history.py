@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import new_folder
+from ..sources.io import written
 from .blocks import significant
 from .copies import COPIES, FRAMES, copies, distinct
 from .scan import TEST_PATH
@@ -163,13 +163,6 @@ def _halves(e: DataFrame, near: str, far: str, most: int) -> DataFrame:
     return found.select("nodes", F.col("nodes")[0].alias("least"), F.element_at("nodes", -1).alias("last"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written and read back, which cuts its lineage."""
-    folder = new_folder(df.sparkSession, "edges")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def import_components(edges: DataFrame) -> DataFrame:
     """(file, component): every file on a circular import of any length, by the least file of its strongly connected component.
 

@@ -23,6 +23,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written and read back, which cuts its lineage."""
+    folder = new_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 #: Ends each file in a text part.
 FILE_END = "\n--END-OF-FILE--\n"
 

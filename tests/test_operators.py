@@ -135,6 +135,44 @@ def test_dead_code_and_stubs(spark):
     assert [r.first_line for r in blocks.stub_functions(lines).collect()] == [5]
 
 
+def test_stubs_read_their_files_once(spark):
+    """Text below the functions, comments that end a block, and a TODO that says more than its mark."""
+    files = {
+        "a.py": ("python", "def a():\n    # TODO: soon\n    pass\n\ndef b():\n    return 0\n# not of b, TODO\n\n  \ndef c():\n    # one\n# ends c\n    return 0\ndef d():\n\n    pass\n\n# text"),
+        "b.js": ("javascript", "function e()\n{\n  // FIXME\n  return null;\n}\nfunction f() { return 0; /* HACK */ }\nfunction g() { return 0; }\n// TODO of nothing {\nfunction h() {\n  x();\n  return 0;\n}"),
+        "c.md": ("markdown", "def a():\n    pass\nfunction f() { return 0; }"),
+    }
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = files_of(spark, files)
+    got = {(r.path, r.first_line): r.certainty for r in blocks.stub_functions(blocks.code_lines(df.mapInArrow(count, df.schema))).collect()}
+    assert got == {("a.py", 1): "HIGH", ("a.py", 5): "MEDIUM", ("a.py", 14): "MEDIUM", ("b.js", 1): "HIGH", ("b.js", 7): "MEDIUM"}
+    assert made.value == 3
+
+
+def test_indent_blocks_equal_a_search(spark):
+    """Of random lines, in one shuffle."""
+    import random
+
+    rng = random.Random(4)
+    texts = {f"{i}.py": [" " * rng.randrange(6) + rng.choice(["def f():", "x", "# y", "", "async def g():", "\t"]) for _ in range(40)] for i in range(8)}
+    found = blocks.indent_blocks(lines_of(spark, {path: ("python", "\n".join(text)) for path, text in texts.items()}))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    expected = set()
+    for path, text in texts.items():
+        depth = [len(line) - len(line.lstrip(" \t")) for line in text]
+        for i, line in enumerate(text):
+            if "def" in line:
+                after = (j for j in range(i + 1, len(text)) if text[j].strip(" ") and depth[j] <= depth[i])
+                expected.add((path, i + 1, next(after, len(text))))
+    assert {(r.path, r.first_line, r.last_line) for r in found.collect()} == expected
+
+
 def test_fix_headings_equals_a_loop(spark):
     levels = [1, 3, 3, 2, 5, 6, 1, 4]
     lines = lines_of(spark, {"a.md": ("markdown", "\n".join("#" * k + " h" for k in levels))})
