@@ -175,6 +175,22 @@ def test_patterns_of_documents_are_counted_in_one_pass(spark):
     assert found._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_texts_within_entries(spark):
+    said = ["a", "é", "zq", "add", "api😀 k", "close pool 12", "close pool 1", "close pools", "lose", "drop the old loader of users and their names", "drop the old loader of users and their name", "whole entry"]
+    commits = spark.createDataFrame([(f"{i:040x}", f"feat: {x}") for i, x in enumerate(said)], "hash string, message string")
+    log = spark.createDataFrame([("- close pool 12",), ("whole entry",), ("see drop the old loader of users and their name!",), ("😀api😀 k é",), ("",), (None,)], "entry string")
+    assert sorted(r.message[6:] for r in joins.undocumented_commits(commits, log).collect()) == ["add", "close pools", "drop the old loader of users and their names", "zq"]
+
+
+def test_texts_are_not_paired_with_entries(spark):
+    # all texts and entries share their trigrams, so that a trigram brings all pairs together
+    commits = spark.range(2000).selectExpr("id AS hash", "concat('feat: ', translate(lpad(bin(id), 12, '0'), '01', 'ab')) AS message")
+    log = commits.filter("hash % 2 = 0").selectExpr("concat('- ', substring(message, 7), '.') AS entry")
+    rest = joins.undocumented_commits(commits, log)
+    assert sorted(r.hash for r in rest.collect()) == list(range(1, 2000, 2))
+    assert "contains(" not in rest._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_changelog_is_not_broadcast(spark):
     commits = spark.range(40).selectExpr("sha2(string(id), 256) AS hash", "concat('feat: number ', id) AS message")
     log = commits.selectExpr("concat('- done in ', substring(hash, 1, 7)) AS entry").limit(30)

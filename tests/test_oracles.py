@@ -34,3 +34,8 @@ def same_on_orders(spark, folder, name, keys):
 def test_commits_that_share_seven_digits(spark, tmp_path):
     # the hashes of 48321 and 109789, and of 27733 and 52155, begin alike; of each pair the changelog names one
     assert same_on_orders(spark, tmp_path, "c12_undocumented_by_hash", [48321, 109789, 27733, 52155, 52155, 1, 3, 5]) == 3
+
+
+def test_numbers_are_no_short_hashes(spark, tmp_path):
+    # 1000005 and 1000011 are entries without #, with which other numbers begin
+    assert same_on_orders(spark, tmp_path, "c12_undocumented_commits", [1000005, 1000011, *range(10000050, 10000060), *range(10000110, 10000120)]) == 6
