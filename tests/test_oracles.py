@@ -39,3 +39,14 @@ def test_commits_that_share_seven_digits(spark, tmp_path):
 def test_numbers_are_no_short_hashes(spark, tmp_path):
     # 1000005 and 1000011 are entries without #, with which other numbers begin
     assert same_on_orders(spark, tmp_path, "c12_undocumented_commits", [1000005, 1000011, *range(10000050, 10000060), *range(10000110, 10000120)]) == 6
+
+
+def test_phrases_parted_by_any_space(spark, tmp_path):
+    spaces = "\u00a0\u3000\u2003\u2028\u202f\u205f\u1680\ufeff\x0b\t\n\r\f"
+    texts = ["one\u00a0two\u3000three " * 4, "".join(f"a{x}b{x}c{x}" for x in spaces), "a.b c, d " * 3, "\u00a0", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["d20_repeated_phrases"](spark, str(tmp_path))
+    assert same_as_sql(df, con, ORACLES["d20_repeated_phrases"]) == 4
+    assert {(r.doc_id, r.phrase): r.times for r in df.collect()} == {(0, "one two three"): 4, (1, "a b c"): 13, (1, "b c a"): 12, (1, "c a b"): 12}
